@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, secrets
+from . import bpe, language, mixing, quality, secrets, simhash
 
-MODULES = (mixing, quality, bpe, secrets)
+MODULES = (mixing, language, simhash, quality, bpe, secrets)
 
 
 def queries() -> dict:
