@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, language, mixing, quality, secrets, simhash
+from . import bpe, embeddings, html, language, mixing, quality, secrets, simhash
 
-MODULES = (mixing, language, simhash, quality, bpe, secrets)
+MODULES = (mixing, language, simhash, html, embeddings, quality, bpe, secrets)
 
 
 def queries() -> dict:
