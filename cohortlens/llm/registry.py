@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, html, language, lm_score, mixing, quality, secrets, simhash
+from . import bpe, embeddings, html, language, lm_score, mixing, quality, secrets, simhash, suffix
 
-MODULES = (mixing, language, simhash, html, embeddings, lm_score, quality, bpe, secrets)
+MODULES = (mixing, suffix, language, simhash, html, embeddings, lm_score, quality, bpe, secrets)
 
 
 def queries() -> dict:
