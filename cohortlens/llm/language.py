@@ -312,6 +312,22 @@ def identify(docs: DataFrame, model: KneserNey | None) -> DataFrame:
     return src.mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, model: KneserNey | None) -> DataFrame:
+    """The rows of docs, all columns, whose text the model doesn't reject."""
+    if model is None:
+        return docs.limit(0)
+    spark = docs.sparkSession
+    small_batches(spark)
+    sent, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(~sent.value.decide(texts(b.column(at)))[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, learn(docs))

@@ -179,6 +179,27 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, with every secret in text replaced by its kind; n_chars, if there is one, follows."""
+    small_batches(docs.sparkSession)
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            old = b.column(at).to_pylist()
+            new = [t and mask(t, find_spans(t)[1]) for t in old]
+            cols = list(b.columns)
+            cols[at] = pa.array(new, b.schema.field(at).type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                sizes = [n if t == o else len(t) for n, t, o in zip(cols[k].to_pylist(), new, old, strict=True)]
+                cols[k] = pa.array(sizes, b.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("n_spans")
 
