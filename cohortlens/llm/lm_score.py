@@ -313,12 +313,24 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Max
     )
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """Words over a count that fewer than HEAD words exceed; found from a histogram of a fixed number of classes of counts."""
+    level = F.when(F.col("c") < 1000, F.col("c").cast("double")).otherwise(1000 + F.floor(16 * F.log2(F.col("c") / 1000)))
+    room, least = HEAD, float("inf")
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        room -= row["count"]
+        if room < 1:
+            break
+        least = row["level"]
+    return counts.where(level >= least)
+
+
 def learn(docs: DataFrame) -> tuple[DataFrame, Vocabulary, MaxEnt]:
     """Counts of all words, the vocabulary and the trained weights, from training documents."""
     small_batches(docs.sparkSession)
     counts = cut(word_counts(docs))
     total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    top = counts.where(F.col("word") != END).orderBy(F.col("c").desc(), "word").limit(HEAD - 1).collect()
+    top = sorted(_frequent(counts.where(F.col("word") != END)).collect(), key=lambda r: (-r["c"], r["word"]))
     ends = counts.where(F.col("word") == END).first()
     words = ([b""] if ends else []) + [r["word"].encode() for r in top]
     c = ([ends["c"]] if ends else []) + [r["c"] for r in top]
