@@ -52,7 +52,7 @@ def identifier_columns(df: DataFrame) -> DataFrame:
 
 def underperforming_group(df: DataFrame, threshold: float = 0.1, least: int = 5) -> DataFrame:
     """(cluster, n, mean_own_prob, ratio, is_worst_issue) for df(id, label, pred_probs, cluster)."""
-    own = A.own_prob(C.P, C.LABEL)
+    own = A.own_prob(C.P(), C.LABEL())
     mean = df.agg(F.avg(own)).first()[0] or 1.0
     g = df.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(own).alias("mean_own_prob")).where(F.col("n") >= least)
     g = g.withColumn("ratio", F.least(F.col("mean_own_prob") / F.lit(mean), F.lit(1.0)))

@@ -17,19 +17,26 @@ from ..functions import cells
 
 FLOOR, ABSENT, EPS = 2e-6, 2.0, 1e-6
 SALTS = 32
-P, LABEL = F.col("pred_probs"), F.col("label")
 _SCORES = {"self_confidence": A.own_prob, "normalized_margin": A.normalized_margin, "confidence_weighted_entropy": A.confidence_weighted_entropy}
 
 
+def P() -> Column:  # noqa: N802
+    return F.col("pred_probs")
+
+
+def LABEL() -> Column:  # noqa: N802
+    return F.col("label")
+
+
 def validate(df: DataFrame) -> DataFrame:
     """Raise unless labels are classes of pred_probs, and probabilities lie in [0, 1]; one aggregate."""
-    bad_p = F.exists(P, lambda x: x.isNull() | F.isnan(x) | (x < -EPS) | (x > 1 + EPS))
+    bad_p = F.exists(P(), lambda x: x.isNull() | F.isnan(x) | (x < -EPS) | (x > 1 + EPS))
     r = df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(LABEL.isNull() | (LABEL < 0) | (LABEL >= F.size(P))).alias("bad_label"),
-        F.count_if(bad_p | P.isNull()).alias("bad_p"),
-        F.count_distinct(F.size(P)).alias("sizes"),
-        F.count_distinct(LABEL).alias("classes"),
+        F.count_if(LABEL().isNull() | (LABEL() < 0) | (LABEL() >= F.size(P()))).alias("bad_label"),
+        F.count_if(bad_p | P().isNull()).alias("bad_p"),
+        F.count_distinct(F.size(P())).alias("sizes"),
+        F.count_distinct(LABEL()).alias("classes"),
     ).first()
     if r.n and (r.bad_label or r.bad_p or r.sizes != 1 or r.classes < 2):
         raise ValueError(f"invalid labels or probabilities: {r.asDict()}")
@@ -37,7 +44,7 @@ def validate(df: DataFrame) -> DataFrame:
 
 
 def num_classes(df: DataFrame) -> int:
-    return df.agg(F.max(F.size(P))).first()[0] or 0
+    return df.agg(F.max(F.size(P()))).first()[0] or 0
 
 
 def label_counts(df: DataFrame, k: int) -> np.ndarray:
@@ -47,32 +54,39 @@ def label_counts(df: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def thresholds(df: DataFrame, k: int | None = None) -> list[float]:
+def class_stats(df: DataFrame) -> tuple[list[float], np.ndarray]:
+    """Threshold and number of rows of each class, from one pass."""
+    rows = df.groupBy("label").agg(F.avg(A.own_prob(P(), LABEL())).alias("t"), F.count(F.lit(1)).alias("n"), F.max(F.size(P())).alias("k")).collect()
+    k = max((r["k"] for r in rows), default=0)
+    t, n = [ABSENT] * k, np.zeros(k, np.int64)
+    for r in rows:
+        t[r["label"]], n[r["label"]] = max(r["t"], FLOOR), r["n"]
+    return t, n
+
+
+def thresholds(df: DataFrame) -> list[float]:
     """Mean own-class probability of each class; ABSENT for a class without rows."""
-    k = k or num_classes(df)
-    out = [ABSENT] * k
-    for r in df.groupBy("label").agg(F.avg(A.own_prob(P, LABEL)).alias("t")).collect():
-        out[r["label"]] = max(r["t"], FLOOR)
-    return out
+    return class_stats(df)[0]
 
 
 def confident_class(t: list[float]) -> Column:
     """The one class that reaches its threshold; of several the overall prediction; null if none does."""
     limits = F.array(*[F.lit(float(x)) for x in t])
-    reached = F.zip_with(P, limits, lambda p, x: p >= x - EPS)
+    reached = F.zip_with(P(), limits, lambda p, x: p >= x - EPS)
     n = F.size(F.filter(reached, lambda x: x))
-    return F.when(n == 1, (F.array_position(reached, True) - 1).cast("int")).when(n > 1, A.argmax(P))
+    return F.when(n == 1, (F.array_position(reached, True) - 1).cast("int")).when(n > 1, A.argmax(P()))
 
 
 def confident_joint(df: DataFrame, t: list[float] | None = None, calibrate: bool = True) -> np.ndarray:
     """[given, guess] counts; the diagonal is at least 1 before calibration."""
-    t = t or thresholds(df)
+    own, counts = class_stats(df)
+    t = t or own
     k = len(t)
     m = np.zeros((k, k), np.int64)
     for r in df.select("label", confident_class(t).alias("g")).where("g is not null").groupBy("label", "g").count().collect():
         m[r["label"], r["g"]] = r["count"]
     np.fill_diagonal(m, np.maximum(np.diagonal(m), 1))
-    return cells.calibrated(m, label_counts(df, k)) if calibrate else m
+    return cells.calibrated(m, counts) if calibrate else m
 
 
 def estimate_joint(df: DataFrame, joint: np.ndarray | None = None) -> np.ndarray:
@@ -83,7 +97,7 @@ def estimate_joint(df: DataFrame, joint: np.ndarray | None = None) -> np.ndarray
 def num_label_issues(df: DataFrame, method: str = "off_diagonal", joint: np.ndarray | None = None) -> int:
     if method == "off_diagonal":
         g = confident_class(thresholds(df))
-        return df.where((g != LABEL) & ~A.near_given(P, LABEL)).count()
+        return df.where((g != LABEL()) & ~A.near_given(P(), LABEL())).count()
     j = estimate_joint(df, joint)
     return int(np.rint((1 - np.trace(j)) * df.count()))
 
@@ -121,16 +135,16 @@ def find_label_issues(
 ) -> DataFrame:
     """(id, is_label_issue), a row for each row of df; with rank_by only the issues, with their score and rank."""
     df = df.select("id", "label", "pred_probs")
-    keep = A.near_given(P, LABEL)
+    keep = A.near_given(P(), LABEL())
     if filter_by in ("low_self_confidence", "low_normalized_margin"):
         n = num_label_issues(df)
-        scored = df.withColumn("s", _SCORES[filter_by[4:]](P, LABEL))
+        scored = df.withColumn("s", _SCORES[filter_by[4:]](P(), LABEL()))
         out = _flag(df, lowest(scored.select("id", "s"), "s", n)).withColumn("is_label_issue", F.col("hit"))
     elif filter_by == "predicted_neq_given":
-        out = df.withColumn("is_label_issue", (A.argmax(P) != LABEL) & ~keep)
+        out = df.withColumn("is_label_issue", (A.argmax(P()) != LABEL()) & ~keep)
     elif filter_by == "confident_learning":
         g = confident_class(thresholds(df))
-        out = df.withColumn("is_label_issue", F.coalesce(g != LABEL, F.lit(False)) & ~keep)
+        out = df.withColumn("is_label_issue", F.coalesce(g != LABEL(), F.lit(False)) & ~keep)
     else:
         joint = confident_joint(df) if joint is None else joint
         k = len(joint)
@@ -143,16 +157,16 @@ def find_label_issues(
         marks = []
         if filter_by in ("prune_by_noise_rate", "both"):
             pairs = F.array(*[F.array(*[F.lit(int(quotas[j, given]) if j != given and enough[given] else 0) for j in range(k)]) for given in range(k)])
-            own = F.element_at(pairs, LABEL + 1)
+            own = F.element_at(pairs, LABEL() + 1)
             wanted = F.filter(F.transform(own, lambda n, j: F.struct(j.alias("j"), n.alias("n"))), lambda x: x.n > 0)
             rows = df.select("id", "label", "pred_probs", F.explode(wanted).alias("w")).select(
-                "id", "label", F.col("w.j").alias("j"), F.col("w.n").alias("n"), (F.element_at(P, F.col("w.j") + 1) - A.own_prob(P, LABEL)).alias("m")
+                "id", "label", F.col("w.j").alias("j"), F.col("w.n").alias("n"), (F.element_at(P(), F.col("w.j") + 1) - A.own_prob(P(), LABEL())).alias("m")
             )
             out = _flag(out, rank_within(rows, ["label", "j"], [F.col("m").desc(), F.col("id")], F.col("n"))).withColumnRenamed("hit", "by_rate")
             marks.append(F.col("by_rate"))
         if filter_by in ("prune_by_class", "both"):
-            n = F.element_at(F.array(*[F.lit(int(max(0, counts[c] - quotas[c, c])) if enough[c] else 0) for c in range(k)]), LABEL + 1)
-            rows = df.select("id", "label", n.alias("n"), A.own_prob(P, LABEL).alias("m")).where("n > 0")
+            n = F.element_at(F.array(*[F.lit(int(max(0, counts[c] - quotas[c, c])) if enough[c] else 0) for c in range(k)]), LABEL() + 1)
+            rows = df.select("id", "label", n.alias("n"), A.own_prob(P(), LABEL()).alias("m")).where("n > 0")
             out = _flag(out, rank_within(rows, ["label"], [F.col("m"), F.col("id")], F.col("n"))).withColumnRenamed("hit", "by_class")
             marks.append(F.col("by_class"))
         if not marks:
@@ -163,7 +177,7 @@ def find_label_issues(
         out = out.withColumn("is_label_issue", both & ~keep)
     if rank_by is None:
         return out.select("id", "is_label_issue")
-    issues = out.where("is_label_issue").select("id", _SCORES[rank_by](P, LABEL).alias("score"))
+    issues = out.where("is_label_issue").select("id", _SCORES[rank_by](P(), LABEL()).alias("score"))
     return issues.orderBy("score", "id")
 
 
@@ -171,44 +185,44 @@ def argmax_confusion(df: DataFrame, calibrate: bool = True) -> np.ndarray:
     """[given, predicted] counts as a joint."""
     k = num_classes(df)
     m = np.zeros((k, k), np.int64)
-    for r in df.groupBy("label", A.argmax(P).alias("g")).count().collect():
+    for r in df.groupBy("label", A.argmax(P()).alias("g")).count().collect():
         m[r["label"], r["g"]] = r["count"]
     return cells.calibrated(m, label_counts(df, k)) if calibrate else m
 
 
 def label_quality(df: DataFrame, method: str = "self_confidence", adjust: bool = False) -> DataFrame:
     """(id, label_quality)."""
-    p = P
+    p = P()
     if adjust:
         if method == "confidence_weighted_entropy":
             raise ValueError("confidence_weighted_entropy can't be adjusted")
-        p = A.adjusted(P, thresholds(df))
-    return df.select("id", _SCORES[method](p, LABEL).alias("label_quality"))
+        p = A.adjusted(P(), thresholds(df))
+    return df.select("id", _SCORES[method](p, LABEL()).alias("label_quality"))
 
 
 def ensemble_quality(df: DataFrame, columns: list[str], method: str = "self_confidence", weight: str = "uniform", custom: list[float] | None = None) -> DataFrame:
     """Weighted mean of the scores of several probability columns."""
     m = len(columns)
     if weight == "accuracy":
-        acc = df.agg(*[F.avg((A.argmax(F.col(c)) == LABEL).cast("double")).alias(c) for c in columns]).first()
+        acc = df.agg(*[F.avg((A.argmax(F.col(c)) == LABEL()).cast("double")).alias(c) for c in columns]).first()
         w = [acc[c] / sum(acc) for c in columns]
     elif weight == "log_loss_search":
         w = _log_loss_weights(df, columns)
     else:
         w = custom if weight == "custom" else [1 / m] * m
-    score = sum((F.lit(float(x)) * _SCORES[method](F.col(c), LABEL) for x, c in zip(w, columns, strict=True)), F.lit(0.0))
+    score = sum((F.lit(float(x)) * _SCORES[method](F.col(c), LABEL()) for x, c in zip(w, columns, strict=True)), F.lit(0.0))
     return df.select("id", score.alias("label_quality"))
 
 
 def _log_loss_weights(df: DataFrame, columns: list[str], grid=(1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0, 100.0, 200.0)) -> list[float]:
     """Weights exp(-T loss) with the T whose ensemble has the least log loss; all T are tried in one pass."""
     fine = {c: A.normalized(F.transform(F.col(c), lambda x: F.least(F.greatest(x, F.lit(EPS)), F.lit(1 - EPS)))) for c in columns}
-    loss = df.agg(*[F.avg(-F.ln(A.own_prob(fine[c], LABEL))).alias(c) for c in columns]).first()
+    loss = df.agg(*[F.avg(-F.ln(A.own_prob(fine[c], LABEL()))).alias(c) for c in columns]).first()
     ws = []
     for t in grid:
         w = np.exp(-t * (np.array(list(loss))))
         ws.append((w / w.sum()).tolist() if w.sum() > 0 else [1 / len(columns)] * len(columns))
-    mixed = [sum((F.lit(x) * A.own_prob(fine[c], LABEL) for x, c in zip(w, columns, strict=True)), F.lit(0.0)) for w in ws]
+    mixed = [sum((F.lit(x) * A.own_prob(fine[c], LABEL()) for x, c in zip(w, columns, strict=True)), F.lit(0.0)) for w in ws]
     got = list(df.agg(*[F.avg(-F.ln(F.greatest(x, F.lit(EPS)))).alias(f"t{i}") for i, x in enumerate(mixed)]).first())
     return ws[int(np.argmin(got))]
 
@@ -243,7 +257,7 @@ def health_summary(df: DataFrame) -> dict:
 
 def ood_from_probs(df: DataFrame, method: str = "entropy", adjust: bool = True) -> DataFrame:
     """(id, score): low for rows unlike the classes."""
-    p = A.adjusted(P, thresholds(df)) if adjust else P
+    p = A.adjusted(P(), thresholds(df)) if adjust else P()
     score = {"entropy": lambda x: 1 - A.normalized_entropy(x), "least_confidence": A.least_confidence, "gen": A.generalized_entropy}[method](p)
     return df.select("id", score.alias("score"))
 
@@ -251,12 +265,12 @@ def ood_from_probs(df: DataFrame, method: str = "entropy", adjust: bool = True)
 def batched_issue_count(df: DataFrame) -> int:
     """Rows whose prediction differs from the label and reaches its class's threshold."""
     t = F.array(*[F.lit(float(x)) for x in thresholds(df)])
-    top = A.argmax(P)
-    return df.where((top != LABEL) & (F.array_max(P) >= F.element_at(t, top + 1) - EPS)).count()
+    top = A.argmax(P())
+    return df.where((top != LABEL()) & (F.array_max(P()) >= F.element_at(t, top + 1) - EPS)).count()
 
 
 def recalibrated_probs(df: DataFrame, noise: np.ndarray, inverse: np.ndarray) -> DataFrame:
     """(id, pred_probs): p(true | x), from p(given | x) by the diagonals of both matrices."""
     r = F.array(*[F.lit(float(x)) for x in np.diagonal(inverse) / np.diagonal(noise)])
-    p = F.transform(F.zip_with(P, r, lambda x, y: x * y), lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
+    p = F.transform(F.zip_with(P(), r, lambda x, y: x * y), lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
     return df.select("id", A.normalized(p).alias("pred_probs"))

@@ -71,12 +71,13 @@ def class_prior(df: DataFrame) -> DataFrame:
 
 # Tokens: (sentence_id, token_id, token, label, pred_probs)
 
-_TOKEN_ID = F.col("sentence_id") * (1 << 24) + F.col("token_id")
+def _token_id() -> Column:
+    return F.col("sentence_id") * (1 << 24) + F.col("token_id")
 
 
 def token_issues(df: DataFrame, filter_by: str = "prune_by_noise_rate", **kw) -> DataFrame:
     """(sentence_id, token_id) of the flagged tokens."""
-    flat = df.withColumn("id", _TOKEN_ID)
+    flat = df.withColumn("id", _token_id())
     hit = C.find_label_issues(flat, filter_by, **kw).where("is_label_issue")
     return hit.select(F.floor(F.col("id") / (1 << 24)).cast("bigint").alias("sentence_id"), (F.col("id") % (1 << 24)).cast("bigint").alias("token_id"))
 

@@ -24,7 +24,7 @@ class LabelInspector:
         self.rows = 0
 
     def update_thresholds(self, batch: DataFrame) -> None:
-        for r in batch.groupBy("label").agg(F.sum(A.own_prob(C.P, C.LABEL)).alias("s"), F.count(F.lit(1)).alias("n")).collect():
+        for r in batch.groupBy("label").agg(F.sum(A.own_prob(C.P(), C.LABEL())).alias("s"), F.count(F.lit(1)).alias("n")).collect():
             self.sums[r["label"]] += r["s"]
             self.counts[r["label"]] += r["n"]
 
@@ -35,9 +35,9 @@ class LabelInspector:
     def score(self, batch: DataFrame, count: bool = True) -> DataFrame:
         """(id, label_quality, is_candidate) of a batch; adds the candidates to the number of issues."""
         t = F.array(*[F.lit(x) for x in self.thresholds()])
-        top = A.argmax(C.P)
-        candidate = (top != C.LABEL) & (F.array_max(C.P) >= F.element_at(t, top + 1) - C.EPS)
-        out = batch.select("id", C._SCORES[self.method](C.P, C.LABEL).alias("label_quality"), candidate.alias("is_candidate"))
+        top = A.argmax(C.P())
+        candidate = (top != C.LABEL()) & (F.array_max(C.P()) >= F.element_at(t, top + 1) - C.EPS)
+        out = batch.select("id", C._SCORES[self.method](C.P(), C.LABEL()).alias("label_quality"), candidate.alias("is_candidate"))
         if count:
             n, hits = out.agg(F.count(F.lit(1)), F.count_if("is_candidate")).first()
             self.rows, self.issues = self.rows + n, self.issues + hits
