@@ -39,6 +39,8 @@ ORDER = 4
 SAMPLE_DOCS = 400
 CALIBRATION_DOCS = 200
 MIN_SCORE = 0.3
+#: Nats per character, over the root of their number, that a text may lie above the limit: short texts vary more.
+SPREAD = 12.0
 SPLIT = 5
 UND = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -232,7 +234,7 @@ class KneserNey:
                 best = min(best, (loss, self.temperature))
         self.temperature = best[1]
         own = h[np.arange(len(n)), truth]
-        self.limit = (float(np.quantile(own, 0.99)) * 1.5, 8.0)
+        self.limit = (float(np.quantile(own, 0.99)) * 1.5, SPREAD)
 
     def decide(self, docs: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether rejected, of each text."""
@@ -240,7 +242,7 @@ class KneserNey:
         p = self.posterior(n, h)
         best = h.argmin(axis=1)
         score = np.where(n > 0, p[np.arange(len(docs)), best], 0.0)
-        odd = h.min(axis=1) > self.limit[0] + self.limit[1] / np.maximum(n, 1)
+        odd = h.min(axis=1) > self.limit[0] + self.limit[1] / np.sqrt(np.maximum(n, 1))
         return [self.languages[b] if k else UND for b, k in zip(best, n, strict=True)], score, (n == 0) | odd | (score < MIN_SCORE)
 
 
