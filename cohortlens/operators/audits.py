@@ -110,29 +110,86 @@ def annotator_stats(votes: DataFrame, consensus: DataFrame) -> DataFrame:
     return total.join(worst.select("annotator_id", F.col("label").alias("worst_class")), "annotator_id")
 
 
-def crowd_posterior(votes: DataFrame, probs: DataFrame, n_classes: int) -> DataFrame:
-    """(task_id, posterior, consensus, consensus_quality): model probabilities and annotators weighted by how far they beat the most likely class."""
-    consensus = majority_vote(votes, probs)
-    multi = votes.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = votes.join(consensus, "task_id").join(multi, "task_id")
-    likely = consensus.groupBy("consensus").count().orderBy(F.desc("count"), "consensus").first()["consensus"]
-    base = first.select("task_id", "consensus").distinct().agg(F.avg((F.col("consensus") != F.lit(likely)).cast("double"))).first()[0] or 1.0
-    base = max(base, 1e-6)
-    clip = lambda err: F.greatest(1 - err / F.lit(base), F.lit(1e-6))
-    w = annotator_agreement(votes).select("annotator_id", clip(1 - F.col("agreement")).alias("w"))
-    model_err = first.select("task_id", "consensus").distinct().join(probs, "task_id").agg(F.avg((A.argmax(F.col("pred_probs")) != F.col("consensus")).cast("double"))).first()[0] or 0.0
+def crowd_weights(votes: DataFrame, probs: DataFrame, consensus: DataFrame) -> tuple[DataFrame, float, float]:
+    """(annotator_id, w), the model's weight, and the mean agreement on tasks with several labels.
+
+    A weight is one less the error over that of always answering the most likely class.
+    """
+    multi = votes.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("task_id")
+    per_task = agreement_with_consensus(votes, consensus).join(multi, "task_id").join(consensus, "task_id").join(probs, "task_id", "left")
+    top = consensus.groupBy("consensus").count().orderBy(F.desc("count"), "consensus").first()
+    likely = F.lit(top["consensus"] if top else 0)
+    r = per_task.agg(
+        F.avg((F.col("consensus") != likely).cast("double")),
+        F.avg((A.argmax(F.col("pred_probs")) != F.col("consensus")).cast("double")),
+        F.avg("agreement"),
+    ).first()
+    base = max(r[0] or 1.0, 1e-6)
     mean_n = votes.groupBy("task_id").count().agg(F.avg("count")).first()[0] or 1.0
-    mw = max(1 - model_err / base, 1e-6) * float(np.sqrt(mean_n))
-    p_agree = agreement_with_consensus(votes, consensus).join(multi.select("task_id"), "task_id").agg(F.avg("agreement")).first()[0] or 1.0
-    like = lambda c: F.when(F.col("label") == c, F.lit(p_agree)).otherwise(F.lit((1 - p_agree) / (n_classes - 1)))
+    w = annotator_agreement(votes).select("annotator_id", F.greatest(1 - (1 - F.col("agreement")) / F.lit(base), F.lit(1e-6)).alias("w"))
+    return w, max(1 - (r[1] or 0.0) / base, 1e-6) * float(np.sqrt(mean_n)), r[2] if r[2] is not None else 1.0
+
+
+def crowd_posterior(votes: DataFrame, probs: DataFrame, n_classes: int, weights=None) -> DataFrame:
+    """(task_id, posterior, consensus, consensus_quality): weighted mean of the model's probabilities and the annotators' likelihoods."""
+    majority = majority_vote(votes, probs)
+    w, mw, agree = weights or crowd_weights(votes, probs, majority)
+    like = lambda c: F.when(F.col("label") == c, F.lit(agree)).otherwise(F.lit((1 - agree) / (n_classes - 1)))
     sums = votes.join(w, "annotator_id").groupBy("task_id").agg(F.sum("w").alias("ws"), *[F.sum(F.col("w") * like(c)).alias(f"s{c}") for c in range(n_classes)])
-    j = probs.join(sums, "task_id").join(consensus, "task_id")
+    j = probs.join(sums, "task_id").join(majority, "task_id")
     post = F.array(*[(F.lit(mw) * F.element_at("pred_probs", c + 1) + F.col(f"s{c}")) / (F.lit(mw) + F.col("ws")) for c in range(n_classes)])
     j = j.select("task_id", post.alias("posterior"), F.col("consensus").alias("majority"))
     best = F.when(F.element_at("posterior", F.col("majority") + 1) == F.array_max("posterior"), F.col("majority")).otherwise(A.argmax(F.col("posterior")))
     return j.select("task_id", "posterior", best.alias("consensus")).withColumn("consensus_quality", A.own_prob(F.col("posterior"), F.col("consensus")))
 
 
+def annotation_quality(votes: DataFrame, posterior: DataFrame) -> DataFrame:
+    """(task_id, annotator_id, label_quality) of each single label under the posterior."""
+    return votes.join(posterior, "task_id").select("task_id", "annotator_id", A.own_prob(F.col("posterior"), F.col("label")).alias("label_quality"))
+
+
+def active_learning_scores(votes: DataFrame, probs: DataFrame, n_classes: int) -> DataFrame:
+    """(task_id, score) of every task with probabilities, low where another label helps most.
+
+    The certainty of a task is drawn towards 1 / K by the weight of one more mean annotator.
+    """
+    weights = crowd_weights(votes, probs, majority_vote(votes, probs))
+    w, mw, _ = weights
+    mean_w = w.agg(F.avg("w")).first()[0] or 1.0
+    own = votes.join(w, "annotator_id").groupBy("task_id").agg(F.sum("w").alias("ws"))
+    j = probs.join(own, "task_id", "left").join(crowd_posterior(votes, probs, n_classes, weights).select("task_id", "consensus_quality"), "task_id", "left")
+    sure, weight = F.coalesce("consensus_quality", F.array_max("pred_probs")), F.coalesce("ws", F.lit(0.0)) + mw
+    return j.select("task_id", ((sure * weight + F.lit(mean_w / n_classes)) / (weight + mean_w)).alias("score"))
+
+
+def lost_classes(votes: DataFrame, consensus: DataFrame) -> DataFrame:
+    """(label) that annotators gave and no task has as its consensus."""
+    return votes.select("label").distinct().join(consensus.select(F.col("consensus").alias("label")), "label", "left_anti")
+
+
+def temperature_scaled(p, t: float):
+    """softmax(ln p / T)."""
+    return A.softmax(F.transform(p, lambda x: F.ln(F.greatest(x, F.lit(1e-30)))), t)
+
+
+def best_temperature(votes: DataFrame, probs: DataFrame, coarse=(0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0), steps: int = 9) -> float:
+    """Temperature of least mean soft cross-entropy: a coarse grid, then a fine one around its best; each grid is one pass."""
+    by = votes.groupBy("task_id", "label").count()
+    n = votes.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
+    j = by.join(n, "task_id").join(probs, "task_id").select("task_id", "label", (F.col("count") / F.col("n")).alias("share"), "pred_probs")
+
+    def losses(grid):
+        terms = [F.sum(-F.col("share") * F.ln(F.greatest(A.own_prob(temperature_scaled(F.col("pred_probs"), t), F.col("label")), F.lit(1e-30)))).alias(f"t{i}") for i, t in enumerate(grid)]
+        return list(j.agg(*terms).first())
+
+    first = losses(coarse)
+    if first[0] is None:
+        return 1.0
+    i = int(np.argmin(first))
+    fine = np.linspace(coarse[max(i - 1, 0)], coarse[min(i + 1, len(coarse) - 1)], steps).tolist()
+    return float(fine[int(np.argmin(losses(fine)))])
+
+
 def soft_cross_entropy(votes: DataFrame, probs: DataFrame) -> DataFrame:
     """(task_id, soft_ce): cross-entropy of the vote shares under the model, over ln K."""
     by = votes.groupBy("task_id", "label").count()
@@ -177,3 +234,20 @@ def noisy_labels(df: DataFrame, noise: np.ndarray, seed: int = 0) -> DataFrame:
     edges = F.element_at(F.array(*[F.array(*[F.lit(int(x)) for x in b]) for b in bounds]), F.col("label") + 1)
     ranked = df.select("id", "label", rank.alias("r")).withColumn("g", F.size(F.filter(edges, lambda x: x < F.col("r"))))
     return ranked.select("id", "label", F.when(F.col("g") < k, F.col("g")).otherwise(F.col("label")).alias("noisy"))
+
+
+def random_noise_matrix(k: int, trace: float, py: np.ndarray | None = None, seed: int = 0, tries: int = 1000) -> np.ndarray:
+    """A K x K matrix with columns that sum to one and a given trace, drawn until it is valid for the prior."""
+    r = np.random.default_rng(seed)
+    py = np.full(k, 1 / k) if py is None else np.asarray(py)
+    for _ in range(tries):
+        own = np.full(k, trace / k) + r.uniform(-1, 1, k) * min(trace / k, 1 - trace / k) * 0.5
+        own += (trace - own.sum()) / k
+        m = r.dirichlet(np.ones(k - 1), k).T * (1 - own)
+        out = np.zeros((k, k))
+        for j in range(k):
+            out[[i for i in range(k) if i != j], j] = m[:, j]
+            out[j, j] = own[j]
+        if (own > 0).all() and (own <= 1).all() and noise_matrix_is_valid(out, py):
+            return out
+    raise ValueError("no valid noise matrix found for this trace and prior")

@@ -69,6 +69,22 @@ def class_prior(df: DataFrame) -> DataFrame:
     return df.select(F.posexplode("bits").alias("class", "bit")).groupBy("class").agg((1 - F.avg("bit")).alias("p0"), F.avg("bit").alias("p1"))
 
 
+def best_cutoff(df: DataFrame, cutoffs=tuple(round(0.05 * i, 2) for i in range(1, 18))) -> tuple[float, float]:
+    """The cut-off of largest micro-F1 and that F1, the lowest of equal ones; all are tried in one pass."""
+
+    def count(hit) -> Column:
+        return F.sum(F.aggregate(F.zip_with("bits", "probs", lambda b, p: hit(b, p).cast("int")), F.lit(0), lambda a, x: a + x))
+
+    def counts(i: int, c: float) -> list[Column]:
+        return [count(lambda b, p: (b == 1) & (p >= F.lit(c))).alias(f"tp{i}"), count(lambda b, p: (b == 1) != (p >= F.lit(c))).alias(f"w{i}")]
+
+    cells_ = [x for i, c in enumerate(cutoffs) for x in counts(i, c)]
+    r = df.agg(*cells_).first()
+    f1 = [2 * (r[f"tp{i}"] or 0) / max(1, 2 * (r[f"tp{i}"] or 0) + (r[f"w{i}"] or 0)) for i in range(len(cutoffs))]
+    best = int(np.argmax(f1))
+    return cutoffs[best], f1[best]
+
+
 # Tokens: (sentence_id, token_id, token, label, pred_probs)
 
 def _token_id() -> Column:

@@ -339,6 +339,13 @@ def _(s, d):
     return structured.badly_located_boxes(structured.box_pairs(b, p), b).select("image_id", F.col("box_id").cast("int").alias("box_id"), _r("score").alias("score"))
 
 
+@_query("box_swap", O.X6 + "m as (select min(sim) m from pairs where sim > 0), g as (select image_id, box_id, max(sim) s from pairs where label <> pred_label and p > 95e-2 group by 1, 2), ov as (select l.image_id, l.box_id, greatest(least(l.x2, p.x2) - greatest(l.x1, p.x1), 0) * greatest(least(l.y2, p.y2) - greatest(l.y1, p.y1), 0) i, (l.x2 - l.x1) * (l.y2 - l.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) a from bx l join bx p on l.image_id = p.image_id and l.label <> p.label), cl as (select distinct image_id, box_id from ov where i / greatest(a - i, 1e-6) >= 95e-2) select b.image_id, b.box_id, round(case when cl.box_id is not null then m when s is null then 1 else greatest(m, 1 - s) end, 6) as score from bx b left join g on g.image_id = b.image_id and g.box_id = b.box_id left join cl on cl.image_id = b.image_id and cl.box_id = b.box_id, m")
+def _(s, d):
+    b, p = X.boxes(s, d), X.predicted_boxes(s, d)
+    pairs = structured.box_pairs(b, p)
+    return structured.swapped_boxes(pairs, b, structured.min_similarity(pairs)).select("image_id", F.col("box_id").cast("int").alias("box_id"), _r("score").alias("score"))
+
+
 @_query("box_overlooked", O.X6 + "m as (select min(sim) m from pairs where sim > 0), f as (select p.image_id, p.box_id as pred_id, any_value(p.p) p, max(iou) best, max(sim) filter (q.label = q.pred_label) same from px p left join pairs q on q.image_id = p.image_id and q.pred_id = p.box_id where p.p >= 95e-2 group by 1, 2) select image_id, pred_id, round(coalesce(same, m * (1 - p)), 6) as score from f, m where coalesce(best, 0) = 0")
 def _(s, d):
     b, p = X.boxes(s, d), X.predicted_boxes(s, d)
@@ -377,6 +384,39 @@ def _(s, d):
     return structured.image_scores(_pixels(s, d)).select("image_id", _r("score").alias("score"))
 
 
+@_query("pixel_issues", f"with x as ({O.X8}), t as (select avg(p1) filter (label = 1) t1, avg(1 - p1) filter (label = 0) t0 from x), y as (select *, case when label = 1 then p1 else 1 - p1 end own, case when p1 > 1 - p1 then 1 else 0 end am, greatest(p1, 1 - p1) pm from x), n as (select count(*) n from y, t where am <> label and pm >= case when am = 1 then t1 else t0 end - 1e-6), r as (select *, row_number() over (order by own, image_id, y, x) r from y) select image_id, y, x from r, n where r <= n and am <> label")
+def _(s, d):
+    return structured.pixel_issues(_pixels(s, d))
+
+
+@_query("pixel_common_issues")
+def _(s, d):
+    p = _pixels(s, d)
+    return structured.common_pixel_issues(p, structured.pixel_issues(p))
+
+
+@_query("multilabel_cutoff", O.X3 + ", c as (select i::int i, round(i * 5e-2, 2) c from (select unnest(range(1, 18)) i)), f as (select i, c, 2e0 * count(*) filter (bit = 1 and p >= c) / greatest(1, 2 * count(*) filter (bit = 1 and p >= c) + count(*) filter ((bit = 1) <> (p >= c))) f1 from ml, c group by all) select c as cutoff, round(f1, 6) as f1 from f order by f1 desc, i limit 1")
+def _(s, d):
+    c, f1 = structured.best_cutoff(X.multilabel(s, d))
+    return s.createDataFrame([(float(c), round(f1, 6))], "cutoff double, f1 double")
+
+
+@_query("active_learning_scores")
+def _(s, d):
+    return audits.active_learning_scores(X.crowd(s, d), X.task_probs(s, d), 3).select("task_id", _r("score").alias("score"))
+
+
+@_query("annotation_quality")
+def _(s, d):
+    v, p = X.crowd(s, d), X.task_probs(s, d)
+    return audits.annotation_quality(v, audits.crowd_posterior(v, p, 3)).select("task_id", "annotator_id", _r("label_quality").alias("label_quality"))
+
+
+@_query("best_temperature")
+def _(s, d):
+    return s.createDataFrame([(audits.best_temperature(X.crowd(s, d), X.task_probs(s, d)),)], "temperature double")
+
+
 @_query("class_counts", "select o_orderpriority as label, count(*)::bigint as n from orders group by 1")
 def _(s, d):
     return X._t(s, d, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count(F.lit(1)).alias("n"))

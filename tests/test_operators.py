@@ -107,6 +107,13 @@ def test_noise(spark):
     assert audits.noise_matrix_is_valid(m, np.array([0.5, 0.5])) and not audits.noise_matrix_is_valid(m[::-1], np.array([0.5, 0.5]))
 
 
+def test_random_noise_matrix():
+    m = audits.random_noise_matrix(4, 3.0, seed=2)
+    assert np.isclose(np.trace(m), 3) and np.allclose(m.sum(axis=0), 1) and audits.noise_matrix_is_valid(m, np.full(4, 0.25))
+    clean = cells.without_noise(m, 1)
+    assert clean[1, 1] == 1 and np.allclose(clean.sum(axis=0), 1)
+
+
 def test_vote_ties(spark):
     v = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "a", 0), (2, "b", 0), (3, "a", 0)], "task_id bigint, annotator_id string, label int")
     got = {r["task_id"]: r["consensus"] for r in audits.majority_vote(v).collect()}
