@@ -43,27 +43,31 @@ SEED = 11
 
 
 class Forest:
-    """Directions and split bounds by vector length; a leaf is a number below 2 ** depth."""
+    """Directions and split bounds by vector length; a leaf is a number below 2 ** depth.
+
+    Bounds are kept for the nodes that the sample reaches, so their number is
+    that of the sample at most; nodes beyond split at zero.
+    """
 
     def __init__(self, depth: int, sample: list[np.ndarray], trees: int = TREES):
         self.depth, self.trees = depth, trees
-        self.bounds: dict[int, np.ndarray] = {}
+        self.bounds: dict[tuple[int, int, int], tuple[float, float]] = {}
         by_size: dict[int, list[np.ndarray]] = {}
         for v in sample:
             by_size.setdefault(len(v), []).append(v)
         for size, vectors in by_size.items():
             x = np.array(vectors)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            self.bounds[size] = b = np.zeros((trees, max(1, (1 << depth) - 1), 2))
             for t in range(trees):
-                rows = {0: np.arange(len(x))}
-                for node in range((1 << depth) - 1):
-                    own = rows.pop(node, np.arange(0))
-                    if len(own):
-                        p = x[own] @ self.direction(size, t, node)
-                        b[t, node] = np.quantile(p, [0.5 - SPILL / 2, 0.5 + SPILL / 2])
-                        mid = np.median(p)
-                        rows[2 * node + 1], rows[2 * node + 2] = own[p <= mid], own[p > mid]
+                todo = [(0, np.arange(len(x)))]
+                while todo:
+                    node, own = todo.pop()
+                    if len(own) < 2 or node >= (1 << depth) - 1:
+                        continue
+                    p = x[own] @ self.direction(size, t, node)
+                    self.bounds[size, t, node] = tuple(np.quantile(p, [0.5 - SPILL / 2, 0.5 + SPILL / 2]).tolist())
+                    mid = np.median(p)
+                    todo += [(2 * node + 1, own[p <= mid]), (2 * node + 2, own[p > mid])]
 
     @staticmethod
     def direction(size: int, tree: int, node: int) -> np.ndarray:
@@ -72,17 +76,18 @@ class Forest:
     def leaves(self, x: np.ndarray) -> list[list[int]]:
         """For each unit vector the codes (tree and leaf) of all leaves that hold it, ascending."""
         size, first = x.shape[1], (1 << self.depth) - 1
-        bounds = self.bounds.get(size)
         out: list[list[int]] = [[] for _ in range(len(x))]
         for t in range(self.trees):
             rows = {0: np.arange(len(x))}
-            for node in range(first):
-                own = rows.pop(node, None)
-                if own is None or not len(own):
-                    continue
-                p = x[own] @ self.direction(size, t, node)
-                low, high = bounds[t, node] if bounds is not None else (0.0, 0.0)
-                rows[2 * node + 1], rows[2 * node + 2] = own[p <= high], own[p >= low]
+            for _ in range(self.depth):
+                below = {}
+                for node, own in rows.items():
+                    p = x[own] @ self.direction(size, t, node)
+                    low, high = self.bounds.get((size, t, node), (0.0, 0.0))
+                    for child, part in ((2 * node + 1, own[p <= high]), (2 * node + 2, own[p >= low])):
+                        if len(part):
+                            below[child] = part
+                rows = below
             for node in sorted(rows):
                 for i in rows[node].tolist():
                     out[i].append(t * (first + 1) + node - first)
