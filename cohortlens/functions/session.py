@@ -24,3 +24,10 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession) -> None:
+    """Use the checkpoint folder that the session names; only where none is named make a temporary one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.session import ship_package
 from . import confident as C
 
 
@@ -51,10 +52,14 @@ def identifier_columns(df: DataFrame) -> DataFrame:
 
 
 def underperforming_group(df: DataFrame, threshold: float = 0.1, least: int = 5) -> DataFrame:
-    """(cluster, n, mean_own_prob, ratio, is_worst_issue) for df(id, label, pred_probs, cluster)."""
+    """(cluster, n, mean_own_prob, ratio, is_worst_issue) for df(id, label, pred_probs, cluster).
+
+    Clusters under `least` rows, null and -1 (rows outside all clusters) take no part, nor do their rows in the mean.
+    """
     own = A.own_prob(C.P(), C.LABEL())
-    mean = df.agg(F.avg(own)).first()[0] or 1.0
-    g = df.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(own).alias("mean_own_prob")).where(F.col("n") >= least)
+    g = df.where(F.col("cluster").isNotNull() & (F.col("cluster").cast("string") != "-1"))
+    g = g.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(own).alias("mean_own_prob")).where(F.col("n") >= least)
+    mean = g.agg(F.sum(F.col("n") * F.col("mean_own_prob")) / F.sum("n")).first()[0] or 1.0
     g = g.withColumn("ratio", F.least(F.col("mean_own_prob") / F.lit(mean), F.lit(1.0)))
     worst = g.agg(F.min("ratio")).first()[0]
     return g.withColumn("is_worst_issue", (F.col("ratio") == F.lit(worst)) & (F.col("ratio") < threshold))
@@ -117,7 +122,7 @@ def crowd_weights(votes: DataFrame, probs: DataFrame, consensus: DataFrame) -> t
     """
     multi = votes.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("task_id")
     per_task = agreement_with_consensus(votes, consensus).join(multi, "task_id").join(consensus, "task_id").join(probs, "task_id", "left")
-    top = consensus.groupBy("consensus").count().orderBy(F.desc("count"), "consensus").first()
+    top = per_task.groupBy("consensus").count().orderBy(F.desc("count"), "consensus").first()
     likely = F.lit(top["consensus"] if top else 0)
     r = per_task.agg(
         F.avg((F.col("consensus") != likely).cast("double")),
@@ -130,9 +135,9 @@ def crowd_weights(votes: DataFrame, probs: DataFrame, consensus: DataFrame) -> t
     return w, max(1 - (r[1] or 0.0) / base, 1e-6) * float(np.sqrt(mean_n)), r[2] if r[2] is not None else 1.0
 
 
-def crowd_posterior(votes: DataFrame, probs: DataFrame, n_classes: int, weights=None) -> DataFrame:
+def crowd_posterior(votes: DataFrame, probs: DataFrame, n_classes: int, weights=None, majority: DataFrame | None = None) -> DataFrame:
     """(task_id, posterior, consensus, consensus_quality): weighted mean of the model's probabilities and the annotators' likelihoods."""
-    majority = majority_vote(votes, probs)
+    majority = majority if majority is not None else majority_vote(votes, probs)
     w, mw, agree = weights or crowd_weights(votes, probs, majority)
     like = lambda c: F.when(F.col("label") == c, F.lit(agree)).otherwise(F.lit((1 - agree) / (n_classes - 1)))
     sums = votes.join(w, "annotator_id").groupBy("task_id").agg(F.sum("w").alias("ws"), *[F.sum(F.col("w") * like(c)).alias(f"s{c}") for c in range(n_classes)])
@@ -162,6 +167,59 @@ def active_learning_scores(votes: DataFrame, probs: DataFrame, n_classes: int) -
     return j.select("task_id", ((sure * weight + F.lit(mean_w / n_classes)) / (weight + mean_w)).alias("score"))
 
 
+# Several models: probs has (task_id, m_0, m_1, ...), one probability array a model
+
+
+def mean_probs(columns: list[str]):
+    """The models' mean probabilities of each class."""
+    total = F.col(columns[0])
+    for c in columns[1:]:
+        total = F.zip_with(total, F.col(c), lambda a, b: a + b)
+    return F.transform(total, lambda x: x / len(columns))
+
+
+def ensemble_weights(votes: DataFrame, probs: DataFrame, columns: list[str], consensus: DataFrame) -> tuple[DataFrame, list[float], float]:
+    """As crowd_weights, with one weight a model."""
+    each = [crowd_weights(votes, probs.select("task_id", F.col(c).alias("pred_probs")), consensus) for c in columns]
+    return each[0][0], [x[1] for x in each], each[0][2]
+
+
+def blended(columns: list[str], weights: list[float]):
+    """Weighted sum of the models' probabilities over the sum of the weights."""
+    scaled = lambda c, w: F.transform(c, lambda x: x * F.lit(w))
+    total = scaled(columns[0], weights[0])
+    for c, w in zip(columns[1:], weights[1:], strict=True):
+        total = F.zip_with(total, scaled(c, w), lambda a, b: a + b)
+    return F.transform(total, lambda x: x / F.lit(sum(weights)))
+
+
+def crowd_posterior_ensemble(votes: DataFrame, probs: DataFrame, columns: list[str], n_classes: int, weights=None) -> DataFrame:
+    """As crowd_posterior for several models: ties by their mean, each with a weight of its own in the posterior."""
+    majority = majority_vote(votes, probs.select("task_id", mean_probs(columns).alias("pred_probs")))
+    w, models, agree = weights or ensemble_weights(votes, probs, columns, majority)
+    one = probs.select("task_id", blended(columns, models).alias("pred_probs"))
+    return crowd_posterior(votes, one, n_classes, (w, sum(models), agree), majority)
+
+
+def active_learning_scores_ensemble(votes: DataFrame, probs: DataFrame, columns: list[str], n_classes: int) -> DataFrame:
+    """(task_id, score) as active_learning_scores for several models, each brought to its best temperature first."""
+    for c in columns:
+        one = probs.select("task_id", F.col(c).alias("pred_probs"))
+        probs = probs.withColumn(c, temperature_scaled(F.col(c), best_temperature(votes, one)))
+    majority = majority_vote(votes, probs.select("task_id", mean_probs(columns).alias("pred_probs")))
+    w, models, agree = ensemble_weights(votes, probs, columns, majority)
+    mean_w = w.agg(F.avg("w")).first()[0] or 1.0
+    post = crowd_posterior_ensemble(votes, probs, columns, n_classes, (w, models, agree)).select("task_id", "consensus_quality")
+    own = votes.join(w, "annotator_id").groupBy("task_id").agg(F.sum("w").alias("ws"))
+    # Without labels the models vote: most votes, then the highest mean probability, then the lowest class.
+    count = [sum((A.argmax(F.col(m)) == c).cast("int") for m in columns) for c in range(n_classes)]
+    rank = F.array(*[F.struct(n.alias("n"), F.element_at(mean_probs(columns), c + 1).alias("p"), F.lit(-c).alias("c")) for c, n in enumerate(count)])
+    sure = A.own_prob(blended(columns, models), -F.array_max(rank)["c"])
+    j = probs.join(own, "task_id", "left").join(post, "task_id", "left")
+    weight = F.coalesce("ws", F.lit(0.0)) + F.lit(sum(models))
+    return j.select("task_id", ((F.coalesce("consensus_quality", sure) * weight + F.lit(mean_w / n_classes)) / (weight + mean_w)).alias("score"))
+
+
 def lost_classes(votes: DataFrame, consensus: DataFrame) -> DataFrame:
     """(label) that annotators gave and no task has as its consensus."""
     return votes.select("label").distinct().join(consensus.select(F.col("consensus").alias("label")), "label", "left_anti")
@@ -206,6 +264,51 @@ def residual_scores(df: DataFrame) -> DataFrame:
     return df.select("id", F.exp(-F.abs(F.col("prediction") - F.col("y"))).alias("label_quality"))
 
 
+EXACT_ROWS, STRIPES = 20_000, 64
+
+
+def outlying_residual_scores(df: DataFrame, residual_scale: float = 5.0, share: float = 0.5) -> DataFrame:
+    """(id, label_quality) of df(id, y, prediction) by how far a row lies from the nearest `share` of all rows, itself included.
+
+    Rows are points: the standardised label and residual_scale times the standardised residual.
+    Up to EXACT_ROWS points are compared one by one.  Beyond, the points compared with are the
+    means of at most STRIPES x STRIPES cells of equal depth, weighted by their rows, so the work
+    grows with the rows and not with their square; a mean distance is then off by less than
+    the mean radius of the cells.  What executors hold is at most EXACT_ROWS points either way.
+    """
+    rows = df.select("id", F.col("y").cast("double").alias("y"), (F.col("prediction") - F.col("y")).cast("double").alias("e")).where("y is not null and e is not null")
+    n, my, sy, me, se = rows.agg(F.count(F.lit(1)), F.avg("y"), F.stddev_pop("y"), F.avg("e"), F.stddev_pop("e")).first()
+    if not n:
+        return rows.select("id", F.lit(1.0).alias("label_quality"))
+    pts = rows.select("id", ((F.col("y") - F.lit(my)) / F.lit(sy + 1e-100)).alias("a"), ((F.col("e") - F.lit(me)) / F.lit(se + 1e-100) * residual_scale).alias("b"))
+    if n <= EXACT_ROWS:
+        base = np.array([(r[0], r[1], 1.0) for r in pts.select("a", "b").collect()])
+    else:
+        cuts = [x / STRIPES for x in range(1, STRIPES)]
+        qa, qb = pts.approxQuantile(["a", "b"], cuts, 1e-4)
+        stripe = lambda c, q: F.size(F.filter(F.array(*[F.lit(x) for x in q]), lambda x: x < F.col(c)))
+        cells = pts.groupBy(stripe("a", qa).alias("u"), stripe("b", qb).alias("v")).agg(F.avg("a"), F.avg("b"), F.count(F.lit(1)).cast("double"))
+        base = np.array([tuple(r)[2:] for r in cells.collect()])
+    ship_package(df.sparkSession)
+    need, shared = float(np.ceil(share * n)), df.sparkSession.sparkContext.broadcast(base)
+
+    def mean_distance(batches):
+        pa_, pb, weight = shared.value.T
+        for t in batches:
+            out = []
+            for a, b in zip(t["a"], t["b"], strict=True):
+                d = np.hypot(pa_ - a, pb - b)
+                order = np.argsort(d, kind="stable")
+                taken = np.minimum(np.maximum(need - (np.cumsum(weight[order]) - weight[order]), 0), weight[order])
+                out.append(float((d[order] * taken).sum() / need))
+            yield t[["id"]].assign(d=out)
+
+    id_type = dict(pts.dtypes)["id"]
+    dist = pts.mapInPandas(mean_distance, f"id {id_type}, d double")
+    scale = dist.agg(F.percentile("d", F.lit(0.5))).first()[0]
+    return dist.select("id", F.exp(-F.col("d") / F.lit(max(scale, 100 * 2.220446049250313e-16))).alias("label_quality"))
+
+
 def regression_issues(df: DataFrame, threshold: float = 0.05) -> DataFrame:
     """(id, label_quality, is_label_issue): scores under threshold x median."""
     s = residual_scores(df)
@@ -213,6 +316,39 @@ def regression_issues(df: DataFrame, threshold: float = 0.05) -> DataFrame:
     return s.withColumn("is_label_issue", F.col("label_quality") < F.lit(threshold * m))
 
 
+# Properties of images (or of any rows) against their labels: df(id, label, fold, property ...)
+
+
+def spurious_correlations(df: DataFrame, properties: list[str], baseline: str = "index") -> DataFrame:
+    """(property, score): how little one property alone tells the label, 1 if it tells nothing.
+
+    Gaussian naive Bayes on the single property, each fold predicted by the others; the score is
+    1 less the mean accuracy of the folds, over 1 less a baseline accuracy, at most 1.  The baseline
+    is the number of the largest class over the rows ("index", the customary score, near 0 on
+    large tables) or the share of the largest class ("share").  One pass gathers sums by property,
+    fold and class; training statistics are totals less the fold's own.
+    """
+    if baseline not in ("index", "share"):
+        raise ValueError(f"unknown baseline {baseline!r}")
+    long = df.select("id", "label", "fold", F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.col(p).cast("double").alias("v")) for p in properties])).alias("x")).select("id", "label", "fold", "x.*")
+    long = long.where("v is not null and label is not null")
+    own = long.groupBy("property", "fold", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    every = own.groupBy("property", "label").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    widest = long.groupBy("property").agg(F.var_pop("v").alias("spread"))
+    grid = own.select("property", "fold").distinct().join(every.withColumnsRenamed({"n": "tn", "s": "ts", "q": "tq"}), "property").join(own, ["property", "fold", "label"], "left").join(widest, "property")
+    take = lambda t, o: F.col(t) - F.coalesce(o, F.lit(0))
+    stats = grid.select("property", "fold", "label", "spread", take("tn", "n").alias("n"), take("ts", "s").alias("s"), take("tq", "q").alias("q")).where("n > 0")
+    var = F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0)) + 1e-9 * F.col("spread") + 1e-300
+    stats = stats.select("property", "fold", F.struct("label", F.ln("n").alias("w"), (F.col("s") / F.col("n")).alias("m"), var.alias("var")).alias("c")).groupBy("property", "fold").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    likelihood = F.transform("c", lambda c: F.struct((c["w"] - F.ln(c["var"]) / 2 - F.pow(F.col("v") - c["m"], 2) / (2 * c["var"])).alias("l"), c["label"].alias("label")))
+    best = F.reduce(likelihood, F.element_at(likelihood, 1), lambda a, b: F.when(b["l"] > a["l"], b).otherwise(a))
+    wrong = long.join(stats, ["property", "fold"]).select("property", "fold", (best["label"] != F.col("label")).cast("double").alias("miss"))
+    wrong = wrong.groupBy("property", "fold").agg(F.avg("miss").alias("miss")).groupBy("property").agg(F.avg("miss").alias("miss"))
+    top = F.max_by("label", F.struct("n", -F.col("label"))) if baseline == "index" else F.max("n")
+    base = every.groupBy("property").agg((1 - top / F.sum("n")).alias("base"))
+    return wrong.join(base, "property").select("property", F.least(F.col("miss") / F.greatest("base", F.lit(1e-8)), F.lit(1.0)).alias("score"))
+
+
 # Noise
 
 

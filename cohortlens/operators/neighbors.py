@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.session import ship_package
+from ..functions.session import shared_folder, ship_package
 
 BLOCK = 1024
 EDGES = "i bigint, rank int, j bigint, d double"
@@ -137,6 +137,98 @@ def order_effect(edges: DataFrame, n: int, buckets: int = 1000) -> DataFrame:
     return run.agg(F.max(F.greatest(here, left)).alias("ks"))
 
 
+def _permuted(c, r, n: int):
+    """Where round r puts position c: a seeded hash, so that no permutation has to be held; round 0 leaves it."""
+    return F.when(r == 0, c).otherwise(F.pmod(F.xxhash64(c.cast("bigint"), r), F.lit(n)))
+
+
+def order_test(edges: DataFrame, n: int, rounds: int = 25, buckets: int = 1000) -> tuple[float, float]:
+    """(ks, p-value) of the order effect: the gap between the distribution of index distances to
+    neighbours and that of all pairs, against the same for `rounds` shuffles of the positions.
+
+    The p-value is the tail of a Gaussian density over the gaps of the shuffles (Scott's width).
+    Shuffled positions are drawn independently, so their background counts equal positions too.
+    The driver gets one row a round; the running totals of the buckets stay in a table of at
+    most rounds x buckets rows.
+    """
+    if n < 2:
+        return 0.0, 1.0
+    r = F.col("r")
+    rows = edges.select("i", "j", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("r"))
+    gap = F.abs(_permuted(F.col("i"), r, n) - _permuted(F.col("j"), r, n))
+    d = rows.groupBy("r", gap.alias("gap")).agg(F.count(F.lit(1)).alias("c"))
+    d = d.withColumn("b", F.floor(F.col("gap") / max(1, math.ceil(n / buckets))).cast("int"))
+    before = d.groupBy("r", "b").agg(F.sum("c").alias("s"))
+    before = before.select("r", "b", (F.sum("s").over(W.partitionBy("r").orderBy("b")) - F.col("s")).alias("start"), F.sum("s").over(W.partitionBy("r")).alias("m"))
+    run = d.join(F.broadcast(before), ["r", "b"]).withColumn("cum", F.sum("c").over(W.partitionBy("r", "b").orderBy("gap")) + F.col("start"))
+    g = F.col("gap").cast("double")
+    exact = (2.0 * n * g - g * (g + 1)) / F.lit(float(n) * (n - 1))
+    drawn = (n + 2.0 * n * g - g * (g + 1)) / F.lit(float(n) * n)
+    at = F.when(r == 0, exact).otherwise(drawn)
+    low, high = (F.col("cum") - F.col("c")) / F.col("m"), (F.col("cum") - 1) / F.col("m")
+    ks = {x["r"]: x["ks"] for x in run.groupBy("r").agg(F.max(F.greatest(F.abs(low - at), F.abs(high - at))).alias("ks")).collect()}
+    if not ks:
+        return 0.0, 1.0
+    own, null = ks[0], np.array([ks[x] for x in range(1, rounds + 1)])
+    width = max(float(null.std(ddof=1)) * len(null) ** -0.2, 1e-12)
+    return float(own), float(np.mean([0.5 * math.erfc((own - x) / width / math.sqrt(2)) for x in null]))
+
+
+def order_scores(edges: DataFrame, n: int) -> DataFrame:
+    """(id, score) of each row: near 1 if its neighbours lie at index distances as of random rows.
+
+    The area between the step function of the row's neighbour distances and the distribution
+    of its distances to all positions 0 .. n - 1, interval by interval.
+    """
+    i, last = F.col("id").cast("double"), float(n - 1)
+    x = edges.groupBy(F.col("i").alias("id")).agg(F.sort_array(F.collect_list(F.abs(F.col("i") - F.col("j")).cast("double"))).alias("x"))
+    x = x.select("id", F.concat("x", F.array(F.lit(last))).alias("x"), F.least(i, last - i).alias("d"))
+    d = F.col("d")
+
+    def area(v):
+        middle = d * d / last + (v + 3 * d) * (v - d) / (2 * last)
+        end = d * d / last + 0.5 * (2 * d / last + 1) * (last - 2 * d) + v - (last - d)
+        return F.when(v <= d, v * v / last).when(v <= last - d, middle).otherwise(end)
+
+    at = lambda k: F.when(k == 0, F.lit(0.0)).otherwise(F.element_at("x", F.greatest(k, F.lit(1))))
+    parts = F.transform("x", lambda v, k: F.abs(k / (F.size("x") - 1) * (v - at(k)) - (area(v) - area(at(k)))))
+    total = F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)
+    return x.select("id", (F.tanh(-total / F.greatest(i, float(n) - i)) + 1).alias("score"))
+
+
+def density_clusters(edges: DataFrame, ids: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+    """(id, cluster) by density over the neighbour table; -1 for rows outside all clusters.
+
+    A core row has min_samples rows, itself included, within eps.  A cluster is named by the
+    smallest core row that reaches its members along edges that leave core rows (the
+    neighbour relation has a direction).  Labels pass along edges and then jump to the label
+    of their label, so the rounds grow slowly with the length of a chain.
+    """
+    spark = edges.sparkSession
+    shared_folder(spark)
+    close = edges.where(F.col("d") <= eps).select("i", "j")
+    core = ids.select(F.col("id").alias("i")).join(close.groupBy("i").agg(F.count(F.lit(1)).alias("c")), "i", "left").where(F.coalesce("c", F.lit(0)) + 1 >= min_samples).select("i")
+    links = close.join(core, "i").select("i", "j").checkpoint()
+    label = core.select(F.col("i").alias("id"), F.col("i").alias("cluster")).unionByName(links.select(F.col("j").alias("id"), F.col("i").alias("cluster")))
+    label = label.groupBy("id").agg(F.min("cluster").alias("cluster")).checkpoint()
+    state = label.agg(F.sum(F.col("cluster").cast("decimal(38,0)"))).first()[0]
+    while state is not None:
+        sent = links.join(label.withColumnRenamed("id", "i"), "i").select(F.col("j").alias("id"), "cluster")
+        up = label.select(F.col("id").alias("cluster"), F.col("cluster").alias("higher"))
+        jumped = label.join(up, "cluster").select("id", F.col("higher").alias("cluster"))
+        label = label.unionByName(sent).unionByName(jumped).groupBy("id").agg(F.min("cluster").alias("cluster")).checkpoint()
+        now = label.agg(F.sum(F.col("cluster").cast("decimal(38,0)"))).first()[0]
+        if now == state:
+            break
+        state = now
+    return ids.select("id").join(label, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def label_issue_probs(edges: DataFrame, labels: DataFrame, n_classes: int) -> DataFrame:
+    """(id, label, pred_probs): the neighbours' votes as a model's out-of-sample probabilities."""
+    return labels.select("id", "label").join(vote_probs(edges, labels, n_classes), "id")
+
+
 def ood_scores(edges: DataFrame, k: int = 10, t: float = 1.0) -> DataFrame:
     """(id, score) by the mean distance to the first k neighbours, scaled by its median."""
     return outliers(edges.where(F.col("rank") <= k), t=t).select("id", "score")

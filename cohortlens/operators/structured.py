@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -230,10 +231,58 @@ def box_class_share(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.round(F.count(F.lit(1)) / F.lit(n + 1e-6), 2).alias("share"))
 
 
+IOU_STEPS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
+
+
+def box_hits(labels: DataFrame, predictions: DataFrame, thresholds=IOU_STEPS) -> DataFrame:
+    """(t, image_id, pred_id, box_id) of true positives: a prediction goes for the label of its class
+    that it overlaps most, and of the predictions that go for one label the most confident gets it."""
+    pairs = box_pairs(labels, predictions).where("label = pred_label")
+    best = pairs.groupBy("image_id", "pred_id").agg(F.max_by(F.struct("iou", "p", "box_id"), F.struct("iou", -F.col("box_id"))).alias("b")).select("image_id", "pred_id", "b.*")
+    at = best.select("*", F.explode(F.array(*[F.lit(x) for x in thresholds])).alias("t")).where(F.col("iou") >= F.col("t"))
+    return at.groupBy("t", "image_id", "box_id").agg(F.max_by("pred_id", F.struct("p", -F.col("pred_id"))).alias("pred_id"))
+
+
+def box_confusion(labels: DataFrame, predictions: DataFrame, thresholds=IOU_STEPS) -> DataFrame:
+    """(label, tp, fp, fn) of each class, summed over the thresholds, over thresholds x classes."""
+    k = len(thresholds)
+    n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    m = predictions.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    hit = box_hits(labels, predictions, thresholds).join(labels.select("image_id", "box_id", "label"), ["image_id", "box_id"]).groupBy("label").agg(F.count(F.lit(1)).alias("tp"))
+    j = n.join(m, "label", "full").join(hit, "label", "left").fillna(0, ["n", "m", "tp"])
+    size = F.lit(float(k)) * F.count(F.lit(1)).over(W.partitionBy())
+    return j.select("label", (F.col("tp") / size).alias("tp"), ((F.col("m") * k - F.col("tp")) / size).alias("fp"), ((F.col("n") * k - F.col("tp")) / size).alias("fn"))
+
+
+def box_class_metrics(labels: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(label, precision, recall, f1) over the thresholds 0.50 to 0.95."""
+    c = box_confusion(labels, predictions).select("label", (F.col("tp") / (F.col("tp") + F.col("fp") + 1e-100)).alias("precision"), (F.col("tp") / (F.col("tp") + F.col("fn") + 1e-100)).alias("recall"))
+    return c.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-100))
+
+
+def box_image_issues(labels: DataFrame, predictions: DataFrame, factor: float = 0.8, scale: float = 0.25) -> DataFrame:
+    """(image_id, is_label_issue): some box scores at most factor x scale x the mean average precision of its class."""
+    per = [average_precision(labels, predictions, t) for t in IOU_STEPS]
+    classes = sorted({c for x in per for c in x} | {r[0] for r in predictions.select("label").distinct().collect()})
+    limit = {c: factor * scale * sum(x.get(c, 0.0) for x in per) / len(per) for c in classes}
+    bound = F.element_at(F.create_map(*[F.lit(x) for c in classes for x in (c, limit[c])]), F.col("label")) if classes else F.lit(0.0)
+    pairs = box_pairs(labels, predictions)
+    least = min_similarity(pairs)
+    own, guessed = labels.select("image_id", "box_id", "label"), predictions.select("image_id", F.col("box_id").alias("pred_id"), "label")
+    bad = None
+    for scores, of, key in (
+        (overlooked_boxes(pairs, predictions, least), guessed, "pred_id"),
+        (badly_located_boxes(pairs, labels), own, "box_id"),
+        (swapped_boxes(pairs, labels, least), own, "box_id"),
+    ):
+        x = scores.join(of, ["image_id", key]).where(F.col("score") <= bound).select("image_id")
+        bad = x if bad is None else bad.unionByName(x)
+    images = labels.select("image_id").union(predictions.select("image_id")).distinct()
+    return images.join(bad.distinct().withColumn("hit", F.lit(True)), "image_id", "left").select("image_id", F.coalesce("hit", F.lit(False)).alias("is_label_issue"))
+
+
 def average_precision(labels: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> dict[int, float]:
     """Class -> area under the precision envelope.  One row a class comes to the driver."""
-    from pyspark.sql import Window as W
-
     pairs = box_pairs(labels, predictions).where("label = pred_label")
     best = pairs.withColumn("r", F.row_number().over(W.partitionBy("image_id", "pred_id").orderBy(F.desc("iou"), "box_id"))).where("r = 1")
     hit = best.where(F.col("iou") >= threshold).withColumn("r", F.row_number().over(W.partitionBy("image_id", "box_id").orderBy(F.desc("p"), "pred_id"))).where("r = 1")

@@ -260,7 +260,7 @@ def _(s, d):
     return audits.annotator_stats(v, audits.majority_vote(v, X.task_probs(s, d))).select("annotator_id", "n_labeled", _r("accuracy").alias("accuracy"), "worst_class")
 
 
-@_query("crowd_posterior")
+@_query("crowd_posterior", O.X2 + O.posterior(["tp"]) + "fin as (select task_id, k as consensus, round(q, 6) as consensus_quality from best where r = 1) select * from fin")
 def _(s, d):
     got = audits.crowd_posterior(X.crowd(s, d), X.task_probs(s, d), 3)
     return got.select("task_id", "consensus", _r("consensus_quality").alias("consensus_quality"))
@@ -401,7 +401,7 @@ def _(s, d):
     return s.createDataFrame([(float(c), round(f1, 6))], "cutoff double, f1 double")
 
 
-@_query("active_learning_scores")
+@_query("active_learning_scores", O.X2 + O.posterior(["tp"]) + "mn as (select avg(w) m from wa) select task_id, round((q * (ws + mw) + m / 3) / (ws + mw + m), 6) as score from best, mn where r = 1")
 def _(s, d):
     return audits.active_learning_scores(X.crowd(s, d), X.task_probs(s, d), 3).select("task_id", _r("score").alias("score"))
 
@@ -436,6 +436,111 @@ def _(s, d):
     return confident.recalibrated_probs(x, noise, inverse).select("id", _r(F.col("pred_probs")[0]).alias("p0"), _r(F.col("pred_probs")[4]).alias("p4"))
 
 
+@_query(
+    "crowd_posterior_ensemble",
+    O.X2.replace("fr as", O.PROBS.format("tq", 7907, 104723) + "mp as (select task_id, k, (tp.p + tq.p) / 2 p from tp join tq using (task_id, k)), fr as").replace("join tp on tp.task_id = vt.task_id and tp.k = vt.label", "join mp on mp.task_id = vt.task_id and mp.k = vt.label")
+    + O.posterior(["tp", "tq"]) + "fin as (select task_id, k as consensus, round(q, 6) as consensus_quality from best where r = 1) select * from fin",
+)
+def _(s, d):
+    return audits.crowd_posterior_ensemble(X.crowd(s, d), X.two_models(s, d), ["m_0", "m_1"], 3).select("task_id", "consensus", _r("consensus_quality").alias("consensus_quality"))
+
+
+@_query("active_learning_scores_ensemble")
+def _(s, d):
+    return audits.active_learning_scores_ensemble(X.crowd(s, d), X.two_models(s, d), ["m_0", "m_1"], 3).select("task_id", _r("score").alias("score"))
+
+
+@_query(
+    "non_iid_scores",
+    O.KNN + """n as (select count(*)::double n from embeddings),
+g as (select i, abs(i - j)::double x from e union all select vec_id, n - 1 from embeddings, n),
+l as (select i, x, row_number() over (partition by i order by x) - 1 as m, lag(x, 1, 0e0) over (partition by i order by x) x0, count(*) over (partition by i) - 1 as k, least(i, n - 1 - i) dd, n from g, n),
+b as (select *, case when x <= dd then x * x / (n - 1) when x <= n - 1 - dd then dd * dd / (n - 1) + (x + 3 * dd) * (x - dd) / (2 * (n - 1)) else dd * dd / (n - 1) + (2 * dd / (n - 1) + 1) * (n - 1 - 2 * dd) / 2 + x - (n - 1 - dd) end a from l),
+p as (select i, n, abs(m * (x - x0) / k - (a - lag(a, 1, 0e0) over (partition by i order by m))) v from b)
+select i as id, round((exp(-u) - exp(u)) / (exp(-u) + exp(u)) + 1, 6) as score from (select i, sum(v) / greatest(i, any_value(n) - i) u from p group by i)""",
+)
+def _(s, d):
+    v = _vectors(s, d)
+    return neighbors.order_scores(neighbors.knn_edges(v), v.count()).select("id", _r("score").alias("score"))
+
+
+@_query("non_iid_test")
+def _(s, d):
+    v = _vectors(s, d)
+    ks, p = neighbors.order_test(neighbors.knn_edges(v).persist(), v.count())
+    return s.createDataFrame([(round(ks, 6), round(p, 6))], "ks double, p_value double")
+
+
+@_query(
+    "density_clusters",
+    "with recursive " + O.KNN.removeprefix("with ") + """c as (select i, j from e where d <= 7e-1), co as (select i from c group by i having count(*) + 1 >= 3),
+reach(u, v) as (select i, i from co union select u, c.j from reach join co on co.i = reach.v join c on c.i = reach.v),
+lab as (select v, min(u) u from reach group by v) select vec_id as id, coalesce(u, -1)::bigint as cluster from embeddings left join lab on v = vec_id""",
+)
+def _(s, d):
+    v = _vectors(s, d)
+    return neighbors.density_clusters(neighbors.knn_edges(v).persist(), v, 0.7, 3)
+
+
+@_query(
+    "regression_outlying_scores",
+    """with r as (select c_custkey as id, c_acctbal / 1e3 as y, c_acctbal / 1e3 + ((c_custkey * 7919) % 201 - 100) / 1e2 + case when c_custkey % 50 = 0 then 5e0 else 0e0 end as prediction from customer),
+m as (select avg(y) my, stddev_pop(y) sy, avg(prediction - y) me, stddev_pop(prediction - y) se, count(*) n from r),
+p as (select id, (y - my) / sy a, 5 * (prediction - y - me) / se b from r, m),
+w as (select x.id, sqrt(pow(x.a - z.a, 2) + pow(x.b - z.b, 2)) d from p x, p z),
+k as (select *, row_number() over (partition by id order by d) rn from w), t as (select id, avg(d) d from k, m where rn <= ceil(n / 2e0) group by id),
+sc as (select median(d) s from t) select id, round(exp(-d / s), 6) as label_quality from t, sc""",
+)
+def _(s, d):
+    return audits.outlying_residual_scores(X.point_predictions(s, d)).select("id", _r("label_quality").alias("label_quality"))
+
+
+@_query(
+    "spurious_correlations",
+    """with b as (select o_orderkey as id, substr(o_orderpriority, 1, 1)::int - 1 as label, o_orderkey % 5 as fold, o_totalprice from orders),
+x as (select id, label, fold, 'darkness' as property, label * 3e0 + (id * 7919 % 101) / 1e2 as v from b union all select id, label, fold, 'blur', label + (id * 7907 % 401) / 1e2 from b union all select id, label, fold, 'odd_size', o_totalprice / 1e5 from b),
+f as (select distinct fold as f from b), st as (select property, f, label as c, avg(v) m, var_pop(v) s, count(*) n from x, f where fold <> f group by all),
+sp as (select property, var_pop(v) s from x group by 1),
+sc as (select x.property, x.fold, x.id, x.label, c, ln(n) - ln(st.s + 1e-9 * sp.s) / 2 - pow(v - m, 2) / (2 * (st.s + 1e-9 * sp.s)) l from x join st on st.property = x.property and st.f = x.fold join sp on sp.property = x.property),
+rk as (select *, row_number() over (partition by property, id order by l desc, c) r from sc),
+er as (select property, avg(e) e from (select property, fold, avg((c <> label)::int) e from rk where r = 1 group by all) group by 1),
+ba as (select 1 - (select label from b group by label order by count(*) desc, label limit 1) / count(*) as z from b) select property, round(least(e / z, 1), 6) as score from er, ba""",
+)
+def _(s, d):
+    return audits.spurious_correlations(X.row_properties(s, d), ["darkness", "blur", "odd_size"]).select("property", _r("score").alias("score"))
+
+
+_HITS = """bp as (select * from (select *, row_number() over (partition by image_id, pred_id order by iou desc, box_id) r from pairs where label = pred_label) where r = 1),
+ht as (select t, image_id, box_id, label from bp, (select 5e-1 + 5e-2 * unnest(range(10)) t) where iou >= round(t, 2) group by all),
+hc as (select label, count(*) tp from ht group by 1), nc as (select label, count(*) n from bx group by 1), mc as (select label, count(*) m from px group by 1),
+cm as (select coalesce(nc.label, mc.label) as label, coalesce(tp, 0) / (10e0 * z) tp, (10e0 * coalesce(m, 0) - coalesce(tp, 0)) / (10e0 * z) fp, (10e0 * coalesce(n, 0) - coalesce(tp, 0)) / (10e0 * z) fn
+  from nc full join mc on nc.label = mc.label left join hc on hc.label = coalesce(nc.label, mc.label), (select count(distinct label) z from (select label from bx union select label from px)))
+"""
+
+
+@_query("box_confusion", O.X6 + _HITS + "select label, round(tp, 6) as tp, round(fp, 6) as fp, round(fn, 6) as fn from cm")
+def _(s, d):
+    got = structured.box_confusion(X.boxes(s, d), X.predicted_boxes(s, d))
+    return got.select("label", *[_r(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+@_query("box_class_metrics", O.X6 + _HITS + "select label, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1 from cm")
+def _(s, d):
+    got = structured.box_class_metrics(X.boxes(s, d), X.predicted_boxes(s, d))
+    return got.select("label", *[_r(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@_query("box_image_issues")
+def _(s, d):
+    return structured.box_image_issues(X.boxes(s, d), X.predicted_boxes(s, d))
+
+
+@_query("neighbor_label_issues")
+def _(s, d):
+    v = _vectors(s, d)
+    return confident.find_label_issues(neighbors.label_issue_probs(neighbors.knn_edges(v).persist(), v, int(v.agg(F.max("label")).first()[0]) + 1))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -13,12 +13,14 @@ from ..operators import audits, confident, neighbors, structured
 REQUIREMENTS = {
     "classification": {
         "null": ("features",), "label": ("label", "pred_probs"), "outlier": ("features",), "near_duplicate": ("features",), "non_iid": ("features",),
-        "class_imbalance": ("label",), "underperforming_group": ("label", "pred_probs", "cluster"), "data_valuation": ("label", "features"),
+        "class_imbalance": ("label",), "underperforming_group": ("label", "pred_probs"), "data_valuation": ("label", "features"),
     },
     "regression": {"null": ("features",), "label": ("y", "prediction"), "outlier": ("features",), "near_duplicate": ("features",), "non_iid": ("features",)},
     "multilabel": {"null": ("features",), "label": ("bits", "probs"), "outlier": ("features",), "near_duplicate": ("features",), "non_iid": ("features",)},
 }
-NOT_DEFAULT = {"data_valuation", "underperforming_group"}
+#: Audits that can do with other inputs, in order of preference.
+ALTERNATIVES = {"label": [("label", "features")], "outlier": [("label", "pred_probs")], "non_iid": [("pred_probs",)]}
+NOT_DEFAULT = {"data_valuation"}
 _CUSTOM: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -47,20 +49,27 @@ class Lab:
         self.data, self.task, self.k = data, task, k
         self.issues = data.select("id")
         self.summary: dict[str, tuple[float, int]] = {}
+        self.scores: dict[str, float] = {}
         self.failed: dict[str, str] = {}
         self._edges: DataFrame | None = None
 
     def available(self) -> list[str]:
         cols = set(self.data.columns)
-        return [n for n, needs in REQUIREMENTS[self.task].items() if cols.issuperset(needs)] + [n for t, n in _CUSTOM if t == self.task]
+        ways = lambda n, needs: [needs, *(ALTERNATIVES.get(n, []) if self.task == "classification" else [])]
+        found = [n for n, needs in REQUIREMENTS[self.task].items() if any(cols.issuperset(w) for w in ways(n, needs))]
+        if not cols & {"cluster", "features"}:
+            found = [n for n in found if n != "underperforming_group"]
+        return found + [n for t, n in _CUSTOM if t == self.task]
 
     def edges(self) -> DataFrame:
         """The neighbour table, made once and shared by the audits."""
         if self._edges is None:
-            self._edges = neighbors.knn_edges(self.data.select("id", "features"), self.k).persist()
+            source = "features" if "features" in self.data.columns else "pred_probs"
+            self._edges = neighbors.knn_edges(self.data.select("id", F.col(source).alias("features")), self.k).persist()
         return self._edges
 
     def _run(self, name: str, **kw) -> DataFrame:
+        """(id, score, is_<name>_issue); a summary score other than the mean is left in self.scores."""
         d = self.data
         if (self.task, name) in _CUSTOM:
             return _CUSTOM[self.task, name](d, **kw)
@@ -70,27 +79,48 @@ class Lab:
             if self.task == "multilabel":
                 n = d.agg(F.max(F.size("bits"))).first()[0]
                 return structured.multilabel_issues(d, n, **kw).join(structured.multilabel_quality(d).withColumnRenamed("label_quality", "score"), "id")
-            p = d.select("id", "label", "pred_probs")
+            if "pred_probs" in d.columns:
+                p = d.select("id", "label", "pred_probs")
+            else:
+                p = neighbors.label_issue_probs(self.edges(), d.select("id", "label"), int(d.agg(F.max("label")).first()[0]) + 1)
+            self.scores[name] = confident.health_score(p)
             return confident.find_label_issues(p, **({"min_examples_per_class": 10} | kw)).join(confident.label_quality(p).withColumnRenamed("label_quality", "score"), "id")
         if name == "null":
             size = d.agg(F.max(F.size("features"))).first()[0] or 1
             full = F.size(F.filter("features", lambda x: x.isNotNull()))
             return d.select("id", F.coalesce(full / F.lit(float(size)), F.lit(0.0)).alias("score"), F.coalesce(full == 0, F.lit(True)).alias("is_null_issue"))
+        if name == "outlier" and "features" not in d.columns:
+            s = confident.ood_from_probs(d.select("id", "label", "pred_probs")).persist()
+            limit = kw.get("threshold", 0.13) * s.agg(F.median("score")).first()[0]
+            return s.withColumn("is_outlier_issue", F.col("score") < F.lit(limit))
         if name == "outlier":
             return neighbors.outliers(self.edges(), **kw)
         if name == "near_duplicate":
             return neighbors.near_duplicates(self.edges(), **kw)
         if name == "class_imbalance":
-            return audits.class_imbalance(d.select("id", "label"), **kw)
+            got = audits.class_imbalance(d.select("id", "label"), **kw)
+            rarest = d.groupBy("label").count().agg(F.min("count") / F.sum("count")).first()[0]
+            self.scores[name] = rarest if rarest is not None else 1.0
+            return got
         if name == "data_valuation":
             return neighbors.data_value(self.edges(), d.select("id", "label"), self.k, **kw)
         if name == "underperforming_group":
-            worst = audits.underperforming_group(d, **kw)
-            j = d.select("id", "cluster").join(worst, "cluster", "left")
-            return j.select("id", F.when(F.coalesce("is_worst_issue", F.lit(False)), F.col("ratio")).otherwise(1.0).alias("score"), F.coalesce("is_worst_issue", F.lit(False)).alias("is_underperforming_group_issue"))
+            if "cluster" not in d.columns:
+                d = d.join(neighbors.density_clusters(self.edges(), d.select("id"), **kw.pop("clustering", {})), "id")
+            worst = audits.underperforming_group(d, **kw).persist()
+            lowest = worst.agg(F.min("ratio")).first()[0]
+            if lowest is None:
+                raise ValueError("no group has enough rows")
+            self.scores[name] = lowest
+            hit = F.coalesce("is_worst_issue", F.lit(False))
+            return d.select("id", "cluster").join(worst, "cluster", "left").select("id", F.coalesce("ratio", F.lit(1.0)).alias("score"), hit.alias("is_underperforming_group_issue"))
         if name == "non_iid":
-            ks = neighbors.order_effect(self.edges(), d.count())
-            return d.select("id").crossJoin(F.broadcast(ks)).select("id", (1 - F.col("ks")).alias("score"), F.lit(False).alias("is_non_iid_issue"))
+            n = d.count()
+            _, p = neighbors.order_test(self.edges(), n)
+            got = neighbors.order_scores(self.edges(), n).persist()
+            worst = got.orderBy("score", "id").first() if p < kw.get("significance", 0.05) else None
+            self.scores[name] = p
+            return got.withColumn("is_non_iid_issue", F.col("id") == F.lit(worst["id"]) if worst else F.lit(False))
         raise ValueError(f"unknown audit {name!r}")
 
     def find_issues(self, issue_types: dict[str, dict] | None = None) -> Lab:
@@ -102,7 +132,7 @@ class Lab:
                 flag = f"is_{name}_issue"
                 got = got.withColumnsRenamed({"is_label_issue": flag}).select("id", F.col(flag), F.col("score").alias(f"{name}_score")).persist()
                 mean, n = got.agg(F.avg(f"{name}_score"), F.count_if(flag)).first()
-                self.summary[name] = (mean if mean is not None else 1.0, n)
+                self.summary[name] = (self.scores.pop(name, mean if mean is not None else 1.0), n)
                 old = [c for c in (flag, f"{name}_score") if c in self.issues.columns]
                 self.issues = self.issues.drop(*old).join(got, "id", "left")
             except Exception as e:  # noqa: BLE001

@@ -47,7 +47,7 @@ r as (select *, row_number() over (partition by i order by d, j) rank from w), e
 
 X2 = """with votes as (select distinct l_partkey as task_id, l_suppkey % 20 as annotator_id,
   (case when (l_partkey * 31 + (l_suppkey % 20) * 17) % 10 < (l_suppkey % 20) % 5 then (l_partkey + 1 + ((l_partkey + l_suppkey % 20) % 2)) % 3 else l_partkey % 3 end)::int as label
-  from lineitem where l_quantity <= 12),
+  from lineitem),
 tpr as (select p_partkey as task_id, k, ((p_partkey * 7919 + k * 104729) % 997) + 1 + case when k = (case when p_partkey % 9 = 0 then p_partkey + 1 else p_partkey end) % 3 then 700 else 0 end as raw
   from part, (select unnest(range(3))::int k)),
 tp as (select task_id, k, raw::double / sum(raw) over (partition by task_id) p from tpr),
@@ -88,11 +88,11 @@ X5 = "select o_orderkey as id, o_totalprice / 1e5 as y, o_totalprice / 1e5 * (1e
 
 X6 = """with bx as (select o_orderkey as image_id, b as box_id, cast((o_orderkey * 37 + b * 61) % 200 as double) as x1, cast((o_orderkey * 53 + b * 29) % 200 as double) as y1,
   cast((o_orderkey * 37 + b * 61) % 200 + 20 + (o_orderkey * 7 + b * 13) % 60 as double) as x2, cast((o_orderkey * 53 + b * 29) % 200 + 20 + (o_orderkey * 5 + b * 19) % 60 as double) as y2, ((o_orderkey + b) % 4)::int as label
-  from orders, (select unnest(range(4))::int b) where o_orderkey < 300),
+  from orders, (select unnest(range(4))::int b)),
 px as (select image_id, box_id, x1 + (image_id + box_id) % 5 as x1, y1 + (image_id + 2 * box_id) % 4 as y1, x2 + (image_id + box_id) % 5 as x2, y2 + (image_id + 2 * box_id) % 4 as y2,
   (case when (image_id * 3 + box_id) % 10 = 0 then (label + 1) % 4 else label end)::int as label,
   case when (image_id * 3 + box_id) % 10 = 0 then 97e-2 else 6e-1 + ((image_id * 11 + box_id * 7) % 40) / 1e2 end as p from bx where (image_id + box_id) % 9 <> 0
-  union all select o_orderkey, 99, 4e2, 4e2, 44e1, 44e1, (o_orderkey % 4)::int, 97e-2 from orders where o_orderkey < 300 and o_orderkey % 6 = 0),
+  union all select o_orderkey, 99, 4e2, 4e2, 44e1, 44e1, (o_orderkey % 4)::int, 97e-2 from orders where o_orderkey % 6 = 0),
 pr as (select l.image_id, l.box_id, l.label, p.box_id as pred_id, p.label as pred_label, p.p,
   greatest(least(l.x2, p.x2) - greatest(l.x1, p.x1), 0) * greatest(least(l.y2, p.y2) - greatest(l.y1, p.y1), 0) i,
   (l.x2 - l.x1) * (l.y2 - l.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) s, sqrt(pow((l.x1 + l.x2 - p.x1 - p.x2) / 2, 2) + pow((l.y1 + l.y2 - p.y1 - p.y2) / 2, 2)) d
@@ -104,3 +104,31 @@ X7 = "select c_custkey as id, case when c_custkey % 7 = 0 then null else c_acctb
 
 X8 = "select n_nationkey as image_id, y, x, case when (y < 8) = (n_nationkey % 8 <> 3) then 1 else 0 end as label, (cast((n_nationkey * 7919 + y * 104729 + x * 1299709) % 97 as double) + 1 + case when y < 8 then 150 else 20 end) / 300 as p1 from nation, (select unnest(range(16))::int y), (select unnest(range(16))::int x)"
 
+
+PROBS = """{0}r as (select p_partkey as task_id, k, ((p_partkey * {1} + k * {2}) % 997) + 1 + case when k = (case when p_partkey % 9 = 0 then p_partkey + 1 else p_partkey end) % 3 then 700 else 0 end as raw
+  from part, (select unnest(range(3))::int k)),
+{0} as (select task_id, k, raw::double / sum(raw) over (partition by task_id) p from {0}r),
+"""
+
+
+def posterior(models: list[str]) -> str:
+    """Consensus weights and the posterior after X2, for the tables (task_id, k, p) of some models."""
+    each = "".join(
+        f"am{i} as (select task_id, k from (select *, row_number() over (partition by task_id order by p desc, k) r from {m}) where r = 1),\n"
+        f"w{i} as (select greatest(1 - avg((k <> consensus)::int) / any_value(b), 1e-6) * any_value(root) as mw from cons join multi using (task_id) join am{i} using (task_id), be, sz),\n"
+        for i, m in enumerate(models)
+    )
+    total = " + ".join(f"(select mw from w{i})" for i in range(len(models)))
+    mixed = " + ".join(f"(select mw from w{i}) * m{i}.p" for i in range(len(models)))
+    joined = " ".join(f"join {m} m{i} on m{i}.task_id = g.task_id and m{i}.k = g.k" for i, m in enumerate(models))
+    return f"""multi as (select task_id from votes group by 1 having count(*) > 1),
+sz as (select sqrt(avg(n)) root from (select count(*) n from votes group by task_id)),
+cs as (select avg(a) agree from (select task_id, avg((label = consensus)::int) a from votes join cons using (task_id) group by 1) join multi using (task_id)),
+tc as (select consensus from cons join multi using (task_id) group by 1 order by count(*) desc, 1 limit 1),
+be as (select greatest(avg((consensus <> (select consensus from tc))::int), 1e-6) b from cons join multi using (task_id)),
+pa as (select a.annotator_id, avg((a.label = b.label)::int) g from votes a join votes b on a.task_id = b.task_id and a.annotator_id <> b.annotator_id group by 1),
+wa as (select annotator_id, greatest(1 - (1 - g) / b, 1e-6) w from pa, be),
+{each}g as (select task_id, k, sum(w) ws, sum(w * case when label = k then agree else (1 - agree) / 2 end) s from votes join wa using (annotator_id), cs, (select unnest(range(3))::int k) group by 1, 2),
+po as (select g.task_id, g.k, ws, ({mixed} + s) / ({total} + ws) q from g {joined}),
+best as (select po.task_id, po.k, q, ws, {total} as mw, row_number() over (partition by po.task_id order by q desc, (po.k = consensus) desc, po.k) r from po join cons using (task_id)),
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import arrays as A
 from cohortlens.functions import cells
-from cohortlens.operators import audits, confident, neighbors, structured
+from cohortlens.operators import audits, confident, contracts, neighbors, structured
 from cohortlens.operators.training import CleanLearning, folds, out_of_fold_predictions
 from cohortlens.plans import lab
 from cohortlens.sources import dataset
@@ -157,9 +157,9 @@ def test_lab(spark, tmp_path):
         return d.select("id", F.lit(0.5).alias("score"), (F.col("id") % 2 == 1).alias("is_odd_id_issue"))
 
     one = lab.Lab(df.join(vec, "id")).find_issues()
-    assert set(one.summary) == {"null", "label", "outlier", "near_duplicate", "non_iid", "class_imbalance", "odd_id"} and not one.failed
+    assert set(one.summary) == {"null", "label", "outlier", "near_duplicate", "non_iid", "class_imbalance", "underperforming_group", "odd_id"} and not one.failed
     assert one.summary["odd_id"] == (0.5, 100) and one.get_issues("label").columns == ["id", "is_label_issue", "label_score"]
-    assert "label" in one.report() and 0 <= one.health_score() <= 1 and one.get_issue_summary().count() == 7
+    assert "label" in one.report() and 0 <= one.health_score() <= 1 and one.get_issue_summary().count() == 8
     assert lab.Lab(df).find_issues({"outlier": {}}).failed
     dataset.save(str(tmp_path / "a"), one.issues, one.get_issue_summary(), {"task": "classification"}, df)
     issues, summary, info = dataset.restore(spark, str(tmp_path / "a"), df)
@@ -183,3 +183,84 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_contracts(spark):
+    ok = spark.createDataFrame([(0, 0, [0.6, 0.4]), (1, 1, [0.1, 0.9])], "id long, label int, pred_probs array<double>")
+    assert contracts.class_probabilities(ok, 2) is ok
+    for row in ((2, 2, [0.5, 0.5]), (2, 0, [0.5, 0.2]), (2, 0, [1.5, -0.5]), (2, 0, None), (2, None, [0.5, 0.5]), (2, 0, [0.5, None])):
+        with pytest.raises(ValueError, match="rows by reason"):
+            contracts.class_probabilities(ok.union(spark.createDataFrame([row], ok.schema)), 2)
+    votes = "task_id long, annotator_id long, label int"
+    contracts.crowd(spark.createDataFrame([(1, 1, 0), (1, 2, 0)], votes))
+    assert contracts.some_agreement(spark.createDataFrame([(1, 1, 0), (1, 2, 0)], votes))
+    for rows in ([(1, 1, 0), (2, 1, 0)], [(1, 1, 0), (2, 2, 0)], [(1, 1, 0), (1, 1, 1), (1, 2, 0)], [(1, 1, -1), (1, 2, 0)]):
+        with pytest.raises(ValueError):
+            contracts.crowd(spark.createDataFrame(rows, votes))
+    with pytest.raises(ValueError):
+        contracts.aggregation_weights(0.5, 0.6, -0.1)
+    with pytest.raises(ValueError):
+        contracts.class_labels(spark.createDataFrame([(0,), (2,)], "label int"), allow_missing=False)
+    with pytest.raises(ValueError):
+        contracts.regression(spark.createDataFrame([(1.0, float("nan"))], "y double, prediction double"))
+
+
+def test_order_test_tells_sorted_from_shuffled(spark):
+    r = np.random.default_rng(1)
+    n = 300
+    x = r.normal(size=(n, 5))
+    drift = x + np.arange(n)[:, None] / 10
+    frame = lambda m: spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(m)], "id long, features array<double>")
+    found = {}
+    for name, m in (("shuffled", x), ("sorted", drift)):
+        e = neighbors.knn_edges(frame(m), 10, "euclidean").persist()
+        found[name] = neighbors.order_test(e, n)
+        # The plain statistic: positions in the sorted distances against the share of pairs up to each.
+        d = np.sort(np.array([abs(a.i - a.j) for a in e.collect()]))
+        background = np.cumsum((n - np.arange(1, n)) / (n * (n - 1) / 2))
+        assert found[name][0] == pytest.approx(np.abs(np.arange(len(d)) / len(d) - background[d - 1]).max(), abs=1e-9)
+    assert found["sorted"][1] < 0.01 < 0.05 < found["shuffled"][1]
+    assert neighbors.order_test(e.limit(0), 0) == (0.0, 1.0)
+
+
+def test_density_clusters_of_two_chains_and_noise(spark):
+    rows = [(i, [float(i), 0.0]) for i in range(40)] + [(100 + i, [float(i), 50.0]) for i in range(30)] + [(500, [500.0, 500.0])]
+    v = spark.createDataFrame(rows, "id long, features array<double>")
+    got = {r.id: r.cluster for r in neighbors.density_clusters(neighbors.knn_edges(v, 4), v, 1.5, 3).collect()}
+    assert {got[i] for i in range(40)} == {min(got[i] for i in range(40))} and got[500] == -1
+    assert {got[100 + i] for i in range(30)} == {min(got[100 + i] for i in range(30))} and got[0] != got[100]
+
+
+def test_cells_stand_for_points(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    y = r.normal(size=3000)
+    e = r.normal(size=3000) * 0.1
+    e[:30] += 5
+    df = spark.createDataFrame([(i, float(a), float(a + b)) for i, (a, b) in enumerate(zip(y, e, strict=True))], "id long, y double, prediction double")
+    scores = lambda: np.array([x.label_quality for x in audits.outlying_residual_scores(df).orderBy("id").collect()])
+    exact = scores()
+    assert set(np.argsort(exact)[:30]) == set(range(30))
+    monkeypatch.setattr(audits, "EXACT_ROWS", 100)
+    assert np.abs(scores() - exact).max() < 0.01
+    assert audits.outlying_residual_scores(df.limit(0)).count() == 0
+
+
+def test_lab_with_other_inputs(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(240):
+        c = i % 2
+        p = 0.9 if i >= 24 else 0.02
+        rows.append((i, c, [p, 1 - p] if c == 0 else [1 - p, p], [float(v) for v in r.normal(size=2) * 0.1 + (50 if i < 24 else 5 * c)]))
+    df = spark.createDataFrame(rows, "id long, label int, pred_probs array<double>, features array<double>")
+    one = lab.Lab(df).find_issues({"underperforming_group": {"clustering": {"eps": 1.0}}, "non_iid": {}})
+    assert not one.failed
+    worst = {x.id for x in one.get_issues("underperforming_group").where("is_underperforming_group_issue").collect()}
+    assert worst and worst <= set(range(24)) and one.summary["underperforming_group"][0] < 0.1
+    assert one.summary["non_iid"][1] == (1 if one.summary["non_iid"][0] < 0.05 else 0)
+    only = lab.Lab(df.drop("pred_probs"))
+    assert "label" in only.available() and "underperforming_group" not in only.available()
+    assert not only.find_issues({"label": {}}).failed
+    probs = lab.Lab(df.drop("features"))
+    assert {"label", "outlier", "non_iid"} <= set(probs.available())
+    assert not probs.find_issues({"outlier": {}}).failed
