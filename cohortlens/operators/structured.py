@@ -262,10 +262,7 @@ def box_class_metrics(labels: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def box_image_issues(labels: DataFrame, predictions: DataFrame, factor: float = 0.8, scale: float = 0.25) -> DataFrame:
     """(image_id, is_label_issue): some box scores at most factor x scale x the mean average precision of its class."""
-    per = [average_precision(labels, predictions, t) for t in IOU_STEPS]
-    classes = sorted({c for x in per for c in x} | {r[0] for r in predictions.select("label").distinct().collect()})
-    limit = {c: factor * scale * sum(x.get(c, 0.0) for x in per) / len(per) for c in classes}
-    bound = F.element_at(F.create_map(*[F.lit(x) for c in classes for x in (c, limit[c])]), F.col("label")) if classes else F.lit(0.0)
+    limits = average_precisions(labels, predictions).groupBy("label").agg((F.lit(factor * scale) * F.avg("ap")).alias("bound"))
     pairs = box_pairs(labels, predictions)
     least = min_similarity(pairs)
     own, guessed = labels.select("image_id", "box_id", "label"), predictions.select("image_id", F.col("box_id").alias("pred_id"), "label")
@@ -275,21 +272,38 @@ def box_image_issues(labels: DataFrame, predictions: DataFrame, factor: float =
         (badly_located_boxes(pairs, labels), own, "box_id"),
         (swapped_boxes(pairs, labels, least), own, "box_id"),
     ):
-        x = scores.join(of, ["image_id", key]).where(F.col("score") <= bound).select("image_id")
+        x = scores.join(of, ["image_id", key]).join(limits, "label", "left").where(F.col("score") <= F.coalesce("bound", F.lit(0.0))).select("image_id")
         bad = x if bad is None else bad.unionByName(x)
     images = labels.select("image_id").union(predictions.select("image_id")).distinct()
     return images.join(bad.distinct().withColumn("hit", F.lit(True)), "image_id", "left").select("image_id", F.coalesce("hit", F.lit(False)).alias("is_label_issue"))
 
 
+def _numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with its row number within keys: counted inside the buckets `b` of a class and shifted by the buckets before."""
+    totals = df.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("__n"))
+    starts = totals.select(*keys, "b", (F.sum("__n").over(W.partitionBy(*keys).orderBy("b")) - F.col("__n")).alias("__s"))
+    inside = F.row_number().over(W.partitionBy(*keys, "b").orderBy(*order))
+    return df.join(starts, [*keys, "b"]).withColumn(name, inside + F.col("__s")).drop("__s")
+
+
+def average_precisions(labels: DataFrame, predictions: DataFrame, thresholds=IOU_STEPS, buckets: int = 1000) -> DataFrame:
+    """(t, label, ap): area under the precision envelope of each labelled class at each overlap threshold.
+
+    Ranks and running maxima are taken inside buckets of the confidence and joined up by the
+    buckets' totals, so a class with a large share of the boxes is no single task.
+    """
+    b = F.least(F.greatest(F.floor((1 - F.col("p")) * buckets), F.lit(0)), F.lit(buckets)).cast("int")
+    ranked = _numbered(predictions.select("image_id", F.col("box_id").alias("pred_id"), "label", "p", b.alias("b")), ["label"], [F.desc("p"), F.asc("image_id"), F.asc("pred_id")], "k")
+    hits = box_hits(labels, predictions, thresholds).select("t", "image_id", "pred_id").join(ranked.select("image_id", "pred_id", "label", "b", "k"), ["image_id", "pred_id"])
+    hits = _numbered(hits, ["t", "label"], [F.asc("k")], "c").select("t", "label", "b", "k", (F.col("c") / F.col("k")).alias("prec"))
+    after = W.partitionBy("t", "label").orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1)
+    later = hits.groupBy("t", "label", "b").agg(F.max("prec").alias("top")).select("t", "label", "b", F.max("top").over(after).alias("later"))
+    here = F.max("prec").over(W.partitionBy("t", "label", "b").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0))
+    area = hits.join(later, ["t", "label", "b"]).withColumn("env", F.greatest(here, "later")).groupBy("t", "label").agg(F.sum("env").alias("s"))
+    n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", "n", F.explode(F.array(*[F.lit(x) for x in thresholds])).alias("t"))
+    return n.join(area, ["t", "label"], "left").select("t", "label", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("ap"))
+
+
 def average_precision(labels: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> dict[int, float]:
     """Class -> area under the precision envelope.  One row a class comes to the driver."""
-    pairs = box_pairs(labels, predictions).where("label = pred_label")
-    best = pairs.withColumn("r", F.row_number().over(W.partitionBy("image_id", "pred_id").orderBy(F.desc("iou"), "box_id"))).where("r = 1")
-    hit = best.where(F.col("iou") >= threshold).withColumn("r", F.row_number().over(W.partitionBy("image_id", "box_id").orderBy(F.desc("p"), "pred_id"))).where("r = 1")
-    marked = predictions.select("image_id", F.col("box_id").alias("pred_id"), "label", "p").join(hit.select("image_id", "pred_id", F.lit(1).alias("tp")), ["image_id", "pred_id"], "left").fillna({"tp": 0})
-    w = W.partitionBy("label").orderBy(F.desc("p"), "image_id", "pred_id")
-    n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    run = marked.select("label", "p", "image_id", "pred_id", "tp", F.sum("tp").over(w).alias("c"), F.row_number().over(w).alias("k"))
-    env = run.withColumn("prec", F.max(F.col("c") / F.col("k")).over(w.rowsBetween(0, W.unboundedFollowing)))
-    ap = env.where("tp = 1").groupBy("label").agg(F.sum("prec").alias("s"))
-    return {r["label"]: float((r["s"] or 0) / r["n"]) for r in n.join(ap, "label", "left").collect()}
+    return {r["label"]: r["ap"] for r in average_precisions(labels, predictions, (threshold,)).collect()}

@@ -359,12 +359,6 @@ def _(s, d):
     return got.select("image_id", *[_r(c).alias(c) for c in ("overlooked", "badloc", "swap", "label_quality")])
 
 
-@_query("box_average_precision")
-def _(s, d):
-    ap = structured.average_precision(X.boxes(s, d), X.predicted_boxes(s, d))
-    return s.createDataFrame([(int(k), round(v, 6)) for k, v in sorted(ap.items())], "label int, ap double")
-
-
 @_query("box_areas", O.X6 + "select label, count(*)::bigint as n, round(avg((x2 - x1) * (y2 - y1)), 6) as avg_area, min((x2 - x1) * (y2 - y1)) as min_area, max((x2 - x1) * (y2 - y1)) as max_area from bx group by 1")
 def _(s, d):
     return structured.box_areas(X.boxes(s, d)).withColumn("avg_area", _r("avg_area"))
@@ -406,7 +400,7 @@ def _(s, d):
     return audits.active_learning_scores(X.crowd(s, d), X.task_probs(s, d), 3).select("task_id", _r("score").alias("score"))
 
 
-@_query("annotation_quality")
+@_query("annotation_quality", O.X2 + O.posterior(["tp"]) + "fin as (select votes.task_id, annotator_id, round(q, 6) as label_quality from votes join po on po.task_id = votes.task_id and po.k = votes.label) select * from fin")
 def _(s, d):
     v, p = X.crowd(s, d), X.task_probs(s, d)
     return audits.annotation_quality(v, audits.crowd_posterior(v, p, 3)).select("task_id", "annotator_id", _r("label_quality").alias("label_quality"))
@@ -530,7 +524,28 @@ def _(s, d):
     return got.select("label", *[_r(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@_query("box_image_issues")
+_AP = """bp as (select * from (select *, row_number() over (partition by image_id, pred_id order by iou desc, box_id) r from pairs where label = pred_label) where r = 1),
+th as (select round(5e-1 + 5e-2 * unnest(range(10)), 2) t),
+wn as (select *, row_number() over (partition by t, image_id, box_id order by p desc, pred_id) w from bp, th where iou >= t),
+rk as (select image_id, box_id as pred_id, label, row_number() over (partition by label order by p desc, image_id, box_id) k from px),
+tp as (select t, rk.label, k, row_number() over (partition by t, rk.label order by k) c from wn join rk on rk.image_id = wn.image_id and rk.pred_id = wn.pred_id where w = 1),
+en as (select t, label, max(c / k) over (partition by t, label order by k desc rows unbounded preceding) e from tp),
+ap as (select th.t, n.label, coalesce(s, 0) / n ap from (select label, count(*) n from bx group by 1) n cross join th left join (select t, label, sum(e) s from en group by all) a on a.t = th.t and a.label = n.label)
+"""
+
+
+@_query("box_average_precision", O.X6 + _AP + "select t, label, round(ap, 6) as ap from ap")
+def _(s, d):
+    return structured.average_precisions(X.boxes(s, d), X.predicted_boxes(s, d)).select("t", "label", _r("ap").alias("ap"))
+
+
+@_query(
+    "box_image_issues",
+    f"with bl as ({_SQL['box_badloc']}), sw as ({_SQL['box_swap']}), ol as ({_SQL['box_overlooked']}), lb as ({O.X6} x as (select 1) select image_id, box_id, label from bx), pb as ({O.X6} x as (select 1) select image_id, box_id as pred_id, label from px), "
+    f"bd as (select label, 2e-1 * avg(ap) z from ({O.X6 + _AP} select * from ap) group by 1), hit as (select image_id from bl join lb using (image_id, box_id) join bd using (label) where score <= z union select image_id from sw join lb using (image_id, box_id) join bd using (label) where score <= z "
+    "union select image_id from ol join pb using (image_id, pred_id) left join bd using (label) where score <= coalesce(z, 0)) "
+    "select i.image_id, hit.image_id is not null as is_label_issue from (select image_id from lb union select image_id from pb) i left join hit on hit.image_id = i.image_id",
+)
 def _(s, d):
     return structured.box_image_issues(X.boxes(s, d), X.predicted_boxes(s, d))
 
