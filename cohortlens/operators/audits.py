@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.session import ship_package
+from ..functions.session import shared_folder, ship_package
 from . import confident as C
 
 
@@ -153,20 +155,6 @@ def annotation_quality(votes: DataFrame, posterior: DataFrame) -> DataFrame:
     return votes.join(posterior, "task_id").select("task_id", "annotator_id", A.own_prob(F.col("posterior"), F.col("label")).alias("label_quality"))
 
 
-def active_learning_scores(votes: DataFrame, probs: DataFrame, n_classes: int) -> DataFrame:
-    """(task_id, score) of every task with probabilities, low where another label helps most.
-
-    The certainty of a task is drawn towards 1 / K by the weight of one more mean annotator.
-    """
-    weights = crowd_weights(votes, probs, majority_vote(votes, probs))
-    w, mw, _ = weights
-    mean_w = w.agg(F.avg("w")).first()[0] or 1.0
-    own = votes.join(w, "annotator_id").groupBy("task_id").agg(F.sum("w").alias("ws"))
-    j = probs.join(own, "task_id", "left").join(crowd_posterior(votes, probs, n_classes, weights).select("task_id", "consensus_quality"), "task_id", "left")
-    sure, weight = F.coalesce("consensus_quality", F.array_max("pred_probs")), F.coalesce("ws", F.lit(0.0)) + mw
-    return j.select("task_id", ((sure * weight + F.lit(mean_w / n_classes)) / (weight + mean_w)).alias("score"))
-
-
 # Several models: probs has (task_id, m_0, m_1, ...), one probability array a model
 
 
@@ -193,33 +181,109 @@ def blended(columns: list[str], weights: list[float]):
     return F.transform(total, lambda x: x / F.lit(sum(weights)))
 
 
-def crowd_posterior_ensemble(votes: DataFrame, probs: DataFrame, columns: list[str], n_classes: int, weights=None) -> DataFrame:
+def crowd_posterior_ensemble(votes: DataFrame, probs: DataFrame, columns: list[str], n_classes: int, majority: DataFrame | None = None) -> DataFrame:
     """As crowd_posterior for several models: ties by their mean, each with a weight of its own in the posterior."""
-    majority = majority_vote(votes, probs.select("task_id", mean_probs(columns).alias("pred_probs")))
-    w, models, agree = weights or ensemble_weights(votes, probs, columns, majority)
+    if majority is None:
+        majority = majority_vote(votes, probs.select("task_id", mean_probs(columns).alias("pred_probs")))
+    w, models, agree = ensemble_weights(votes, probs, columns, majority)
     one = probs.select("task_id", blended(columns, models).alias("pred_probs"))
     return crowd_posterior(votes, one, n_classes, (w, sum(models), agree), majority)
 
 
+@dataclass
+class Crowd:
+    """What crowd_labels finds: per task, and what it weighs annotators and models by."""
+
+    labels: DataFrame
+    posterior: DataFrame
+    weights: DataFrame
+    models: list[float]
+
+
+def crowd_labels(votes: DataFrame, probs: DataFrame, n_classes: int, columns: tuple[str, ...] = ("pred_probs",), consensus: str = "best_quality", quality: str = "crowdlab") -> Crowd:
+    """Consensus labels (task_id, consensus, consensus_quality, agreement, n_annotations) from annotators and models.
+
+    The majority gives first weights and a first posterior; its best class is the consensus
+    ("best_quality"; "majority_vote" keeps the majority), from which weights, posterior and
+    quality are taken anew.  Quality "agreement" uses the shares of votes and no model weights.
+    """
+    if consensus not in ("best_quality", "majority_vote") or quality not in ("crowdlab", "agreement"):
+        raise ValueError(f"unknown method {consensus!r} or {quality!r}")
+    columns = list(columns)
+    spark = votes.sparkSession
+    shared_folder(spark)
+    chosen = majority_vote(votes, probs.select("task_id", mean_probs(columns).alias("pred_probs"))).checkpoint()
+    if quality == "agreement":
+        n = votes.groupBy("task_id").agg(F.array(*[F.count_if(F.col("label") == c) / F.count(F.lit(1)) for c in range(n_classes)]).alias("posterior"))
+        post, w, models = n, votes.select("annotator_id").distinct().withColumn("w", F.lit(1.0)), [0.0] * len(columns)
+    else:
+        if consensus == "best_quality":
+            chosen = crowd_posterior_ensemble(votes, probs, columns, n_classes, chosen).select("task_id", "consensus").checkpoint()
+        w, models, agree = ensemble_weights(votes, probs, columns, chosen)
+        one = probs.select("task_id", blended(columns, models).alias("pred_probs"))
+        post = crowd_posterior(votes, one, n_classes, (w, sum(models), agree), chosen).select("task_id", "posterior")
+    found = post.join(chosen, "task_id").join(agreement_with_consensus(votes, chosen), "task_id")
+    score = F.col("agreement") if quality == "agreement" else A.own_prob(F.col("posterior"), F.col("consensus"))
+    labels = found.select("task_id", "consensus", score.alias("consensus_quality"), "agreement", "n_annotations")
+    return Crowd(labels, post, w, models)
+
+
+def annotator_quality(votes: DataFrame, crowd: Crowd) -> DataFrame:
+    """(annotator_id, annotator_quality, agreement_with_consensus, worst_class, n_labeled).
+
+    Quality is the mean quality of the annotator's labels and the agreement with the consensus on
+    tasks of several labels, weighed by the models' weight against the annotators' on a mean task.
+    Equal worst classes: the one labelled most, then of the best mean consensus quality, then the first.
+    """
+    n, tasks = votes.count(), votes.select("task_id").distinct().count()
+    total, people = crowd.weights.agg(F.sum("w"), F.count(F.lit(1))).first()
+    share = sum(crowd.models) / max(sum(crowd.models) + (total or 0.0) * n / max(tasks, 1) / max(people, 1), 1e-300)
+    j = votes.join(crowd.labels, "task_id").withColumn("hit", (F.col("label") == F.col("consensus")).cast("double"))
+    mean = annotation_quality(votes, crowd.posterior).groupBy("annotator_id").agg(F.avg("label_quality").alias("q"))
+    a = j.groupBy("annotator_id").agg(F.count(F.lit(1)).alias("n_labeled"), F.avg("hit").alias("agreement_with_consensus"), F.avg(F.when(F.col("n_annotations") > 1, F.col("hit"))).alias("multi"))
+    by = j.groupBy("annotator_id", "label").agg(F.avg("hit").alias("acc"), F.count(F.lit(1)).alias("n"), F.avg("consensus_quality").alias("cq"))
+    worst = by.groupBy("annotator_id").agg(F.min_by("label", F.struct("acc", -F.col("n"), -F.col("cq"), "label")).alias("worst_class"))
+    quality = F.lit(share) * F.col("q") + F.lit(1 - share) * F.col("multi")
+    return a.join(mean, "annotator_id").join(worst, "annotator_id").select("annotator_id", quality.alias("annotator_quality"), "agreement_with_consensus", "worst_class", "n_labeled")
+
+
 def active_learning_scores_ensemble(votes: DataFrame, probs: DataFrame, columns: list[str], n_classes: int) -> DataFrame:
-    """(task_id, score) as active_learning_scores for several models, each brought to its best temperature first."""
-    for c in columns:
-        one = probs.select("task_id", F.col(c).alias("pred_probs"))
-        probs = probs.withColumn(c, temperature_scaled(F.col(c), best_temperature(votes, one)))
-    majority = majority_vote(votes, probs.select("task_id", mean_probs(columns).alias("pred_probs")))
-    w, models, agree = ensemble_weights(votes, probs, columns, majority)
+    """(task_id, score) of every task with probabilities, low where another label helps most.
+
+    Each model is brought to its best temperature first.  The quality of the consensus (without
+    labels: of the class that most models choose, then of the highest mean probability, then the
+    lowest) is drawn towards 1 / K by the weight of one more mean annotator.  If no task has
+    several labels, every annotator and model weighs 1 and nothing is rescaled.
+    """
+    shared_folder(votes.sparkSession)
+    several = votes.groupBy("task_id").count().where("count > 1").limit(1).count() > 0
+    if several:
+        for c in columns:
+            one = probs.select("task_id", F.col(c).alias("pred_probs"))
+            probs = probs.withColumn(c, temperature_scaled(F.col(c), best_temperature(votes, one)))
+        probs = probs.checkpoint()
+        crowd = crowd_labels(votes, probs, n_classes, tuple(columns))
+        w, models, found = crowd.weights, crowd.models, crowd.labels.select("task_id", "consensus_quality")
+    else:
+        w, models = votes.select("annotator_id").distinct().withColumn("w", F.lit(1.0)), [1.0] * len(columns)
+        mean = probs.select("task_id", mean_probs(columns).alias("m"))
+        found = mean.join(votes, "task_id").select("task_id", A.own_prob(F.col("m"), F.col("label")).alias("consensus_quality"))
     mean_w = w.agg(F.avg("w")).first()[0] or 1.0
-    post = crowd_posterior_ensemble(votes, probs, columns, n_classes, (w, models, agree)).select("task_id", "consensus_quality")
     own = votes.join(w, "annotator_id").groupBy("task_id").agg(F.sum("w").alias("ws"))
-    # Without labels the models vote: most votes, then the highest mean probability, then the lowest class.
     count = [sum((A.argmax(F.col(m)) == c).cast("int") for m in columns) for c in range(n_classes)]
     rank = F.array(*[F.struct(n.alias("n"), F.element_at(mean_probs(columns), c + 1).alias("p"), F.lit(-c).alias("c")) for c, n in enumerate(count)])
     sure = A.own_prob(blended(columns, models), -F.array_max(rank)["c"])
-    j = probs.join(own, "task_id", "left").join(post, "task_id", "left")
+    j = probs.join(own, "task_id", "left").join(found, "task_id", "left")
     weight = F.coalesce("ws", F.lit(0.0)) + F.lit(sum(models))
+    # Without labels the total is that of the models and the one mean annotator, which the same form gives.
     return j.select("task_id", ((F.coalesce("consensus_quality", sure) * weight + F.lit(mean_w / n_classes)) / (weight + mean_w)).alias("score"))
 
 
+def active_learning_scores(votes: DataFrame, probs: DataFrame, n_classes: int) -> DataFrame:
+    """(task_id, score) as active_learning_scores_ensemble, for one model's pred_probs."""
+    return active_learning_scores_ensemble(votes, probs, ["pred_probs"], n_classes)
+
+
 def lost_classes(votes: DataFrame, consensus: DataFrame) -> DataFrame:
     """(label) that annotators gave and no task has as its consensus."""
     return votes.select("label").distinct().join(consensus.select(F.col("consensus").alias("label")), "label", "left_anti")
@@ -230,8 +294,8 @@ def temperature_scaled(p, t: float):
     return A.softmax(F.transform(p, lambda x: F.ln(F.greatest(x, F.lit(1e-30)))), t)
 
 
-def best_temperature(votes: DataFrame, probs: DataFrame, coarse=(0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0), steps: int = 9) -> float:
-    """Temperature of least mean soft cross-entropy: a coarse grid, then a fine one around its best; each grid is one pass."""
+def best_temperature(votes: DataFrame, probs: DataFrame, coarse=(0.1, 0.2, 0.5, 0.8, 1.0, 2.0, 3.0, 5.0, 8.0), steps: int = 4) -> float:
+    """Temperature of least mean soft cross-entropy: a coarse grid, then a fine one on either side of its best; each grid is one pass."""
     by = votes.groupBy("task_id", "label").count()
     n = votes.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
     j = by.join(n, "task_id").join(probs, "task_id").select("task_id", "label", (F.col("count") / F.col("n")).alias("share"), "pred_probs")
@@ -244,7 +308,9 @@ def best_temperature(votes: DataFrame, probs: DataFrame, coarse=(0.1, 0.2, 0.5,
     if first[0] is None:
         return 1.0
     i = int(np.argmin(first))
-    fine = np.linspace(coarse[max(i - 1, 0)], coarse[min(i + 1, len(coarse) - 1)], steps).tolist()
+    below = np.linspace(coarse[i - 1], coarse[i], steps, endpoint=False).tolist() if i else []
+    above = np.linspace(coarse[i], coarse[i + 1], steps + 1).tolist() if i + 1 < len(coarse) else []
+    fine = below + above
     return float(fine[int(np.argmin(losses(fine)))])
 
 

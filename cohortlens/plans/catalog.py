@@ -395,7 +395,31 @@ def _(s, d):
     return s.createDataFrame([(float(c), round(f1, 6))], "cutoff double, f1 double")
 
 
-@_query("active_learning_scores", O.X2 + O.posterior(["tp"]) + "mn as (select avg(w) m from wa) select task_id, round((q * (ws + mw) + m / 3) / (ws + mw + m), 6) as score from best, mn where r = 1")
+_TWICE = O.posterior(["tp"]) + O.again(O.posterior(["tp"]))
+
+
+@_query("crowd_labels", O.X2 + _TWICE + "fin as (select con2.task_id, consensus, round(q, 6) as consensus_quality, round(avg((label = consensus)::int), 6) as agreement, count(*)::bigint as n_annotations from con2 join po2 on po2.task_id = con2.task_id and po2.k = consensus join votes on votes.task_id = con2.task_id group by con2.task_id, consensus, q) select * from fin")
+def _(s, d):
+    found = audits.crowd_labels(X.crowd(s, d), X.task_probs(s, d), 3).labels
+    return found.select("task_id", "consensus", _r("consensus_quality").alias("consensus_quality"), _r("agreement").alias("agreement"), "n_annotations")
+
+
+@_query(
+    "annotator_quality",
+    O.X2 + _TWICE + """v as (select votes.*, consensus, (label = consensus)::int h, a.q cq, b.q lq, count(*) over (partition by votes.task_id) n from votes join con2 using (task_id)
+  join po2 a on a.task_id = votes.task_id and a.k = consensus join po2 b on b.task_id = votes.task_id and b.k = label),
+sr as (select mw / (mw + (select sum(w2) from (select w as w2 from wa2)) * (select count(*) / count(distinct task_id) from votes) / (select count(*) from wa2)) s from w02),
+wc as (select *, row_number() over (partition by annotator_id order by x, m desc, y desc, label) r from (select annotator_id, label, avg(h) x, count(*) m, avg(cq) y from v group by 1, 2))
+select annotator_id, round(any_value(s) * avg(lq) + (1 - any_value(s)) * avg(h) filter (n > 1), 6) as annotator_quality, round(avg(h), 6) as agreement_with_consensus, any_value(wc.label) as worst_class, count(*)::bigint as n_labeled
+from v join wc using (annotator_id), sr where wc.r = 1 group by 1""",
+)
+def _(s, d):
+    v = X.crowd(s, d)
+    got = audits.annotator_quality(v, audits.crowd_labels(v, X.task_probs(s, d), 3))
+    return got.select("annotator_id", *[_r(c).alias(c) for c in ("annotator_quality", "agreement_with_consensus")], "worst_class", "n_labeled")
+
+
+@_query("active_learning_scores", O.X2T + _TWICE + "mn as (select avg(w) m from wa2) select task_id, round((q * (ws + mw) + m / 3) / (ws + mw + m), 6) as score from best2 join con2 using (task_id), mn where k = consensus")
 def _(s, d):
     return audits.active_learning_scores(X.crowd(s, d), X.task_probs(s, d), 3).select("task_id", _r("score").alias("score"))
 
@@ -406,9 +430,9 @@ def _(s, d):
     return audits.annotation_quality(v, audits.crowd_posterior(v, p, 3)).select("task_id", "annotator_id", _r("label_quality").alias("label_quality"))
 
 
-@_query("best_temperature")
+@_query("best_temperature", O.X2T + "fin as (select round(t, 6) as temperature from bt) select * from fin")
 def _(s, d):
-    return s.createDataFrame([(audits.best_temperature(X.crowd(s, d), X.task_probs(s, d)),)], "temperature double")
+    return s.createDataFrame([(round(audits.best_temperature(X.crowd(s, d), X.task_probs(s, d)), 6),)], "temperature double")
 
 
 @_query("class_counts", "select o_orderpriority as label, count(*)::bigint as n from orders group by 1")

@@ -1,5 +1,7 @@
 """Shared parts of the SQL that the catalog's queries are compared with."""
 
+import re
+
 _K5 = "(select unnest(range(5))::int k)"
 
 
@@ -132,3 +134,27 @@ wa as (select annotator_id, greatest(1 - (1 - g) / b, 1e-6) w from pa, be),
 po as (select g.task_id, g.k, ws, ({mixed} + s) / ({total} + ws) q from g {joined}),
 best as (select po.task_id, po.k, q, ws, {total} as mw, row_number() over (partition by po.task_id order by q desc, (po.k = consensus) desc, po.k) r from po join cons using (task_id)),
 """
+
+
+def again(sql: str) -> str:
+    """posterior() once more, from the best classes of the first (con2 in place of cons), under names that end in 2."""
+    sql = re.sub(r"\bcons\b", "con2", sql)
+    return "con2 as (select task_id, k as consensus from best where r = 1),\n" + re.sub(r"\b(multi|sz|cs|tc|be|pa|wa|am\d|w\d|g|po|best)\b", r"\g<1>2", sql)
+
+
+_LOSS = """{0}z as (select t, task_id, k, exp(ln(greatest(p, 1e-30)) / t) z from t0, {0}t), {0}s as (select t, task_id, k, z / sum(z) over (partition by t, task_id) z from {0}z),
+{0}l as (select t, -sum(share * ln(greatest(z, 1e-30))) l from {0}s join sh on sh.task_id = {0}s.task_id and sh.label = {0}s.k group by t),
+"""
+TEMPERATURE = (
+    """sh as (select task_id, label, count(*) / sum(count(*)) over (partition by task_id) share from votes group by task_id, label),
+ht as (select t, row_number() over (order by t) i from (select unnest([1e-1, 2e-1, 5e-1, 8e-1, 1e0, 2e0, 3e0, 5e0, 8e0]) t)),
+"""
+    + _LOSS.format("h")
+    + """ci as (select i from hl join ht using (t) order by l, t limit 1),
+ft as (select distinct t from (select a.t + (b.t - a.t) * unnest(range(5)) / 4e0 t from ht a, ht b, ci where b.i = a.i + 1 and (a.i = ci.i or b.i = ci.i))),
+"""
+    + _LOSS.format("f")
+    + "bt as (select t from fl order by l, t limit 1),\n"
+)
+#: X2 with its probabilities as t0, and what follows on them at the best temperature.
+X2T = X2.replace("tp as (select task_id, k, raw", "t0 as (select task_id, k, raw").replace("vn as", TEMPERATURE + "tp as (select task_id, k, z p from fs join bt using (t)),\nvn as")
