@@ -278,7 +278,7 @@ def box_image_issues(labels: DataFrame, predictions: DataFrame, factor: float =
     return images.join(bad.distinct().withColumn("hit", F.lit(True)), "image_id", "left").select("image_id", F.coalesce("hit", F.lit(False)).alias("is_label_issue"))
 
 
-def _numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """df with its row number within keys: counted inside the buckets `b` of a class and shifted by the buckets before."""
     totals = df.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("__n"))
     starts = totals.select(*keys, "b", (F.sum("__n").over(W.partitionBy(*keys).orderBy("b")) - F.col("__n")).alias("__s"))
@@ -293,9 +293,9 @@ def average_precisions(labels: DataFrame, predictions: DataFrame, thresholds=IOU
     buckets' totals, so a class with a large share of the boxes is no single task.
     """
     b = F.least(F.greatest(F.floor((1 - F.col("p")) * buckets), F.lit(0)), F.lit(buckets)).cast("int")
-    ranked = _numbered(predictions.select("image_id", F.col("box_id").alias("pred_id"), "label", "p", b.alias("b")), ["label"], [F.desc("p"), F.asc("image_id"), F.asc("pred_id")], "k")
+    ranked = numbered(predictions.select("image_id", F.col("box_id").alias("pred_id"), "label", "p", b.alias("b")), ["label"], [F.desc("p"), F.asc("image_id"), F.asc("pred_id")], "k")
     hits = box_hits(labels, predictions, thresholds).select("t", "image_id", "pred_id").join(ranked.select("image_id", "pred_id", "label", "b", "k"), ["image_id", "pred_id"])
-    hits = _numbered(hits, ["t", "label"], [F.asc("k")], "c").select("t", "label", "b", "k", (F.col("c") / F.col("k")).alias("prec"))
+    hits = numbered(hits, ["t", "label"], [F.asc("k")], "c").select("t", "label", "b", "k", (F.col("c") / F.col("k")).alias("prec"))
     after = W.partitionBy("t", "label").orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1)
     later = hits.groupBy("t", "label", "b").agg(F.max("prec").alias("top")).select("t", "label", "b", F.max("top").over(after).alias("later"))
     here = F.max("prec").over(W.partitionBy("t", "label", "b").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0))

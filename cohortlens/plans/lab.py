@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audits, confident, neighbors, structured
+from ..operators import audits, confident, neighbors, structured, training
 
 #: Audit -> inputs it needs, by task.
 REQUIREMENTS = {
@@ -51,22 +51,25 @@ class Lab:
         self.summary: dict[str, tuple[float, int]] = {}
         self.scores: dict[str, float] = {}
         self.failed: dict[str, str] = {}
-        self._edges: DataFrame | None = None
+        self._edges: dict[str, DataFrame] = {}
 
     def available(self) -> list[str]:
         cols = set(self.data.columns)
-        ways = lambda n, needs: [needs, *(ALTERNATIVES.get(n, []) if self.task == "classification" else [])]
+        other = {"classification": ALTERNATIVES, "regression": {"label": [("y", "features")]}}.get(self.task, {})
+        ways = lambda n, needs: [needs, *other.get(n, [])]
         found = [n for n, needs in REQUIREMENTS[self.task].items() if any(cols.issuperset(w) for w in ways(n, needs))]
         if not cols & {"cluster", "features"}:
             found = [n for n in found if n != "underperforming_group"]
         return found + [n for t, n in _CUSTOM if t == self.task]
 
-    def edges(self) -> DataFrame:
-        """The neighbour table, made once and shared by the audits."""
-        if self._edges is None:
-            source = "features" if "features" in self.data.columns else "pred_probs"
-            self._edges = neighbors.knn_edges(self.data.select("id", F.col(source).alias("features")), self.k).persist()
-        return self._edges
+    def edges(self, or_probs: bool = False) -> DataFrame:
+        """The neighbour table over the features (or the probabilities, where an audit allows them), made once and shared by the audits."""
+        source = "pred_probs" if or_probs and "features" not in self.data.columns else "features"
+        if source not in self._edges:
+            if source not in self.data.columns:
+                raise ValueError("features are needed")
+            self._edges[source] = neighbors.knn_edges(self.data.select("id", F.col(source).alias("features")), self.k).persist()
+        return self._edges[source]
 
     def _run(self, name: str, **kw) -> DataFrame:
         """(id, score, is_<name>_issue); a summary score other than the mean is left in self.scores."""
@@ -74,6 +77,8 @@ class Lab:
         if (self.task, name) in _CUSTOM:
             return _CUSTOM[self.task, name](d, **kw)
         if name == "label":
+            if self.task == "regression" and "prediction" not in d.columns:
+                return training.RegressionLearning(**kw).find_label_issues(d.select("id", "y", "features")).withColumnRenamed("label_quality", "score")
             if self.task == "regression":
                 return audits.regression_issues(d, **kw).withColumnRenamed("label_quality", "score")
             if self.task == "multilabel":
@@ -116,8 +121,8 @@ class Lab:
             return d.select("id", "cluster").join(worst, "cluster", "left").select("id", F.coalesce("ratio", F.lit(1.0)).alias("score"), hit.alias("is_underperforming_group_issue"))
         if name == "non_iid":
             n = d.count()
-            _, p = neighbors.order_test(self.edges(), n)
-            got = neighbors.order_scores(self.edges(), n).persist()
+            _, p = neighbors.order_test(self.edges(or_probs=True), n)
+            got = neighbors.order_scores(self.edges(or_probs=True), n).persist()
             worst = got.orderBy("score", "id").first() if p < kw.get("significance", 0.05) else None
             self.scores[name] = p
             return got.withColumn("is_non_iid_issue", F.col("id") == F.lit(worst["id"]) if worst else F.lit(False))

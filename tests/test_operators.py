@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import arrays as A
 from cohortlens.functions import cells
 from cohortlens.operators import audits, confident, contracts, neighbors, structured
-from cohortlens.operators.training import CleanLearning, folds, out_of_fold_predictions
+from cohortlens.operators.training import CleanLearning, RegressionLearning, folds, out_of_fold_predictions
 from cohortlens.plans import lab
 from cohortlens.sources import dataset
 from cohortlens.streaming.inspector import LabelInspector
@@ -160,7 +160,7 @@ def test_lab(spark, tmp_path):
     assert set(one.summary) == {"null", "label", "outlier", "near_duplicate", "non_iid", "class_imbalance", "underperforming_group", "odd_id"} and not one.failed
     assert one.summary["odd_id"] == (0.5, 100) and one.get_issues("label").columns == ["id", "is_label_issue", "label_score"]
     assert "label" in one.report() and 0 <= one.health_score() <= 1 and one.get_issue_summary().count() == 8
-    assert lab.Lab(df).find_issues({"outlier": {}}).failed
+    assert lab.Lab(df).find_issues({"near_duplicate": {}}).failed
     dataset.save(str(tmp_path / "a"), one.issues, one.get_issue_summary(), {"task": "classification"}, df)
     issues, summary, info = dataset.restore(spark, str(tmp_path / "a"), df)
     assert issues.count() == 200 and info["rows"] == 200
@@ -264,3 +264,40 @@ def test_lab_with_other_inputs(spark):
     probs = lab.Lab(df.drop("features"))
     assert {"label", "outlier", "non_iid"} <= set(probs.available())
     assert not probs.find_issues({"outlier": {}}).failed
+
+
+def test_regression_learning(spark):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(400, 3))
+    y = x @ np.array([1.0, -2.0, 0.5]) + r.normal(size=400) * 0.05
+    wrong = set(r.choice(400, 24, replace=False).tolist())
+    given = [float(v + 6) if i in wrong else float(v) for i, v in enumerate(y)]
+    df = spark.createDataFrame([(i, given[i], x[i].tolist()) for i in range(400)], "id bigint, y double, features array<double>")
+    one = RegressionLearning(n_folds=3, n_boot=2)
+    rows = one.find_label_issues(df, (0.01, 0.06, 0.2), 1).collect()
+    flagged = {a.id for a in rows if a.is_label_issue}
+    assert len(rows) == 400 and len(flagged) == np.ceil(400 * one.k) > 0
+    assert len(flagged & wrong) >= 0.9 * min(len(flagged), len(wrong))
+    assert {a.id for a in sorted(rows, key=lambda a: a.label_quality)[:20]} <= wrong
+    clean = spark.createDataFrame([(i, float(y[i]), x[i].tolist()) for i in range(400)], df.schema)
+    plain = RegressionLearning()
+    plain.issues = one.issues.withColumn("is_label_issue", F.lit(False))
+    assert one.fit(df).score(clean) > plain.fit(df).score(clean) and one.predict(df).count() == 400
+    with pytest.raises(ValueError):
+        RegressionLearning().find_label_issues(df.limit(3))
+
+
+def test_crowd_labels_without_overlap_or_with_agreement(spark):
+    votes = "task_id long, annotator_id long, label int"
+    probs = spark.createDataFrame([(i, [0.7, 0.3]) for i in range(1, 5)], "task_id long, pred_probs array<double>")
+    single = spark.createDataFrame([(1, 1, 0), (2, 2, 1)], votes)
+    got = {r.task_id: r.score for r in audits.active_learning_scores(single, probs, 2).collect()}
+    assert got == pytest.approx({1: (0.7 * 2 + 0.5) / 3, 2: (0.3 * 2 + 0.5) / 3, 3: (0.7 + 0.5) / 2, 4: (0.7 + 0.5) / 2})
+    both = spark.createDataFrame([(1, 1, 0), (1, 2, 0), (1, 3, 1), (2, 1, 1), (2, 2, 1), (3, 3, 0)], votes)
+    crowd = audits.crowd_labels(both, probs, 2, quality="agreement")
+    rows = {r.task_id: r for r in crowd.labels.collect()}
+    assert rows[1].consensus == 0 and rows[1].consensus_quality == pytest.approx(2 / 3) and rows[2].consensus_quality == 1.0
+    quality = {r.annotator_id: r.annotator_quality for r in audits.annotator_quality(both, crowd).collect()}
+    assert quality == pytest.approx({1: 1.0, 2: 1.0, 3: 0.0})
+    with pytest.raises(ValueError):
+        audits.crowd_labels(both, probs, 2, consensus="none")
