@@ -139,7 +139,9 @@ def crowd_weights(votes: DataFrame, probs: DataFrame, consensus: DataFrame) -> t
 
 def crowd_posterior(votes: DataFrame, probs: DataFrame, n_classes: int, weights=None, majority: DataFrame | None = None) -> DataFrame:
     """(task_id, posterior, consensus, consensus_quality): weighted mean of the model's probabilities and the annotators' likelihoods."""
-    majority = majority if majority is not None else majority_vote(votes, probs)
+    if majority is None:
+        shared_folder(votes.sparkSession)
+        majority = majority_vote(votes, probs).checkpoint()
     w, mw, agree = weights or crowd_weights(votes, probs, majority)
     like = lambda c: F.when(F.col("label") == c, F.lit(agree)).otherwise(F.lit((1 - agree) / (n_classes - 1)))
     sums = votes.join(w, "annotator_id").groupBy("task_id").agg(F.sum("w").alias("ws"), *[F.sum(F.col("w") * like(c)).alias(f"s{c}") for c in range(n_classes)])
@@ -184,7 +186,8 @@ def blended(columns: list[str], weights: list[float]):
 def crowd_posterior_ensemble(votes: DataFrame, probs: DataFrame, columns: list[str], n_classes: int, majority: DataFrame | None = None) -> DataFrame:
     """As crowd_posterior for several models: ties by their mean, each with a weight of its own in the posterior."""
     if majority is None:
-        majority = majority_vote(votes, probs.select("task_id", mean_probs(columns).alias("pred_probs")))
+        shared_folder(votes.sparkSession)
+        majority = majority_vote(votes, probs.select("task_id", mean_probs(columns).alias("pred_probs"))).checkpoint()
     w, models, agree = ensemble_weights(votes, probs, columns, majority)
     one = probs.select("task_id", blended(columns, models).alias("pred_probs"))
     return crowd_posterior(votes, one, n_classes, (w, sum(models), agree), majority)
