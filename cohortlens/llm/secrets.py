@@ -37,10 +37,10 @@ _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\:,-]*?)-----END \1-----")
-RUN64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
+RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 RUN16 = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
-#: DER tags of a key: integer, bit string, octet string, null, object identifier, sequence, set, and the context tags.
-_PRIMITIVE = {2, 3, 4, 5, 6}
+#: DER tags of a key: integer, bit string, octet string, null, object identifier, sequence, set, and the context tags (primitive ones: 0x81 is the public key of a PKCS#8 v2 key).
+_PRIMITIVE = {2, 3, 4, 5, 6, 0x80, 0x81, 0x82, 0x83}
 _NESTED = {0x30, 0x31, 0xA0, 0xA1, 0xA2, 0xA3}
 
 
@@ -72,7 +72,7 @@ def der_items(b: bytes, start: int, stop: int) -> list[tuple[int, int, int]] | N
 
 
 def is_der_key(b: bytes) -> bool:
-    """A sequence that fills the buffer, every nested length fits, and it has a key's parts: a version or an algorithm, and key bytes."""
+    """A sequence that fills the buffer, every nested length fits, and it has a key's parts: a version or an encryption's algorithm, and key bytes."""
     top = der_items(b, 0, len(b)) if len(b) >= 24 and b[0] == 0x30 else None
     if not top or len(top) != 1:
         return False
@@ -90,7 +90,14 @@ def is_der_key(b: bytes) -> bool:
             return False
     first = der_items(b, top[0][1], top[0][2])
     version = bool(first) and first[0][0] == 2 and first[0][2] - first[0][1] == 1
-    return version and any(tag in (2, 3, 4) and n >= 16 for tag, n, _ in parts)
+    return (version or is_encrypted(b, first)) and any(tag in (2, 3, 4) and n >= 16 for tag, n, _ in parts)
+
+
+def is_encrypted(b: bytes, items: list[tuple[int, int, int]]) -> bool:
+    """An encrypted PKCS#8 key: an algorithm with parameters of its own (a digest's are null or absent), and its octets."""
+    if [tag for tag, _, _ in items] != [0x30, 4] or items[1][2] - items[1][1] < 16:
+        return False
+    return [tag for tag, _, _ in der_items(b, items[0][1], items[0][2]) or []] == [6, 0x30]
 
 
 def is_key_bytes(b: bytes) -> bool:

@@ -353,3 +353,23 @@ def test_secrets(odd, none):
     got = rows(secrets.scan_secrets(odd))
     assert len(got) == 9 and all(x["spans"] == "" and x["base_sha256"] == hashlib.sha256(b"").hexdigest() for x in got)
     assert rows(secrets.scan_secrets(none)) == [] and secrets.redact(odd).columns == odd.columns and secrets.redact(odd).count() == 9
+
+
+def test_secrets_of_other_forms():
+    key = der(0x30, der(2, b"\0") + der(2, b"\x01" * 64) + der(2, b"\1\0\1") + der(2, b"\x02" * 64))
+    oid = der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d")
+    kdf = der(0x30, oid + der(0x30, der(4, b"s" * 8) + der(2, b"\x08\0")))
+    encrypted = der(0x30, der(0x30, oid + der(0x30, kdf + der(0x30, oid + der(4, b"i" * 16)))) + der(4, b"\x9c" * 160))
+    v2 = der(0x30, der(2, b"\1") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, b"k" * 32)) + der(0x81, b"\0" + b"p" * 32))
+    openssh = b"openssh-key-v1\0" + b"x" * 60
+    for raw in (key, encrypted, v2, openssh):
+        b64 = base64.b64encode(raw).decode()
+        for before in ("private_key=", "SSH_KEY=", "x "):
+            text = f"{before}{b64} y"
+            assert secrets.confirmed_spans(text) == [(len(before), len(text) - 2, "der_key")]
+            assert b64.rstrip("=") not in secrets.mask(text, secrets.find_spans(text)[1])
+    pem = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{base64.encodebytes(encrypted).decode()}-----END ENCRYPTED PRIVATE KEY-----"
+    assert secrets.confirmed_spans(pem) == [(0, len(pem), "private_key")]
+    public = der(0x30, der(0x30, oid + der(5, b"")) + der(3, b"\0" + b"p" * 64))
+    digest = der(0x30, der(0x30, oid + der(5, b"")) + der(4, b"d" * 32))
+    assert not [s for raw in (public, digest) for s in secrets.confirmed_spans("k=" + base64.b64encode(raw).decode())]
