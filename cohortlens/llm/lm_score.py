@@ -3,9 +3,15 @@
 Features of a token are the word before it, the word before that (a skip
 feature) and the hashed pair of both.  The softmax is factored: first over word
 classes, then over the words of the class.  The most frequent words are modelled
-one by one; the last class stands for all other words, which share its mass by
-their counts plus one, with one more share for words never seen, so that the
-probabilities of all words sum to one.
+one by one; the last class stands for all other words, which a tree of 16-way
+softmaxes tells apart: a hash of the word names its leaf, and the words of a leaf
+share its mass by their counts plus one, with one more share for words never
+seen, so that the probabilities of all words (and one unseen a leaf) sum to one.
+
+Nothing learned has a fixed size beyond the head classes: the leaves grow with
+the distinct words (about ``LEAF_WORDS`` to a leaf), the rows of hashed contexts,
+pairs and tree features with the root of the training tokens.  The tasks that
+train grow with that root too, so that what they send grows with the input.
 
 Counts come from all training documents.  The weights are trained by distributed
 gradient updates: in each of ``ROUNDS`` rounds every task starts from the same
@@ -27,6 +33,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,9 +50,11 @@ END = ""  # no word is empty
 CLASSES, PER_CLASS = 16, 32
 MODELLED = CLASSES * PER_CLASS
 HEAD = 200_000
-OTHERS = 512  # context ids of words that are counted but not modelled
-PAIRS = 1 << 12
-WITHIN = 1 << 12
+BITS = 4  # of a leaf's number, for each level of the tree
+LEAF_WORDS = 100
+LEAST_ROWS = 1 << 12
+#: Root of the training tokens for each task that trains, and the least tasks.
+_TASK_ROOT, _LEAST_TASKS = 350, 12
 ROUNDS = 2
 RATE = 0.15
 BATCH = 1 << 14
@@ -52,8 +62,6 @@ _CHUNK = 256
 #: Words that a task counts before it sends them on.
 _COUNTED = 300_000
 FOLDS, HELD_OUT = 7, 2
-_TAIL, _START = MODELLED + OTHERS, MODELLED + OTHERS + 1
-_CONTEXTS = MODELLED + OTHERS + 2
 
 
 def tokens(text: str) -> list[bytes]:
@@ -91,10 +99,26 @@ class Vocabulary:
     counts: np.ndarray
     total: int
     distinct: int
+    shares: np.ndarray  # by leaf: the counts of its words that aren't modelled plus one each, and one share for the unseen
     place: dict[bytes, int] | None = None
+    hashes: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"place": None}
+        return self.__dict__ | {"place": None, "hashes": None}
+
+    @property
+    def rows(self) -> int:
+        """Rows of each hashed table: a power of two that grows with the root of the tokens."""
+        return max(LEAST_ROWS, 1 << math.ceil(math.log2(math.sqrt(self.total + 1))))
+
+    def hash(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
+        if self.hashes is None:
+            self.hashes = np.array([zlib.crc32(w) for w in self.words], dtype=np.int64)
+        out = np.empty(len(ids), dtype=np.int64)
+        head = ids >= 0
+        out[head] = self.hashes[ids[head]]
+        out[~head] = [zlib.crc32(words[i]) for i in np.flatnonzero(~head).tolist()]
+        return out
 
     def ids(self, words: list[bytes]) -> list[int]:
         """Rank of each word, -1 if it isn't in the head."""
@@ -103,61 +127,66 @@ class Vocabulary:
         get = self.place.get
         return [get(w, -1) for w in words]
 
-    @property
-    def others(self) -> int:
-        """Denominator of the words that aren't modelled: their counts plus one each, and one share for the unseen."""
-        k = min(len(self.words), MODELLED)
-        return int(self.total - self.counts[:k].sum()) + (self.distinct - k) + 1
-
 
 class MaxEnt:
-    """The weights, as tables of rows: cb c1 c2 cp for the classes, wb w1 w2 for the words of a class."""
-
-    SHAPES = {"cb": (1, CLASSES + 1), "c1": (_CONTEXTS, CLASSES + 1), "c2": (_CONTEXTS, CLASSES + 1), "cp": (PAIRS, CLASSES + 1), "wb": (CLASSES, PER_CLASS), "w1": (WITHIN, PER_CLASS), "w2": (WITHIN, PER_CLASS)}
+    """The weights, as tables of rows: cb c1 c2 cp for the classes, wb w1 w2 for the words of a class, tb t1 t2 for the nodes of the tree."""
 
     def __init__(self, vocabulary: Vocabulary):
         """Start from the counts: the biases make the unigram model."""
-        self.t = {k: np.zeros(s, dtype=np.float32) for k, s in self.SHAPES.items()}
+        leaves, n = len(vocabulary.shares), vocabulary.rows
+        self.depth, self.n = (leaves.bit_length() - 1) // BITS, n
+        wide, branch = CLASSES + 1, 1 << BITS
+        contexts = MODELLED + n + 1
+        self.shapes = {"cb": (1, wide), "c1": (contexts, wide), "c2": (contexts, wide), "cp": (n, wide), "wb": (CLASSES, PER_CLASS), "w1": (n, PER_CLASS), "w2": (n, PER_CLASS), "tb": ((leaves - 1) // (branch - 1), branch), "t1": (n, branch), "t2": (n, branch)}
+        self.t = {k: np.zeros(s, dtype=np.float32) for k, s in self.shapes.items()}
         c = np.zeros(MODELLED)
         k = min(len(vocabulary.counts), MODELLED)
         c[:k] = vocabulary.counts[:k]
         by = c.reshape(CLASSES, PER_CLASS)
         self.t["cb"][0] = np.log(np.r_[by.sum(axis=1), vocabulary.total - c.sum()] + 0.5)
         self.t["wb"][:] = np.where(by > 0, np.log(by + 1e-9), -30.0)
+        levels = [np.log(vocabulary.shares.reshape(branch ** (x + 1), -1).sum(axis=1)).reshape(-1, branch) for x in range(self.depth)]
+        self.t["tb"][:] = np.concatenate(levels)
 
-    @staticmethod
-    def context(ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < 0, _TAIL, np.where(ids < MODELLED, ids, MODELLED + ids % OTHERS)).astype(np.int32)
-
-    @staticmethod
-    def examples(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token, the context before and the one before that, over documents that begin at starts."""
-        ctx = MaxEnt.context(ids)
+    def examples(self, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Token, its hash, the context before and the one before that, over documents that begin at starts."""
+        ctx = np.where((ids >= 0) & (ids < MODELLED), ids, MODELLED + (hashes >> 8) % self.n).astype(np.int32)
         one, two = np.empty_like(ctx), np.empty_like(ctx)
         one[1:], two[2:] = ctx[:-1], ctx[:-2]
-        one[starts] = two[starts] = _START
+        one[starts] = two[starts] = MODELLED + self.n
         second = starts[starts + 1 < len(ids)] + 1
-        two[second] = _START
-        return ids, one, two
+        two[second] = MODELLED + self.n
+        return ids, hashes, one, two
 
-    def _forward(self, one, two, cls):
-        pair = ((one.astype(np.int64) * 7919 + two) * 2654435761 >> 7) % PAIRS
-        z = self.t["c1"][one] + self.t["c2"][two] + self.t["cp"][pair] + self.t["cb"]
+    @staticmethod
+    def _softmax(z):
         z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
+        return z
+
+    def _forward(self, one, two, cls):
+        pair = ((one.astype(np.int64) * 7919 + two) * 2654435761 >> 7) % self.n
+        z = self._softmax(self.t["c1"][one] + self.t["c2"][two] + self.t["cp"][pair] + self.t["cb"])
         some = np.flatnonzero(cls < CLASSES)
         k = cls[some].astype(np.int64)
-        a = ((one[some] * np.int64(CLASSES) + k) * 2654435761 >> 9) % WITHIN
-        b = ((two[some] * np.int64(CLASSES) + k) * 2246822519 >> 9) % WITHIN
-        y = self.t["w1"][a] + self.t["w2"][b] + self.t["wb"][k]
-        y -= y.max(axis=1, keepdims=True)
-        np.exp(y, out=y)
-        y /= y.sum(axis=1, keepdims=True)
+        a = ((one[some] * np.int64(CLASSES) + k) * 2654435761 >> 9) % self.n
+        b = ((two[some] * np.int64(CLASSES) + k) * 2246822519 >> 9) % self.n
+        y = self._softmax(self.t["w1"][a] + self.t["w2"][b] + self.t["wb"][k])
         return z, pair, some, k, a, b, y
 
-    def log_probs(self, ids, one, two) -> np.ndarray:
-        """log10 of the model's probability of each token; for a word that isn't modelled, of the class of the others."""
+    def _descend(self, one, two, hashes):
+        """The tree's part for tokens that aren't modelled: rows and probabilities, all tokens level by level, and the branches that they take."""
+        leaf = hashes % (1 << BITS * self.depth)
+        down = [BITS * (self.depth - x) for x in range(self.depth)]
+        node = np.concatenate([((1 << BITS * x) - 1) // ((1 << BITS) - 1) + (leaf >> d) for x, d in enumerate(down)])
+        branch = np.concatenate([(leaf >> d - BITS) % (1 << BITS) for d in down])
+        a = ((np.tile(one.astype(np.int64), self.depth) * 1000003 + node) * 2654435761 >> 9) % self.n
+        b = ((np.tile(two.astype(np.int64), self.depth) * 1000003 + node) * 2246822519 >> 9) % self.n
+        return node, branch, a, b, self._softmax(self.t["t1"][a] + self.t["t2"][b] + self.t["tb"][node])
+
+    def log_probs(self, ids, hashes, one, two) -> np.ndarray:
+        """log10 of the model's probability of each token; for a word that isn't modelled, of its leaf."""
         out = np.empty(len(ids))
         for at in range(0, len(ids), BATCH):
             s = slice(at, at + BATCH)
@@ -166,20 +195,26 @@ class MaxEnt:
             z, _, some, _, _, _, y = self._forward(one[s], two[s], cls)
             p = np.log10(np.maximum(z[np.arange(len(i)), cls], 1e-30, dtype=np.float64))
             p[some] += np.log10(np.maximum(y[np.arange(len(some)), i[some] % PER_CLASS], 1e-30, dtype=np.float64))
+            rest = np.flatnonzero(cls == CLASSES)
+            _, branch, _, _, q = self._descend(one[s][rest], two[s][rest], hashes[s][rest])
+            p[rest] += np.log10(np.maximum(q[np.arange(len(branch)), branch], 1e-30, dtype=np.float64)).reshape(self.depth, -1).sum(axis=0)
             out[s] = p
         return out
 
-    def step(self, ids, one, two, squares, visits) -> None:
+    def step(self, ids, hashes, one, two, squares, visits) -> None:
         """One AdaGrad step over a batch of tokens."""
         cls = np.where((ids >= 0) & (ids < MODELLED), ids // PER_CLASS, CLASSES)
         z, pair, some, k, a, b, y = self._forward(one, two, cls)
         z[np.arange(len(ids)), cls] -= 1
         y[np.arange(len(some)), ids[some] % PER_CLASS] -= 1
+        rest = np.flatnonzero(cls == CLASSES)
+        node, branch, ta, tb, q = self._descend(one[rest], two[rest], hashes[rest])
+        q[np.arange(len(branch)), branch] -= 1
         bias = z.sum(axis=0)
         squares["cb"] += (bias**2).mean()
         self.t["cb"][0] -= RATE * bias / np.sqrt(squares["cb"] + 1)
         visits["cb"] += len(ids)
-        for name, rows, grad in (("c1", one, z), ("c2", two, z), ("cp", pair, z), ("w1", a, y), ("w2", b, y), ("wb", k, y)):
+        for name, rows, grad in (("c1", one, z), ("c2", two, z), ("cp", pair, z), ("w1", a, y), ("w2", b, y), ("wb", k, y), ("t1", ta, q), ("t2", tb, q), ("tb", node, q)):
             if len(rows):
                 order = np.argsort(rows, kind="stable")
                 sorted_rows = rows[order]
@@ -191,21 +226,22 @@ class MaxEnt:
 
 
 def _arrays(vocabulary: Vocabulary, docs: list[str]):
-    """Ids of all tokens of the documents with their end tokens, and where each begins; and the words."""
+    """The words of all documents with their end tokens, their ids and hashes, and where each document begins."""
     words: list[bytes] = []
     starts = []
     for t in docs:
         starts.append(len(words))
         words += tokens(t)
         words.append(b"")
-    return words, np.array(vocabulary.ids(words), dtype=np.int32), np.array(starts, dtype=np.int64)
+    ids = np.array(vocabulary.ids(words), dtype=np.int32)
+    return words, ids, vocabulary.hash(words, ids), np.array(starts, dtype=np.int64)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary) -> MaxEnt:
     """Weights after ROUNDS rounds of gradient updates over the documents, each of which is used in one round."""
     spark = docs.sparkSession
     model = MaxEnt(vocabulary)
-    src = kept_columns(docs, "doc_id", "text")
+    src = kept_columns(docs, "doc_id", "text").coalesce(max(_LEAST_TASKS, math.ceil(math.sqrt(vocabulary.total) / _TASK_ROOT)))
     schema = pa.schema([("key", pa.string()), ("sums", pa.binary()), ("visits", pa.binary())])
     words_sent = spark.sparkContext.broadcast(vocabulary)
     for r in range(ROUNDS):
@@ -213,16 +249,16 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> MaxEnt:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = MaxEnt.__new__(MaxEnt)
-            own.t = {k: v.copy() for k, v in sent.value.t.items()}
-            squares = {k: np.zeros(s[0], dtype=np.float32) for k, s in MaxEnt.SHAPES.items()}
-            visits = {k: np.zeros(s[0], dtype=np.float64) for k, s in MaxEnt.SHAPES.items()}
+            own.__dict__ |= sent.value.__dict__ | {"t": {k: v.copy() for k, v in sent.value.t.items()}}
+            squares = {k: np.zeros(s[0], dtype=np.float32) for k, s in own.shapes.items()}
+            visits = {k: np.zeros(s[0], dtype=np.float64) for k, s in own.shapes.items()}
             for b in batches:
                 if b.num_rows:
-                    _, ids, starts = _arrays(words_sent.value, texts(b.column(0)))
-                    ids, one, two = MaxEnt.examples(ids, starts)
+                    _, *arrays = _arrays(words_sent.value, texts(b.column(0)))
+                    ids, hashes, one, two = own.examples(*arrays)
                     for at in range(0, len(ids), BATCH):
                         s = slice(at, at + BATCH)
-                        own.step(ids[s], one[s], two[s], squares, visits)
+                        own.step(ids[s], hashes[s], one[s], two[s], squares, visits)
             for name, v in visits.items():
                 for at in range(0, len(v), _CHUNK):
                     part = v[at : at + _CHUNK]
@@ -261,26 +297,27 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Max
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((vocabulary, model))
     base_total = vocabulary.total + vocabulary.distinct + 1
-    others = vocabulary.others
     schema = pa.schema([("doc_id", pa.int64()), ("word", pa.string()), ("tf", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, net = sent.value
         base_of = np.log10((voc.counts + 1) / base_total)
-        other_of = np.log10((voc.counts + 1) / others)
-        other_of[:MODELLED] = 0
+        share_of = np.log10(voc.shares)
+        other_of = np.log10(voc.counts + 1.0)
         for b in batches:
             if not b.num_rows:
                 continue
             doc = b.column(0).to_pylist()
-            words, ids, starts = _arrays(voc, texts(b.column(1)))
-            logp = net.log_probs(*MaxEnt.examples(ids, starts))
+            words, ids, hashes, starts = _arrays(voc, texts(b.column(1)))
+            logp = net.log_probs(*net.examples(ids, hashes, starts))
             head = ids >= 0
+            rest = ~head | (ids >= MODELLED)
+            logp[rest] -= share_of[hashes[rest] % len(share_of)]
             at = np.maximum(ids, 0)
             total = lambda x: np.add.reduceat(x, starts).tolist()  # noqa: E731, B023
             sizes = np.diff(np.r_[starts, len(ids)])
             base = total(np.where(head, base_of[at], 0.0) if len(base_of) else np.zeros(len(ids)))
-            own = total(logp + np.where(head, other_of[at], 0.0) if len(base_of) else logp)
+            own = total(logp + np.where(head & rest, other_of[at], 0.0) if len(base_of) else logp)
             rows = [(d, f" {d}:{i}", n, k, x, y) for i, (d, n, k, x, y) in enumerate(zip(doc, sizes.tolist(), total(head.astype(np.int64)), base, own, strict=True))]
             of = np.repeat(np.arange(len(doc)), sizes)[~head].tolist()
             tail = Counter(zip(of, [words[i] for i in np.flatnonzero(~head).tolist()], strict=True))
@@ -299,7 +336,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Max
             F.when(own, 1).otherwise(0).alias("rows"),
             F.when(own, F.col("known")).otherwise(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"),
             F.when(own, F.col("base")).otherwise(F.col("tf") * F.log10(plus / base_total)).alias("base"),
-            F.when(own, F.col("score")).otherwise(F.col("tf") * F.log10(plus / others)).alias("score"),
+            F.when(own, F.col("score")).otherwise(F.col("tf") * F.log10(plus)).alias("score"),
         )
         .groupBy("doc_id")
         .agg(*[F.sum(c).alias(c) for c in ("tf", "rows", "known", "base", "score")])
@@ -334,7 +371,14 @@ def learn(docs: DataFrame) -> tuple[DataFrame, Vocabulary, MaxEnt]:
     ends = counts.where(F.col("word") == END).first()
     words = ([b""] if ends else []) + [r["word"].encode() for r in top]
     c = ([ends["c"]] if ends else []) + [r["c"] for r in top]
-    vocabulary = Vocabulary(words, np.array(c, dtype=np.int64), int(total or 0), int(distinct))
+    leaves = 1 << BITS * max(1, math.ceil(math.log2(distinct / LEAF_WORDS + 1) / BITS))
+    shares = np.ones(leaves)
+    leaf = F.crc32(F.col("word").cast("binary")) % leaves
+    found = counts.groupBy(leaf.alias("leaf")).agg(F.sum(F.col("c") + 1).alias("n")).toArrow()
+    shares[found["leaf"].to_numpy()] += found["n"].to_numpy()
+    for w, n in zip(words[:MODELLED], c[:MODELLED], strict=True):
+        shares[zlib.crc32(w) % leaves] -= n + 1
+    vocabulary = Vocabulary(words, np.array(c, dtype=np.int64), int(total or 0), int(distinct), shares)
     return counts, vocabulary, train(docs, vocabulary) if words else MaxEnt(vocabulary)
 
 

@@ -272,6 +272,36 @@ def test_rare_words_join(spark, monkeypatch):
         assert got[r["doc_id"]]["n_known"] == 8
 
 
+def test_rare_words_are_told_apart(spark):
+    r = random.Random(6)
+    docs = []
+    for i in range(400):
+        words = [[f"w{r.randrange(520)}"] for _ in range(250)] + [[f"p{k}", f"q{k}"] for k in r.choices(range(40), k=10)]
+        r.shuffle(words)
+        docs.append((i, " ".join(" ".join(w) for w in words)))
+    model = lm_score.learn(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert not {f"q{k}".encode() for k in range(40)} & set(model[1].words[: lm_score.MODELLED])
+    pairs = [(k, f"p{k} q{k}") for k in range(40)] + [(100 + k, f"p{k} q{(k + 1) % 40}") for k in range(40)]
+    got = {x["doc_id"]: x for x in rows(lm_score.score(spark.createDataFrame(pairs, "doc_id bigint, text string"), *model))}
+    assert sum(got[k]["score"] - got[100 + k]["score"] for k in range(40)) > 4
+
+
+def test_model_grows_and_sums_to_one():
+    def voc(total, leaves):
+        return lm_score.Vocabulary([b"w%d" % i for i in range(600)], np.arange(600, 0, -1), total, 600, np.arange(1.0, leaves + 1))
+
+    small, large = lm_score.MaxEnt(voc(10**6, 16)), lm_score.MaxEnt(voc(10**9, 4096))
+    assert all(large.shapes[k][0] > small.shapes[k][0] for k in ("c1", "c2", "cp", "w1", "w2", "tb", "t1", "t2"))
+    for m, leaves in ((small, 16), (large, 4096)):
+        g = np.random.default_rng(3)
+        for k, x in m.t.items():
+            x += g.normal(size=x.shape).astype(np.float32) * (k != "wb")
+        ids = np.r_[np.arange(lm_score.MODELLED), np.full(leaves, -1)]
+        hashes = np.r_[np.zeros(lm_score.MODELLED, np.int64), np.arange(leaves)]
+        same = np.full(len(ids), 7)
+        assert abs((10 ** m.log_probs(ids, hashes, same, same + 1)).sum() - 1) < 1e-3
+
+
 # rules
 
 
