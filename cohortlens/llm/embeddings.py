@@ -11,8 +11,11 @@ than ``BLOCK`` classes is dealt to cells, one for each pair of its blocks, so
 that a dense group is spread over tasks without losing a pair.  No pair leaves a
 task: a cell returns counts and a spanning forest.
 
-Only the splits come from a sample (at most about ``SAMPLE`` vectors); every
-vector is indexed.  Recall is measured against brute force in the tests.
+Only the splits come from a sample (about ``SAMPLE`` vectors, or ``ROOT`` times the
+root of their number if that is more); every vector is indexed.  Each label and
+length has splits of its own, down to ``LEAF`` vectors or to ``LEAST`` of the
+sample, whichever comes first: where the sample ends a leaf stays whole and goes
+to cells, so that every split has its spill.  Recall is measured against brute force in the tests.
 
 Defined cases: a label or vector that is null, a vector that is empty, zero or
 holds null or non-finite components links with nothing (n_links 0, its own
@@ -38,75 +41,81 @@ TREES = 4
 LEAF = 256
 SPILL = 0.14
 SAMPLE = 20_000
+ROOT = 32
+LEAST = 8
 BLOCK = 512
 SEED = 11
 
 
 class Forest:
-    """Directions and split bounds by vector length; a leaf is a number below 2 ** depth.
+    """Directions by vector length and split bounds by label and length; a leaf is the number of a node without bounds.
 
-    Bounds are kept for the nodes that the sample reaches, so their number is
-    that of the sample at most; nodes beyond split at zero.
+    share is that of the sample among all vectors.
     """
 
-    def __init__(self, depth: int, sample: list[np.ndarray], trees: int = TREES):
-        self.depth, self.trees = depth, trees
-        self.bounds: dict[tuple[int, int, int], tuple[float, float]] = {}
-        by_size: dict[int, list[np.ndarray]] = {}
-        for v in sample:
-            by_size.setdefault(len(v), []).append(v)
-        for size, vectors in by_size.items():
+    def __init__(self, share: float, sample: list[tuple[object, np.ndarray]], trees: int = TREES):
+        self.trees = trees
+        self.bounds: dict[tuple[object, int, int, int], tuple[float, float]] = {}
+        groups: dict[tuple[object, int], list[np.ndarray]] = {}
+        for label, v in sample:
+            groups.setdefault((label, len(v)), []).append(v)
+        for (label, size), vectors in groups.items():
             x = np.array(vectors)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             for t in range(trees):
                 todo = [(0, np.arange(len(x)))]
                 while todo:
                     node, own = todo.pop()
-                    if len(own) < 2 or node >= (1 << depth) - 1:
+                    if len(own) < LEAST or len(own) <= LEAF * share or node >= 1 << 40:
                         continue
                     p = x[own] @ self.direction(size, t, node)
-                    self.bounds[size, t, node] = tuple(np.quantile(p, [0.5 - SPILL / 2, 0.5 + SPILL / 2]).tolist())
-                    mid = np.median(p)
-                    todo += [(2 * node + 1, own[p <= mid]), (2 * node + 2, own[p > mid])]
+                    low, mid, high = np.quantile(p, [0.5 - SPILL / 2, 0.5, 0.5 + SPILL / 2]).tolist()
+                    left, right = own[p <= mid], own[p > mid]
+                    if len(left) and len(right):
+                        self.bounds[label, size, t, node] = low, high
+                        todo += [(2 * node + 1, left), (2 * node + 2, right)]
 
     @staticmethod
     def direction(size: int, tree: int, node: int) -> np.ndarray:
         return np.random.default_rng([SEED, size, tree, node]).standard_normal(size)
 
-    def leaves(self, x: np.ndarray) -> list[list[int]]:
-        """For each unit vector the codes (tree and leaf) of all leaves that hold it, ascending."""
-        size, first = x.shape[1], (1 << self.depth) - 1
+    def leaves(self, label: object, x: np.ndarray) -> list[list[int]]:
+        """For each unit vector of a label the codes (tree and leaf) of all leaves that hold it, ascending."""
+        size = x.shape[1]
         out: list[list[int]] = [[] for _ in range(len(x))]
         for t in range(self.trees):
-            rows = {0: np.arange(len(x))}
-            for _ in range(self.depth):
+            rows, found = {0: np.arange(len(x))}, {}
+            while rows:
                 below = {}
                 for node, own in rows.items():
+                    if (bounds := self.bounds.get((label, size, t, node))) is None:
+                        found[node] = own
+                        continue
                     p = x[own] @ self.direction(size, t, node)
-                    low, high = self.bounds.get((size, t, node), (0.0, 0.0))
+                    low, high = bounds
                     for child, part in ((2 * node + 1, own[p <= high]), (2 * node + 2, own[p >= low])):
                         if len(part):
                             below[child] = part
                 rows = below
-            for node in sorted(rows):
-                for i in rows[node].tolist():
-                    out[i].append(t * (first + 1) + node - first)
+            for node in sorted(found):
+                for i in found[node].tolist():
+                    out[i].append((t << 42) + node)
         return out
 
 
 def _doubles(column: pa.Array) -> list[np.ndarray]:
-    return [np.array(v, dtype=np.float64) for v in column.to_pylist()]
+    return [v.values.to_numpy(zero_copy_only=False).astype(np.float64) for v in column]
 
 
-def _leaf_rows(forest, batch: pa.RecordBatch) -> list[list[int]]:
-    """Codes for the vectors in the last column of a batch."""
+def _leaf_rows(forest: Forest, batch: pa.RecordBatch) -> list[list[int]]:
+    """Codes for the vectors in the last column of a batch, whose first column is the label."""
     vectors, codes = _doubles(batch.column(batch.num_columns - 1)), [None] * batch.num_rows
-    by_size: dict[int, list[int]] = {}
-    for i, v in enumerate(vectors):
-        by_size.setdefault(len(v), []).append(i)
-    for members in by_size.values():
+    groups: dict[tuple[object, int], list[int]] = {}
+    for i, (label, v) in enumerate(zip(batch.column(0).to_pylist(), vectors, strict=True)):
+        groups.setdefault((label, len(v)), []).append(i)
+    for (label, _), members in groups.items():
         x = np.array([vectors[i] for i in members])
-        for i, c in zip(members, forest.leaves(x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
+        for i, c in zip(members, forest.leaves(label, x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
             codes[i] = c
     return codes
 
@@ -153,11 +162,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     src = src.withColumn("ok", F.coalesce(ok, F.lit(False)))
     classes = cut(src.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     total = classes.count()
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    depth = max(0, math.ceil(math.log2(largest / LEAF))) if largest else 0
-    share = min(1.0, SAMPLE / max(1, total))
-    sample = classes.where(F.shiftrightunsigned(F.xxhash64("rep", F.lit(SEED)), 11) / F.lit(float(1 << 53)) < share).select("v").toArrow()
-    forest = spark.sparkContext.broadcast(Forest(depth, _doubles(sample.column(0).combine_chunks()) if sample.num_rows else []))
+    share = min(1.0, max(SAMPLE, ROOT * math.sqrt(total)) / max(1, total))
+    sample = classes.where(F.shiftrightunsigned(F.xxhash64("rep", F.lit(SEED)), 11) / F.lit(float(1 << 53)) < share).select("label", "v").toArrow()
+    drawn = list(zip(sample["label"].to_pylist(), _doubles(sample["v"].combine_chunks()), strict=True)) if sample.num_rows else []
+    forest = spark.sparkContext.broadcast(Forest(share, drawn))
     label_type = classes.schema["label"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
