@@ -1,4 +1,4 @@
-"""What a session needs before Python code of this package runs on its executors."""
+"""What a session needs before Python code of this package runs on its executors, and where it writes what it shares."""
 
 from __future__ import annotations
 
@@ -26,8 +26,16 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Use the checkpoint folder that the session names; only where none is named make a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that is set, else that of spark.checkpoint.dir.
+
+    Only a master in one process ("local", as in tests) may go without and gets a temporary
+    one; a cluster without the setting is an error, since its machines share no local folder.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohortlens-checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
