@@ -9,8 +9,10 @@ remembers a bounded number of answers.
 The driver reads the vocabulary file (its path is a parameter) and broadcasts
 it; its size is that of the file, whatever the corpus.
 
-Defined cases: null text counts as empty (no ids); repeated rows are encoded
-each; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text counts as empty (no ids); rows that repeat a doc_id or
+have none are encoded each; pairs of equal rank (ties) merge from the left; a text
+is encoded whole by the task that reads it; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ import html
 import re
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no rendered text.
-HIDDEN = frozenset("script style template noscript head title select option button textarea svg iframe object canvas audio video math map datalist".split())
+#: Elements whose content is no text of the page: scripts, styles, form controls and frames.  Formulas, drawings and fallbacks are left to the trees.
+HIDDEN = frozenset("script style template head title select option button textarea iframe datalist".split())
 RAW = frozenset("script style textarea title iframe noframes xmp".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -54,7 +54,17 @@ class Page:
     def _read(self, s: str) -> None:
         tag, parent, attrs, pieces = self.tag, self.parent, self.attrs, self.pieces
         stack, hidden, at, size = [0], 0, 0, len(s)
+        open_tags: dict[str, int] = {}  # of the stack, so that a tag that isn't open costs no search
         match = _TOKEN.search
+
+        def close(i: int) -> int:
+            """Pop the stack down to i; how many hidden elements went."""
+            gone = [tag[x] for x in stack[i:]]
+            del stack[i:]
+            for g in gone:
+                open_tags[g] -= 1
+            return sum(g in HIDDEN for g in gone)
+
         while at < size:
             m = match(s, at)
             if m is None:
@@ -66,13 +76,13 @@ class Page:
             at = m.end()
             if m[2]:
                 t = m[2].lower()
-                if drop := CLOSES.get(t):
+                drop = CLOSES.get(t)
+                if drop and any(open_tags.get(x) for x in drop):
                     scope = SCOPE.get(t)
                     for i in range(len(stack) - 1, 0, -1):
                         open_ = tag[stack[i]]
                         if open_ in drop:
-                            hidden -= sum(tag[x] in HIDDEN for x in stack[i:])
-                            del stack[i:]
+                            hidden -= close(i)
                         elif open_ in (scope or _WALLS):
                             break
                 if t in BLOCK:
@@ -88,14 +98,15 @@ class Page:
                     if not end:
                         break
                 stack.append(len(tag) - 1)
+                open_tags[t] = open_tags.get(t, 0) + 1
                 hidden += t in HIDDEN
             elif m[1]:
                 t = m[1].lower()
-                for i in range(len(stack) - 1, 0, -1):
-                    if tag[stack[i]] == t:
-                        hidden -= sum(tag[x] in HIDDEN for x in stack[i:])
-                        del stack[i:]
-                        break
+                if open_tags.get(t):
+                    for i in range(len(stack) - 1, 0, -1):
+                        if tag[stack[i]] == t:
+                            hidden -= close(i)
+                            break
                 if t in BLOCK or t in VOID:
                     pieces.append((stack[-1], None))
 

@@ -19,8 +19,10 @@ to cells, so that every split has its spill.  Recall is measured against brute f
 
 Defined cases: a label or vector that is null, a vector that is empty, zero or
 holds null or non-finite components links with nothing (n_links 0, its own
-component); vectors of different lengths don't link; an empty table gives an
-empty result; other columns are ignored.
+component); vectors of different lengths don't link; equal vectors of a label
+(repeated rows) link with each other; a cosine of exactly the threshold links;
+a row without vec_id links with nothing; rows that repeat a vec_id are vectors of
+their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,12 +157,13 @@ def _compare(code: int, side: np.ndarray, ids: np.ndarray, copies: np.ndarray, c
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """id, n_links, component_id, kept; one row for each row of vectors."""
     spark = vectors.sparkSession
-    small_batches(spark, 1024)
+    small_batches(spark)
     src = kept_columns(vectors, id_col, vector_col, label_col).toDF("vec_id", "v", "label")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    ok = F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0)
+    ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0)
     src = src.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    classes = cut(src.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    classes = src.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     total = classes.count()
     share = min(1.0, max(SAMPLE, ROOT * math.sqrt(total)) / max(1, total))
     sample = classes.where(F.shiftrightunsigned(F.xxhash64("rep", F.lit(SEED)), 11) / F.lit(float(1 << 53)) < share).select("label", "v").toArrow()
@@ -171,23 +174,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_leaf_rows(forest.value, b), pa.list_(pa.int64()))], names=["label", "rep", "copies", "v", "codes"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_leaf_rows(forest.value, b), pa.list_(pa.int64()))], names=["label", "cid", "copies", "v", "codes"])
 
     v_type = classes.schema["v"].dataType.simpleString()
-    dealt = classes.select("label", "rep", "copies", "v").mapInArrow(assign, f"label {label_type}, rep bigint, copies bigint, v {v_type}, codes array<bigint>")
-    rows = dealt.select("label", "rep", "copies", "v", "codes", F.explode("codes").alias("code"))
+    dealt = classes.select("label", "cid", "copies", "v").mapInArrow(assign, f"label {label_type}, cid bigint, copies bigint, v {v_type}, codes array<bigint>")
+    rows = dealt.select("label", "cid", "copies", "v", "codes", F.explode("codes").alias("code"))
     full = rows.groupBy("label", "code").count().where(F.col("count") > BLOCK)
     full = cut(full.select("label", "code", F.ceil(F.col("count") / F.lit(float(BLOCK))).cast("int").alias("blocks")))
     if full.limit(1).count():
         rows = rows.join(full, ["label", "code"], "left")
     else:
         rows = rows.withColumn("blocks", F.lit(None).cast("int"))
-    own = F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("cid", F.lit(SEED)), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, own).alias("a"), F.greatest(j, own).alias("b"), own.alias("own")))
     one = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("own")))
     rows = rows.withColumn("cell", F.explode(F.when(F.col("blocks") > 1, cells).otherwise(one)))
     key = F.struct("label", F.size("v").alias("n"), "code", F.col("cell.a").alias("a"), F.col("cell.b").alias("b"))
-    rows = rows.select(F.to_json(key).alias("key"), "code", F.col("cell.own").alias("side"), "rep", "copies", "codes", "v")
+    rows = rows.select(F.to_json(key).alias("key"), "code", F.col("cell.own").alias("side"), "cid", "copies", "codes", "v")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,16 +212,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         yield from flush()
 
     found = cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "u bigint, v bigint, n bigint"))
-    counts = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
-    roots = components(found.where("u <> v").select("u", "v"))
+    counts = found.groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("n"))
+    roots = cut(components(found.where("u <> v").select("u", "v")).select(F.col("node").alias("cid"), "root"))
+    least = roots.join(classes.select("cid", "rep"), "cid").groupBy("root").agg(F.min("rep").alias("least"))
     by_class = (
-        classes.join(counts, "rep", "left")
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+        classes.join(counts, "cid", "left")
+        .join(roots.join(least, "root"), "cid", "left")
+        .select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     )
     linked = src.where("ok").join(by_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = src.where("not ok").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op6_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,4 +230,14 @@ def op6_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_embedding_duplicates": op6_embedding_duplicates}
-ORACLES: dict[str, str] = {}
+#: Brute force over all pairs of a label, and links followed to the end: for small tables.
+OP6_SQL = f"""
+with recursive v as (select vec_id, label, embedding::double[] as x from embeddings where vec_id is not null and label is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda y: y is null or isnan(y) or isinf(y))) = 0 and len(list_filter(embedding, lambda y: y <> 0)) > 0),
+e as (select a.vec_id as i, b.vec_id as j from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x) where list_cosine_similarity(a.x, b.x) >= {THRESHOLD:e}),
+r(i, j) as (select i, j from e union select r.i, e.j from r join e on e.i = r.j),
+m as (select i, least(i, min(j)) as c from r group by i), n as (select i, count(*) as n from e group by i)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(c, vec_id) as component_id, coalesce(c, vec_id) = vec_id as kept
+from embeddings left join m on m.i = vec_id left join n on n.i = vec_id
+"""
+ORACLES = {"op6_embedding_duplicates": OP6_SQL}

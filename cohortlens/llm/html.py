@@ -12,8 +12,10 @@ that this module composes itself from common layouts (fixed seed), where each
 part's role is known.  Nothing of the corpus is used to fit.
 
 Defined cases: null or empty html gives the empty string; broken markup is read
-as far as it goes, to the end of the page; repeated rows are extracted each; an
-empty table gives an empty result; other columns are ignored.
+as far as it goes, to the end of the page; a page is read whole however long;
+of equal choices (ties) an element is kept whole before it is dropped or split;
+repeated rows and those without page_id are extracted each; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     for node, piece in page.pieces:
         if piece and (size := len(piece.strip())):
             own[node] += size
-            marks[node] += len(_MARKS.findall(piece)) if size < 2000 else piece.count(".") + piece.count(",")
+            marks[node] += len(_MARKS.findall(piece))
             if first[node] < 0:
                 first[node] = total
             total += size
@@ -296,7 +298,7 @@ def train() -> BoostedTrees:
 def extract_main_text(pages: DataFrame, model: BoostedTrees | None = None) -> DataFrame:
     """page_id, url, text, n_chars; one row a page."""
     spark = pages.sparkSession
-    small_batches(spark, 128)
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model or train())
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

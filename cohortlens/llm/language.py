@@ -11,12 +11,16 @@ search a character, shorter contexts being looked up for the misses only.
 The language with the least cross-entropy per character wins.  The score is a
 posterior whose temperature is fitted on labelled documents that were not
 counted; a text is rejected if its least cross-entropy lies above what those
-documents show, or the posterior is under ``MIN_SCORE``.
+documents and pieces of them, by length, show, or the posterior is under
+``MIN_SCORE``.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0 and
 rejected; with no labelled rows at all everything is ``und``; ties go to the
 first language in code point order; rows with null doc_id or lang are scored but
-not learned from; other columns are ignored.
+not learned from (such a doc_id is not held out), nor are texts of more than
+``SAMPLE_CHARS`` code points, which bounds what the sample holds; a text is scored
+over its whole length, a block at a time; rows that repeat a doc_id are scored
+each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +42,13 @@ ORDER = 4
 #: Labelled documents a language to learn from, whatever the size of the corpus: counted, and held back to calibrate.
 SAMPLE_DOCS = 400
 CALIBRATION_DOCS = 200
+SAMPLE_CHARS = 1_000_000
 MIN_SCORE = 0.3
-#: Nats per character, over the root of their number, that a text may lie above the limit: short texts vary more.
-SPREAD = 12.0
+#: The limit of a long text's nats per character is MARGIN times the 99 % quantile of the held-back documents.  A text of n characters
+#: may lie higher by a spread over the root of n: SHORT_MARGIN times the 99 % quantile of what their pieces of these lengths lie above the
+#: median (rarer pieces are keys and other junk inside documents, not texts of a language).
+MARGIN, SHORT_MARGIN = 1.5, 2.5
+PIECES, PER_LENGTH = (20, 40, 80, 160, 320), 8
 SPLIT = 5
 UND = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -222,8 +230,21 @@ class KneserNey:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def calibrate(self, n: np.ndarray, h: np.ndarray, truth: np.ndarray) -> None:
-        """Temperature by least log loss over a grid; limit of the least cross-entropy from what labelled texts show."""
+    def pieces(self, text: str, language: int) -> list[tuple[int, float]]:
+        """(length, cross-entropy per character in a language) of evenly spaced pieces of a text."""
+        cp = letters(text)
+        if not len(cp):
+            return []
+        total = np.r_[0, np.cumsum(-self._log_probs(self._keys(cp), ORDER)[:, language].astype(np.float64))]
+        out = []
+        for n in PIECES:
+            if n < len(total):
+                at = np.unique(np.linspace(0, len(total) - 1 - n, PER_LENGTH).astype(np.int64))
+                out += [(n, float(x)) for x in (total[at + n] - total[at]) / n]
+        return out
+
+    def calibrate(self, n: np.ndarray, h: np.ndarray, truth: np.ndarray, pieces: np.ndarray) -> None:
+        """Temperature by least log loss over a grid; limit of the least cross-entropy from what labelled texts and pieces (length, cross-entropy) show."""
         if not len(n):
             return
         best = (np.inf, (1.0, 0.0))
@@ -234,7 +255,8 @@ class KneserNey:
                 best = min(best, (loss, self.temperature))
         self.temperature = best[1]
         own = h[np.arange(len(n)), truth]
-        self.limit = (float(np.quantile(own, 0.99)) * 1.5, SPREAD)
+        above = (pieces[:, 1] - np.median(own)) * np.sqrt(pieces[:, 0]) if len(pieces) else np.zeros(1)
+        self.limit = (float(np.quantile(own, 0.99)) * MARGIN, max(float(np.quantile(above, 0.99)), 0.0) * SHORT_MARGIN)
 
     def decide(self, docs: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether rejected, of each text."""
@@ -251,16 +273,17 @@ def learn(docs: DataFrame, *, exclude_fold: int | None = 0) -> KneserNey | None:
     spark = docs.sparkSession
     small_batches(spark)
     fold = F.crc32(F.col("doc_id").cast("string")) % SPLIT
-    rows = kept_columns(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    rows = kept_columns(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     if exclude_fold is not None:
         rows = rows.where(fold != exclude_fold)
-    # one row a language comes to the driver
-    sizes = {r["lang"]: r["count"] for r in kept_columns(docs, "doc_id", "lang").where("lang is not null").groupBy("lang").count().collect()}
+    # one row a language comes to the driver; texts aren't read for it
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for k, c in sorted(sizes.items()) for x in (k, min(1.0, 1.25 * (SAMPLE_DOCS + CALIBRATION_DOCS) / c))])
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 11) / F.lit(float(1 << 53))
     counted = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(SAMPLE_DOCS + CALIBRATION_DOCS)) < SAMPLE_DOCS
+    rows = rows.where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
     sample = cut(rows.where(u < F.element_at(share, F.col("lang"))).select("lang", counted.alias("counted"), "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,18 +303,20 @@ def learn(docs: DataFrame, *, exclude_fold: int | None = 0) -> KneserNey | None:
         return None
     model = KneserNey.fit(counts)
     sent = spark.sparkContext.broadcast(model)
+    place = {x: i for i, x in enumerate(model.languages)}
+    floats = pa.list_(pa.float64())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, h = sent.value.entropies(texts(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(n), pa.array(list(h), pa.list_(pa.float64()))], names=["lang", "n", "h"])
-
-    held = sample.where("not counted").select("lang", "text").mapInArrow(measure, "lang string, n bigint, h array<double>").toArrow()
-    place = {x: i for i, x in enumerate(model.languages)}
-    rows_ = [(place[x], n, h) for x, n, h in zip(*(held.column(i).to_pylist() for i in range(3)), strict=True) if n and x in place]
-    if rows_:
-        truth, n, h = zip(*rows_, strict=True)
-        model.calibrate(np.array(n), np.array(h), np.array(truth))
+            own = [(place[x], t) for x, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True) if x in place]
+            n, h = sent.value.entropies([t for _, t in own])
+            parts = [[v for p in sent.value.pieces(t, i) for v in p] for i, t in own]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array(n), pa.array(list(h), floats), pa.array(parts, floats)], names=["lang", "n", "h", "pieces"])
+
+    held = sample.where("not counted").select("lang", "text").mapInArrow(measure, "lang bigint, n bigint, h array<double>, pieces array<double>").toArrow()
+    if rows_ := [r for r in zip(*(c.to_pylist() for c in held.columns), strict=True) if r[1]]:
+        truth, n, h, parts = zip(*rows_, strict=True)
+        model.calibrate(np.array(n), np.array(h), np.array(truth), np.array([v for p in parts for v in p]).reshape(-1, 2))
     return model
 
 
@@ -333,7 +358,7 @@ def keep_identified(docs: DataFrame, model: KneserNey | None) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, learn(docs))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % SPLIT == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % SPLIT == 0, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 

@@ -11,7 +11,9 @@ Everything is a projection of one row: no shuffle, no Python.  Repeated windows
 are looked for exactly, by sorting the windows of a text that has any.
 
 Defined cases: null text counts as empty; a text without words fails the base
-rules; repeated rows and extra columns make no difference to a row's result.
+rules; equal windows and lines (ties) count each; a text is judged whole, in memory
+that grows with its length; repeated rows, a null doc_id and extra columns make no
+difference to a row's result; an empty table gives an empty result.
 """
 
 from __future__ import annotations

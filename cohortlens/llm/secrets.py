@@ -8,7 +8,10 @@ header is a JSON object naming an algorithm.
 
 Spans are in code points, end exclusive, over the whole text.  Defined cases:
 null text counts as empty; a text without secrets has zero counts and the digest
-of the empty string; repeated rows are scanned each; other columns are ignored.
+of the empty string; spans of equal starts (ties) are in the order of their kinds;
+a text is scanned whole, in time that grows with its length; rows that repeat a
+doc_id or have none are scanned each; an empty table gives an empty result; other
+columns are ignored by the scan and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ _RANK = {k: i for i, k in enumerate(KINDS)}
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\:,-]*?)-----END \1-----")
+#: A body goes on to the next five dashes, so that a file without an end costs its own length only.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s\\:,]|-(?!----))*+)-----END \1-----")
 RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 RUN16 = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 #: DER tags of a key: integer, bit string, octet string, null, object identifier, sequence, set, and the context tags (primitive ones: 0x81 is the public key of a PKCS#8 v2 key).
@@ -211,5 +215,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("n_spans")
 
 
-QUERIES = {"op10_secret_scan": op10_secret_scan}
-ORACLES: dict[str, str] = {}
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express."""
+    return op10_secret_scan(spark, sf_dir).drop("spans")
+
+
+#: Each match of a pattern is the first occurrence of its own text after the end of the match before it.
+BASE_SQL = rf"""
+with recursive d as (select doc_id, coalesce(text, '') as text from documents),
+p(kind, k, pattern) as (values ('assign', 0, '{ASSIGN.pattern.replace("'", "''")}'), ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]{{24,}}')),
+m as (select doc_id, kind, k, text, case k when 0 then regexp_extract_all(text, (select pattern from p where k = 0)) when 1 then regexp_extract_all(text, 'AKIA[A-Z0-9]+') else regexp_extract_all(text, '[0-9a-f]{{24,}}') end as l from d, p),
+r(doc_id, kind, k, text, l, i, a, z) as (
+  select doc_id, kind, k, text, l, 0, 0::bigint, 0::bigint from m where len(l) > 0
+  union all select doc_id, kind, k, text, l, i + 1, z + instr(substr(text, z + 1), l[i + 1]) - 1, z + instr(substr(text, z + 1), l[i + 1]) - 1 + length(l[i + 1]) from r where i < len(l)),
+s as (select * from r where i > 0 and (k <> 1 or z - a >= 20) and (k <> 0 or length(regexp_extract(l[i], '^(?:{_EITHER})["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6)),
+n as (select doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex, string_agg(kind || ':' || a || ':' || z, ',' order by a, k) as spans from s group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256 from d left join n using (doc_id)
+"""
+
+QUERIES = {"op10_secret_scan": op10_secret_scan, "secret_base_spans": secret_base_spans}
+ORACLES = {"secret_base_spans": BASE_SQL}

@@ -15,8 +15,10 @@ its rows: cells together see each pair, and none holds more than about two
 blocks.
 
 Defined cases: null text counts as empty, whose fingerprint is zero; repeated
-rows and ties share a class; an empty table gives an empty result; other columns
-are ignored.
+rows and ties share a class; a null doc_id is never a smallest one, so a component
+of such rows only has a null component_id; a text is held whole by the task that
+reads it, its hashes in parts of 65,536; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, kept_columns, small_batches, table, texts
+from .common import cut, kept_columns, numbered, small_batches, table, texts
 from .graph import components
 
 MAX_BITS = 3
@@ -37,7 +39,8 @@ SEED = 42
 HOT = 4096
 #: Up to this many rows of a bucket are compared by shifts; more by blocks of a matrix.
 _SHIFTS = 24
-_HOT_SCHEMA = "key bigint, sp int, fp bigint"
+#: Rows that are compared at once; a key's rows stay together beyond it.
+_ROWS = 10_000
 
 
 def fingerprint(text: str) -> int:
@@ -131,6 +134,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key -> verified links; the last key of a batch waits for the next one."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
 
     def flush(rows):
         if rows:
@@ -143,11 +147,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if not len(cols[0]):
             continue
+        size += len(cols[0])
         cut_at = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-        if cut_at:
+        if size >= _ROWS and (cut_at or held and held[-1][0][-1] != cols[0][0]):
             yield from flush([*held, tuple(c[:cut_at] for c in cols)])
-            held = []
-        held.append(tuple(c[cut_at:] for c in cols))
+            held, cols = [], tuple(c[cut_at:] for c in cols)
+            size = len(cols[0])
+        held.append(cols)
     yield from flush(held)
 
 
@@ -185,22 +191,39 @@ def links(classes: DataFrame) -> DataFrame:
         ordered = rows.repartition("key", "sp").sortWithinPartitions("key", "sp")
     else:
         ordered = rows.repartition("key").sortWithinPartitions("key")
-    small_batches(spark, 10_000)
     return ordered.mapInArrow(_verify, "u bigint, v bigint")
 
 
+def _grouped(fps: DataFrame, smallest: Column) -> DataFrame:
+    """fp and component: the smallest value of its component, for every fingerprint of fps."""
+    classes = fps.groupBy("fp").agg(F.min(smallest).alias("rep"))
+    roots = components(cut(links(classes)))
+    members = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = members.groupBy("root").agg(F.min("rep").alias("component"))
+    return members.join(least, "root").select("fp", "component")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links, itself included)."""
     fps = cut(fingerprints(docs))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(cut(links(classes)))
-    members = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    # only fingerprints with links need a minimum over their component; the others stand for themselves
-    least = members.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = members.join(least, "root").select("fp", "component_id")
+    by_fp = _grouped(fps, F.col("doc_id")).withColumnRenamed("component", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of docs, all columns, for each component: that of the smallest doc_id (null last, then by a hash of the text).
+
+    Rows get numbers of their own first, so that one of equal rows stays.
+    """
+    rows, row = numbered(docs)
+    src = kept_columns(rows, row, "doc_id", "text").toDF("row", "doc_id", "text")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("bigint").alias("doc_id"), "h", "row")
+    fps = cut(fingerprints(src.select(F.col("row").alias("doc_id"), "text")))
+    keyed = fps.withColumnRenamed("doc_id", "row").join(src.select("row", "doc_id", F.xxhash64("text").alias("h")), "row")
+    kept = _grouped(keyed, first).select(F.col("component.row").alias(row)).distinct()
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

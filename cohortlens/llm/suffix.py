@@ -4,32 +4,36 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier.
 Suffixes are kept at sampled positions only: in every window of ``LENGTH`` bytes
 the position whose next ``LEAD`` bytes hash lowest.  The choice depends on the
 window's bytes alone, so equal windows hold the same sampled suffix at the same
-offset, and each repeat is seen at one of them.  About 3 % of the positions are
+offset, and each repeat is seen at one of them.  About 4 % of the positions are
 sampled.
 
 1. Each task finds the sampled suffixes of its documents and hashes their leading
-   bytes and their whole surroundings (all windows around the position).  Equal
-   surroundings in a task are settled there: all but the first are covered.
-2. Suffixes meet by the hash of their leading bytes.  Those that are alone drop
-   out; equal surroundings are settled again; what is left has repeated leading
-   bytes and differing surroundings.
-3. For these the bytes are fetched.  Sampled splitters range-partition the
-   suffixes by their leading bytes; each bucket is sorted by multikey quicksort
-   with 8-byte characters, neighbours are compared (longest common prefixes), and
-   for each offset the windows are equal whose suffixes lie in one run of common
-   prefixes and whose bytes to the left agree.  Equal leading bytes never straddle
-   a boundary of buckets, except those of more than ``LARGE`` suffixes, whose
-   windows are compared across all buckets by a grouped minimum.
+   bytes and their whole surroundings (all windows around the position).  This is
+   the aggregation before the shuffle: of equal surroundings in one task all but
+   the first are covered, and only the first goes on.
+2. A filter: suffixes whose leading bytes hash like no others' repeat nothing.
+3. All others are sorted.  Sampled splitters range-partition them by their bytes
+   (place breaks ties, so the suffixes of a hot passage are cut into buckets like
+   any others); each bucket is sorted by multikey quicksort with 8-byte
+   characters and neighbours are compared (longest common prefixes).  For each
+   offset those windows are equal whose suffixes lie in one run of common prefixes
+   and whose bytes to the left agree.  A bucket's first and last runs may go on in
+   the buckets before and after: the first of each of their different windows is
+   compared across the boundaries by a grouped minimum.
 4. Covered ranges meet their documents, are merged, and the bytes are cut out.
 
-Hot passages: equal surroundings leave a task once; leading bytes with many
-different surroundings in one task are known to repeat, so these suffixes skip
-step 2 (one stands in for them) and go on by a key of their own.
+Hot leading bytes: where one task has more than ``MANY`` different surroundings
+of the same leading bytes these are known to repeat, so the suffixes skip step 2
+(one stands in for them) under a key of their own.  A bucket aims at ``BUCKET``
+suffixes (about 0.5 kB each in memory) up to ``MAX_BUCKETS`` buckets, which is
+some 600 GB of text; beyond that buckets grow with the input.
 
 Defined cases: null text counts as empty; documents under LENGTH bytes are never
-changed; rows that repeat a doc_id count as one document; rows without a doc_id
-are left as they are and are compared with nothing; an empty table gives an
-empty result; other columns are ignored.
+changed; a null doc_id is later than all others; rows of one doc_id with
+different texts are documents of their own, in the order of a hash of their
+texts, and rows that agree in doc_id and text are one document, whose result each
+of them gets; a text is held whole by the task that reads it; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, kept_columns, small_batches, table, texts
@@ -51,8 +56,10 @@ WINDOW = LENGTH - LEAD + 1  # sampled positions are at most WINDOW - 1 bytes int
 BACK = WINDOW - 1
 #: Different surroundings of the same leading bytes, in one task, from which on they are known to repeat.
 MANY = 64
-#: Suffixes with the same leading bytes that one task compares.
-LARGE = 40_000
+#: Suffixes that a bucket aims at, and the most buckets.
+BUCKET, MAX_BUCKETS = 30_000, 100_000
+#: The place of a row without doc_id: after all others.
+LAST = (1 << 63) - 1
 SEGMENT = 1 << 20
 _BUFFER = 1_000_000
 
@@ -125,65 +132,71 @@ def merged(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], z[np.r_[np.flatnonzero(new)[1:] - 1, len(z) - 1]]
 
 
-# Kinds of rows between steps 1 and 2, in the low bits of meta: (position << 10) | (right length << 2) | kind
+# Kinds of rows between steps 1 and 2, in the low bits of meta: (position << 2) | kind
 _SUFFIX, _RANGE, _SKIP, _STAND_IN = range(4)
-_ROWS = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("meta", pa.int64())])
-_FOUND = pa.schema([("doc", pa.int64()), ("a", pa.int64()), ("z", pa.int64()), ("k", pa.int64())])
+_ROWS = pa.schema([(n, pa.int64()) for n in ("key", "doc", "sub", "meta", "z")])
+_ROWS_DDL = "key bigint, doc bigint, sub bigint, meta bigint, z bigint"
 
 
 def _batch(schema: pa.Schema, *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in cols], schema=schema)
 
 
-def _settle(k, ctx, doc, pos):
-    """Rows in order of (k, ctx, doc, pos), without repeats of one; and whether each opens a k, and a (k, ctx)."""
-    order = np.lexsort((pos, doc, ctx, k))
-    k, ctx, doc, pos = k[order], ctx[order], doc[order], pos[order]
-    new_k = np.r_[True, k[1:] != k[:-1]]
-    new_c = new_k | np.r_[True, ctx[1:] != ctx[:-1]]
-    return order, new_k, new_c
+def _ranks(*cols: np.ndarray) -> np.ndarray:
+    """Rank of each row by the columns, the first one leading; equal rows share a rank."""
+    order = np.lexsort(cols[::-1])
+    new = np.zeros(len(order), bool)
+    for c in cols:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1."""
+    """Step 1, over doc, sub and text."""
     parts: list[tuple[np.ndarray, ...]] = []
+    names: list[tuple[int, int]] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not parts:
             return
-        k, ctx, doc, pos, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+        k, ctx, own, pos, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc, sub = np.array(names, np.int64).T
         parts.clear()
-        order, new_k, new_c = _settle(k, ctx, doc, pos)
-        k, ctx, doc, pos, left, right = (x[order] for x in (k, ctx, doc, pos, left, right))
+        names.clear()
+        place = (_ranks(doc, sub)[own] << 31) | pos
+        order = np.lexsort((place, ctx, k))
+        k, ctx, own, pos, left, right, place = (x[order] for x in (k, ctx, own, pos, left, right, place))
+        new_k = np.r_[True, k[1:] != k[:-1]]
+        new_c = new_k | np.r_[True, ctx[1:] != ctx[:-1]]
         first = np.maximum.accumulate(np.where(new_c, np.arange(len(k)), 0))
-        later = ~new_c & ((doc != doc[first]) | (pos != pos[first])) & (left + right >= LENGTH)
+        later = ~new_c & (place != place[first]) & (left + right >= LENGTH)
         if later.any():
-            d, a, z = doc[later], (pos - left)[later], (pos + right)[later]
-            by = np.argsort(d, kind="stable")
-            d, a, z = d[by], a[by], z[by]
+            by = np.argsort(own[later], kind="stable")
+            d, a, z = own[later][by], (pos - left)[later][by], (pos + right)[later][by]
             cuts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
             runs = [merged(a[i:j], z[i:j]) for i, j in zip(cuts, np.r_[cuts[1:], len(d)], strict=True)]
             dd = np.repeat(d[cuts], [len(x[0]) for x in runs])
             aa, zz = np.concatenate([x[0] for x in runs]), np.concatenate([x[1] for x in runs])
-            yield _batch(_ROWS, _mix(dd.astype(np.uint64) * _ODD + aa.astype(np.uint64)), zz, dd, (aa << 10) | _RANGE)
-        k, ctx, doc, pos, right, new_k = (x[new_c] for x in (k, ctx, doc, pos, right, new_k))
+            yield _batch(_ROWS, _mix(_mix((doc[dd] ^ sub[dd]).astype(np.uint64)) + aa.astype(np.uint64)), doc[dd], sub[dd], (aa << 2) | _RANGE, zz)
+        k, own, pos, new_k = (x[new_c] for x in (k, own, pos, new_k))
         group = np.cumsum(new_k) - 1
         many = np.bincount(group)[group] > MANY
-        meta = (pos << 10) | (right << 2)
-        one = ~many
-        yield _batch(_ROWS, k[one], ctx[one], doc[one], meta[one] | _SUFFIX)
-        if many.any():
-            yield _batch(_ROWS, _mix(doc[many].astype(np.uint64) * _ODD + pos[many].astype(np.uint64)), k[many], doc[many], meta[many] | _SKIP)
-            stand = many & new_k
-            yield _batch(_ROWS, k[stand], ctx[stand], doc[stand], meta[stand] | _STAND_IN)
+        for which, kind in ((~many, _SUFFIX), (many, _SKIP), (many & new_k, _STAND_IN)):
+            if which.any():
+                d, p = own[which], pos[which]
+                key = _mix(_mix((doc[d] ^ sub[d]).astype(np.uint64)) + p.astype(np.uint64)) if kind == _SKIP else k[which]
+                yield _batch(_ROWS, key, doc[d], sub[d], (p << 2) | kind, np.zeros(len(p), np.int64))
 
     for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+        for doc, sub, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), strict=True):
             raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
             pos, k, ctx = sampled(raw)
             if len(pos):
-                parts.append((k, ctx, np.full(len(pos), doc), pos, np.minimum(pos, BACK), np.minimum(len(raw) - pos, LENGTH)))
+                parts.append((k, ctx, np.full(len(pos), len(names)), pos, np.minimum(pos, BACK), np.minimum(len(raw) - pos, LENGTH)))
+                names.append((doc, sub))
                 size += len(pos)
                 if size >= _BUFFER:
                     yield from flush()
@@ -191,175 +204,119 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, over rows sorted by key, ctx, doc, meta: ranges (z >= 0) and suffixes that go on (z = -1)."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        key, ctx, doc, meta = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        kind, pos, right = meta & 3, meta >> 10, (meta >> 2) & 255
-        for which, z, k in ((_RANGE, ctx, np.zeros_like(ctx)), (_SKIP, np.full_like(ctx, -1), ctx)):
-            if (m := kind == which).any():
-                yield _batch(_FOUND, doc[m], pos[m], z[m], k[m])
-        m = (kind == _SUFFIX) | (kind == _STAND_IN)
-        key, ctx, doc, pos, right, kind = (x[m] for x in (key, ctx, doc, pos, right, kind))
-        if not len(key):
-            return
-        new_k = np.r_[True, key[1:] != key[:-1]]
-        new_c = new_k | np.r_[True, ctx[1:] != ctx[:-1]]
-        group = np.cumsum(new_k) - 1
-        several = (np.bincount(group, weights=new_c) + np.bincount(group, weights=kind == _STAND_IN) > 1)[group]
-        first = np.maximum.accumulate(np.where(new_c, np.arange(len(key)), 0))
-        left = np.minimum(pos, BACK)
-        later = ~new_c & ((doc != doc[first]) | (pos != pos[first])) & (left + right >= LENGTH) & (kind == _SUFFIX)
-        yield _batch(_FOUND, doc[later], (pos - left)[later], (pos + right)[later], np.zeros(later.sum(), np.int64))
-        go = several & (kind == _SUFFIX) & (new_c | ~later)
-        yield _batch(_FOUND, doc[go], pos[go], np.full(go.sum(), -1), key[go])
-
-    for b in batches:
-        cols = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        if not len(cols[0]):
-            continue
-        same = np.flatnonzero(cols[0] != cols[0][-1])
-        at = int(same[-1]) + 1 if len(same) else 0
-        if at or (held and held[-1][0][-1] != cols[0][0]):
-            if at:
-                held.append(tuple(c[:at] for c in cols))
-            yield from flush()
-        held.append(tuple(c[at:] for c in cols))
-    yield from flush()
-
-
-_BYTES = pa.schema([("lead", pa.binary()), ("rest", pa.binary()), ("back", pa.binary()), ("doc", pa.int64()), ("pos", pa.int64()), ("large", pa.bool_())])
+_BYTES = pa.schema([("text", pa.binary()), ("back", pa.binary()), ("doc", pa.int64()), ("sub", pa.int64()), ("pos", pa.int64())])
+_BYTES_DDL = "text binary, back binary, doc bigint, sub bigint, pos bigint"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, wanted (array of pos and large) -> the bytes around each wanted position."""
+    """doc, sub, text, wanted positions -> each wanted suffix and the bytes before it."""
     for b in batches:
         rows = []
-        for doc, text, wanted in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), strict=True):
+        for doc, sub, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3).to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            for w in wanted:
-                p = w["a"]
-                rows.append((raw[p : p + LEAD], raw[p + LEAD : p + LENGTH], raw[max(0, p - BACK) : p], doc, p, w["large"]))
+            rows += [(raw[p : p + LENGTH], raw[max(0, p - BACK) : p], doc, sub, p) for p in wanted]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BYTES, strict=True)], schema=_BYTES)
 
 
-def _matrix(column: list[bytes], width: int, *, to_right: bool = False) -> np.ndarray:
-    """Byte strings as rows of equal width, filled up with zeros."""
-    pad = (lambda s: s.rjust(width, b"\0")) if to_right else (lambda s: s.ljust(width, b"\0"))
-    return np.frombuffer(b"".join(map(pad, column)), np.uint8).reshape(len(column), width)
-
-
-def multikey_sort(words: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Order of rows by (group, words): each round partitions all segments of still equal rows by their next character."""
-    order = np.argsort(group, kind="stable")
-    seg = np.cumsum(np.r_[0, group[order][1:] != group[order][:-1]])
-    open_ = np.arange(len(order))
-    for c in range(words.shape[1]):
-        size = np.bincount(seg[open_], minlength=len(order))
-        open_ = open_[size[seg[open_]] > 1]
-        if not len(open_):
-            break
-        rows, own = order[open_], seg[open_]
-        by = np.lexsort((words[rows, c], own))
+def _matrix(column: pa.Array, width: int, *, to_right: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings as rows of equal width, filled up with zeros, and their lengths."""
+    n = len(column)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
+    size = np.diff(at)
+    out = np.zeros((n, width), np.uint8)
+    place = np.arange(at[-1] - at[0]) - np.repeat(at[:-1] - at[0] - (width - size if to_right else 0), size)
+    out[np.repeat(np.arange(n), size), place] = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return out, size.astype(np.int64)
+
+
+def multikey_sort(words: np.ndarray) -> np.ndarray:
+    """Order of rows of characters by multikey quicksort.
+
+    Each segment is split in three by its pivot's character; the middle part goes on with the
+    next character, the others with the same one.  All open segments take a step at once.
+    """
+    n, width = words.shape
+    order, start, depth = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    open_ = np.arange(n) if n > 1 else np.arange(0)
+    while len(open_):
+        rows, own, d = order[open_], start[open_], depth[open_]
+        c = words[rows, d]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        size = np.diff(np.r_[first, len(own)])
+        three = np.sort(np.stack([c[first], c[first + size // 2], c[first + size - 1]]), axis=0)
+        pivot = np.repeat(three[1], size)
+        part = np.repeat(np.arange(len(first)) * 3, size) + 1 + (c > pivot) - (c < pivot)
+        by = np.argsort(part, kind="stable")
+        part = part[by]
         order[open_] = rows[by]
-        w = words[order[open_], c]
-        new = np.r_[True, (own[1:] != own[:-1]) | (w[1:] != w[:-1])]
-        seg[open_] = open_[np.flatnonzero(new)[np.cumsum(new) - 1]]  # a segment is named by its first place
+        new = np.r_[True, part[1:] != part[:-1]]
+        at = np.flatnonzero(new)
+        start[open_] = np.repeat(open_[at], np.diff(np.r_[at, len(part)]))
+        d = d + (part % 3 == 1)
+        depth[open_] = d
+        open_ = open_[(np.repeat(np.diff(np.r_[at, len(part)]), np.diff(np.r_[at, len(part)])) > 1) & (d < width)]
     return order
 
 
-def covered(lead: list[bytes], rest: list[bytes], back: list[bytes], doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end) of what earlier windows cover, among suffixes whose equal leads are all here."""
-    n = len(lead)
-    right = np.array([len(x) + LEAD for x in rest])
-    left = np.array([len(x) for x in back])
-    text = np.zeros((n, 104), np.uint8)
-    text[:, :LENGTH] = np.concatenate([_matrix(lead, LEAD), _matrix(rest, LENGTH - LEAD)], axis=1)
-    words = text.view(">u8").astype(np.uint64)
-    _, group = np.unique(_mix(_mix(_mix(words[:, 0]) + words[:, 1]) + words[:, 2] * _ODD) + _mix(words[:, 3]), return_inverse=True)
-    order = multikey_sort(words, group)
-    text, right, left, doc, pos, group = text[order], right[order], left[order], doc[order], pos[order], group[order]
-    ahead = _matrix(back, BACK, to_right=True)[order]
-    up, down = _powers()
-    c = np.zeros((n, BACK + 1), np.uint64)
-    np.cumsum(_BYTE[ahead[:, ::-1]] * up[:BACK], axis=1, out=c[:, 1:])  # c[:, o] is a hash of the o bytes before
+def covered(text: np.ndarray, right: np.ndarray, back: np.ndarray, left: np.ndarray, doc: np.ndarray, sub: np.ndarray, pos: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """What earlier windows of the bucket cover, as (doc, sub, start, end), and the windows to compare
+    across its boundaries, as (doc, sub, start, hash, other hash)."""
+    n = len(text)
+    order = multikey_sort(text.view(">u8").astype(np.uint64))
+    text, right, back, left, doc, sub, pos = (x[order] for x in (text, right, back, left, doc, sub, pos))
     differ = text[1:, :LENGTH] != text[:-1, :LENGTH]
     lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
-    lcp = np.r_[0, np.where(group[1:] == group[:-1], np.minimum(lcp, np.minimum(right[1:], right[:-1])), 0)]
-    by_place = np.lexsort((pos, doc))
-    place = np.empty(n, np.int64)
-    place[by_place] = np.arange(n)
-    same_place = np.r_[False, (doc[by_place][1:] == doc[by_place][:-1]) & (pos[by_place][1:] == pos[by_place][:-1])]
-    place = (np.arange(n) - np.where(same_place, 1, 0))[place] if same_place.any() else place
+    lcp = np.r_[0, np.minimum(lcp, np.minimum(right[1:], right[:-1]))]
+    place = _ranks(doc, sub, pos)
+    up, _ = _powers()
+    c = np.zeros(n, np.uint64)  # a hash of the o bytes before
     cov = np.zeros((n, WINDOW), bool)
+    edges = []
     for o in range(WINDOW):
+        if o:
+            c = c + _BYTE[back[:, BACK - o]] * up[o - 1]
         need = LENGTH - o
         joined = lcp >= need
-        near = joined | np.r_[joined[1:], False]
-        some = np.flatnonzero(near & (left >= o) & (right >= need))
-        if len(some) < 2:
+        run = np.cumsum(~joined)
+        edge = (run == run[0]) | (run == run[-1])
+        some = np.flatnonzero((joined | np.r_[joined[1:], False] | edge) & (left >= o) & (right >= need))
+        if not len(some):
             continue
-        run = np.cumsum(~joined)[some].astype(np.uint64)
-        w = _mix(_mix(run * _ODD) + c[some, o])
+        w = _mix(_mix(run[some].astype(np.uint64) * _ODD) + c[some])
         by = np.lexsort((place[some], w))
         w, s = w[by], some[by]
         new = np.r_[True, w[1:] != w[:-1]]
         first = s[np.flatnonzero(new)[np.cumsum(new) - 1]]
         cov[s[place[s] > place[first]], o] = True
-    edges = np.diff(np.pad(cov, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    i, low = np.nonzero(edges == 1)
-    _, high = np.nonzero(edges == -1)
-    return doc[i], pos[i] - (high - 1), pos[i] - low + LENGTH
-
-
-_SPANS = pa.schema([("doc", pa.int64()), ("a", pa.int64()), ("z", pa.int64())])
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3, over rows sorted by lead."""
-    held: list[list] = [[] for _ in range(5)]
-
-    def flush(n: int) -> Iterator[pa.RecordBatch]:
-        if n > 1:
-            d, a, z = covered(*[h[:n] for h in held[:3]], np.array(held[3][:n]), np.array(held[4][:n]))
-            yield _batch(_SPANS, d, a, z)
-        for h in held:
-            del h[:n]
-
-    for b in batches:
-        for h, c in zip(held, b.columns, strict=False):
-            h += c.to_pylist()
-        lead = held[0]
-        if len(lead) >= 16_384:
-            n = len(lead) - 1
-            while n and lead[n - 1] == lead[-1]:
-                n -= 1
-            if n:
-                yield from flush(n)
-    yield from flush(len(held[0]))
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window around suffixes of large groups: two hashes, document, start."""
-    schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc", pa.int64()), ("a", pa.int64())])
-    up, down = _powers()
-    for b in batches:
-        for lead, rest, back, doc, pos, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            x = np.frombuffer(back + lead + rest, np.uint8)
-            s = np.arange(len(x) - LENGTH + 1)
-            if len(s):
-                hs = []
-                for t in (_BYTE, _mix(_BYTE)):
-                    c = np.zeros(len(x) + 1, np.uint64)
-                    np.cumsum(t[x] * up[: len(x)], out=c[1:])
-                    hs.append(_mix((c[s + LENGTH] - c[s]) * down[s]))
-                yield _batch(schema, *hs, np.full(len(s), doc), pos - len(back) + s)
+        e = s[new & edge[s]]
+        if len(e):
+            windows = np.concatenate([back[e, BACK - o :], text[e, :need]], axis=1)
+            h, g = ((t[windows] * up[:LENGTH]).sum(axis=1, dtype=np.uint64) for t in (_BYTE, _mix(_BYTE)))
+            edges.append((doc[e], sub[e], pos[e] - o, _mix(h), _mix(g)))
+    turns = np.diff(np.pad(cov, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    i, low = np.nonzero(turns == 1)
+    _, high = np.nonzero(turns == -1)
+    return (doc[i], sub[i], pos[i] - (high - 1), pos[i] - low + LENGTH), tuple(np.concatenate(x) for x in zip(*edges, strict=True))
+
+
+_SPANS = pa.schema([(n, pa.int64()) for n in ("doc", "sub", "a", "z", "h", "g")])
+_SPANS_DDL = "doc bigint, sub bigint, a bigint, z bigint, h bigint, g bigint"
+
+
+def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 3, over the suffixes of one bucket: covered ranges, and windows of the first and last runs (z = -1)."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held).combine_chunks()
+    del held
+    cols = [c.chunk(0) for c in t.columns]
+    found, edges = covered(*_matrix(cols[0], 104), *_matrix(cols[1], BACK, to_right=True), *(c.to_numpy() for c in cols[2:]))
+    if len(found[0]):
+        yield _batch(_SPANS, *found, np.zeros(len(found[0]), np.int64), np.zeros(len(found[0]), np.int64))
+    if edges:
+        yield _batch(_SPANS, *edges[:3], np.full(len(edges[0]), -1), *edges[3:])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,48 +344,59 @@ def _release(spark: SparkSession) -> None:
 
 
 def _step_1_2(src: DataFrame) -> DataFrame:
-    rows = src.where("doc_id is not null").mapInArrow(_sample, "key bigint, ctx bigint, doc bigint, meta bigint")
-    met = rows.repartition("key").sortWithinPartitions("key", "ctx", "doc", "meta").mapInArrow(_meet, "doc bigint, a bigint, z bigint, k bigint")
-    return cut(met)
+    """doc, sub, a, z: covered ranges, and suffixes that go on (z = -1)."""
+    rows = src.select("doc", "sub", "text").mapInArrow(_sample, _ROWS_DDL)
+    kind = F.col("meta").bitwiseAND(F.lit(3))
+    met = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where(kind.isin(_RANGE, _SKIP) | ((kind == _SUFFIX) & (F.col("n") > 1)))
+    return cut(met.select("doc", "sub", F.shiftright("meta", 2).alias("a"), F.when(kind == _RANGE, F.col("z")).otherwise(F.lit(-1)).alias("z")))
 
 
 def _step_3(src: DataFrame, met: DataFrame) -> DataFrame:
-    go = met.where("z = -1").select("doc", "a", "k")
-    large = cut(go.groupBy("k").count().where(F.col("count") > LARGE).select("k", F.lit(True).alias("large")))
-    any_large = large.limit(1).count() > 0
-    go = go.join(large, "k", "left") if any_large else go.withColumn("large", F.lit(False))
-    wanted = go.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("a", F.coalesce("large", F.lit(False)).alias("large"))).alias("wanted"))
-    ddl = "lead binary, rest binary, back binary, doc bigint, pos bigint, large boolean"
-    around = src.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_fetch, ddl)
-    if any_large:
-        around = cut(around)
-    spans = around.where("not large").repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_buckets, "doc bigint, a bigint, z bigint")
-    if any_large:
-        every = around.where("large").mapInArrow(_windows, "h bigint, g bigint, doc bigint, a bigint")
-        first = every.groupBy("h", "g").agg(F.min(F.struct("doc", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        later = every.join(first, ["h", "g"]).where(F.struct("doc", "a") > F.col("first"))
-        spans = spans.unionByName(later.select("doc", "a", (F.col("a") + LENGTH).alias("z")))
-    return cut(spans)
+    go = met.where("z = -1").select("doc", "sub", "a")
+    buckets = min(max(1, -(-go.count() // BUCKET)), MAX_BUCKETS)
+    wanted = go.groupBy("doc", "sub").agg(F.collect_list("a").alias("wanted"))
+    around = src.select("doc", "sub", "text").join(wanted, ["doc", "sub"]).select("doc", "sub", "text", "wanted").mapInArrow(_fetch, _BYTES_DDL)
+    found = cut(around.repartitionByRange(buckets, "text", "doc", "sub", "pos").mapInArrow(_bucket, _SPANS_DDL))
+    edge, place = found.where("z = -1"), F.struct("doc", "sub", "a")
+    first = edge.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = edge.join(first, ["h", "g"]).where(place > F.col("first")).select("doc", "sub", "a", (F.col("a") + LENGTH).alias("z"))
+    return found.where("z >= 0").select("doc", "sub", "a", "z").unionByName(later)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay); one row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    src = kept_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    src = kept_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
+    repeated = src.groupBy("doc").count().where("count > 1").limit(1).count() > 0
+    src = src.withColumn("sub", F.xxhash64("text") if repeated else F.lit(0).cast("bigint"))
+    once = src.dropDuplicates(["doc", "sub"]) if repeated else src
     met = _step_1_2(src)
     _release(spark)
-    spans = _step_3(src, met)
+    spans = _step_3(once, met)
     _release(spark)
-    ranges = met.where("z >= 0").select("doc", "a", "z").unionByName(spans)
-    ranges = ranges.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("a", "z")).alias("ranges"))
+    ranges = met.where("z >= 0").unionByName(spans).groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "z")).alias("ranges"))
     ddl = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    return src.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut_out, ddl)
+    return src.join(ranges, ["doc", "sub"], "left").select("doc_id", "text", "ranges").mapInArrow(_cut_out, ddl)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+#: Every window of LENGTH bytes by its digest; the texts are cut into parts, since a slice costs the length of what it is cut from.
+OP2_SQL = f"""
+with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+k as (select doc_id, n, q, b[q * 512 + 1:q * 512 + {511 + LENGTH}] as s from (select *, unnest(range((n + 511) // 512)) as q from d)),
+w as (select doc_id, q * 512 + p as p, md5(s[p + 1:p + {LENGTH}]) as s from (select *, unnest(range(greatest(least(512, n - {LENGTH - 1} - q * 512), 0))) as p from k)),
+c as (select doc_id, p from (select *, min(doc_id * 2147483648 + p) over (partition by s) as f from w) where doc_id * 2147483648 + p > f),
+r as (select *, sum(o) over (partition by doc_id order by p) as run from (select doc_id, p, case when p > lag(p) over (partition by doc_id order by p) + {LENGTH} then 1 else 0 end as o from c)),
+g as (select doc_id, min(p) as a, max(p) + {LENGTH} as z from r group by doc_id, run),
+e as (select doc_id, a, z, lag(z, 1, 0) over (partition by doc_id order by a) as y from g),
+m as (select e.doc_id, sum(z - a)::bigint as n_removed, count(*)::bigint as n_spans, max(z) as last, string_agg(hex(b[y + 1:a]), '' order by a) as kept from e join d using (doc_id) group by e.doc_id)
+select d.doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(kept, '') || hex(b[coalesce(last, 0) + 1:n]))) as kept_sha256 from d left join m using (doc_id)
+"""
+
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_suffix_dedup": OP2_SQL}
