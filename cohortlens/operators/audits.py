@@ -37,6 +37,14 @@ def null_patterns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(p.alias("pattern")).where(F.col("pattern").contains("1")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
+def commonest_null_pattern(df: DataFrame, columns: list[str]) -> tuple[str | None, DataFrame]:
+    """The most frequent pattern of nulls among rows with some (the first in order of equal ones), and the (id) of the rows that have it."""
+    top = null_patterns(df, columns).orderBy(F.desc("n"), "pattern").first()
+    p = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
+    name = top["pattern"] if top else None
+    return name, df.where(p == F.lit(name)).select("id")
+
+
 def column_impact(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, null_share), from one aggregate."""
     r = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
@@ -70,6 +78,16 @@ def underperforming_group(df: DataFrame, threshold: float = 0.1, least: int = 5)
 # Crowd labels: (task_id, annotator_id, label), model: (task_id, pred_probs)
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, for what is read again and again; a table that has been is given back as it is."""
+    if getattr(df, "_written_once", False):
+        return df
+    shared_folder(df.sparkSession)
+    out = df.checkpoint()
+    out._written_once = True
+    return out
+
+
 def majority_vote(votes: DataFrame, probs: DataFrame | None = None) -> DataFrame:
     """(task_id, consensus).
 
@@ -140,7 +158,7 @@ def crowd_weights(votes: DataFrame, probs: DataFrame, consensus: DataFrame) -> t
 def crowd_posterior(votes: DataFrame, probs: DataFrame, n_classes: int, weights=None, majority: DataFrame | None = None) -> DataFrame:
     """(task_id, posterior, consensus, consensus_quality): weighted mean of the model's probabilities and the annotators' likelihoods."""
     if majority is None:
-        shared_folder(votes.sparkSession)
+        votes, probs = once(votes), once(probs)
         majority = majority_vote(votes, probs).checkpoint()
     w, mw, agree = weights or crowd_weights(votes, probs, majority)
     like = lambda c: F.when(F.col("label") == c, F.lit(agree)).otherwise(F.lit((1 - agree) / (n_classes - 1)))
@@ -186,7 +204,7 @@ def blended(columns: list[str], weights: list[float]):
 def crowd_posterior_ensemble(votes: DataFrame, probs: DataFrame, columns: list[str], n_classes: int, majority: DataFrame | None = None) -> DataFrame:
     """As crowd_posterior for several models: ties by their mean, each with a weight of its own in the posterior."""
     if majority is None:
-        shared_folder(votes.sparkSession)
+        votes, probs = once(votes), once(probs)
         majority = majority_vote(votes, probs.select("task_id", mean_probs(columns).alias("pred_probs"))).checkpoint()
     w, models, agree = ensemble_weights(votes, probs, columns, majority)
     one = probs.select("task_id", blended(columns, models).alias("pred_probs"))
@@ -203,18 +221,17 @@ class Crowd:
     models: list[float]
 
 
-def crowd_labels(votes: DataFrame, probs: DataFrame, n_classes: int, columns: tuple[str, ...] = ("pred_probs",), consensus: str = "best_quality", quality: str = "crowdlab") -> Crowd:
+def crowd_labels(votes: DataFrame, probs: DataFrame, n_classes: int, columns: tuple[str, ...] = ("pred_probs",), consensus: str = "best_quality", quality: str = "posterior") -> Crowd:
     """Consensus labels (task_id, consensus, consensus_quality, agreement, n_annotations) from annotators and models.
 
     The majority gives first weights and a first posterior; its best class is the consensus
     ("best_quality"; "majority_vote" keeps the majority), from which weights, posterior and
     quality are taken anew.  Quality "agreement" uses the shares of votes and no model weights.
     """
-    if consensus not in ("best_quality", "majority_vote") or quality not in ("crowdlab", "agreement"):
+    if consensus not in ("best_quality", "majority_vote") or quality not in ("posterior", "agreement"):
         raise ValueError(f"unknown method {consensus!r} or {quality!r}")
     columns = list(columns)
-    spark = votes.sparkSession
-    shared_folder(spark)
+    votes, probs = once(votes), once(probs)
     chosen = majority_vote(votes, probs.select("task_id", mean_probs(columns).alias("pred_probs"))).checkpoint()
     if quality == "agreement":
         n = votes.groupBy("task_id").agg(F.array(*[F.count_if(F.col("label") == c) / F.count(F.lit(1)) for c in range(n_classes)]).alias("posterior"))
@@ -258,7 +275,7 @@ def active_learning_scores_ensemble(votes: DataFrame, probs: DataFrame, columns:
     lowest) is drawn towards 1 / K by the weight of one more mean annotator.  If no task has
     several labels, every annotator and model weighs 1 and nothing is rescaled.
     """
-    shared_folder(votes.sparkSession)
+    votes, probs = once(votes), once(probs)
     several = votes.groupBy("task_id").count().where("count > 1").limit(1).count() > 0
     if several:
         for c in columns:
@@ -333,51 +350,70 @@ def residual_scores(df: DataFrame) -> DataFrame:
     return df.select("id", F.exp(-F.abs(F.col("prediction") - F.col("y"))).alias("label_quality"))
 
 
-EXACT_ROWS, STRIPES = 20_000, 64
+MOST_POINTS, STRIPES = 2_000_000, 64
 
 
-def outlying_residual_scores(df: DataFrame, residual_scale: float = 5.0, share: float = 0.5) -> DataFrame:
+def outlying_residual_scores(df: DataFrame, residual_scale: float = 5.0, share: float = 0.5, cells: bool = False) -> DataFrame:
     """(id, label_quality) of df(id, y, prediction) by how far a row lies from the nearest `share` of all rows, itself included.
 
     Rows are points: the standardised label and residual_scale times the standardised residual.
-    Up to EXACT_ROWS points are compared one by one.  Beyond, the points compared with are the
-    means of at most STRIPES x STRIPES cells of equal depth, weighted by their rows, so the work
-    grows with the rows and not with their square; a mean distance is then off by less than
-    the mean radius of the cells.  What executors hold is at most EXACT_ROWS points either way.
+    Each is compared with every other one, a block of rows at a time, on executors that hold all
+    points (16 bytes each); more than MOST_POINTS of them are an error, which names the other way:
+    with cells, the points compared with are the means of at most STRIPES x STRIPES cells of equal
+    depth, weighted by their rows, so the work grows with the rows and not with their square, and a
+    mean distance is off by less than the mean radius of the cells.  Rows with a null take no part.
     """
     rows = df.select("id", F.col("y").cast("double").alias("y"), (F.col("prediction") - F.col("y")).cast("double").alias("e")).where("y is not null and e is not null")
     n, my, sy, me, se = rows.agg(F.count(F.lit(1)), F.avg("y"), F.stddev_pop("y"), F.avg("e"), F.stddev_pop("e")).first()
     if not n:
         return rows.select("id", F.lit(1.0).alias("label_quality"))
     pts = rows.select("id", ((F.col("y") - F.lit(my)) / F.lit(sy + 1e-100)).alias("a"), ((F.col("e") - F.lit(me)) / F.lit(se + 1e-100) * residual_scale).alias("b"))
-    if n <= EXACT_ROWS:
-        base = np.array([(r[0], r[1], 1.0) for r in pts.select("a", "b").collect()])
-    else:
+    if cells:
         cuts = [x / STRIPES for x in range(1, STRIPES)]
         qa, qb = pts.approxQuantile(["a", "b"], cuts, 1e-4)
         stripe = lambda c, q: F.size(F.filter(F.array(*[F.lit(x) for x in q]), lambda x: x < F.col(c)))
-        cells = pts.groupBy(stripe("a", qa).alias("u"), stripe("b", qb).alias("v")).agg(F.avg("a"), F.avg("b"), F.count(F.lit(1)).cast("double"))
-        base = np.array([tuple(r)[2:] for r in cells.collect()])
+        means = pts.groupBy(stripe("a", qa).alias("u"), stripe("b", qb).alias("v")).agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.count(F.lit(1)).cast("double").alias("w"))
+        base = means.select("a", "b", "w").toArrow()
+    elif n > MOST_POINTS:
+        raise ValueError(f"{n} rows are too many to compare one by one (at most {MOST_POINTS}): ask for cells")
+    else:
+        base = pts.select("a", "b", F.lit(1.0).alias("w")).toArrow()
     ship_package(df.sparkSession)
-    need, shared = float(np.ceil(share * n)), df.sparkSession.sparkContext.broadcast(base)
+    need, shared = float(np.ceil(share * n)), df.sparkSession.sparkContext.broadcast(tuple(c.to_numpy() for c in base.columns))
 
     def mean_distance(batches):
-        pa_, pb, weight = shared.value.T
+        x, y, weight = shared.value
+        size = max(1, (1 << 22) // len(x))
         for t in batches:
-            out = []
-            for a, b in zip(t["a"], t["b"], strict=True):
-                d = np.hypot(pa_ - a, pb - b)
-                order = np.argsort(d, kind="stable")
-                taken = np.minimum(np.maximum(need - (np.cumsum(weight[order]) - weight[order]), 0), weight[order])
-                out.append(float((d[order] * taken).sum() / need))
-            yield t[["id"]].assign(d=out)
+            a, b = t["a"].to_numpy(), t["b"].to_numpy()
+            parts = [_nearest_mean(np.hypot(a[i : i + size, None] - x, b[i : i + size, None] - y), weight, need, cells) for i in range(0, len(a), size)]
+            yield t[["id"]].assign(d=np.concatenate(parts) if parts else np.zeros(0))
 
     id_type = dict(pts.dtypes)["id"]
-    dist = pts.mapInPandas(mean_distance, f"id {id_type}, d double")
+    shared_folder(df.sparkSession)
+    dist = pts.mapInPandas(mean_distance, f"id {id_type}, d double").checkpoint()
     scale = dist.agg(F.percentile("d", F.lit(0.5))).first()[0]
     return dist.select("id", F.exp(-F.col("d") / F.lit(max(scale, 100 * 2.220446049250313e-16))).alias("label_quality"))
 
 
+def _nearest_mean(d: np.ndarray, weight: np.ndarray, need: float, weighted: bool) -> np.ndarray:
+    """Mean of the `need` smallest distances of each row of a matrix; weighted, a column stands for as many points as its weight."""
+    if not weighted:
+        k = int(need)
+        return (np.partition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else d).mean(axis=1)
+    order = np.argsort(d, axis=1)
+    w = weight[order]
+    taken = np.clip(need - (np.cumsum(w, axis=1) - w), 0, w)
+    return (np.take_along_axis(d, order, axis=1) * taken).sum(axis=1) / need
+
+
+def regression_scores(df: DataFrame, method: str = "outlying", **options) -> DataFrame:
+    """(id, label_quality) by one of two scores: "outlying" (the default) or "residual"."""
+    if method not in ("outlying", "residual"):
+        raise ValueError(f"unknown method {method!r}")
+    return outlying_residual_scores(df, **options) if method == "outlying" else residual_scores(df)
+
+
 def regression_issues(df: DataFrame, threshold: float = 0.05) -> DataFrame:
     """(id, label_quality, is_label_issue): scores under threshold x median."""
     s = residual_scores(df)
@@ -418,6 +454,18 @@ def spurious_correlations(df: DataFrame, properties: list[str], baseline: str =
     return wrong.join(base, "property").select("property", F.least(F.col("miss") / F.greatest("base", F.lit(1e-8)), F.lit(1.0)).alias("score"))
 
 
+def property_issues(df: DataFrame, thresholds: dict[str, float], max_prevalence: float = 0.1) -> tuple[DataFrame, list[str]]:
+    """(id, is_<property>_issue ...) of rows whose property score lies under its threshold, and the properties left out.
+
+    A property that flags more than max_prevalence of the rows says something about the table, not
+    about single rows, and is left out.
+    """
+    flags = {p: F.coalesce(F.col(p) < F.lit(t), F.lit(False)) for p, t in thresholds.items()}
+    n, *hits = df.agg(F.count(F.lit(1)), *[F.count_if(f) for f in flags.values()]).first()
+    common = [p for p, h in zip(flags, hits, strict=True) if h > max_prevalence * n]
+    return df.select("id", *[f.alias(f"is_{p}_issue") for p, f in flags.items() if p not in common]), common
+
+
 # Noise
 
 
@@ -428,19 +476,51 @@ def noise_matrix_is_valid(noise: np.ndarray, py: np.ndarray) -> bool:
 
 
 def noisy_labels(df: DataFrame, noise: np.ndarray, seed: int = 0) -> DataFrame:
-    """(id, label, noisy): exactly int(noise x count) rows of each (true, given) pair are flipped, chosen by a seeded hash."""
+    """(id, label, noisy): exactly int(noise x count) rows of each (true, given) pair are flipped, chosen by a seeded hash.
+
+    Rows are numbered within their label in 1,024 ranges of the hash, so that a hot label is no single task.
+    """
     k = len(noise)
     counts = C.label_counts(df, k)
     bounds = []
     for t in range(k):
         n = [int(noise[g, t] * counts[t]) if g != t else 0 for g in range(k)]
         bounds.append(np.cumsum(n).tolist())
-    rank = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("id", F.lit(seed)), "id"))
+    hashed = df.select("id", "label", F.xxhash64("id", F.lit(seed)).alias("h")).withColumn("b", F.shiftright("h", 54))
     edges = F.element_at(F.array(*[F.array(*[F.lit(int(x)) for x in b]) for b in bounds]), F.col("label") + 1)
-    ranked = df.select("id", "label", rank.alias("r")).withColumn("g", F.size(F.filter(edges, lambda x: x < F.col("r"))))
+    ranked = C.numbered(hashed, ["label"], [F.col("h"), F.col("id")], "r").withColumn("g", F.size(F.filter(edges, lambda x: x < F.col("r"))))
     return ranked.select("id", "label", F.when(F.col("g") < k, F.col("g")).otherwise(F.col("label")).alias("noisy"))
 
 
+def shares_of(total: float, n: int, low: float = 0.0, high: float = 1.0, seed: int = 0) -> np.ndarray:
+    """n random numbers in [low, high] with a given sum, if there are any.
+
+    The room above low is shared out at random; what would pass high is handed on to those with
+    room left, in proportion to that room, until all of it is placed.
+    """
+    if not n * low - 1e-12 <= total <= n * high + 1e-12:
+        raise ValueError(f"{n} numbers in [{low}, {high}] can't sum to {total}")
+    r = np.random.default_rng(seed)
+    x = np.full(n, low) + r.dirichlet(np.ones(n)) * (total - n * low)
+    while (over := np.clip(x - high, 0, None).sum()) > 1e-12:
+        x = np.minimum(x, high)
+        room = high - x
+        x += over * room / room.sum()
+    return np.minimum(x, high)
+
+
+def balls_in_bins(balls: int, bins: int, least: int = 0, most: int | None = None, seed: int = 0) -> np.ndarray:
+    """Random numbers of balls in bins, each between least and most, that sum to balls."""
+    most = balls if most is None else most
+    if not bins * least <= balls <= bins * most:
+        raise ValueError(f"{balls} balls don't go into {bins} bins of {least} to {most}")
+    r = np.random.default_rng(seed)
+    out = np.full(bins, least)
+    for _ in range(balls - bins * least):
+        out[r.choice(np.flatnonzero(out < most))] += 1
+    return out
+
+
 def random_noise_matrix(k: int, trace: float, py: np.ndarray | None = None, seed: int = 0, tries: int = 1000) -> np.ndarray:
     """A K x K matrix with columns that sum to one and a given trace, drawn until it is valid for the prior."""
     r = np.random.default_rng(seed)

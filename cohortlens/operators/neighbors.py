@@ -1,96 +1,254 @@
 """Exact nearest neighbours by blocks, and what is built on them: outliers, near duplicates, data value, order effects.
 
 Rows are dealt to blocks of a bounded size; every pair of blocks is one row of
-work for a numpy matrix product, which returns k neighbours a query; the lists of
-a query are then merged.  Memory is bounded by two blocks, whatever the number of
+work for a numpy matrix product, which returns k neighbours for each row of both;
+the lists of a row are then merged.  Memory is bounded by two blocks, whatever the number of
 rows; the work is that of all pairs, which exact search needs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.session import shared_folder, ship_package
+from . import confident
 
 BLOCK = 1024
 EDGES = "i bigint, rank int, j bigint, d double"
+TINY = 100 * 2.220446049250313e-16
+
+#: A metric: a name, ("minkowski", p), or a function from two matrices (rows are vectors) to their matrix of distances.
+Metric = str | tuple[str, float] | Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def default_metric(dims: int) -> str:
     return "cosine" if dims > 3 else "euclidean"
 
 
-def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+def _distances(a: np.ndarray, b: np.ndarray, metric: Metric) -> np.ndarray:
+    if callable(metric):
+        return np.asarray(metric(a, b), dtype=np.float64)
     if metric == "cosine":
         na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         return 1 - (a @ b.T) / np.maximum(na[:, None] * nb[None, :], 1e-300)
-    return np.stack([np.sqrt(((b - x) ** 2).sum(axis=1)) for x in a])
-
-
-def knn_edges(df: DataFrame, k: int = 10, metric: str | None = None) -> DataFrame:
-    """(i, rank, j, d) of the k nearest other rows of each row of df(id, features); equal rows have distance 0; ties by id."""
+    if metric == "euclidean":
+        return np.stack([np.sqrt(((b - x) ** 2).sum(axis=1)) for x in a])
+    if isinstance(metric, tuple) and metric[0] == "minkowski":
+        return np.stack([(np.abs(b - x) ** metric[1]).sum(axis=1) ** (1 / metric[1]) for x in a])
+    raise ValueError(f"unknown metric {metric!r}")
+
+
+def _vectors(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of one packed block."""
+    values = rows.values
+    ids, lists = values.field(0).to_numpy(), values.field(1)
+    return ids, lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+
+def _nearest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest of each row, by distance and then id."""
+    if k < d.shape[1]:  # all that may be among them: up to the k-th distance, with its ties
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        width = int((d <= limit).sum(axis=1).max())
+        some = np.argpartition(d, width - 1, axis=1)[:, :width] if width < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
+    else:
+        some = np.tile(np.arange(d.shape[1]), (len(d), 1))
+    order = np.lexsort((ids[some], np.take_along_axis(d, some, axis=1)), axis=1)[:, :k]
+    return np.take_along_axis(some, order, axis=1)
+
+
+def knn_edges(df: DataFrame, k: int = 10, metric: Metric | None = None, base: DataFrame | None = None) -> DataFrame:
+    """(i, rank, j, d) of the k nearest other rows of each row of df(id, features); equal rows have distance 0; ties by id.
+
+    With base, of the k nearest rows of that table instead (all of them, whatever their ids).
+    Rows without features, or with a null or non-finite one, take no part.  Inside one table
+    every pair of blocks is worked on once, for both its sides.
+    """
     spark = df.sparkSession
     ship_package(spark)
-    df = df.select(F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("features"))
+
+    def sound(t: DataFrame) -> DataFrame:
+        t = t.select(F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("features"))
+        return t.where(F.col("id").isNotNull() & F.col("features").isNotNull() & F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))))
+
+    df = sound(df)
     n, dims = df.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
-    if not n:
+    m = n
+    if base is not None:
+        base = sound(base)
+        m, dims = base.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    if not n or not m:
         return spark.createDataFrame([], EDGES)
     metric = metric or default_metric(dims)
-    blocks = math.ceil(n / BLOCK)
-    packed = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("id", "features")).alias("rows"))
-    left = packed.select(F.col("rows").alias("q"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b"))
+
+    def packed(t: DataFrame, size: int) -> tuple[DataFrame, int]:
+        blocks = math.ceil(size / BLOCK)
+        return t.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "features")).alias("rows")), blocks
+
+    own, blocks = packed(df, n)
+    others, width = packed(base, m) if base is not None else (own, blocks)
+    first = F.lit(0) if base is not None else F.col("b")
+    left = own.select(F.col("rows").alias("q"), F.col("b").alias("a"), F.explode(F.sequence(first, F.lit(width - 1))).alias("b"))
     schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("d", pa.float64())])
+    alone = base is None
 
-    def unpack(rows):
-        return np.array([r["id"] for r in rows]), np.array([r["features"] for r in rows], dtype=np.float64)
+    def found(d: np.ndarray, qi: np.ndarray, ri: np.ndarray) -> pa.RecordBatch:
+        some = min(k, len(ri))
+        top = _nearest(d, ri, some)
+        dist = np.take_along_axis(d, top, axis=1)
+        fine = np.isfinite(dist)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, some)[fine.ravel()]), pa.array(ri[top][fine]), pa.array(dist[fine])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                qi, qx = unpack(q)
-                ri, rx = unpack(r)
+            for q, r, x, y in zip(b.column(0), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                qi, qx = _vectors(q)
+                ri, rx = _vectors(r)
                 d = _distances(qx, rx, metric)
-                for row in range(len(qi)):
-                    near = np.flatnonzero(d[row] <= 1e-9)
-                    same = near[(rx[near] == qx[row]).all(axis=1)]
-                    d[row, same] = 0
-                d[qi[:, None] == ri[None, :]] = np.inf
-                some = min(k, len(ri))
-                top = np.stack([np.lexsort((ri, x))[:some] for x in d])
-                dist = np.take_along_axis(d, top, axis=1)
-                fine = np.isfinite(dist)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, some)[fine.ravel()]), pa.array(ri[top][fine]), pa.array(dist[fine])], schema=schema)
-
-    pairs = left.join(packed, "b").select("q", "rows").mapInArrow(run, "i bigint, j bigint, d double")
+                close_i, close_j = np.nonzero(d <= 1e-9)
+                same = (qx[close_i] == rx[close_j]).all(axis=1)
+                d[close_i[same], close_j[same]] = 0
+                if alone and x == y:
+                    d[qi[:, None] == ri[None, :]] = np.inf
+                yield found(d, qi, ri)
+                if alone and x != y:
+                    yield found(np.ascontiguousarray(d.T), ri, qi)
+
+    pairs = left.join(others, "b").select("q", "rows", "a", "b").mapInArrow(run, "i bigint, j bigint, d double")
+    return ranked(pairs, k)
+
+
+def ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """(i, rank, j, d): the first k of pairs(i, j, d) for each i, by distance and then j."""
     w = W.partitionBy("i").orderBy("d", "j")
     return pairs.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("i", "rank", "j", "d")
 
 
-def outliers(edges: DataFrame, threshold: float = 0.37037, t: float = 1.0) -> DataFrame:
+def edges_of_index(found: DataFrame) -> DataFrame:
+    """(i, rank, j, d) from an index's answers (id, neighbors, distances), arrays from the nearest on."""
+    x = found.select(F.col("id").cast("bigint").alias("i"), F.posexplode(F.arrays_zip(F.col("neighbors").alias("j"), F.col("distances").alias("d"))).alias("r", "x"))
+    return x.select("i", (F.col("r") + 1).cast("int").alias("rank"), F.col("x.j").cast("bigint").alias("j"), F.col("x.d").cast("double").alias("d"))
+
+
+def equal_rows(df: DataFrame) -> DataFrame:
+    """(id, first, n) of rows whose features another row shares: the smallest id among them, and how many there are."""
+    groups = df.groupBy("features").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return df.select("id", "features").join(groups, "features").select("id", "first", "n")
+
+
+def corrected(edges: DataFrame, df: DataFrame, k: int | None = None) -> DataFrame:
+    """A neighbour table in which rows with equal features come first, at distance 0, and each row has k neighbours.
+
+    Approximate tables may miss copies or put them behind others.  A row takes at most k copies,
+    the smallest ids, so a large group of copies costs its members times k.
+    """
+    k = k or edges.agg(F.max("rank")).first()[0] or 1
+    own = equal_rows(df)
+    few = own.withColumn("r", F.row_number().over(W.partitionBy("first").orderBy("id"))).where(F.col("r") <= k + 1).select("first", F.col("id").alias("j"))
+    copies = own.join(few, "first").where(F.col("id") != F.col("j")).select(F.col("id").alias("i"), "j", F.lit(0.0).alias("d"))
+    both = edges.select("i", "j", "d").unionByName(copies).groupBy("i", "j").agg(F.min("d").alias("d"))
+    return ranked(both, k)
+
+
+def distance_scale(avg: DataFrame, column: str = "avg_distance") -> float:
+    """The median mean distance, never 0."""
+    return max(avg.agg(F.median(column)).first()[0] or 0.0, TINY)
+
+
+def distance_scores(avg: Column, scale: float, t: float = 1.0, metric: Metric | None = None) -> Column:
+    """exp(-t d / scale); distances that are rounding errors of a metric score 1."""
+    score = F.exp(avg * F.lit(-t / max(scale, 1e-6)))
+    error = {"cosine": 100 * 1.1102230246251565e-16, "euclidean": math.sqrt(TINY)}.get(metric) if isinstance(metric, str) else TINY ** (1 / metric[1]) if isinstance(metric, tuple) else None
+    return score if error is None else F.when(avg < error, 1.0).otherwise(score)
+
+
+def mean_distances(edges: DataFrame, k: int | None = None) -> DataFrame:
+    """(id, avg_distance) over the first k neighbours, or all stored ones."""
+    some = edges if k is None else edges.where(F.col("rank") <= k)
+    return some.groupBy(F.col("i").alias("id")).agg(F.avg("d").alias("avg_distance"))
+
+
+def outliers(edges: DataFrame, threshold: float = 0.37037, t: float = 1.0, metric: Metric | None = None) -> DataFrame:
     """(id, avg_distance, score, is_outlier_issue) by the mean distance to all stored neighbours."""
-    avg = edges.groupBy(F.col("i").alias("id")).agg(F.avg("d").alias("avg_distance"))
+    avg = mean_distances(edges)
     q1, q2, q3 = avg.agg(F.percentile("avg_distance", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0] or (0.0, 0.0, 0.0)
-    limit, scale = q3 + (1 / threshold - 1) * (q3 - q1), max(q2, 100 * 2.220446049250313e-16)
-    return avg.withColumn("score", F.exp(F.col("avg_distance") * F.lit(-t / scale))).withColumn("is_outlier_issue", F.col("avg_distance") > F.lit(limit))
+    limit = q3 + (1 / threshold - 1) * (q3 - q1)
+    return avg.withColumn("score", distance_scores(F.col("avg_distance"), max(q2, TINY), t, metric)).withColumn("is_outlier_issue", F.col("avg_distance") > F.lit(limit))
+
+
+class OutlierDetector:
+    """Scores of rows by their distance to the rows of a fitted table, or by the doubt of their class probabilities.
+
+    Fitted on features, it keeps the table (written to the shared folder) and the median of its mean
+    distances; fitted on pred_probs, the thresholds of the classes if it is to adjust for them.
+    """
+
+    def __init__(self, k: int = 10, t: float = 1.0, metric: Metric | None = None, method: str = "entropy", adjust: bool = True):
+        self.k, self.t, self.metric, self.method, self.adjust = k, t, metric, method, adjust
+        self.table: DataFrame | None = None
+        self.scale: float | None = None
+        self.limits: list[float] | None = None
+        self.kind: str | None = None
+
+    def fit(self, df: DataFrame) -> OutlierDetector:
+        self.fit_score(df)
+        return self
+
+    def fit_score(self, df: DataFrame) -> DataFrame:
+        """(id, score) of the rows of df(id, features) or df(id, pred_probs and, to adjust, label), which become the fitted ones."""
+        if self.kind:
+            return self.score(df)
+        if "features" in df.columns:
+            shared_folder(df.sparkSession)
+            table = df.select("id", "features").checkpoint()
+            self.metric = self.metric or default_metric(table.agg(F.max(F.size("features"))).first()[0] or 0)
+            avg = mean_distances(knn_edges(table, self.k, self.metric))
+            self.scale, self.table, self.kind = distance_scale(avg), table, "features"
+            return avg.select("id", distance_scores(F.col("avg_distance"), self.scale, self.t, self.metric).alias("score"))
+        self.limits, self.kind = (confident.thresholds(df) if self.adjust else None), "pred_probs"
+        return self.score(df)
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """(id, score) of other rows."""
+        if self.kind is None:
+            raise ValueError("the detector isn't fitted")
+        if self.kind == "features":
+            avg = mean_distances(knn_edges(df, self.k, self.metric, self.table))
+            return avg.select("id", distance_scores(F.col("avg_distance"), self.scale, self.t, self.metric).alias("score"))
+        return confident.ood_from_probs(df, self.method, self.adjust, self.limits)
 
 
 def near_duplicates(edges: DataFrame, threshold: float = 0.13) -> DataFrame:
     """(id, nn_distance, score, is_near_duplicate_issue); sets are symmetric."""
+    close, median = _close(edges, threshold)
     nn = edges.where("rank = 1").select(F.col("i").alias("id"), F.col("d").alias("nn_distance"))
-    median = nn.agg(F.median("nn_distance")).first()[0] or 0.0
-    close = edges.where(F.col("d") < F.lit(threshold * max(median, 1e-6))).select("i", "j")
     members = close.select(F.col("i").alias("id")).unionByName(close.select(F.col("j").alias("id"))).distinct().withColumn("hit", F.lit(True))
     score = F.when(F.col("nn_distance") < 1e-12, 0.0).otherwise(1 - F.exp(-F.col("nn_distance") / F.lit(max(median, 1e-6))))
     return nn.join(members, "id", "left").select("id", "nn_distance", score.alias("score"), F.coalesce("hit", F.lit(False)).alias("is_near_duplicate_issue"))
 
 
+def _close(edges: DataFrame, threshold: float) -> tuple[DataFrame, float]:
+    median = edges.where("rank = 1").agg(F.median("d")).first()[0] or 0.0
+    return edges.where(F.col("d") < F.lit(threshold * max(median, 1e-6))).select("i", "j"), median
+
+
+def near_duplicate_sets(edges: DataFrame, threshold: float = 0.13) -> DataFrame:
+    """(id, near_duplicate_set): the ids of a row's near duplicates in ascending order, for every row that has some.
+
+    A set holds at most the neighbours of the row and the rows that have it as theirs.
+    """
+    close, _ = _close(edges, threshold)
+    both = close.unionByName(close.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+    return both.groupBy(F.col("i").alias("id")).agg(F.sort_array(F.collect_list("j")).alias("near_duplicate_set"))
+
+
 def data_value(edges: DataFrame, labels: DataFrame, k: int = 10, threshold: float = 0.5) -> DataFrame:
     """(id, score, is_data_valuation_issue): kNN-Shapley value of each row of labels(id, label) for its neighbours' labels."""
     q = labels.select(F.col("id").alias("i"), F.col("label").alias("li"))
@@ -231,4 +389,5 @@ def label_issue_probs(edges: DataFrame, labels: DataFrame, n_classes: int) -> Da
 
 def ood_scores(edges: DataFrame, k: int = 10, t: float = 1.0) -> DataFrame:
     """(id, score) by the mean distance to the first k neighbours, scaled by its median."""
-    return outliers(edges.where(F.col("rank") <= k), t=t).select("id", "score")
+    avg = mean_distances(edges, k)
+    return avg.select("id", distance_scores(F.col("avg_distance"), distance_scale(avg), t).alias("score"))

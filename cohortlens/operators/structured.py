@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from . import confident as C
+from .contracts import aggregation_weights
 
 # Multi-label: (id, bits, probs)
 
@@ -21,9 +27,13 @@ def label_list(bits: Column) -> Column:
     return F.filter(F.transform(bits, lambda b, i: F.when(b == 1, i)), lambda x: x.isNotNull())
 
 
-def class_scores(df: DataFrame, method: str = "self_confidence") -> Column:
-    """Score of each class of a row, as a two-class problem."""
+def class_scores(df: DataFrame, method: str = "self_confidence", thresholds: np.ndarray | None = None) -> Column:
+    """Score of each class of a row, as a two-class problem; with thresholds [class, bit], of the adjusted probabilities."""
     own = F.zip_with("bits", "probs", lambda b, p: F.when(b == 1, p).otherwise(1 - p))
+    if thresholds is not None:
+        limits = F.array(*[F.array(*[F.lit(float(max(t) - x)) for x in t]) for t in thresholds])
+        raised = F.transform(F.arrays_zip(F.col("probs").alias("p"), limits.alias("t")), lambda x: F.array(1 - x["p"] + F.get(x["t"], F.lit(0)), x["p"] + F.get(x["t"], F.lit(1))))
+        own = F.zip_with("bits", raised, lambda b, q: F.get(q, b.cast("int")) / (F.get(q, F.lit(0)) + F.get(q, F.lit(1))))
     if method == "self_confidence":
         return own
     if method == "normalized_margin":
@@ -32,37 +42,210 @@ def class_scores(df: DataFrame, method: str = "self_confidence") -> Column:
 
 
 def multilabel_quality(df: DataFrame, method: str = "self_confidence", aggregate: str = "exponential_moving_average", alpha: float = 0.8, temperature: float = 0.1) -> DataFrame:
-    s = class_scores(df, method)
-    pooled = A.moving_average(s, alpha) if aggregate == "exponential_moving_average" else A.softmin(s, temperature)
-    return df.select("id", pooled.alias("label_quality"))
+    options = {"exponential_moving_average": {"alpha": alpha}, "softmin": {"temperature": temperature}}.get(aggregate, {})
+    return PooledScorer(method, Pool(aggregate, **options))(df)
+
 
+POOLS: dict[str, Callable[..., Column]] = {
+    "exponential_moving_average": A.moving_average,
+    "softmin": A.softmin,
+    "mean": lambda s: A.total(s) / F.size(s),
+    "min": F.array_min,
+    "max": F.array_max,
+    "median": lambda s: (F.element_at(F.sort_array(s), ((F.size(s) + 1) / 2).cast("int")) + F.element_at(F.sort_array(s), (F.size(s) / 2).cast("int") + 1)) / 2,
+}
 
-def per_class(df: DataFrame, k: int) -> list[DataFrame]:
-    """The two-class problem of each class, as (id, label, pred_probs)."""
-    return [df.select("id", F.get("bits", F.lit(c)).alias("label"), F.array(1 - F.get("probs", F.lit(c)), F.get("probs", F.lit(c))).alias("pred_probs")) for c in range(k)]
 
+class Pool:
+    """How the scores of a row's classes become one: a name of POOLS, or a function from the column of scores to a column.
 
-def multilabel_issues_per_class(df: DataFrame, k: int, filter_by: str = "prune_by_noise_rate", **kw) -> DataFrame:
-    """(id, class, is_label_issue)."""
-    parts = [C.find_label_issues(d, filter_by, **kw).withColumn("class", F.lit(c)) for c, d in enumerate(per_class(df, k))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    A plain Python function of a list is applied by a Pandas UDF.
+    """
 
+    def __init__(self, method: str | Callable[..., Column] = "exponential_moving_average", *, python: bool = False, **options):
+        if isinstance(method, str) and method not in POOLS:
+            raise ValueError(f"unknown pool {method!r}: {sorted(POOLS)}")
+        self.method, self.python, self.options = method, python, options
 
-def multilabel_issues(df: DataFrame, k: int, filter_by: str = "prune_by_noise_rate", **kw) -> DataFrame:
-    return multilabel_issues_per_class(df, k, filter_by, **kw).groupBy("id").agg(F.bool_or("is_label_issue").alias("is_label_issue"))
+    def __call__(self, scores: Column) -> Column:
+        if not self.python:
+            return (POOLS[self.method] if isinstance(self.method, str) else self.method)(scores, **self.options)
+        f, options = self.method, self.options
 
+        @F.pandas_udf("double")
+        def pooled_(column: pd.Series) -> pd.Series:
+            return column.map(lambda x: float(f(x, **options)))
 
-def common_multilabel_issues(df: DataFrame, k: int, filter_by: str = "confident_learning") -> DataFrame:
+        return pooled_(scores)
+
+
+class PooledScorer:
+    """A score of each class, pooled."""
+
+    def __init__(self, method: str = "self_confidence", pool: Pool | None = None, adjust: bool = False):
+        if adjust and method == "confidence_weighted_entropy":
+            raise ValueError("confidence_weighted_entropy can't be adjusted")
+        self.method, self.pool, self.adjust = method, pool or Pool(alpha=0.8), adjust
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """(id, label_quality)."""
+        s = class_scores(df, self.method, multilabel_stats(df)[0] if self.adjust else None)
+        return df.select("id", self.pool(s).alias("label_quality"))
+
+
+def multilabel_scores_per_class(df: DataFrame, method: str = "self_confidence") -> DataFrame:
+    """(id, class, label_quality)."""
+    return df.select("id", F.posexplode(class_scores(df, method)).alias("class", "label_quality"))
+
+
+# The two-class problems of all classes at once: rows of (id, class, label, pred_probs) with pred_probs = (1 - p, p)
+
+
+def class_rows(df: DataFrame) -> DataFrame:
+    x = df.select("id", F.posexplode(F.arrays_zip("bits", "probs")).alias("class", "x"))
+    return x.select("id", "class", F.col("x.bits").cast("int").alias("label"), F.array(1 - F.col("x.probs"), F.col("x.probs")).alias("pred_probs"))
+
+
+def multilabel_stats(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Thresholds and numbers of rows, [class, bit], from one pass; one row a class and bit comes to the driver."""
+    rows = class_rows(df).groupBy("class", "label").agg(F.avg(A.own_prob(C.P(), C.LABEL())).alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    k = max((r["class"] for r in rows), default=-1) + 1
+    t, n = np.full((k, 2), C.ABSENT), np.zeros((k, 2), np.int64)
+    for r in rows:
+        t[r["class"], r["label"]], n[r["class"], r["label"]] = max(r["t"], C.FLOOR), r["n"]
+    return t, n
+
+
+def _of_class(values) -> Column:
+    """The entry of an array (of arrays) for the row's class."""
+    lit = lambda v: F.array(*[lit(x) for x in v]) if np.ndim(v) else F.lit(v.item() if hasattr(v, "item") else v)
+    return F.element_at(lit(np.asarray(values)), F.col("class") + 1)
+
+
+def class_guess(t: np.ndarray) -> Column:
+    """The bit that reaches its class's threshold; of both the likelier one; null if none does."""
+    limits = _of_class(t)
+    zero, one = (F.get(C.P(), F.lit(b)) >= F.get(limits, F.lit(b)) - C.EPS for b in (0, 1))
+    return F.when(zero & one, A.argmax(C.P())).when(one, F.lit(1)).when(zero, F.lit(0))
+
+
+def multilabel_joint(df: DataFrame, calibrate: bool = True, stats: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """[class, given, guess] counts; the diagonals are at least 1 before calibration."""
+    t, n = stats or multilabel_stats(df)
+    m = np.zeros((len(t), 2, 2), np.int64)
+    for r in class_rows(df).groupBy("class", "label", class_guess(t).alias("g")).count().collect():
+        if r["g"] is not None:
+            m[r["class"], r["label"], r["g"]] = r["count"]
+    m[:, (0, 1), (0, 1)] = np.maximum(m[:, (0, 1), (0, 1)], 1)
+    return calibrated_multilabel(m, n) if calibrate else m
+
+
+def calibrated_multilabel(joint: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.stack([C.cells.calibrated(j, n) for j, n in zip(joint, counts, strict=True)]) if len(joint) else joint
+
+
+def estimate_multilabel_joint(df: DataFrame, joint: np.ndarray | None = None) -> np.ndarray:
+    """[class, given, guess] shares, each class's sum to 1."""
+    joint = multilabel_joint(df) if joint is None else joint
+    return joint / joint.sum(axis=(1, 2), keepdims=True)
+
+
+def multilabel_issues_per_class(
+    df: DataFrame, filter_by: str = "prune_by_noise_rate", *, frac_noise: float = 1.0, min_examples_per_class: int = 1, joint: np.ndarray | None = None, num_to_remove_per_class: list[list[int]] | None = None
+) -> DataFrame:
+    """(id, class, is_label_issue): the filters of two classes, for all classes in the same passes."""
+    if filter_by not in C.POLICIES:
+        raise ValueError(f"unknown filter {filter_by!r}")
+    rows, near = class_rows(df), A.near_given(C.P(), C.LABEL())
+    own, order = A.own_prob(C.P(), C.LABEL()), [F.col("m"), F.col("id")]
+    t, counts = stats = multilabel_stats(df)
+    off = F.coalesce(class_guess(t) != C.LABEL(), F.lit(False)) & ~near
+    if filter_by == "predicted_neq_given":
+        return rows.select("id", "class", ((A.argmax(C.P()) != C.LABEL()) & ~near).alias("is_label_issue"))
+    if filter_by == "confident_learning":
+        return rows.select("id", "class", off.alias("is_label_issue"))
+    if filter_by.startswith("low_"):  # both scores have the order of the own probability
+        found = {r["class"]: r["n"] for r in rows.groupBy("class").agg(F.count_if(off).alias("n")).collect()}
+        wanted = rows.select("id", "class", own.alias("m"), _of_class([found.get(c, 0) for c in range(len(t))]).alias("n"))
+        hits = [C.first_of(wanted, ["class"], order, F.col("m"), "n")]
+    else:
+        joint = multilabel_joint(df, stats=stats) if joint is None else joint
+        quotas = np.stack([C.cells.prune_quotas(j, min_examples_per_class, frac_noise) for j in joint])
+        if num_to_remove_per_class is not None:
+            quotas = np.stack([C.cells.quotas_for_removals(q, n, np.asarray(x)) for q, n, x in zip(quotas, counts, num_to_remove_per_class, strict=True)])
+        enough = (counts > min_examples_per_class) & (counts > 1)
+        both = [0, 1]
+        by_rate = np.where(enough, quotas[:, [1, 0], both], 0)  # [class, given]: rows to remove as the other one
+        by_class = np.where(enough, np.maximum(counts - quotas[:, both, both], 0), 0)
+        hits = []
+        for n in {"prune_by_noise_rate": [by_rate], "prune_by_class": [by_class], "both": [by_rate, by_class]}[filter_by]:
+            wanted = rows.select("id", "class", "label", own.alias("m"), F.element_at(_of_class(n), C.LABEL() + 1).alias("n"))
+            hits.append(C.first_of(wanted.where("n > 0"), ["class", "label"], order, F.col("m"), "n"))
+    out = rows.select("id", "class", near.alias("near"))
+    flag = ~F.col("near")
+    for i, h in enumerate(hits):
+        out = out.join(h.select("id", "class", F.lit(True).alias(f"hit{i}")), ["id", "class"], "left")
+        flag = flag & F.coalesce(f"hit{i}", F.lit(False))
+    return out.select("id", "class", (flag if not filter_by.startswith("low_") else F.coalesce("hit0", F.lit(False))).alias("is_label_issue"))
+
+
+def multilabel_issues(df: DataFrame, filter_by: str = "prune_by_noise_rate", *, rank_by: str | None = None, low_memory: bool = False, **kw) -> DataFrame:
+    """(id, is_label_issue): flagged in some class; with rank_by only the issues and their score, lowest first.
+
+    The low_ filters rank whole rows by their pooled score, as many as confident_learning flags;
+    with low_memory they rank inside each class.
+    """
+    if filter_by.startswith("low_") and not low_memory:
+        n = num_multilabel_issues(df)
+        low = C.lowest(PooledScorer()(df), "label_quality", n).select("id", F.lit(True).alias("hit"))
+        out = df.select("id").join(low, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("is_label_issue"))
+    else:
+        out = multilabel_issues_per_class(df, filter_by, **kw).groupBy("id").agg(F.bool_or("is_label_issue").alias("is_label_issue"))
+    if rank_by is None:
+        return out
+    scores = PooledScorer(rank_by)(df).withColumnRenamed("label_quality", "score")
+    return out.where("is_label_issue").join(scores, "id").select("id", "score").orderBy("score", "id")
+
+
+def num_multilabel_issues(df: DataFrame) -> int:
+    """Rows that the confident_learning filter flags in some class; the flags of a row are looked at together, without a shuffle."""
+    t, _ = multilabel_stats(df)
+    parts = [F.struct(F.lit(c).alias("class"), F.get("bits", F.lit(c)).cast("int").alias("label"), F.get("probs", F.lit(c)).alias("p")) for c in range(len(t))]
+    hit = F.lit(False)
+    for c in range(len(t)):
+        x = parts[c]
+        q = F.array(1 - x["p"], x["p"])
+        zero, one = 1 - x["p"] >= float(t[c, 0]) - C.EPS, x["p"] >= float(t[c, 1]) - C.EPS
+        g = F.when(zero & one, A.argmax(q)).when(one, F.lit(1)).when(zero, F.lit(0))
+        hit = hit | (F.coalesce(g != x["label"], F.lit(False)) & ~A.near_given(q, x["label"]))
+    return df.agg(F.count_if(hit)).first()[0]
+
+
+def common_multilabel_issues(df: DataFrame, filter_by: str = "prune_by_noise_rate") -> DataFrame:
     """(class, given, num_examples, issue_probability)."""
-    flags = multilabel_issues_per_class(df, k, filter_by)
-    long = df.select("id", F.posexplode("bits").alias("class", "bit"))
-    n = df.count()
-    return (
-        flags.join(long, ["id", "class"]).groupBy("class", F.col("bit").alias("given")).agg(F.count_if("is_label_issue").alias("num_examples")).withColumn("issue_probability", F.col("num_examples") / F.lit(float(max(1, n))))
+    flags = multilabel_issues_per_class(df, filter_by)
+    long = df.select("id", F.posexplode("bits").alias("class", "given"))
+    by = flags.join(long, ["id", "class"]).groupBy("class", "given").agg(F.count_if("is_label_issue").alias("num_examples"))
+    return by.withColumn("issue_probability", F.col("num_examples") / F.lit(float(max(1, df.count()))))
+
+
+def multilabel_class_quality(df: DataFrame, filter_by: str = "prune_by_noise_rate") -> DataFrame:
+    """(class, label_issues, inverse_label_issues, label_noise, inverse_label_noise, label_quality), worst first: one row a class."""
+    of = lambda given, c: F.max(F.when(F.col("given") == given, F.col(c)))
+    by = common_multilabel_issues(df, filter_by).groupBy("class").agg(
+        of(1, "num_examples").alias("label_issues"), of(0, "num_examples").alias("inverse_label_issues"), of(1, "issue_probability").alias("label_noise"), of(0, "issue_probability").alias("inverse_label_noise")
     )
+    return by.withColumn("label_quality", 1 - F.col("label_noise")).orderBy("label_quality", "class")
+
+
+def multilabel_health(df: DataFrame) -> float:
+    """1 less the share of rows with an issue in some class."""
+    hits, n = multilabel_issues(df).agg(F.count_if("is_label_issue"), F.count(F.lit(1))).first()
+    return 1.0 - hits / max(1, n)
+
+
+def multilabel_health_summary(df: DataFrame) -> dict:
+    return {"score": multilabel_health(df), "classes": multilabel_class_quality(df), "issues": common_multilabel_issues(df)}
 
 
 def class_prior(df: DataFrame) -> DataFrame:
@@ -86,24 +269,118 @@ def best_cutoff(df: DataFrame, cutoffs=tuple(round(0.05 * i, 2) for i in range(1
     return cutoffs[best], f1[best]
 
 
+def cut_predictions(df: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """(id, bits) predicted by a cut-off, by default the best one."""
+    c = best_cutoff(df)[0] if cutoff is None else cutoff
+    return df.select("id", F.transform("probs", lambda p: (p >= F.lit(c)).cast("int")).alias("bits"))
+
+
 # Tokens: (sentence_id, token_id, token, label, pred_probs)
 
 def _token_id() -> Column:
     return F.col("sentence_id") * (1 << 24) + F.col("token_id")
 
 
-def token_issues(df: DataFrame, filter_by: str = "prune_by_noise_rate", **kw) -> DataFrame:
-    """(sentence_id, token_id) of the flagged tokens."""
+def token_issues(df: DataFrame, filter_by: str = "prune_by_noise_rate", rank_by: str | None = None, **kw) -> DataFrame:
+    """(sentence_id, token_id) of the flagged tokens; with rank_by also their score, lowest first."""
     flat = df.withColumn("id", _token_id())
-    hit = C.find_label_issues(flat, filter_by, **kw).where("is_label_issue")
-    return hit.select(F.floor(F.col("id") / (1 << 24)).cast("bigint").alias("sentence_id"), (F.col("id") % (1 << 24)).cast("bigint").alias("token_id"))
+    hit = C.find_label_issues(flat, filter_by, rank_by=rank_by, **kw)
+    hit = hit.where("is_label_issue").drop("is_label_issue") if rank_by is None else hit
+    place = [F.floor(F.col("id") / (1 << 24)).cast("bigint").alias("sentence_id"), (F.col("id") % (1 << 24)).cast("bigint").alias("token_id")]
+    return hit.select(*place, *(["score"] if rank_by else []))
+
+
+def token_scores(df: DataFrame, method: str = "self_confidence") -> DataFrame:
+    """(sentence_id, token_id, score)."""
+    return df.select("sentence_id", "token_id", C._SCORES[method](C.P(), C.LABEL()).alias("score"))
 
 
 def sentence_scores(df: DataFrame, method: str = "min", temperature: float = 0.05) -> DataFrame:
+    """(sentence_id, score): the least of the tokens' own probabilities, or their soft minimum (the mean at infinite temperature).
+
+    Soft minima are two sums a sentence, so that no sentence is gathered in one row.
+    """
     own = A.own_prob(F.col("pred_probs"), F.col("label"))
-    if method == "min":
-        return df.groupBy("sentence_id").agg(F.min(own).alias("score"))
-    return df.groupBy("sentence_id").agg(A.softmin(F.sort_array(F.collect_list(own)), temperature).alias("score"))
+    if method == "min" or temperature == 0:
+        score = F.min(own)
+    elif math.isinf(temperature):
+        score = F.avg(own)
+    else:  # scores are at most 1, so exp((1 - s) / T - 1 / T) is too
+        e = F.exp(-own / temperature)
+        score = F.sum(own * e) / F.sum(e)
+    return df.groupBy("sentence_id").agg(score.alias("score"))
+
+
+def issues_from_scores(scores: DataFrame, threshold: float = 0.1, score: str = "score", inclusive: bool = False) -> DataFrame:
+    """The rows below a threshold (or at it, if inclusive), lowest first."""
+    c = F.col(score)
+    others = [x for x in scores.columns if x != score]
+    return scores.where(c <= threshold if inclusive else c < threshold).orderBy(score, *others)
+
+
+def span_rows(df: DataFrame) -> DataFrame:
+    """Tokens with one probability p of lying in a span, as tokens of two classes."""
+    return df.withColumn("pred_probs", F.array(1 - F.col("p"), F.col("p"))).drop("p")
+
+
+def span_issues(df: DataFrame, **kw) -> DataFrame:
+    return token_issues(span_rows(df), **kw)
+
+
+def span_scores(df: DataFrame, **kw) -> DataFrame:
+    return sentence_scores(span_rows(df), **kw)
+
+
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def sentence_text(words: Column) -> Column:
+    """The words of an array as a sentence: a space before each that is no punctuation, before "-" and "(", and none after "(" or before an apostrophe."""
+    tight = lambda w: (F.instr(F.lit(_PUNCTUATION), w) > 0) & ~w.isin("-", "(")
+    joined = F.array_join(F.transform(words, lambda w: F.when(tight(w), w).otherwise(F.concat(F.lit(" "), w))), "")
+    return F.trim(F.replace(F.replace(joined, F.lit(" '"), F.lit("'")), F.lit("( "), F.lit("(")))
+
+
+def is_plain_sentence(sentence: Column) -> Column:
+    """Longer than one character and without "#"."""
+    return (F.length(sentence) > 1) & ~F.contains(sentence, F.lit("#"))
+
+
+def replaced(token: Column, replace: tuple[tuple[str, str], ...] = (("#", ""),)) -> Column:
+    """Literal replacements, all in one pass from the left: what one puts in, another doesn't change."""
+    keys = F.lit("(?s)" + "|".join(_quoted(k) for k, _ in replace) + "|.")
+    names = F.create_map(*[F.lit(x) for pair in dict(replace).items() for x in pair])
+    return F.array_join(F.transform(F.regexp_extract_all(token, keys, F.lit(0)), lambda x: F.coalesce(F.element_at(names, x), x)), "")
+
+
+def _quoted(s: str) -> str:
+    return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def mapped(entities: Column, to: list[int]) -> Column:
+    """Class ids of an array by a table of new ids."""
+    return F.transform(entities, lambda x: F.element_at(F.array(*[F.lit(int(x)) for x in to]), x.cast("int") + 1))
+
+
+def coloured(sentence: Column, word: str) -> Column:
+    """A word of a sentence between terminal codes for red: where it stands as a whole word, and if it never does, anywhere."""
+    red = f"\x1b[31m{word}\x1b[0m"
+    whole = F.lit(rf"\b{_quoted(word)}\b")
+    return F.when(F.regexp_like(sentence, whole), F.regexp_replace(sentence, whole, F.lit(re.sub(r"([\\$])", r"\\\1", red)))).otherwise(F.replace(sentence, F.lit(word), F.lit(red)))
+
+
+def show_token_issues(df: DataFrame, issues: DataFrame, top: int = 20, exclude: list[tuple[int, int]] = (), names: list[str] | None = None) -> DataFrame:
+    """(sentence_id, token_id, note, sentence) of the first issues: the token with its given and predicted class, and its sentence."""
+    name = lambda c: F.element_at(F.array(*[F.lit(x) for x in names]), c + 1) if names else c.cast("string")
+    given, guess = F.col("label"), A.argmax(F.col("pred_probs"))
+    rows = df.join(issues.select("sentence_id", "token_id"), ["sentence_id", "token_id"]).withColumn("guess", guess)
+    for a, b in exclude:
+        rows = rows.where(~((given == a) & (F.col("guess") == b)))
+    rows = rows.orderBy(A.own_prob(F.col("pred_probs"), given), "sentence_id", "token_id").limit(top)
+    note = F.format_string("%s: given %s, predicted %s", F.col("token"), name(given), name(F.col("guess")))
+    rows = rows.select("sentence_id", "token_id", note.alias("note"))
+    words = df.join(rows.select("sentence_id").distinct(), "sentence_id").groupBy("sentence_id").agg(F.sort_array(F.collect_list(F.struct("token_id", "token"))).alias("w"))
+    return rows.join(words, "sentence_id").select("sentence_id", "token_id", "note", sentence_text(F.col("w.token")).alias("sentence"))
 
 
 def common_token_issues(df: DataFrame, issues: DataFrame, exclude: list[tuple[int, int]] = ()) -> DataFrame:
@@ -135,17 +412,72 @@ def image_scores(df: DataFrame, temperature: float = 0.1) -> DataFrame:
     return df.groupBy("image_id").agg((F.sum(own * e) / F.sum(e)).alias("score"))
 
 
-def pixel_issues(df: DataFrame, method: str = "low_self_confidence") -> DataFrame:
-    """(image_id, y, x) of flagged pixels: the lowest scores, as many as the batched count says, less those predicted as labelled."""
-    n = C.batched_issue_count(df)
-    own = A.own_prob(F.col("pred_probs"), F.col("label"))
-    low = df.withColumn("s", own).orderBy("s", "image_id", "y", "x").limit(n)
-    return low.where(A.argmax(F.col("pred_probs")) != F.col("label")).select("image_id", "y", "x")
+def shrunk(df: DataFrame, factor: int) -> DataFrame:
+    """Blocks of factor x factor pixels as one: the rounded mean label and the mean probabilities, made to sum to 1."""
+    if df.groupBy("image_id").agg(F.max("y").alias("h"), F.max("x").alias("w")).where(((F.col("h") + 1) % factor != 0) | ((F.col("w") + 1) % factor != 0)).limit(1).count():
+        raise ValueError(f"heights and widths can't be divided by {factor}")
+    k = C.num_classes(df)
+    small = df.groupBy("image_id", *[F.floor(F.col(c) / factor).cast("int").alias(c) for c in ("y", "x")]).agg(
+        F.bround(F.avg("label")).cast("int").alias("label"), F.array(*[F.avg(F.get("pred_probs", F.lit(c))) for c in range(k)]).alias("pred_probs")
+    )
+    return small.withColumn("pred_probs", A.normalized(F.col("pred_probs")))
+
+
+def pixel_issues(df: DataFrame, downsample: int = 1) -> DataFrame:
+    """(image_id, y, x) of flagged pixels: the lowest scores, as many as the batched count says, less those predicted as labelled.
+
+    With downsample, blocks are flagged, and the pixels of a flagged block are looked at one by one.
+    """
+    small = shrunk(df, downsample) if downsample > 1 else df
+    n = C.batched_issue_count(small)
+    scored = small.select(F.struct("image_id", "y", "x").alias("id"), A.own_prob(C.P(), C.LABEL()).alias("s"))
+    low = C.lowest(scored, "s", n).select("id.*")
+    if downsample > 1:
+        low = low.toDF("image_id", "by", "bx")
+        at = df.withColumn("by", F.floor(F.col("y") / downsample).cast("int")).withColumn("bx", F.floor(F.col("x") / downsample).cast("int"))
+        low = at.join(low, ["image_id", "by", "bx"])
+    else:
+        low = df.join(low, ["image_id", "y", "x"])
+    return low.where(A.argmax(C.P()) != C.LABEL()).select("image_id", "y", "x")
+
+
+def image_issue_scores(df: DataFrame, downsample: int = 1) -> DataFrame:
+    """(image_id, score): 1 less the share of flagged pixels."""
+    bad = pixel_issues(df, downsample).groupBy("image_id").agg(F.count(F.lit(1)).alias("bad"))
+    return df.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).join(bad, "image_id", "left").select("image_id", (1 - F.coalesce("bad", F.lit(0)) / F.col("n")).alias("score"))
+
+
+def low_pixels(df: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """(image_id, y, x, score) of pixels with an own probability under a threshold."""
+    return df.select("image_id", "y", "x", A.own_prob(C.P(), C.LABEL()).alias("score")).where(F.col("score") < threshold)
+
+
+def low_images(scores: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """(image_id, score), lowest first: the images under a threshold and the one that follows them."""
+    if not 0 <= threshold <= 1:
+        raise ValueError("the threshold must lie between 0 and 1")
+    n = scores.where(F.col("score") < threshold).count() + 1
+    return scores.orderBy("score", "image_id").limit(n)
+
 
+def common_pixel_issues(df: DataFrame, issues: DataFrame, exclude: list[int] = (), top: int | None = None) -> DataFrame:
+    """(given_label, predicted_label, num_pixel_issues), most first."""
+    rows = df.join(issues, ["image_id", "y", "x"]).select(F.col("label").alias("given_label"), A.argmax(F.col("pred_probs")).alias("predicted_label"))
+    if exclude:
+        rows = rows.where(~F.col("predicted_label").isin(*exclude))
+    out = rows.groupBy("given_label", "predicted_label").agg(F.count(F.lit(1)).alias("num_pixel_issues")).orderBy(F.desc("num_pixel_issues"), "given_label", "predicted_label")
+    return out if top is None else out.limit(top)
 
-def common_pixel_issues(df: DataFrame, issues: DataFrame) -> DataFrame:
-    rows = df.join(issues, ["image_id", "y", "x"])
-    return rows.groupBy(F.col("label").alias("given_label"), A.argmax(F.col("pred_probs")).alias("predicted_label")).agg(F.count(F.lit(1)).alias("num_pixel_issues"))
+
+def pixels_of_class(df: DataFrame, issues: DataFrame, c: int) -> DataFrame:
+    """(image_id, y, x) of the issues that are given or predicted as a class."""
+    return df.join(issues, ["image_id", "y", "x"]).where((C.LABEL() == c) | (A.argmax(C.P()) == c)).select("image_id", "y", "x")
+
+
+def images_by_issues(issues: DataFrame, top: int | None = None) -> DataFrame:
+    """(image_id, num_pixel_issues), most first."""
+    out = issues.groupBy("image_id").agg(F.count(F.lit(1)).alias("num_pixel_issues")).orderBy(F.desc("num_pixel_issues"), "image_id")
+    return out if top is None else out.limit(top)
 
 
 # Boxes: labels (image_id, box_id, x1, y1, x2, y2, label), predictions with p
@@ -205,20 +537,60 @@ def pooled(scores: DataFrame, images: DataFrame) -> DataFrame:
     return images.join(s, "image_id", "left").select("image_id", F.coalesce("s", F.lit(1.0)).alias("score"))
 
 
-def box_image_scores(labels: DataFrame, predictions: DataFrame) -> DataFrame:
-    """(image_id, overlooked, badloc, swap, label_quality): geometric mean of the three with equal weights."""
+WEIGHTS = {"overlooked": 1 / 3, "badloc": 1 / 3, "swap": 1 / 3}
+
+
+def box_image_scores(labels: DataFrame, predictions: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(image_id, overlooked, badloc, swap, label_quality): weighted geometric mean of the three, by default with equal weights."""
+    weights = weights or WEIGHTS
+    aggregation_weights(**weights)
     pairs = box_pairs(labels, predictions)
     least = min_similarity(pairs)
     images = labels.select("image_id").union(predictions.select("image_id")).distinct()
     out = images
     for name, s in (("overlooked", overlooked_boxes(pairs, predictions, least)), ("badloc", badly_located_boxes(pairs, labels)), ("swap", swapped_boxes(pairs, labels, least))):
         out = out.join(pooled(s, images).withColumnRenamed("score", name), "image_id")
-    mean = sum((F.ln(F.col(c) + 1e-100) for c in ("overlooked", "badloc", "swap")), F.lit(0.0)) / 3
+    mean = sum((F.lit(float(w)) * F.ln(F.col(c) + 1e-100) for c, w in weights.items()), F.lit(0.0))
     return out.withColumn("label_quality", F.exp(mean))
 
 
-def box_counts(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_boxes"))
+def likely_boxes(predictions: DataFrame, threshold: float) -> DataFrame:
+    """Predictions of at least a probability."""
+    return predictions.where(F.col("p") >= threshold)
+
+
+def least_probability(predictions: DataFrame) -> float:
+    """The least probability of any prediction, 1 without any."""
+    least = predictions.agg(F.min("p")).first()[0]
+    return 1.0 if least is None else min(least, 1.0)
+
+
+def flat_predictions(nested: DataFrame) -> DataFrame:
+    """(image_id, box_id, x1, y1, x2, y2, label, p) of images with an array by class of arrays of (x1, y1, x2, y2, p)."""
+    by_class = nested.select("image_id", F.posexplode("boxes").alias("label", "b")).select("image_id", "label", F.posexplode("b").alias("nth", "box"))
+    before = F.row_number().over(W.partitionBy("image_id").orderBy("label", "nth")) - 1
+    return by_class.select("image_id", before.alias("box_id"), *[F.get("box", F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], "label", F.get("box", F.lit(4)).alias("p"))
+
+
+def corner_and_size(boxes: DataFrame) -> DataFrame:
+    """Boxes by corner, width and height (x, y, w, h) in place of two corners."""
+    others = [c for c in boxes.columns if c not in ("x1", "y1", "x2", "y2")]
+    return boxes.select(*others, F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+
+
+def box_counts(labels: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
+    """(image_id, n_boxes) and, with predictions, n_predicted; an image that one side lacks has 0 there. Most boxes first."""
+    n = labels.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_boxes"))
+    if predictions is None:
+        return n.orderBy(F.desc("n_boxes"), "image_id")
+    m = predictions.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_predicted"))
+    both = n.join(m, "image_id", "full").fillna(0, ["n_boxes", "n_predicted"])
+    return both.orderBy(F.desc("n_boxes"), F.desc("n_predicted"), "image_id")
+
+
+def each_box_area(labels: DataFrame) -> DataFrame:
+    """(image_id, box_id, label, area)."""
+    return labels.select("image_id", "box_id", "label", ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"))
 
 
 def box_areas(labels: DataFrame) -> DataFrame:
@@ -278,14 +650,6 @@ def box_image_issues(labels: DataFrame, predictions: DataFrame, factor: float =
     return images.join(bad.distinct().withColumn("hit", F.lit(True)), "image_id", "left").select("image_id", F.coalesce("hit", F.lit(False)).alias("is_label_issue"))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    """df with its row number within keys: counted inside the buckets `b` of a class and shifted by the buckets before."""
-    totals = df.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("__n"))
-    starts = totals.select(*keys, "b", (F.sum("__n").over(W.partitionBy(*keys).orderBy("b")) - F.col("__n")).alias("__s"))
-    inside = F.row_number().over(W.partitionBy(*keys, "b").orderBy(*order))
-    return df.join(starts, [*keys, "b"]).withColumn(name, inside + F.col("__s")).drop("__s")
-
-
 def average_precisions(labels: DataFrame, predictions: DataFrame, thresholds=IOU_STEPS, buckets: int = 1000) -> DataFrame:
     """(t, label, ap): area under the precision envelope of each labelled class at each overlap threshold.
 
@@ -293,9 +657,9 @@ def average_precisions(labels: DataFrame, predictions: DataFrame, thresholds=IOU
     buckets' totals, so a class with a large share of the boxes is no single task.
     """
     b = F.least(F.greatest(F.floor((1 - F.col("p")) * buckets), F.lit(0)), F.lit(buckets)).cast("int")
-    ranked = numbered(predictions.select("image_id", F.col("box_id").alias("pred_id"), "label", "p", b.alias("b")), ["label"], [F.desc("p"), F.asc("image_id"), F.asc("pred_id")], "k")
+    ranked = C.numbered(predictions.select("image_id", F.col("box_id").alias("pred_id"), "label", "p", b.alias("b")), ["label"], [F.desc("p"), F.asc("image_id"), F.asc("pred_id")], "k")
     hits = box_hits(labels, predictions, thresholds).select("t", "image_id", "pred_id").join(ranked.select("image_id", "pred_id", "label", "b", "k"), ["image_id", "pred_id"])
-    hits = numbered(hits, ["t", "label"], [F.asc("k")], "c").select("t", "label", "b", "k", (F.col("c") / F.col("k")).alias("prec"))
+    hits = C.numbered(hits, ["t", "label"], [F.asc("k")], "c").select("t", "label", "b", "k", (F.col("c") / F.col("k")).alias("prec"))
     after = W.partitionBy("t", "label").orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1)
     later = hits.groupBy("t", "label", "b").agg(F.max("prec").alias("top")).select("t", "label", "b", F.max("top").over(after).alias("later"))
     here = F.max("prec").over(W.partitionBy("t", "label", "b").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.labels import coded_lists, numbered_values
+
 _KINDS = {"txt": "text", "csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet", "orc": "orc"}
 
 
@@ -22,16 +23,23 @@ def load(spark: SparkSession, data, kind: str | None = None) -> DataFrame:
         reader = spark.read.option("header", True).option("inferSchema", True) if kind == "csv" else spark.read
         return reader.format(kind).load(data)
     if isinstance(data, dict):
+        if len({len(v) for v in data.values()}) > 1:
+            raise ValueError("columns of different lengths")
         return spark.createDataFrame([dict(zip(data, row, strict=True)) for row in zip(*data.values(), strict=True)])
-    return spark.createDataFrame(data)
+    if isinstance(data, list) or hasattr(data, "columns") or hasattr(data, "schema"):
+        return spark.createDataFrame(data)
+    raise ValueError(f"no table can be made of {type(data).__name__}")
+
 
+def encode_labels(df: DataFrame, column: str, to: str = "__label") -> tuple[DataFrame, DataFrame]:
+    """df with dense class ids by sorted value (null stays null), and the table (value, id); one way for any number of values."""
+    names = numbered_values(df.select(column).where(F.col(column).isNotNull()).distinct(), column)
+    return df.join(names.select(F.col("value").alias(column), F.col("id").alias(to)), column, "left"), names
 
-def encode_labels(df: DataFrame, column: str, to: str = "__label") -> tuple[DataFrame, dict]:
-    """Dense class ids by sorted value, and the inverse map; one row a class comes to the driver."""
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
-    names = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"{column} {dict(df.dtypes)[column]}, {to} int") if values else None
-    out = df.join(F.broadcast(names), column, "left") if names is not None and len(values) <= 100_000 else df.withColumn(to, F.dense_rank().over(W.orderBy(column)) - 1)
-    return out, dict(enumerate(values))
+
+def encode_label_lists(df: DataFrame, column: str, to: str = "__labels") -> tuple[DataFrame, DataFrame]:
+    """df with lists of labels as lists of dense ids over the union of all labels, and the table (value, id)."""
+    return coded_lists(df, column, to)
 
 
 def long_to_wide(votes: DataFrame) -> DataFrame:
@@ -39,6 +47,20 @@ def long_to_wide(votes: DataFrame) -> DataFrame:
     return votes.groupBy("task_id").pivot("annotator_id").agg(F.first("label"))
 
 
+def wide_to_long(wide: DataFrame) -> DataFrame:
+    """(task_id, annotator_id, label) of the votes that are there, from one column an annotator."""
+    people = [c for c in wide.columns if c != "task_id"]
+    kind = dict(wide.dtypes)[people[0]]
+    long = wide.select("task_id", F.explode(F.array(*[F.struct(F.lit(c).alias("annotator_id"), F.col(f"`{c}`").cast(kind).alias("label")) for c in people])).alias("x"))
+    return long.select("task_id", "x.*").where("label is not null")
+
+
+def encode_votes(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Votes of any values in wide form as long votes of dense ids, and the table (value, id)."""
+    coded, names = encode_labels(wide_to_long(wide), "label", "__id")
+    return coded.select("task_id", "annotator_id", F.col("__id").alias("label")), names
+
+
 def fingerprint(df: DataFrame) -> int:
     """Order-free content hash."""
     return int(df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()[0] or 0)
