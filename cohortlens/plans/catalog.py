@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions import cells
+from ..functions import cells, labels
 from ..operators import audits, confident, neighbors, structured
 from ..sources import fixtures as X
 from . import oracles as O
@@ -143,7 +143,7 @@ def _(s, d):
 
 @_query("noise_matrix", O.X1C + "select given, guess, round(c::double / sum(c) over (partition by guess), 6) as n from cal")
 def _(s, d):
-    _, noise, _ = cells.latent(confident.confident_joint(X.class_probs(s, d)))
+    _, noise, _, _ = confident.noise_estimates(X.class_probs(s, d), converge=False)
     return _grid(s, noise, "double").select("given", "guess", _r("n").alias("n"))
 
 
@@ -194,10 +194,10 @@ def _(s, d):
     return neighbors.data_value(neighbors.knn_edges(v), v).select("id", _r("score").alias("score"))
 
 
-@_query("knn_vote_share", O.KNN + "select i as id, round(avg((label = 0)::int), 6) as p0, round(avg((label = 1)::int), 6) as p1 from e join embeddings on vec_id = j group by i")
+@_query("knn_vote_share", O.KNN + "select i as id, " + ", ".join(f"round(avg((label = {c})::int), 6) as p{c}" for c in range(10)) + " from e join embeddings on vec_id = j group by i")
 def _(s, d):
     v = _vectors(s, d)
-    return neighbors.vote_probs(neighbors.knn_edges(v), v, 10).select("id", _r(F.col("pred_probs")[0]).alias("p0"), _r(F.col("pred_probs")[1]).alias("p1"))
+    return neighbors.vote_probs(neighbors.knn_edges(v), v, 10).select("id", *[_r(F.col("pred_probs")[c]).alias(f"p{c}") for c in range(10)])
 
 
 @_query("non_iid_ks", O.KNN + "n as (select count(*) n from embeddings), g as (select unnest(range(1, (select n from n))) g), c as (select abs(i - j) g, count(*) c from e group by 1), cum as (select g.g, sum(coalesce(c, 0)) over (order by g.g) / (select count(*) from e) s, sum(2e0 * (n - g.g)) over (order by g.g) / (n * (n - 1e0)) b from g left join c on c.g = g.g, n) select round(max(abs(s - b)), 6) as ks from cum")
@@ -283,12 +283,12 @@ def _(s, d):
 
 @_query("multilabel_issues", O.X3 + O.X3_FLAGS + "select id, bool_or(hit) as is_label_issue from flags group by id")
 def _(s, d):
-    return structured.multilabel_issues(X.multilabel(s, d), 4, "confident_learning")
+    return structured.multilabel_issues(X.multilabel(s, d), "confident_learning")
 
 
 @_query("multilabel_common_issues", O.X3 + O.X3_FLAGS + "select k::int as class, bit::int as given, count(*) filter (hit)::bigint as num_examples, round(count(*) filter (hit) / (select count(distinct id)::double from ml), 6) as issue_probability from flags group by 1, 2")
 def _(s, d):
-    return structured.common_multilabel_issues(X.multilabel(s, d), 4).select("class", "given", "num_examples", _r("issue_probability").alias("issue_probability"))
+    return structured.common_multilabel_issues(X.multilabel(s, d), "confident_learning").select("class", "given", "num_examples", _r("issue_probability").alias("issue_probability"))
 
 
 @_query("multilabel_prior", O.X3 + " select k::int as class, round(1 - avg(bit), 6) as p0, round(avg(bit), 6) as p1 from ml group by 1")
@@ -353,7 +353,18 @@ def _(s, d):
     return structured.overlooked_boxes(pairs, p, structured.min_similarity(pairs)).select("image_id", F.col("pred_id").cast("int").alias("pred_id"), _r("score").alias("score"))
 
 
-@_query("box_image_scores")
+def _box_scores(overlooked: str, badloc: str, swap: str) -> str:
+    exact = [_SQL[n].replace("round(", "(").replace(", 6) as score", ") as score") for n in ("box_overlooked", "box_badloc", "box_swap")]
+    return (
+        f"with ol as ({exact[0]}), bl as ({exact[1]}), sw as ({exact[2]}), im as ({O.X6} x as (select 1) select image_id from bx union select image_id from px), "
+        "z as (select image_id, 0 as k, score from ol union all select image_id, 1, score from bl union all select image_id, 2, score from sw), "
+        "s as (select image_id, k, sum(score * exp((1 - score) / 1e-1)) / sum(exp((1 - score) / 1e-1)) as s from z where score is not null group by 1, 2), "
+        "f as (select im.image_id, coalesce(max(s) filter (k = 0), 1) as a, coalesce(max(s) filter (k = 1), 1) as b, coalesce(max(s) filter (k = 2), 1) as c from im left join s on s.image_id = im.image_id group by 1) "
+        f"select image_id, round(a, 6) as overlooked, round(b, 6) as badloc, round(c, 6) as swap, round(exp({overlooked} * ln(a + 1e-100) + {badloc} * ln(b + 1e-100) + {swap} * ln(c + 1e-100)), 6) as label_quality from f"
+    )
+
+
+@_query("box_image_scores", _box_scores("1e0 / 3", "1e0 / 3", "1e0 / 3"))
 def _(s, d):
     got = structured.box_image_scores(X.boxes(s, d), X.predicted_boxes(s, d))
     return got.select("image_id", *[_r(c).alias(c) for c in ("overlooked", "badloc", "swap", "label_quality")])
@@ -383,7 +394,7 @@ def _(s, d):
     return structured.pixel_issues(_pixels(s, d))
 
 
-@_query("pixel_common_issues")
+@_query("pixel_common_issues", O.PIXELS + "select label::int as given_label, am::int as predicted_label, count(*)::bigint as num_pixel_issues from hits group by 1, 2")
 def _(s, d):
     p = _pixels(s, d)
     return structured.common_pixel_issues(p, structured.pixel_issues(p))
@@ -437,7 +448,7 @@ def _(s, d):
 
 @_query("class_counts", "select o_orderpriority as label, count(*)::bigint as n from orders group by 1")
 def _(s, d):
-    return X._t(s, d, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return labels.class_counts(X._t(s, d, "orders"), "o_orderpriority")
 
 
 @_query("encoded_labels", "select o_orderkey as id, (dense_rank() over (order by o_orderpriority) - 1)::int as label from orders")
@@ -447,11 +458,11 @@ def _(s, d):
     return encode_labels(X._t(s, d, "orders"), "o_orderpriority")[0].select(F.col("o_orderkey").alias("id"), F.col("__label").alias("label"))
 
 
-@_query("adjusted_probs", O.X1C + "n as (select given, guess, c::double c, sum(c) over (partition by guess) cs, sum(c) over (partition by given) rs from cal), r as (select given k, (c / rs) / (c / cs) r from n where given = guess), q as (select id, k, least(greatest(p * r, 0), 1) q from p join r using (k)), z as (select id, k, q / sum(q) over (partition by id) z from q) select id, round(max(z) filter (k = 0), 6) as p0, round(max(z) filter (k = 4), 6) as p4 from z group by 1")
+@_query("adjusted_probs", O.X1C + "n as (select given, guess, c::double c, sum(c) over (partition by guess) cs, sum(c) over (partition by given) rs from cal), r as (select given k, (c / rs) / (c / cs) r from n where given = guess), q as (select id, k, least(greatest(p * r, 0), 1) q from p join r using (k)), z as (select id, k, q / sum(q) over (partition by id) z from q) select id, " + ", ".join(f"round(max(z) filter (k = {c}), 6) as p{c}" for c in range(K)) + " from z group by 1")
 def _(s, d):
     x = X.class_probs(s, d)
     _, noise, inverse = cells.latent(confident.confident_joint(x))
-    return confident.recalibrated_probs(x, noise, inverse).select("id", _r(F.col("pred_probs")[0]).alias("p0"), _r(F.col("pred_probs")[4]).alias("p4"))
+    return confident.recalibrated_probs(x, noise, inverse).select("id", *[_r(F.col("pred_probs")[c]).alias(f"p{c}") for c in range(K)])
 
 
 @_query(
@@ -463,7 +474,7 @@ def _(s, d):
     return audits.crowd_posterior_ensemble(X.crowd(s, d), X.two_models(s, d), ["m_0", "m_1"], 3).select("task_id", "consensus", _r("consensus_quality").alias("consensus_quality"))
 
 
-@_query("active_learning_scores_ensemble")
+@_query("active_learning_scores_ensemble", O.X2E + O.posterior(["tp", "tq"]) + O.again(O.posterior(["tp", "tq"])) + "mn as (select avg(w) m from wa2) select task_id, round((q * (ws + mw) + m / 3) / (ws + mw + m), 6) as score from best2 join con2 using (task_id), mn where k = consensus")
 def _(s, d):
     return audits.active_learning_scores_ensemble(X.crowd(s, d), X.two_models(s, d), ["m_0", "m_1"], 3).select("task_id", _r("score").alias("score"))
 
@@ -510,7 +521,7 @@ k as (select *, row_number() over (partition by id order by d) rn from w), t as
 sc as (select median(d) s from t) select id, round(exp(-d / s), 6) as label_quality from t, sc""",
 )
 def _(s, d):
-    return audits.outlying_residual_scores(X.point_predictions(s, d)).select("id", _r("label_quality").alias("label_quality"))
+    return audits.regression_scores(X.point_predictions(s, d)).select("id", _r("label_quality").alias("label_quality"))
 
 
 @_query(
@@ -574,15 +585,22 @@ def _(s, d):
     return structured.box_image_issues(X.boxes(s, d), X.predicted_boxes(s, d))
 
 
-@_query("neighbor_label_issues")
+@_query(
+    "neighbor_label_issues",
+    O.KNN + "p as (select x.i as id, x.label, x.k, avg((b.label = x.k)::int) as p from (select e.i, e.j, a.label, k from e join embeddings a on a.vec_id = e.i, (select unnest(range(10))::int k)) x join embeddings b on b.vec_id = x.j group by all), "
+    + O.joint_of(10) + O.BY_RATE + "select id, coalesce(hit, false) and not near as is_label_issue from a left join by_rate using (id)",
+)
 def _(s, d):
     v = _vectors(s, d)
     return confident.find_label_issues(neighbors.label_issue_probs(neighbors.knn_edges(v).persist(), v, int(v.agg(F.max("label")).first()[0]) + 1))
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_extra  # noqa: F401 (its queries add themselves)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -15,14 +15,16 @@ p as (select id, label, k, raw::double / sum(raw) over (partition by id) as p fr
 
 X1P2 = "with " + _probs(7907, 104723).strip() + " select * from p"
 
-X1C = f"""with {_probs(7919, 104729).strip()},
-thr as (select k, greatest(avg(p), 2e-6) t from p where k = label group by k),
+def joint_of(classes: int) -> str:
+    """From p(id, label, k, p) to thresholds, single rows, guesses, raw and calibrated joint."""
+    grid = f"(select unnest(range({classes}))::int k)"
+    return f"""thr as (select k, greatest(avg(p), 2e-6) t from p where k = label group by k),
 a as (select id, any_value(label)::int label, max(p) pm, min(k) filter (p = mp)::int am, max(p) filter (k = label) own, max(p) filter (k <> label) other,
   max(p) filter (k = label) + 1e-6 > max(p) filter (k <> label) near, list(p order by k) ps
   from (select *, max(p) over (partition by id) mp from p) group by id),
 conf as (select id, count(*) n, min(p.k) one from p join thr using (k) where p.p >= thr.t - 1e-6 group by id),
 guess as (select a.id, a.label, case when n = 1 then one when n > 1 then am end::int g from a left join conf using (id)),
-grid as (select x.k given, y.k guess from {_K5} x, {_K5} y),
+grid as (select x.k given, y.k guess from {grid} x, {grid} y),
 cnt as (select label, g, count(*) n from guess where g is not null group by all),
 raw as (select given, guess, greatest(coalesce(n, 0), case when given = guess then 1 else 0 end) c from grid left join cnt on label = given and g = guess),
 lc as (select label given, count(*) n from a group by 1),
@@ -33,6 +35,9 @@ c3 as (select *, round_even(v, 0) r, round_even(sum(v) over (partition by given)
 cal as (select given, guess, r + case when gap > 0 and up <= gap then 1 when gap < 0 and down <= -gap then -1 else 0 end c from c3),
 """
 
+
+X1C = f"with {_probs(7919, 104729).strip()},\n" + joint_of(5)
+
 BY_RATE = """m as (select p.id, p.label, p.k, p.p - a.own m from p join a using (id) where p.k <> p.label),
 rk as (select id, label, k, row_number() over (partition by label, k order by m desc, id) r from m),
 by_rate as (select distinct id, true hit from rk join cal on cal.given = rk.label and cal.guess = rk.k where r <= c),
@@ -158,3 +163,32 @@ ft as (select distinct t from (select a.t + (b.t - a.t) * unnest(range(5)) / 4e0
 )
 #: X2 with its probabilities as t0, and what follows on them at the best temperature.
 X2T = X2.replace("tp as (select task_id, k, raw", "t0 as (select task_id, k, raw").replace("vn as", TEMPERATURE + "tp as (select task_id, k, z p from fs join bt using (t)),\nvn as")
+
+
+#: The classes reached by two models of the crowd's tasks, each at its best temperature.
+_SECOND = re.sub(r"\bt0\b", "u0", re.sub(r"\b(hz|hs|hl|ci|ft|fz|fs|fl|bt)\b", r"\1q", TEMPERATURE[TEMPERATURE.index("hz as"):]))
+X2E = X2T.replace("fr as", PROBS.format("u0", 7907, 104723) + _SECOND + "tq as (select task_id, k, z p from fsq join btq using (t)),\nmp as (select task_id, k, (tp.p + tq.p) / 2 p from tp join tq using (task_id, k)),\nfr as").replace(
+    "join tp on tp.task_id = vt.task_id and tp.k = vt.label", "join mp on mp.task_id = vt.task_id and mp.k = vt.label"
+)
+
+PIXELS = f"""with x as ({X8}), t as (select avg(p1) filter (label = 1) t1, avg(1 - p1) filter (label = 0) t0 from x),
+y as (select *, case when label = 1 then p1 else 1 - p1 end own, case when p1 > 1 - p1 then 1 else 0 end am, greatest(p1, 1 - p1) pm from x),
+n as (select count(*) n from y, t where am <> label and pm >= case when am = 1 then t1 else t0 end - 1e-6),
+r as (select *, row_number() over (order by own, image_id, y, x) r from y),
+hits as (select image_id, y, x, label, am from r, n where r <= n and am <> label)
+"""
+
+#: Per class of X3 the thresholds, counts, guesses and the 2 x 2 joint, raw and calibrated.
+X3_JOINT = X3 + """, th as (select k, coalesce(greatest(avg(p) filter (bit = 1), 2e-6), 2) t1, coalesce(greatest(avg(1 - p) filter (bit = 0), 2e-6), 2) t0 from ml group by k),
+cf as (select ml.*, case when bit = 1 then p else 1 - p end own, p >= t1 - 1e-6 c1, 1 - p >= t0 - 1e-6 c0, case when p > 1 - p then 1 else 0 end am, case when bit = 1 then p + 1e-6 > 1 - p else 1 - p + 1e-6 > p end near from ml join th using (k)),
+gu as (select *, case when c1 and c0 then am when c1 then 1 when c0 then 0 end g from cf),
+cells as (select k, given, guess from (select distinct k from ml), (select unnest([0, 1])::int given), (select unnest([0, 1])::int guess)),
+rw as (select cells.k, given, guess, greatest(coalesce(n, 0), case when given = guess then 1 else 0 end) c from cells left join (select k, bit, g, count(*) n from gu where g is not null group by all) z on z.k = cells.k and bit = given and g = guess),
+lc as (select k, bit given, count(*) n from ml group by 1, 2),
+v1 as (select rw.k, given, guess, c::double / sum(c) over (partition by rw.k, given) * n v from rw join lc using (k, given)),
+v2 as (select *, round_even(v, 0) r, round_even(sum(v) over (partition by k, given), 0) - sum(round_even(v, 0)) over (partition by k, given) gap,
+  row_number() over (partition by k, given order by v - round_even(v, 0) desc, guess desc) up, row_number() over (partition by k, given order by v - round_even(v, 0), guess) down from v1),
+ca as (select k, given, guess, (r + case when gap > 0 and up <= gap then 1 when gap < 0 and down <= -gap then -1 else 0 end)::bigint c from v2),
+o1 as (select gu.*, row_number() over (partition by k, bit order by own, id) r from gu),
+br as (select id, o1.k, bit, not near and r <= c hit from o1 join ca on ca.k = o1.k and ca.given = o1.bit and ca.guess = 1 - o1.bit),
+"""
