@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from cohortlens.functions import arrays as A
 from cohortlens.functions import cells
 from cohortlens.operators import audits, confident, contracts, neighbors, structured
-from cohortlens.operators.training import CleanLearning, RegressionLearning, folds, out_of_fold_predictions
-from cohortlens.plans import lab
+from cohortlens.functions import labels
+from cohortlens.operators.training import IssueCleaner, TargetCleaner, best_of, estimates_from_features, folds, out_of_fold_multilabel_probs, out_of_fold_predictions, steps_beside
+from cohortlens.plans import lab, show
 from cohortlens.sources import dataset
-from cohortlens.streaming.inspector import LabelInspector
+from cohortlens.streaming.inspector import StreamAudit, audit_file, quality_scores
 
 PROBS = "id bigint, label int, pred_probs array<double>"
 
@@ -20,13 +21,13 @@ PROBS = "id bigint, label int, pred_probs array<double>"
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.floats(0, 1e4), min_size=1, max_size=12))
 def test_rounding_keeps_the_sum(values):
-    got = cells.round_preserving_sum(values)
+    got = cells.whole_with_sum(values)
     assert got.sum() == np.rint(np.sum(values)) and (np.abs(got - np.array(values)) <= 1.5).all()
 
 
 def test_rounding_ties():
-    assert cells.round_preserving_sum([0.5, 0.5]).tolist() == [0, 1]
-    assert cells.round_preserving_sum([1.5, 1.5]).tolist() == [1, 2]
+    assert cells.whole_with_sum([0.5, 0.5]).tolist() == [0, 1]
+    assert cells.whole_with_sum([1.5, 1.5]).tolist() == [1, 2]
 
 
 def test_calibration_keeps_counts():
@@ -124,12 +125,19 @@ def test_vote_ties(spark):
 def test_streaming_equals_batch(spark, tmp_path):
     df, _ = noisy(spark)
     df.repartition(4).write.parquet(str(tmp_path / "in"))
-    one = LabelInspector(3)
+    one = StreamAudit(3)
     q = one.watch(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), checkpoint=str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert np.allclose(one.thresholds(), confident.thresholds(df))
     scores = one.score(df)
     assert one.issues == confident.batched_issue_count(df) and one.issue_ids(scores).count() == one.issues
+    with pytest.raises(ValueError):
+        StreamAudit(3).thresholds()
+    stored = StreamAudit(3, calibrated=True)
+    stored.watch(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), scores_path=str(tmp_path / "scores")).awaitTermination(120)
+    assert stored.issues == confident.batched_issue_count(df, calibrated=True) and quality_scores(spark, str(tmp_path / "scores")).count() == df.count()
+    found = {r["id"] for r in audit_file(spark.read.parquet(str(tmp_path / "in"))).collect()}
+    assert found <= {r["id"] for r in one.issue_ids(scores).collect()} and len(found) > 10
 
 
 def test_training(spark):
@@ -138,7 +146,7 @@ def test_training(spark):
     x = r.normal(size=(240, 2)) + 4 * true[:, None]
     given_ = np.where(np.arange(240) % 15 == 0, 1 - true, true)
     df = spark.createDataFrame([(i, int(given_[i]), x[i].tolist()) for i in range(240)], "id bigint, label int, features array<double>")
-    c = CleanLearning(n_folds=3)
+    c = IssueCleaner(n_folds=3)
     got = {q["id"] for q in c.find_label_issues(df).where("is_label_issue").collect()}
     assert len(got & set(range(0, 240, 15))) >= 12 and len(got) <= 22
     assert c.fit(df).score(df.withColumn("label", F.lit(None).cast("int")).drop("label").join(spark.createDataFrame([(i, int(true[i])) for i in range(240)], "id bigint, label int"), "id")) > 0.97
@@ -240,9 +248,15 @@ def test_cells_stand_for_points(spark, monkeypatch):
     scores = lambda: np.array([x.label_quality for x in audits.outlying_residual_scores(df).orderBy("id").collect()])
     exact = scores()
     assert set(np.argsort(exact)[:30]) == set(range(30))
-    monkeypatch.setattr(audits, "EXACT_ROWS", 100)
-    assert np.abs(scores() - exact).max() < 0.01
+    pts = np.stack([(y - y.mean()) / y.std(), 5 * (e - e.mean()) / e.std()], axis=1)
+    plain = np.array([np.sort(np.hypot(*(pts - q).T))[:1500].mean() for q in pts])
+    assert np.allclose(exact, np.exp(-plain / np.median(plain)))
+    in_cells = np.array([x.label_quality for x in audits.outlying_residual_scores(df, cells=True).orderBy("id").collect()])
+    assert np.abs(in_cells - exact).max() < 0.01
     assert audits.outlying_residual_scores(df.limit(0)).count() == 0
+    monkeypatch.setattr(audits, "MOST_POINTS", 100)
+    with pytest.raises(ValueError, match="cells"):
+        scores()
 
 
 def test_lab_with_other_inputs(spark):
@@ -273,18 +287,18 @@ def test_regression_learning(spark):
     wrong = set(r.choice(400, 24, replace=False).tolist())
     given = [float(v + 6) if i in wrong else float(v) for i, v in enumerate(y)]
     df = spark.createDataFrame([(i, given[i], x[i].tolist()) for i in range(400)], "id bigint, y double, features array<double>")
-    one = RegressionLearning(n_folds=3, n_boot=2)
+    one = TargetCleaner(n_folds=3, n_boot=2)
     rows = one.find_label_issues(df, (0.01, 0.06, 0.2), 1).collect()
     flagged = {a.id for a in rows if a.is_label_issue}
     assert len(rows) == 400 and len(flagged) == np.ceil(400 * one.k) > 0
     assert len(flagged & wrong) >= 0.9 * min(len(flagged), len(wrong))
     assert {a.id for a in sorted(rows, key=lambda a: a.label_quality)[:20]} <= wrong
     clean = spark.createDataFrame([(i, float(y[i]), x[i].tolist()) for i in range(400)], df.schema)
-    plain = RegressionLearning()
+    plain = TargetCleaner()
     plain.issues = one.issues.withColumn("is_label_issue", F.lit(False))
     assert one.fit(df).score(clean) > plain.fit(df).score(clean) and one.predict(df).count() == 400
     with pytest.raises(ValueError):
-        RegressionLearning().find_label_issues(df.limit(3))
+        TargetCleaner().find_label_issues(df.limit(3))
 
 
 def test_crowd_labels_without_overlap_or_with_agreement(spark):
@@ -301,3 +315,212 @@ def test_crowd_labels_without_overlap_or_with_agreement(spark):
     assert quality == pytest.approx({1: 1.0, 2: 1.0, 3: 0.0})
     with pytest.raises(ValueError):
         audits.crowd_labels(both, probs, 2, consensus="none")
+
+
+def test_refined_noise_matrix_is_the_plain_iteration():
+    joint = np.array([[50.0, 4, 2], [6, 40, 3], [1, 9, 60]])
+    py, noise, inverse = cells.latent(joint, converge=True)
+    ps = joint.sum(axis=1) / joint.sum()
+    clip = lambda m: (lambda x: x / x.sum(axis=0))(np.where(np.eye(3, dtype=bool), m, np.clip(m, 0, 0.9999)))
+    n, v = clip(joint / joint.sum(axis=0)), clip((joint / joint.sum(axis=1, keepdims=True)).T)
+    p = np.diagonal(v) / np.diagonal(n) * ps
+    p /= p.sum()
+    for _ in range(3):
+        for _ in range(5):
+            v = clip((n * p).T / ps)
+            p = np.diagonal(v) / np.diagonal(n) * ps
+            p /= p.sum()
+        n = clip((v * ps).T / p)
+    assert np.allclose(py, p) and np.allclose(noise, n) and np.allclose(inverse, v)
+
+
+def test_quotas_keep_rows_of_each_class():
+    joint = np.array([[5, 3, 2], [1, 50, 4], [0, 6, 70]])
+    got = cells.prune_quotas(joint, 8)
+    assert got[0, 0] == 8 and got[1, 1] == 50
+    assert got[:, 0].sum() <= joint[0].sum() and (got >= 0).all()
+    half = cells.prune_quotas(joint, 1, 0.5)
+    assert (half[~np.eye(3, dtype=bool)] == np.trunc(joint.T[~np.eye(3, dtype=bool)] / 2)).all()
+    wanted = np.array([2, 3, 4])
+    removed = cells.quotas_for_removals(got, joint.sum(axis=1), wanted)
+    assert (removed.sum(axis=1) - np.diagonal(removed)).tolist() == wanted.tolist()
+    assert cells.quotas_for_removals(np.diag([3, 4]), np.array([3, 4]), np.array([1, 0])).tolist() == [[2, 0], [0, 4]]
+
+
+def test_small_matrix_helpers():
+    assert np.isnan(cells.pu_f1(0, 0, 3, 5)) and np.isnan(cells.pu_f1(0, 2, 0, 5)) and cells.pu_f1(2, 4, 2, 8) == 0.5
+    noise = np.array([[0.9, 0.2], [0.1, 0.8]])
+    ps, py, inverse = cells.prior_and_inverse(np.array([55, 45]), noise)
+    assert np.allclose(noise @ py, ps) and np.allclose(inverse.sum(axis=0), 1)
+    assert cells.as_text(noise).splitlines()[1].split() == ["s=0", "0.9", "0.2"]
+    assert best_of([1, 2, 3], lambda x: -abs(x - 2)) == (0, 2) and best_of([1, 3], lambda x: 0.0)[1] == 1
+    assert np.allclose(steps_beside([0.0, 1.0, 3.0], 1.0, 1), [0.5, 2.0]) and steps_beside([0.5], 0.5, 3) == [] and np.allclose(steps_beside([0.0, 1.0], 0.0, 3), [0.25, 0.5, 0.75])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 8), st.floats(0, 1), st.integers(0, 50))
+def test_random_shares(n, part, seed):
+    total = n * 0.1 + part * n * 0.6
+    x = audits.shares_of(total, n, 0.1, 0.7, seed)
+    assert np.isclose(x.sum(), total) and (x >= 0.1 - 1e-9).all() and (x <= 0.7 + 1e-9).all()
+    b = audits.balls_in_bins(3 * n, n, 1, 5, seed)
+    assert b.sum() == 3 * n and b.min() >= 1 and b.max() <= 5
+    with pytest.raises(ValueError):
+        audits.balls_in_bins(6 * n, n, 1, 5)
+    with pytest.raises(ValueError):
+        audits.shares_of(n * 0.8, n, 0.1, 0.7)
+
+
+def test_unsupported_policies(spark):
+    df, _ = noisy(spark, 60)
+    for policy in ("confident_learning", "predicted_neq_given", "low_self_confidence", "low_normalized_margin"):
+        with pytest.raises(ValueError, match="remove"):
+            confident.find_label_issues(df, policy, num_to_remove_per_class=[1, 1, 1])
+    with pytest.raises(ValueError, match="unknown"):
+        confident.find_label_issues(df, "none")
+    assert confident.num_label_issues(df, "off_diagonal_custom", np.diag([20, 20, 20])) == 0
+    for bad in ("off_diagonal_custom", "none"):
+        with pytest.raises(ValueError):
+            confident.num_label_issues(df, bad)
+
+
+def test_first_of_equals_a_window(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, int(i % 3), float(np.round(r.random() ** 3, 2)), int((i % 3) * 40)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, k int, s double, q int")
+    got = {x.id for x in confident.first_of(df, ["k"], [F.col("s"), F.col("id")], F.col("s"), "q").collect()}
+    want = set()
+    for k in range(3):
+        want |= {x[0] for x in sorted((x for x in rows if x[1] == k), key=lambda x: (x[2], x[0]))[: k * 40]}
+    assert got == want and confident.lowest(df, "s", 0).count() == 0 and confident.lowest(df, "s", 5000).count() == 900
+
+
+def test_label_coding_keeps_nulls_and_order(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "c"), (5, "a")], "id int, v string")
+    coded, names = dataset.encode_labels(df, "v")
+    assert {x.id: x["__label"] for x in coded.collect()} == {1: 1, 2: None, 3: 0, 4: 2, 5: 0} and {x.value: x.id for x in names.collect()} == {"a": 0, "b": 1, "c": 2}
+    many = spark.range(5000).selectExpr("cast(id * 7919 % 5000 as string) as v")
+    assert [x.id for x in labels.numbered_values(many, "v").orderBy("value").collect()] == list(range(5000))
+    lists = spark.createDataFrame([(1, ["x", "b"]), (2, []), (3, None), (4, ["a", None])], "id int, v array<string>")
+    coded, _ = dataset.encode_label_lists(lists, "v")
+    assert {x.id: x["__labels"] for x in coded.collect()} == {1: [2, 1], 2: [], 3: None, 4: [0, None]}
+
+
+def test_more_contracts(spark):
+    df = spark.createDataFrame([(1, [2.0], "3", ["x"])], "id int, a array<double>, t string, w array<string>")
+    assert contracts.numeric_column(df, "a").first().a == 2.0 and contracts.numeric_column(df, "t").first().t == 3.0
+    with pytest.raises(ValueError):
+        contracts.numeric_column(df, "missing")
+    with pytest.raises(Exception, match="(?i)invalid|cast"):
+        contracts.numeric_column(df.withColumn("t", F.lit("x")), "t")
+    with pytest.raises(ValueError):
+        contracts.label_lists(df, "w")
+    ok = spark.createDataFrame([(1, [0, 2])], "id int, labels array<int>")
+    assert contracts.label_lists(ok) is ok
+    p = spark.createDataFrame([(1, [0.5, 0.5]), (2, [0.1, 0.9])], "task_id int, pred_probs array<double>")
+    assert contracts.crowd_probabilities(p) == 2 == contracts.crowd_probabilities(None, p)
+    for bad in ((None, None), (p, p.select("task_id", F.array(F.lit(1.0)).alias("pred_probs")))):
+        with pytest.raises(ValueError):
+            contracts.crowd_probabilities(*bad)
+    f = spark.createDataFrame([(1, [1.0], 2.0)], "id int, features array<double>, y double")
+    assert contracts.features(f) is f
+    with pytest.raises(ValueError):
+        contracts.features(f.unionByName(f.withColumn("features", F.array(F.lit(1.0), F.lit(2.0)))))
+    assert contracts.method("a", ("a", "b")) == "a"
+    with pytest.raises(ValueError):
+        contracts.method("c", ("a", "b"))
+    px = spark.createDataFrame([(1, 0, 0, 0, [0.5, 0.5])], "image_id int, y int, x int, label int, pred_probs array<double>")
+    assert contracts.pixel_classes(px) is px
+    for bad in (px.union(px), px.withColumn("label", F.lit(2))):
+        with pytest.raises(ValueError):
+            contracts.pixel_classes(bad)
+    with pytest.raises(ValueError):
+        structured.shrunk(px, 2)
+
+
+def test_models_of_many_labels_and_noise(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(150, 2))
+    bits = [[int(a > 0), int(b > 0)] for a, b in x]
+    df = spark.createDataFrame([(i, bits[i], x[i].tolist()) for i in range(150)], "id bigint, bits array<int>, features array<double>")
+    got = out_of_fold_multilabel_probs(df, 3).collect()
+    assert len(got) == 150 and np.mean([(np.array(g.probs) > 0.5) == np.array(g.bits) for g in got]) > 0.9
+    one = spark.createDataFrame([(i, bits[i][0], x[i].tolist()) for i in range(150)], "id bigint, label int, features array<double>")
+    found = estimates_from_features(one, 3)
+    assert np.allclose(found["noise_matrix"].sum(axis=0), 1) and np.allclose(found["inverse_noise_matrix"].sum(axis=0), 1) and np.isclose(found["py"].sum(), 1) and found["pred_probs"].count() == 150
+    c = IssueCleaner(n_folds=3)
+    c.given_issues(spark.createDataFrame([(0,), (1,)], "id bigint"))
+    assert c.fit(one).get_label_issues().count() == 2 and c.score(one) > 0.9
+    c.save_space()
+    assert c.get_label_issues() is None and c.model is not None
+    with pytest.raises(ValueError):
+        c.given_issues(spark.createDataFrame([(0,)], "x int"))
+
+
+def test_lab_reuses_neighbours_and_tells_more(spark):
+    df, _ = noisy(spark, 120)
+    r = np.random.default_rng(1)
+    x = r.normal(size=(120, 4))
+    x[7] = x[3]
+    vec = spark.createDataFrame([(i, x[i].tolist(), float(i % 50 == 0) * 0.9, i) for i in range(120)], "id bigint, features array<double>, dark double, row int")
+    data = df.join(vec, "id")
+    edges = neighbors.knn_edges(vec, 12)
+    one = lab.Lab(data, k=10, edges=edges, properties={"dark": 0.5})
+    assert one._edges and one.statistics() == {"num_examples": 120, "num_classes": 3}
+    assert not lab.Lab(data, k=20, edges=edges)._edges
+    one.find_issues({"near_duplicate": {}, "label": {}, "class_imbalance": {}, "identifier_column": {"columns": ["row"]}, "spurious_correlations": {}, "image_property": {"max_prevalence": 0.99}})
+    assert not one.failed
+    near = {q.id: q for q in one.get_issues("near_duplicate").collect()}
+    assert near[3].near_duplicate_set == [7] and near[7].near_duplicate_set == [3] and near[3].distance_to_nearest_neighbor == 0
+    assert {"given_label", "predicted_label"} <= set(one.get_issues("label").columns) and "given_label" in one.get_issues("class_imbalance").columns
+    assert one.get_info("identifier_column") == {"identifier_columns": ["row"]} and one.summary["identifier_column"] == (0.0, 1)
+    assert one.get_issues("image_property").where("is_image_property_issue").count() == 117 and "spurious_correlations" in one.report(verbosity=1, include_description=True)
+    assert "near_duplicate: 2" in repr(one)
+    bad = lab.Lab(data.withColumn("label", F.lit(9)))
+    with pytest.raises(ValueError):
+        bad.find_issues()
+
+    @lab.register("too_high", description="a score that is none")
+    def _(d):
+        return d.select("id", F.lit(2.0).alias("score"), F.lit(True).alias("is_too_high_issue"))
+
+    try:
+        assert "between 0 and 1" in lab.Lab(data).find_issues({"too_high": {}}).failed["too_high"]
+    finally:
+        lab._CUSTOM.pop(("classification", "too_high"))
+        lab._CUSTOM.pop(("classification", "odd_id"), None)
+    with pytest.raises(ValueError):
+        one.get_issues("none")
+    with pytest.raises(ValueError):
+        lab.Lab(data, "none")
+
+
+def test_outlier_scores_of_a_table_of_copies(spark):
+    """With a median distance of 0 a small distance is no outlier: the scale has a floor."""
+    rows = [(i, [1.0, 1.0]) for i in range(12)] + [(20, [1.0, 1.0 + 1e-7])]
+    e = neighbors.knn_edges(spark.createDataFrame(rows, "id bigint, features array<double>"), 3)
+    score = {r.id: r.score for r in neighbors.outliers(e, metric="euclidean").collect()}
+    assert score[0] == 1.0 and score[20] > 0.85
+    with pytest.raises(ValueError):
+        neighbors.OutlierDetector().score(e)
+    odd = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [float("nan"), 1.0]), (4, [0.0, 2.0]), (5, [None, 1.0])], "id bigint, features array<double>")
+    assert {(r.i, r.j) for r in neighbors.knn_edges(odd, 3).collect()} == {(1, 4), (4, 1)}
+
+
+def test_shown_results(spark):
+    assert len(set(show.colours(12))) == 12 and all(len(c) == 7 and c[0] == "#" for c in show.colours(3))
+    assert show.bars([("a", 1), ("bb", 4)], 8).splitlines() == ["bb ######## 4", "a  ## 1"]
+    boxes = spark.createDataFrame([(1, 0, 1.0, 2.0, 5.0, 6.0, 0)], "image_id int, box_id int, x1 double, y1 double, x2 double, y2 double, label int")
+    svg = show.boxes_svg(boxes, boxes.withColumn("p", F.lit(0.9)), 1, (10, 10), names=["<cat>"])
+    assert svg.count("<rect") == 2 and "&lt;cat&gt; 0.90" in svg and "stroke-dasharray" in svg
+    px = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, 1)], "image_id int, y int, x int, label int")
+    svg = show.pixels_svg(px, px.where("x = 1").select("image_id", "y", "x"), 1)
+    assert svg.count("<rect") == 2 and svg.count('stroke="red"') == 1
+    assert show.class_share_bars(structured.box_class_share(boxes)).startswith("0 ")
+
+
+def test_random_loading_errors(spark):
+    with pytest.raises(ValueError):
+        dataset.load(spark, 5)
+    with pytest.raises(ValueError):
+        dataset.load(spark, {"a": [1], "b": [1, 2]})
