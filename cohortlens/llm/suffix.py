@@ -11,7 +11,8 @@ sampled.
    bytes and their whole surroundings (all windows around the position).  This is
    the aggregation before the shuffle: of equal surroundings in one task all but
    the first are covered, and only the first goes on.
-2. A filter: suffixes whose leading bytes hash like no others' repeat nothing.
+2. A filter by the same hashes over all tasks: suffixes whose leading bytes hash like
+   no others' repeat nothing, and of equal surroundings again the first goes on.
 3. All others are sorted.  Sampled splitters range-partition them by their bytes
    (place breaks ties, so the suffixes of a hot passage are cut into buckets like
    any others); each bucket is sorted by multikey quicksort with 8-byte
@@ -132,10 +133,10 @@ def merged(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], z[np.r_[np.flatnonzero(new)[1:] - 1, len(z) - 1]]
 
 
-# Kinds of rows between steps 1 and 2, in the low bits of meta: (position << 2) | kind
+# Kinds of rows between steps 1 and 2, in the low bits of meta: (position << 10) | (right length << 2) | kind; ctx is the end of a range
 _SUFFIX, _RANGE, _SKIP, _STAND_IN = range(4)
-_ROWS = pa.schema([(n, pa.int64()) for n in ("key", "doc", "sub", "meta", "z")])
-_ROWS_DDL = "key bigint, doc bigint, sub bigint, meta bigint, z bigint"
+_ROWS = pa.schema([(n, pa.int64()) for n in ("key", "ctx", "doc", "sub", "meta")])
+_ROWS_DDL = "key bigint, ctx bigint, doc bigint, sub bigint, meta bigint"
 
 
 def _batch(schema: pa.Schema, *cols: np.ndarray) -> pa.RecordBatch:
@@ -180,15 +181,15 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = [merged(a[i:j], z[i:j]) for i, j in zip(cuts, np.r_[cuts[1:], len(d)], strict=True)]
             dd = np.repeat(d[cuts], [len(x[0]) for x in runs])
             aa, zz = np.concatenate([x[0] for x in runs]), np.concatenate([x[1] for x in runs])
-            yield _batch(_ROWS, _mix(_mix((doc[dd] ^ sub[dd]).astype(np.uint64)) + aa.astype(np.uint64)), doc[dd], sub[dd], (aa << 2) | _RANGE, zz)
-        k, own, pos, new_k = (x[new_c] for x in (k, own, pos, new_k))
+            yield _batch(_ROWS, _mix(_mix((doc[dd] ^ sub[dd]).astype(np.uint64)) + aa.astype(np.uint64)), zz, doc[dd], sub[dd], (aa << 10) | _RANGE)
+        k, ctx, own, pos, right, new_k = (x[new_c] for x in (k, ctx, own, pos, right, new_k))
         group = np.cumsum(new_k) - 1
         many = np.bincount(group)[group] > MANY
         for which, kind in ((~many, _SUFFIX), (many, _SKIP), (many & new_k, _STAND_IN)):
             if which.any():
                 d, p = own[which], pos[which]
                 key = _mix(_mix((doc[d] ^ sub[d]).astype(np.uint64)) + p.astype(np.uint64)) if kind == _SKIP else k[which]
-                yield _batch(_ROWS, key, doc[d], sub[d], (p << 2) | kind, np.zeros(len(p), np.int64))
+                yield _batch(_ROWS, key, ctx[which], doc[d], sub[d], (p << 10) | (right[which] << 2) | kind)
 
     for b in batches:
         for doc, sub, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), strict=True):
@@ -345,10 +346,18 @@ def _release(spark: SparkSession) -> None:
 
 def _step_1_2(src: DataFrame) -> DataFrame:
     """doc, sub, a, z: covered ranges, and suffixes that go on (z = -1)."""
-    rows = src.select("doc", "sub", "text").mapInArrow(_sample, _ROWS_DDL)
-    kind = F.col("meta").bitwiseAND(F.lit(3))
-    met = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where(kind.isin(_RANGE, _SKIP) | ((kind == _SUFFIX) & (F.col("n") > 1)))
-    return cut(met.select("doc", "sub", F.shiftright("meta", 2).alias("a"), F.when(kind == _RANGE, F.col("z")).otherwise(F.lit(-1)).alias("z")))
+    rows = src.select("doc", "sub", "text").mapInArrow(_sample, _ROWS_DDL).repartition("key")
+    kind, place = F.col("meta").bitwiseAND(F.lit(3)), F.struct("doc", "sub", "meta")
+    # one sort by key and ctx serves both windows
+    met = rows.withColumn("first", F.min(place).over(W.partitionBy("key", "ctx")))
+    alike = W.partitionBy("key")
+    met = met.withColumn("several", (F.min("ctx").over(alike) < F.max("ctx").over(alike)) | F.max(kind == _STAND_IN).over(alike))
+    pos, right = F.shiftright("meta", 10), F.shiftright("meta", 2).bitwiseAND(F.lit(255))
+    left = F.least(pos, F.lit(BACK))
+    later = (kind == _SUFFIX) & (place > F.col("first")) & (left + right >= LENGTH)
+    met = met.where(later | kind.isin(_RANGE, _SKIP) | ((kind == _SUFFIX) & F.col("several")))
+    z = F.when(kind == _RANGE, F.col("ctx")).when(later, pos + right).otherwise(F.lit(-1))
+    return cut(met.select("doc", "sub", F.when(later, pos - left).otherwise(pos).alias("a"), z.alias("z")))
 
 
 def _step_3(src: DataFrame, met: DataFrame) -> DataFrame:
