@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +73,20 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def grouped(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold so many bytes, for work with a cost for each batch; none is empty."""
+    held, held_bytes = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            held_bytes += b.nbytes
+            if held_bytes >= size:
+                yield pa.concat_batches(held)
+                held, held_bytes = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def kept_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, taken by exact name, so that further columns can't clash with computed ones."""
     return docs.select(*[F.col(f"`{n}`") for n in names])

@@ -26,9 +26,12 @@ key is hot.
 
 Defined cases: null text counts as empty and has the end token only; a token
 equal to no training token has count 0; an empty table gives an empty result;
-without training documents the model is uniform over one class; repeated rows of
-a doc_id are scored together as one document's sums divided by their number;
-other columns are ignored.
+without training documents the model is uniform over one class; every row is
+scored: rows of one doc_id (null included) are told apart by a hash of their
+texts, and those of equal texts, which score alike, are summed, divided by their
+number and given back as often; a row without doc_id is not held out and not
+learned from; a text is held whole by the task that reads it; equal counts (ties)
+are ranked by the word; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,10 +44,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, kept_columns, small_batches, table, texts
+from .common import cut, grouped, kept_columns, small_batches, table, texts, unfolded
 
 END = ""  # no word is empty
 CLASSES, PER_CLASS = 16, 32
@@ -68,6 +72,15 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()  # on bytes both touch ASCII only
 
 
+def word_lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts of a column, one after the other, and how many each text has; null has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.string())))
+    flat = lists.flatten()
+    full = pc.not_equal(flat, "")
+    of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    return flat.filter(full), np.bincount(of[full.to_numpy(zero_copy_only=False)], minlength=len(lists))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c: tokens of all documents, the end token as the empty word."""
     schema = pa.schema([("word", pa.string()), ("c", pa.int64())])
@@ -100,33 +113,33 @@ class Vocabulary:
     total: int
     distinct: int
     shares: np.ndarray  # by leaf: the counts of its words that aren't modelled plus one each, and one share for the unseen
-    place: dict[bytes, int] | None = None
+    known: pa.Array | None = None
     hashes: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"place": None, "hashes": None}
+        return self.__dict__ | {"known": None, "hashes": None}
 
     @property
     def rows(self) -> int:
         """Rows of each hashed table: a power of two that grows with the root of the tokens."""
         return max(LEAST_ROWS, 1 << math.ceil(math.log2(math.sqrt(self.total + 1))))
 
-    def hash(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
+    def ids(self, words: pa.Array) -> np.ndarray:
+        """Rank of each word, -1 if it isn't in the head."""
+        if self.known is None:
+            self.known = pa.array([w.decode() for w in self.words], pa.string())
+        return pc.index_in(words, self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+
+    def hash(self, ids: np.ndarray, tail: list[str]) -> np.ndarray:
+        """A hash of each word; tail has those that aren't in the head."""
         if self.hashes is None:
             self.hashes = np.array([zlib.crc32(w) for w in self.words], dtype=np.int64)
         out = np.empty(len(ids), dtype=np.int64)
         head = ids >= 0
         out[head] = self.hashes[ids[head]]
-        out[~head] = [zlib.crc32(words[i]) for i in np.flatnonzero(~head).tolist()]
+        out[~head] = [zlib.crc32(w.encode()) for w in tail]
         return out
 
-    def ids(self, words: list[bytes]) -> list[int]:
-        """Rank of each word, -1 if it isn't in the head."""
-        if self.place is None:
-            self.place = {w: i for i, w in enumerate(self.words)}
-        get = self.place.get
-        return [get(w, -1) for w in words]
-
 
 class MaxEnt:
     """The weights, as tables of rows: cb c1 c2 cp for the classes, wb w1 w2 for the words of a class, tb t1 t2 for the nodes of the tree."""
@@ -143,9 +156,10 @@ class MaxEnt:
         k = min(len(vocabulary.counts), MODELLED)
         c[:k] = vocabulary.counts[:k]
         by = c.reshape(CLASSES, PER_CLASS)
-        self.t["cb"][0] = np.log(np.r_[by.sum(axis=1), vocabulary.total - c.sum()] + 0.5)
-        self.t["wb"][:] = np.where(by > 0, np.log(by + 1e-9), -30.0)
-        levels = [np.log(vocabulary.shares.reshape(branch ** (x + 1), -1).sum(axis=1)).reshape(-1, branch) for x in range(self.depth)]
+        shares = lambda x: np.log(x / x.sum(axis=1, keepdims=True))
+        self.t["cb"][:] = shares(np.r_[by.sum(axis=1), vocabulary.total - c.sum()][None, :] + 0.5)
+        self.t["wb"][:] = np.where(by > 0, shares(by + 1e-9), -30.0)
+        levels = [shares(vocabulary.shares.reshape(branch ** (x + 1), -1).sum(axis=1).reshape(-1, branch)) for x in range(self.depth)]
         self.t["tb"][:] = np.concatenate(levels)
 
     def examples(self, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,19 +174,28 @@ class MaxEnt:
 
     @staticmethod
     def _softmax(z):
-        z -= z.max(axis=1, keepdims=True)
+        """Of log-odds that start as log shares; what training adds is far from the bounds of single precision, which the clip and the floor keep."""
+        np.minimum(z, 80, out=z)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z /= np.maximum(z @ np.ones(z.shape[1], np.float32), 1e-30)[:, None]
+        return z
+
+    def _sum(self, *parts: tuple[str, np.ndarray]) -> np.ndarray:
+        """The rows of some tables, added up."""
+        (name, rows), *more = parts
+        z = self.t[name].take(rows, axis=0)
+        for name, rows in more:
+            z += self.t[name].take(rows, axis=0)
         return z
 
     def _forward(self, one, two, cls):
         pair = ((one.astype(np.int64) * 7919 + two) * 2654435761 >> 7) % self.n
-        z = self._softmax(self.t["c1"][one] + self.t["c2"][two] + self.t["cp"][pair] + self.t["cb"])
+        z = self._softmax(self._sum(("c1", one), ("c2", two), ("cp", pair)) + self.t["cb"])
         some = np.flatnonzero(cls < CLASSES)
         k = cls[some].astype(np.int64)
         a = ((one[some] * np.int64(CLASSES) + k) * 2654435761 >> 9) % self.n
         b = ((two[some] * np.int64(CLASSES) + k) * 2246822519 >> 9) % self.n
-        y = self._softmax(self.t["w1"][a] + self.t["w2"][b] + self.t["wb"][k])
+        y = self._softmax(self._sum(("w1", a), ("w2", b), ("wb", k)))
         return z, pair, some, k, a, b, y
 
     def _descend(self, one, two, hashes):
@@ -183,7 +206,7 @@ class MaxEnt:
         branch = np.concatenate([(leaf >> d - BITS) % (1 << BITS) for d in down])
         a = ((np.tile(one.astype(np.int64), self.depth) * 1000003 + node) * 2654435761 >> 9) % self.n
         b = ((np.tile(two.astype(np.int64), self.depth) * 1000003 + node) * 2246822519 >> 9) % self.n
-        return node, branch, a, b, self._softmax(self.t["t1"][a] + self.t["t2"][b] + self.t["tb"][node])
+        return node, branch, a, b, self._softmax(self._sum(("t1", a), ("t2", b), ("tb", node)))
 
     def log_probs(self, ids, hashes, one, two) -> np.ndarray:
         """log10 of the model's probability of each token; for a word that isn't modelled, of its leaf."""
@@ -216,25 +239,36 @@ class MaxEnt:
         visits["cb"] += len(ids)
         for name, rows, grad in (("c1", one, z), ("c2", two, z), ("cp", pair, z), ("w1", a, y), ("w2", b, y), ("wb", k, y), ("t1", ta, q), ("t2", tb, q), ("tb", node, q)):
             if len(rows):
-                order = np.argsort(rows, kind="stable")
+                narrow = rows.astype(np.uint16) if self.shapes[name][0] <= 1 << 16 else rows
+                order = np.argsort(narrow, kind="stable" if narrow is not rows else None)
                 sorted_rows = rows[order]
                 first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-                which, sums = sorted_rows[first], np.add.reduceat(grad[order], first, axis=0)
-                squares[name][which] += (sums**2).mean(axis=1)
-                visits[name][which] += np.diff(np.r_[first, len(rows)])
+                which, sizes = sorted_rows[first], np.diff(np.r_[first, len(rows)])
+                # most hashed rows occur once in a batch: only the others are summed
+                once = sizes == 1
+                sums = np.empty((len(first), grad.shape[1]), np.float32)
+                sums[once] = grad.take(order[first[once]], axis=0)
+                if not once.all():
+                    several = sizes[~once]
+                    sums[~once] = np.add.reduceat(grad.take(order[np.repeat(~once, sizes)], axis=0), np.cumsum(several) - several, axis=0)
+                squares[name][which] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+                visits[name][which] += sizes
                 self.t[name][which] -= RATE * sums / np.sqrt(squares[name][which] + 1e-2)[:, None]
 
 
-def _arrays(vocabulary: Vocabulary, docs: list[str]):
-    """The words of all documents with their end tokens, their ids and hashes, and where each document begins."""
-    words: list[bytes] = []
-    starts = []
-    for t in docs:
-        starts.append(len(words))
-        words += tokens(t)
-        words.append(b"")
-    ids = np.array(vocabulary.ids(words), dtype=np.int32)
-    return words, ids, vocabulary.hash(words, ids), np.array(starts, dtype=np.int64)
+def _arrays(vocabulary: Vocabulary, column: pa.Array):
+    """Of all texts with their end tokens: the words that aren't in the head, ids and hashes of all, and where each text begins."""
+    words, sizes = word_lists(column)
+    starts = np.r_[0, np.cumsum(sizes + 1)]
+    found = vocabulary.ids(words)
+    tail = words.filter(pa.array(found < 0)).to_pylist()
+    ids = np.full(starts[-1], -1 if not vocabulary.words else 0, dtype=np.int32)  # the end token is the first word
+    at = np.ones(len(ids), bool)
+    at[starts[1:] - 1] = False
+    ids[at] = found
+    hashes = np.zeros(len(ids), np.int64)
+    hashes[at] = vocabulary.hash(found, tail)
+    return tail, at & (ids < 0), ids, hashes, starts[:-1]
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary) -> MaxEnt:
@@ -252,13 +286,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> MaxEnt:
             own.__dict__ |= sent.value.__dict__ | {"t": {k: v.copy() for k, v in sent.value.t.items()}}
             squares = {k: np.zeros(s[0], dtype=np.float32) for k, s in own.shapes.items()}
             visits = {k: np.zeros(s[0], dtype=np.float64) for k, s in own.shapes.items()}
-            for b in batches:
-                if b.num_rows:
-                    _, *arrays = _arrays(words_sent.value, texts(b.column(0)))
-                    ids, hashes, one, two = own.examples(*arrays)
-                    for at in range(0, len(ids), BATCH):
-                        s = slice(at, at + BATCH)
-                        own.step(ids[s], hashes[s], one[s], two[s], squares, visits)
+            for b in grouped(batches):
+                ids, hashes, one, two = own.examples(*_arrays(words_sent.value, b.column(0))[2:])
+                for at in range(0, len(ids), BATCH):
+                    s = slice(at, at + BATCH)
+                    own.step(ids[s], hashes[s], one[s], two[s], squares, visits)
             for name, v in visits.items():
                 for at in range(0, len(v), _CHUNK):
                     part = v[at : at + _CHUNK]
@@ -293,22 +325,20 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> MaxEnt:
 
 
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: MaxEnt) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score; one row a doc_id."""
+    """doc_id, n_tokens, n_known, base_score, score; a row for each row of docs."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((vocabulary, model))
     base_total = vocabulary.total + vocabulary.distinct + 1
-    schema = pa.schema([("doc_id", pa.int64()), ("word", pa.string()), ("tf", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("word", pa.string()), ("tf", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, net = sent.value
         base_of = np.log10((voc.counts + 1) / base_total)
         share_of = np.log10(voc.shares)
         other_of = np.log10(voc.counts + 1.0)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            doc = b.column(0).to_pylist()
-            words, ids, hashes, starts = _arrays(voc, texts(b.column(1)))
+        for b in grouped(batches):
+            doc = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            rare, is_rare, ids, hashes, starts = _arrays(voc, b.column(2))
             logp = net.log_probs(*net.examples(ids, hashes, starts))
             head = ids >= 0
             rest = ~head | (ids >= MODELLED)
@@ -318,35 +348,40 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Max
             sizes = np.diff(np.r_[starts, len(ids)])
             base = total(np.where(head, base_of[at], 0.0) if len(base_of) else np.zeros(len(ids)))
             own = total(logp + np.where(head & rest, other_of[at], 0.0) if len(base_of) else logp)
-            rows = [(d, f" {d}:{i}", n, k, x, y) for i, (d, n, k, x, y) in enumerate(zip(doc, sizes.tolist(), total(head.astype(np.int64)), base, own, strict=True))]
-            of = np.repeat(np.arange(len(doc)), sizes)[~head].tolist()
-            tail = Counter(zip(of, [words[i] for i in np.flatnonzero(~head).tolist()], strict=True))
-            rows += [(doc[i], w.decode(), n, 0, 0.0, 0.0) for (i, w), n in tail.items()]
+            rows = [(*d, f" {d[0]}:{d[1]}:{i}", n, k, x, y) for i, (d, n, k, x, y) in enumerate(zip(doc, sizes.tolist(), total(head.astype(np.int64)), base, own, strict=True))]
+            if voc.words:
+                of = np.repeat(np.arange(len(doc)), sizes)[is_rare].tolist()
+                tail = Counter(zip(of, rare, strict=True))
+            else:  # nothing learned: the end tokens are as unknown as all words
+                tail = Counter(zip(np.repeat(np.arange(len(doc)), sizes - 1).tolist(), rare, strict=True)) + Counter({(i, END): 1 for i in range(len(doc))})
+            rows += [(*doc[i], w, n, 0, 0.0, 0.0) for (i, w), n in tail.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    ddl = "doc_id bigint, word string, tf bigint, known bigint, base double, score double"
-    rows = kept_columns(docs, "doc_id", "text").mapInArrow(run, ddl)
+    ddl = "doc_id bigint, h bigint, word string, tf bigint, known bigint, base double, score double"
+    src = kept_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    rows = src.mapInArrow(run, ddl)
     joined = rows.join(counts, "word", "left")
     own = F.substring("word", 1, 1) == " "
     plus = F.coalesce("c", F.lit(0)) + 1.0
-    return (
+    by = (
         joined.select(
             "doc_id",
+            "h",
             F.when(own, F.col("tf")).otherwise(0).alias("tf"),
             F.when(own, 1).otherwise(0).alias("rows"),
             F.when(own, F.col("known")).otherwise(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"),
             F.when(own, F.col("base")).otherwise(F.col("tf") * F.log10(plus / base_total)).alias("base"),
             F.when(own, F.col("score")).otherwise(F.col("tf") * F.log10(plus)).alias("score"),
         )
-        .groupBy("doc_id")
+        .groupBy("doc_id", "h")
         .agg(*[F.sum(c).alias(c) for c in ("tf", "rows", "known", "base", "score")])
-        .select(
-            "doc_id",
-            (F.col("tf") / F.col("rows")).cast("bigint").alias("n_tokens"),
-            (F.col("known") / F.col("rows")).cast("bigint").alias("n_known"),
-            (F.col("base") / F.col("rows")).alias("base_score"),
-            (F.col("score") / F.col("rows")).alias("score"),
-        )
+    )
+    return unfolded(by, F.col("rows"), "nth").select(
+        "doc_id",
+        (F.col("tf") / F.col("rows")).cast("bigint").alias("n_tokens"),
+        (F.col("known") / F.col("rows")).cast("bigint").alias("n_known"),
+        (F.col("base") / F.col("rows")).alias("base_score"),
+        (F.col("score") / F.col("rows")).alias("score"),
     )
 
 
@@ -387,10 +422,26 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     counts, vocabulary, model = learn(docs.where(fold != HELD_OUT))
     return score(docs, counts, vocabulary, model).select(
-        "doc_id", (fold == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.total).cast("bigint").alias("train_tokens"), "base_score", "score"
+        "doc_id", F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.total).cast("bigint").alias("train_tokens"), "base_score", "score"
     )
 
 
-#: The columns of the contract that SQL can express; the trained score is tested on held-out documents.
-QUERIES = {"op7_lm_score": op7_lm_score}
-ORACLES: dict[str, str] = {}
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that SQL can express; the trained score is tested on held-out documents."""
+    return op7_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+#: CRC-32 of the decimal doc_id bit by bit; words from lower-cased texts, one end a text.
+BASE_SQL = rf"""
+with b as (select doc_id, list_reduce(flatten(list_transform(string_split(doc_id::varchar, ''), lambda ch: list_transform(range(8), lambda i: (ascii(ch) >> i::int) & 1))),
+    lambda c, x: xor(c >> 1, case when xor(c, x::bigint) & 1 = 1 then 3988292384::bigint else 0 end), 4294967295::bigint) as c, text from documents),
+d as (select doc_id, xor(c, 4294967295::bigint) % {FOLDS} = {HELD_OUT} as held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') as w from b),
+t as (select doc_id, held_out, unnest(w) as w from d),
+c as (select w, count(*) as c from t where not held_out group by w),
+n as (select sum(c)::bigint as n, count(*) as v from c)
+select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, any_value(n) as train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1)::double)), 4) as base_score
+from t left join c using (w), n group by doc_id, held_out
+"""
+
+QUERIES = {"op7_lm_score": op7_lm_score, "lm_base_scores": lm_base_scores}
+ORACLES = {"lm_base_scores": BASE_SQL}
