@@ -13,21 +13,21 @@ sampled.
    the first are covered, and only the first goes on.
 2. A filter by the same hashes over all tasks: suffixes whose leading bytes hash like
    no others' repeat nothing, and of equal surroundings again the first goes on.
-3. All others are sorted.  Sampled splitters range-partition them by their bytes
-   (place breaks ties, so the suffixes of a hot passage are cut into buckets like
-   any others); each bucket is sorted by multikey quicksort with 8-byte
+3. All others are sorted.  Sampled splitters range-partition them by their first 8
+   bytes (place breaks ties, so the suffixes of a hot passage are cut like any
+   others), and a partition comes in the order of these as buckets of about
+   ``BUCKET`` suffixes.  Each bucket is sorted by multikey quicksort with 8-byte
    characters and neighbours are compared (longest common prefixes).  For each
    offset those windows are equal whose suffixes lie in one run of common prefixes
-   and whose bytes to the left agree.  A bucket's first and last runs may go on in
-   the buckets before and after: the first of each of their different windows is
-   compared across the boundaries by a grouped minimum.
+   and whose bytes to the left agree.  Suffixes that begin like a bucket's first or
+   last one may have equals in the buckets before and after: the first of each of
+   their different windows is compared across the boundaries by a grouped minimum.
 4. Covered ranges meet their documents, are merged, and the bytes are cut out.
 
 Hot leading bytes: where one task has more than ``MANY`` different surroundings
 of the same leading bytes these are known to repeat, so the suffixes skip step 2
-(one stands in for them) under a key of their own.  A bucket aims at ``BUCKET``
-suffixes (about 0.5 kB each in memory) up to ``MAX_BUCKETS`` buckets, which is
-some 600 GB of text; beyond that buckets grow with the input.
+(one stands in for them) under a key of their own.  A task holds one bucket at a
+time, at most twice ``BUCKET`` suffixes of about 0.5 kB, however large the input.
 
 Defined cases: null text counts as empty; documents under LENGTH bytes are never
 changed; a null doc_id is later than all others; rows of one doc_id with
@@ -57,8 +57,8 @@ WINDOW = LENGTH - LEAD + 1  # sampled positions are at most WINDOW - 1 bytes int
 BACK = WINDOW - 1
 #: Different surroundings of the same leading bytes, in one task, from which on they are known to repeat.
 MANY = 64
-#: Suffixes that a bucket aims at, and the most buckets.
-BUCKET, MAX_BUCKETS = 30_000, 100_000
+#: Suffixes that a bucket aims at, and the most partitions, which may hold several buckets each.
+BUCKET, MAX_PARTITIONS = 50_000, 10_000
 #: The place of a row without doc_id: after all others.
 LAST = (1 << 63) - 1
 SEGMENT = 1 << 20
@@ -205,17 +205,17 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-_BYTES = pa.schema([("text", pa.binary()), ("back", pa.binary()), ("doc", pa.int64()), ("sub", pa.int64()), ("pos", pa.int64())])
-_BYTES_DDL = "text binary, back binary, doc bigint, sub bigint, pos bigint"
+_BYTES = pa.schema([("head", pa.int64()), ("text", pa.binary()), ("back", pa.binary()), ("doc", pa.int64()), ("sub", pa.int64()), ("pos", pa.int64())])
+_BYTES_DDL = "head bigint, text binary, back binary, doc bigint, sub bigint, pos bigint"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, sub, text, wanted positions -> each wanted suffix and the bytes before it."""
+    """doc, sub, text, wanted positions -> each wanted suffix and the bytes before it; head has the order of the first 8 bytes."""
     for b in batches:
         rows = []
         for doc, sub, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3).to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            rows += [(raw[p : p + LENGTH], raw[max(0, p - BACK) : p], doc, sub, p) for p in wanted]
+            rows += [(int.from_bytes(raw[p : p + 8], "big") - (1 << 63), raw[p : p + LENGTH], raw[max(0, p - BACK) : p], doc, sub, p) for p in wanted]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BYTES, strict=True)], schema=_BYTES)
 
@@ -266,6 +266,8 @@ def covered(text: np.ndarray, right: np.ndarray, back: np.ndarray, left: np.ndar
     n = len(text)
     order = multikey_sort(text.view(">u8").astype(np.uint64))
     text, right, back, left, doc, sub, pos = (x[order] for x in (text, right, back, left, doc, sub, pos))
+    head = text[:, :8].copy().view(">u8")[:, 0]
+    edge = (head == head[0]) | (head == head[-1])
     differ = text[1:, :LENGTH] != text[:-1, :LENGTH]
     lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
     lcp = np.r_[0, np.minimum(lcp, np.minimum(right[1:], right[:-1]))]
@@ -280,7 +282,6 @@ def covered(text: np.ndarray, right: np.ndarray, back: np.ndarray, left: np.ndar
         need = LENGTH - o
         joined = lcp >= need
         run = np.cumsum(~joined)
-        edge = (run == run[0]) | (run == run[-1])
         some = np.flatnonzero((joined | np.r_[joined[1:], False] | edge) & (left >= o) & (right >= need))
         if not len(some):
             continue
@@ -305,19 +306,39 @@ _SPANS = pa.schema([(n, pa.int64()) for n in ("doc", "sub", "a", "z", "h", "g")]
 _SPANS_DDL = "doc bigint, sub bigint, a bigint, z bigint, h bigint, g bigint"
 
 
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3, over the suffixes of one bucket: covered ranges, and windows of the first and last runs (z = -1)."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held).combine_chunks()
-    del held
-    cols = [c.chunk(0) for c in t.columns]
-    found, edges = covered(*_matrix(cols[0], 104), *_matrix(cols[1], BACK, to_right=True), *(c.to_numpy() for c in cols[2:]))
-    if len(found[0]):
-        yield _batch(_SPANS, *found, np.zeros(len(found[0]), np.int64), np.zeros(len(found[0]), np.int64))
-    if edges:
-        yield _batch(_SPANS, *edges[:3], np.full(len(edges[0]), -1), *edges[3:])
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 3, over suffixes in the order of head: covered ranges, and windows to compare across the boundaries (z = -1).
+
+    A bucket ends where head changes, or anywhere if that would make it too large.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        cols = [c.chunk(0) for c in t.columns[1:]]
+        found, edges = covered(*_matrix(cols[0], 104), *_matrix(cols[1], BACK, to_right=True), *(c.to_numpy() for c in cols[2:]))
+        if len(found[0]):
+            yield _batch(_SPANS, *found, np.zeros(len(found[0]), np.int64), np.zeros(len(found[0]), np.int64))
+        if edges:
+            yield _batch(_SPANS, *edges[:3], np.full(len(edges[0]), -1), *edges[3:])
+
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        head = b.column(0).to_numpy()
+        new = np.flatnonzero(np.r_[bool(held) and held[-1].column(0)[-1].as_py() != head[0], head[1:] != head[:-1]])
+        if size >= BUCKET and (len(new) or size >= 2 * BUCKET):
+            at = int(new[0]) if len(new) else 0
+            if at:
+                held.append(b.slice(0, at))
+            yield from flush()
+            b, size = b.slice(at), 0
+        held.append(b)
+        size += b.num_rows
+    if held:
+        yield from flush()
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,10 +383,11 @@ def _step_1_2(src: DataFrame) -> DataFrame:
 
 def _step_3(src: DataFrame, met: DataFrame) -> DataFrame:
     go = met.where("z = -1").select("doc", "sub", "a")
-    buckets = min(max(1, -(-go.count() // BUCKET)), MAX_BUCKETS)
+    partitions = min(max(1, -(-go.count() // BUCKET)), MAX_PARTITIONS)
     wanted = go.groupBy("doc", "sub").agg(F.collect_list("a").alias("wanted"))
     around = src.select("doc", "sub", "text").join(wanted, ["doc", "sub"]).select("doc", "sub", "text", "wanted").mapInArrow(_fetch, _BYTES_DDL)
-    found = cut(around.repartitionByRange(buckets, "text", "doc", "sub", "pos").mapInArrow(_bucket, _SPANS_DDL))
+    sorted_ = around.repartitionByRange(partitions, "head", "doc", "sub", "pos").sortWithinPartitions("head")
+    found = cut(sorted_.mapInArrow(_buckets, _SPANS_DDL))
     edge, place = found.where("z = -1"), F.struct("doc", "sub", "a")
     first = edge.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = edge.join(first, ["h", "g"]).where(place > F.col("first")).select("doc", "sub", "a", (F.col("a") + LENGTH).alias("z"))

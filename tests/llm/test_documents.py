@@ -7,6 +7,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -171,8 +172,7 @@ def test_segments_of_a_long_text(monkeypatch):
         assert found[0] == found[1]
 
 
-def test_boundaries_of_buckets():
-    """Ranges of single buckets and the comparison across them give together what one bucket gives."""
+def alike_suffixes():
     r = np.random.default_rng(5)
     base = r.integers(97, 101, 400).astype(np.uint8)
     n = 260
@@ -181,19 +181,49 @@ def test_boundaries_of_buckets():
         text[i, :100] = base[(i % 3) * 50 : (i % 3) * 50 + 100]
         if i % 4 == 0:
             text[i, 60 + i % 40 : 100] = 120
-    full, left = np.full(n, 100), np.full(n, suffix.BACK)
-    doc, sub, pos = r.permutation(n), np.zeros(n, np.int64), np.full(n, 500)
-    covered_by = lambda spans: {(d, x) for d, _, a, z in zip(*spans, strict=True) for x in range(a, z)}
-    whole, edges = suffix.covered(text, full, back, left, doc, sub, pos)
-    found, windows = set(), collections.defaultdict(list)
-    for part in np.array_split(np.lexsort((doc, *text.T[::-1])), 6):
-        spans, own = suffix.covered(*(x[part] for x in (text, full, back, left, doc, sub, pos)))
-        found |= covered_by(spans)
-        for d, _, a, h, g in zip(*own, strict=True):
-            windows[h, g].append((d, a))
-    for places in windows.values():
-        found |= {(d, x) for d, a in places if (d, a) > min(places) for x in range(a, a + 100)}
-    assert found == covered_by(whole)
+        if i % 5 == 0:
+            text[i, 2] = 0xC3
+    return text, np.full(n, 100), back, np.full(n, suffix.BACK), r.permutation(n), np.zeros(n, np.int64), np.full(n, 500)
+
+
+def covered_bytes(spans):
+    return {(d, x) for d, _, a, z in zip(*spans, strict=True) for x in range(a, z)}
+
+
+def across(windows):
+    """What the comparison across boundaries adds, from (doc, start, hash, other hash)."""
+    places = collections.defaultdict(list)
+    for d, a, h, g in windows:
+        places[h, g].append((d, a))
+    return {(d, x) for p in places.values() for d, a in p if (d, a) > min(p) for x in range(a, a + 100)}
+
+
+def test_boundaries_of_buckets():
+    """Ranges of single buckets and the comparison across them give together what one bucket gives."""
+    rows = alike_suffixes()
+    whole, _ = suffix.covered(*rows)
+    heads = rows[0][:, :8].copy().view(">u8")[:, 0]
+    found, windows = set(), []
+    for part in np.array_split(np.lexsort((rows[4], heads)), 6):
+        spans, own = suffix.covered(*(x[part] for x in rows))
+        found |= covered_bytes(spans)
+        windows += [(d, a, h, g) for d, _, a, h, g in zip(*own, strict=True)]
+    assert len(covered_bytes(whole)) > 1000 and found | across(windows) == covered_bytes(whole)
+
+
+@pytest.mark.parametrize("bucket", [3, 25, 1000])
+def test_buckets_of_a_stream(monkeypatch, bucket):
+    monkeypatch.setattr(suffix, "BUCKET", bucket)
+    rows = alike_suffixes()
+    whole, _ = suffix.covered(*rows)
+    text, _, back, _, doc, sub, pos = rows
+    head = (text[:, :8].copy().view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+    order = np.argsort(head, kind="stable")
+    cols = [pa.array(head), pa.array([x[:100].tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in back], pa.binary()), pa.array(doc), pa.array(sub), pa.array(pos)]
+    batch = pa.RecordBatch.from_arrays(cols, names=["head", "text", "back", "doc", "sub", "pos"]).take(pa.array(order))
+    got = [r for b in suffix._buckets(batch.slice(i, 7) for i in range(0, len(order), 7)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    found = covered_bytes(list(zip(*[(d, s, a, z) for d, s, a, z, _, _ in got if z >= 0], strict=True)))
+    assert found | across([(d, a, h, g) for d, _, a, z, h, g in got if z < 0]) == covered_bytes(whole)
 
 
 def test_multikey_sort():
