@@ -7,8 +7,9 @@ lines are removed; a document that loses more than ``MAX_LOSS`` of its word
 characters that way is rejected, and so is one that fails the base rules (under
 10 words, or over a fifth of its words in repeated 5-word windows).
 
-Everything is a projection of one row: no shuffle, no Python.  Repeated windows
-are looked for exactly, by sorting the windows of a text that has any.
+Everything is a projection of one row: no shuffle, no Python.  Windows are hashed
+first; those of a text with equal hashes are built and sorted, so that repeats are
+exact.
 
 Defined cases: null text counts as empty; a text without words fails the base
 rules; equal windows and lines (ties) count each; a text is judged whole, in memory
@@ -63,21 +64,20 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     d = kept_columns(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     d = d.select("doc_id", "text", words.alias("words"), F.split("text", "\n", -1).alias("lines"))
-    grams = F.when(
-        F.size("words") >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.array_join(F.slice("words", i, F.lit(WINDOW)), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    places = F.sequence(F.lit(1), F.size("words") - (WINDOW - 1))
+    hashes = F.when(F.size("words") >= WINDOW, F.transform(places, lambda i: F.xxhash64(F.slice("words", i, F.lit(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
     d = d.select(
         "doc_id",
         "text",
         "lines",
+        "words",
         F.size("words").cast("bigint").alias("n_words"),
-        grams.alias("grams"),
+        hashes.alias("hashes"),
         F.filter("lines", lambda x: F.regexp_like(x, F.lit(WORD))).alias("full"),
     )
     marked = F.when(
-        F.size(F.array_distinct("grams")) < F.size("grams"),
-        F.array_sort(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))),
+        F.size(F.array_distinct("hashes")) < F.size("hashes"),
+        F.array_sort(F.transform(places, lambda i: F.struct(F.array_join(F.slice("words", i, F.lit(WINDOW)), " ").alias("g"), (i - 1).alias("i")))),
     ).otherwise(F.array().cast("array<struct<g:string,i:int>>"))
     failed = F.filter("full", line_fails)
     d = d.select("doc_id", "text", "lines", "n_words", "full", marked.alias("marked"), failed.alias("failed"))
