@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.session import shared_folder, ship_package
+from ..functions.session import once, shared_folder, ship_package
 from . import confident as C
 
 
@@ -78,22 +78,13 @@ def underperforming_group(df: DataFrame, threshold: float = 0.1, least: int = 5)
 # Crowd labels: (task_id, annotator_id, label), model: (task_id, pred_probs)
 
 
-def once(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, for what is read again and again; a table that has been is given back as it is."""
-    if getattr(df, "_written_once", False):
-        return df
-    shared_folder(df.sparkSession)
-    out = df.checkpoint()
-    out._written_once = True
-    return out
-
-
 def majority_vote(votes: DataFrame, probs: DataFrame | None = None) -> DataFrame:
     """(task_id, consensus).
 
     Ties: highest model probability, then the class least frequent over all votes,
     then the annotators who agree most with untied tasks, then the lowest class.
     """
+    votes = once(votes)
     n = votes.groupBy("task_id", "label").agg(F.count(F.lit(1)).alias("n"))
     top = n.withColumn("best", F.max("n").over(W.partitionBy("task_id"))).where("n = best")
     freq = votes.groupBy("label").agg(F.count(F.lit(1)).alias("freq"))
@@ -118,6 +109,7 @@ def annotator_agreement(votes: DataFrame) -> DataFrame:
 
     Counted from votes by class, so pairs of annotators are never formed.
     """
+    votes = once(votes)
     by = votes.groupBy("task_id", "label").agg(F.count(F.lit(1)).alias("same"))
     all_ = votes.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
     j = votes.join(by, ["task_id", "label"]).join(all_, "task_id").where("n > 1")

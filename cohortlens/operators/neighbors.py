@@ -21,6 +21,8 @@ from ..functions.session import shared_folder, ship_package
 from . import confident
 
 BLOCK = 1024
+#: Rows that the splits of approximate_edges are fitted on.
+SPLIT_ROWS = 20_000
 EDGES = "i bigint, rank int, j bigint, d double"
 TINY = 100 * 2.220446049250313e-16
 
@@ -131,6 +133,83 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("i", "rank", "j", "d")
 
 
+def approximate_edges(df: DataFrame, k: int = 10, metric: Metric | None = None, trees: int = 8, leaf: int = 1024, seed: int = 7) -> DataFrame:
+    """(i, rank, j, d) like knn_edges, from the rows that share a leaf with a row in some of several random-projection trees.
+
+    Splits are at medians of a sample of SPLIT_ROWS rows; every row is in one leaf of each tree, so
+    the work grows with the rows times trees times leaf.  A leaf that holds more than twice its size
+    (many equal rows, or beyond the sample's reach) is dealt to parts by a hash of the id.  Tables of
+    up to a leaf are searched exactly.
+    """
+    spark = df.sparkSession
+    df = df.select(F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("features")).where("id is not null and features is not null")
+    n, dims = df.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    if not n or n <= leaf:
+        return knn_edges(df, k, metric)
+    metric = metric or default_metric(dims)
+    ship_package(spark)
+    shared_folder(spark)
+    sample = df.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / F.lit(float(1 << 53)) < min(1.0, SPLIT_ROWS / n)).select("features").limit(2 * SPLIT_ROWS).toArrow()
+    x = _unit(np.array(sample["features"].to_pylist(), dtype=np.float64).reshape(sample.num_rows, -1), metric)
+    depth, bounds = math.ceil(math.log2(n / leaf)), {}
+
+    def direction(tree: int, node: int) -> np.ndarray:
+        return np.random.default_rng([seed, tree, node]).standard_normal(dims)
+
+    for tree in range(trees):
+        at = np.ones(len(x), np.int64)
+        for _ in range(depth):
+            for node in np.unique(at).tolist():
+                own = np.flatnonzero(at == node)
+                if len(own) > 1:
+                    p = x[own] @ direction(tree, node)
+                    bounds[tree, node] = float(np.median(p))
+                    at[own] = 2 * node + (p > bounds[tree, node])
+    sent = spark.sparkContext.broadcast(bounds)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, v = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            unit = _unit(v, metric)
+            for tree in range(trees):
+                at, todo, done = np.ones(len(ids), np.int64), [(1, np.arange(len(ids)))], sent.value
+                while todo:
+                    node, own = todo.pop()
+                    at[own] = node
+                    if len(own) and (tree, node) in done:
+                        right = unit[own] @ direction(tree, node) > done[tree, node]
+                        todo += [(2 * node, own[~right]), (2 * node + 1, own[right])]
+                yield pa.RecordBatch.from_arrays([pa.array(at * trees + tree), pa.array(ids), b.column(1)], names=["key", "id", "features"])
+
+    rows = df.mapInArrow(assign, "key bigint, id bigint, features array<double>")
+    parts = F.ceil(F.col("count") / F.lit(float(2 * leaf)))
+    rows = rows.join(rows.groupBy("key").count().select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")))
+    groups = rows.groupBy("key", "part").agg(F.collect_list(F.struct("id", "features")).alias("rows")).select("rows")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g in b.column(0):
+                ids, v = _vectors(g)
+                for at in range(0, len(ids), BLOCK):
+                    z = slice(at, at + BLOCK)
+                    d = _distances(v[z], v, metric)
+                    i, j = np.nonzero(d <= 1e-9)
+                    same = (v[z][i] == v[j]).all(axis=1)
+                    d[i[same], j[same]] = 0
+                    d[ids[z, None] == ids[None, :]] = np.inf
+                    top = _nearest(d, ids, min(k, len(ids)))
+                    dist = np.take_along_axis(d, top, axis=1)
+                    fine = np.isfinite(dist)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[z], top.shape[1])[fine.ravel()]), pa.array(ids[top][fine]), pa.array(dist[fine])], names=["i", "j", "d"])
+
+    found = groups.mapInArrow(compare, "i bigint, j bigint, d double").groupBy("i", "j").agg(F.min("d").alias("d"))
+    return ranked(found, k)
+
+
+def _unit(v: np.ndarray, metric: Metric) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) if metric == "cosine" else v
+
+
 def edges_of_index(found: DataFrame) -> DataFrame:
     """(i, rank, j, d) from an index's answers (id, neighbors, distances), arrays from the nearest on."""
     x = found.select(F.col("id").cast("bigint").alias("i"), F.posexplode(F.arrays_zip(F.col("neighbors").alias("j"), F.col("distances").alias("d"))).alias("r", "x"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.session import once
 from . import confident as C
 from .contracts import aggregation_weights
 
@@ -544,7 +545,8 @@ def box_image_scores(labels: DataFrame, predictions: DataFrame, weights: dict[st
     """(image_id, overlooked, badloc, swap, label_quality): weighted geometric mean of the three, by default with equal weights."""
     weights = weights or WEIGHTS
     aggregation_weights(**weights)
-    pairs = box_pairs(labels, predictions)
+    labels, predictions = once(labels), once(predictions)
+    pairs = once(box_pairs(labels, predictions))
     least = min_similarity(pairs)
     images = labels.select("image_id").union(predictions.select("image_id")).distinct()
     out = images
@@ -634,8 +636,9 @@ def box_class_metrics(labels: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def box_image_issues(labels: DataFrame, predictions: DataFrame, factor: float = 0.8, scale: float = 0.25) -> DataFrame:
     """(image_id, is_label_issue): some box scores at most factor x scale x the mean average precision of its class."""
+    labels, predictions = once(labels), once(predictions)
     limits = average_precisions(labels, predictions).groupBy("label").agg((F.lit(factor * scale) * F.avg("ap")).alias("bound"))
-    pairs = box_pairs(labels, predictions)
+    pairs = once(box_pairs(labels, predictions))
     least = min_similarity(pairs)
     own, guessed = labels.select("image_id", "box_id", "label"), predictions.select("image_id", F.col("box_id").alias("pred_id"), "label")
     bad = None

@@ -100,6 +100,17 @@ def test_blocks_agree(spark, monkeypatch):
     assert sorted(map(tuple, neighbors.knn_edges(df, 3).select("i", "rank", "j").collect())) == one
 
 
+def test_approximate_neighbours(spark):
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(150, 16)), 12, axis=0) + r.normal(size=(1800, 16)) * 0.3
+    x[:500] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, features array<double>")
+    pairs = lambda e: {(q.i, round(q.d, 9), q.j if q.d > 1e-9 else -1) for q in e.collect()}
+    exact, near = pairs(neighbors.knn_edges(df, 5)), pairs(neighbors.approximate_edges(df, 5, leaf=200))
+    assert len(exact & near) >= 0.9 * len(exact)
+    assert pairs(neighbors.approximate_edges(df.where("id >= 1700"), 3)) == pairs(neighbors.knn_edges(df.where("id >= 1700"), 3))
+
+
 def test_noise(spark):
     df = spark.createDataFrame([(i, i % 2) for i in range(200)], "id bigint, label int")
     m = np.array([[0.9, 0.2], [0.1, 0.8]])
@@ -166,7 +177,7 @@ def test_lab(spark, tmp_path):
 
     one = lab.Lab(df.join(vec, "id")).find_issues()
     assert set(one.summary) == {"null", "label", "outlier", "near_duplicate", "non_iid", "class_imbalance", "underperforming_group", "odd_id"} and not one.failed
-    assert one.summary["odd_id"] == (0.5, 100) and one.get_issues("label").columns == ["id", "is_label_issue", "label_score"]
+    assert one.summary["odd_id"] == (0.5, 100) and one.get_issues("label").columns == ["id", "is_label_issue", "label_score", "given_label", "predicted_label"]
     assert "label" in one.report() and 0 <= one.health_score() <= 1 and one.get_issue_summary().count() == 8
     assert lab.Lab(df).find_issues({"near_duplicate": {}}).failed
     dataset.save(str(tmp_path / "a"), one.issues, one.get_issue_summary(), {"task": "classification"}, df)
@@ -185,6 +196,11 @@ def test_loading(spark, tmp_path):
     assert dataset.load(spark, {"a": [1, 2]}).count() == 2 and dataset.load(spark, [{"a": 1}]).count() == 1
     with pytest.raises(ValueError):
         dataset.load(spark, "x.unknown")
+    (tmp_path / "x.txt").write_text("one\ntwo\n")
+    assert [r[0] for r in dataset.load(spark, str(tmp_path / "x.txt")).collect()] == ["one", "two"]
+    for kind in ("orc", "parquet"):
+        spark.range(3).write.format(kind).save(str(tmp_path / f"y.{kind}"))
+        assert dataset.load(spark, str(tmp_path / f"y.{kind}")).count() == 3
 
 
 def test_entry():
@@ -468,7 +484,7 @@ def test_lab_reuses_neighbours_and_tells_more(spark):
     one = lab.Lab(data, k=10, edges=edges, properties={"dark": 0.5})
     assert one._edges and one.statistics() == {"num_examples": 120, "num_classes": 3}
     assert not lab.Lab(data, k=20, edges=edges)._edges
-    one.find_issues({"near_duplicate": {}, "label": {}, "class_imbalance": {}, "identifier_column": {"columns": ["row"]}, "spurious_correlations": {}, "image_property": {"max_prevalence": 0.99}})
+    one.find_issues({"near_duplicate": {"threshold": 0.001}, "label": {}, "class_imbalance": {}, "identifier_column": {"columns": ["row"]}, "spurious_correlations": {}, "image_property": {"max_prevalence": 0.99}})
     assert not one.failed
     near = {q.id: q for q in one.get_issues("near_duplicate").collect()}
     assert near[3].near_duplicate_set == [7] and near[7].near_duplicate_set == [3] and near[3].distance_to_nearest_neighbor == 0
