@@ -1,9 +1,8 @@
 """Exact nearest neighbours by blocks, and what is built on them: outliers, near duplicates, data value, order effects.
 
-Rows are dealt to blocks of a bounded size; every pair of blocks is one row of
-work for a numpy matrix product, which returns k neighbours for each row of both;
-the lists of a row are then merged.  Memory is bounded by two blocks, whatever the number of
-rows; the work is that of all pairs, which exact search needs.
+The rows that ask are dealt to groups, one a task; all rows come by each group in blocks, and a
+numpy matrix product of a block keeps the k nearest so far.  Memory is bounded by the rows of a group and a block; what
+is shuffled is the rows once a group; the work is that of all pairs, which exact search needs.
 """
 
 from __future__ import annotations
@@ -17,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.session import shared_folder, ship_package
+from ..functions.session import once, shared_folder, ship_package
 from . import confident
 
 BLOCK = 1024
+#: Groups that the rows of an exact search are dealt to, and the rows of one at most.
+GROUPS, GROUP_ROWS = 32, 65_536
 #: Rows that the splits of approximate_edges are fitted on.
 SPLIT_ROWS = 20_000
 EDGES = "i bigint, rank int, j bigint, d double"
@@ -70,8 +71,9 @@ def knn_edges(df: DataFrame, k: int = 10, metric: Metric | None = None, base: Da
     """(i, rank, j, d) of the k nearest other rows of each row of df(id, features); equal rows have distance 0; ties by id.
 
     With base, of the k nearest rows of that table instead (all of them, whatever their ids).
-    Rows without features, or with a null or non-finite one, take no part.  Inside one table
-    every pair of blocks is worked on once, for both its sides.
+    Rows without features, or with a null or non-finite one, take no part.  The rows that ask are
+    dealt to GROUPS tasks (more beyond GROUP_ROWS rows each), and all rows pass each task once, so
+    what is shuffled grows with the rows.  The table is written once to the shared folder.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -83,48 +85,149 @@ def knn_edges(df: DataFrame, k: int = 10, metric: Metric | None = None, base: Da
     df = sound(df)
     n, dims = df.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
     m = n
-    if base is not None:
+    alone = base is None
+    if not alone:
         base = sound(base)
         m, dims = base.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
     if not n or not m:
         return spark.createDataFrame([], EDGES)
     metric = metric or default_metric(dims)
+    groups = max(min(GROUPS, math.ceil(n / BLOCK)), math.ceil(n / GROUP_ROWS))
+
+    def packed(asks: bool, answers: bool):
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, BLOCK):
+                    t = b.slice(at, BLOCK)
+                    ids, g, x = t.column(0).to_numpy(), t.column(1).to_numpy(), _matrix(t.column(2))
+                    parts = [([int(z)], 0, np.flatnonzero(g == z)) for z in np.unique(g)] if asks else []
+                    parts += [(list(range(groups)), 1, np.arange(len(ids)))] if answers else []
+                    for to, tag, own in parts:
+                        with np.errstate(over="ignore"):
+                            small = x[own].astype(np.float32)
+                        values = small if (small == x[own]).all() else x[own]
+                        one = [[to], [tag], [int(ids[own].min())], [values.itemsize], [ids[own].tobytes()], [values.tobytes()]]
+                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(one, PACK, strict=True)], schema=PACK)
+
+        return pack
+
+    kind = "g array<int>, tag int, first bigint, width int, ids binary, features binary"
+    asking = df.select("id", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "features")
+    packs = asking.mapInArrow(packed(True, alone), kind)
+    if not alone:
+        packs = packs.unionByName(base.select("id", F.lit(0).alias("g"), "features").mapInArrow(packed(False, True), kind))
+    packs = packs.select(F.explode("g").alias("g"), "tag", "first", "width", "ids", "features")
+    packs = packs.repartitionById(groups, "g").sortWithinPartitions("tag", "first").select("tag", "width", "ids", "features")
 
-    def packed(t: DataFrame, size: int) -> tuple[DataFrame, int]:
-        blocks = math.ceil(size / BLOCK)
-        return t.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "features")).alias("rows")), blocks
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search, asks, answers, held = None, [], [], 0
+        for b in batches:
+            for tag, width, ids, values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids = np.frombuffer(ids, np.int64)
+                x = np.frombuffer(values, np.float32 if width == 4 else np.float64).reshape(len(ids), -1)
+                if tag == 0:
+                    asks.append((ids, x))
+                    continue
+                if not asks:
+                    continue
+                search = search or _Search(asks, k, metric, alone)
+                answers.append((ids, x))
+                held += len(ids)
+                if held >= 2 * BLOCK:
+                    search.see(answers)
+                    answers, held = [], 0
+        if answers:
+            search.see(answers)
+        if search is not None:
+            yield from search.found()
 
-    own, blocks = packed(df, n)
-    others, width = packed(base, m) if base is not None else (own, blocks)
-    first = F.lit(0) if base is not None else F.col("b")
-    left = own.select(F.col("rows").alias("q"), F.col("b").alias("a"), F.explode(F.sequence(first, F.lit(width - 1))).alias("b"))
-    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("d", pa.float64())])
-    alone = base is None
+    return once(packs.mapInArrow(run, EDGES))
 
-    def found(d: np.ndarray, qi: np.ndarray, ri: np.ndarray) -> pa.RecordBatch:
-        some = min(k, len(ri))
-        top = _nearest(d, ri, some)
-        dist = np.take_along_axis(d, top, axis=1)
-        fine = np.isfinite(dist)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, some)[fine.ravel()]), pa.array(ri[top][fine]), pa.array(dist[fine])], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for q, r, x, y in zip(b.column(0), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                qi, qx = _vectors(q)
-                ri, rx = _vectors(r)
-                d = _distances(qx, rx, metric)
-                close_i, close_j = np.nonzero(d <= 1e-9)
-                same = (qx[close_i] == rx[close_j]).all(axis=1)
-                d[close_i[same], close_j[same]] = 0
-                if alone and x == y:
-                    d[qi[:, None] == ri[None, :]] = np.inf
-                yield found(d, qi, ri)
-                if alone and x != y:
-                    yield found(np.ascontiguousarray(d.T), ri, qi)
-
-    pairs = left.join(others, "b").select("q", "rows", "a", "b").mapInArrow(run, "i bigint, j bigint, d double")
-    return ranked(pairs, k)
+PACK = pa.schema([("g", pa.list_(pa.int32())), ("tag", pa.int32()), ("first", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("features", pa.binary())])
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 (zero rows stay), also where squares would leave the range of a double."""
+    x = x.astype(np.float64)
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0), 5e-324)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+class _Search:
+    """The k nearest of some rows among all rows, which come by in parts.
+
+    Cosine distances are first taken in single precision, with room for its error; those that may be
+    among the k are taken again in double precision, row by row, so equal rows get equal distances.
+    """
+
+    def __init__(self, asks: list[tuple[np.ndarray, np.ndarray]], k: int, metric: Metric, alone: bool):
+        self.ids, self.x = np.concatenate([i for i, _ in asks]), np.concatenate([x for _, x in asks])
+        self.k, self.metric, self.alone = k, metric, alone
+        self.cosine = isinstance(metric, str) and metric == "cosine"
+        self.room = (self.x.shape[1] + 8) * 1.2e-7 if self.cosine else 0.0
+        self.unit = _unit_rows(self.x).astype(np.float32) if self.cosine else None
+        self.d = np.full((len(self.ids), k), np.inf)
+        self.j = np.full((len(self.ids), k), np.iinfo(np.int64).max)
+
+    def see(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        ids, x = np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts])
+        unit = _unit_rows(x).astype(np.float32).T if self.cosine else None
+        order = np.argsort(ids, kind="stable")
+        for at in range(0, len(self.ids), BLOCK):
+            z = slice(at, at + BLOCK)
+            near = self.unit[z] @ unit if self.cosine else -_distances(self.x[z].astype(np.float64), x.astype(np.float64), self.metric)
+            if self.alone:
+                low, high = np.searchsorted(ids[order], self.ids[z], "left"), np.searchsorted(ids[order], self.ids[z], "right")
+                for r in np.flatnonzero(high > low):
+                    near[r, order[low[r] : high[r]]] = -np.inf
+            worst = self.d[z, -1]
+            limit = (1 - worst if self.cosine else -worst) - self.room
+            limit[(worst == 0) & (self.j[z, -1] < ids[order[0]])] = np.inf  # k copies of smaller ids
+            new = np.flatnonzero(np.isinf(worst))
+            if len(new) and self.k < near.shape[1]:
+                limit[new] = np.partition(near[new], -self.k, axis=1)[:, -self.k] - 2 * self.room
+            i, c = np.nonzero(near >= limit[:, None].astype(near.dtype))
+            for start in range(0, len(i), 1 << 16):
+                part = slice(start, start + (1 << 16))
+                self._take(at + i[part], ids[c[part]], self._exact(at + i[part], x, c[part], at, near))
+
+    def _exact(self, i: np.ndarray, x: np.ndarray, c: np.ndarray, at: int, near: np.ndarray) -> np.ndarray:
+        a, b = self.x[i], x[c]
+        d = 1 - (_unit_rows(a) * _unit_rows(b)).sum(axis=1) if self.cosine else -near[i - at, c]
+        d[np.isneginf(near[i - at, c])] = np.inf
+        close = np.flatnonzero(d <= 1e-9)
+        d[close[(a[close] == b[close]).all(axis=1)]] = 0
+        return d
+
+    def _take(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        fine = np.isfinite(d)
+        i, j, d = i[fine], j[fine], d[fine]
+        rows = np.unique(i)
+        i, j, d = np.concatenate([i, np.repeat(rows, self.k)]), np.concatenate([j, self.j[rows].ravel()]), np.concatenate([d, self.d[rows].ravel()])
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        first = rank < self.k
+        self.j[i[first], rank[first]], self.d[i[first], rank[first]] = j[first], d[first]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        """Rows of one id share one list."""
+        i, j, d = np.repeat(self.ids, self.k), self.j.ravel(), self.d.ravel()
+        fine = np.isfinite(d)
+        i, j, d = i[fine], j[fine], d[fine]
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+        fine = rank <= self.k
+        i, j, d, rank = i[fine], j[fine], d[fine], rank[fine].astype(np.int32)
+        for at in range(0, len(i), 10_000):
+            z = slice(at, at + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array(i[z]), pa.array(rank[z]), pa.array(j[z]), pa.array(d[z])], names=["i", "rank", "j", "d"])
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -256,7 +359,7 @@ def mean_distances(edges: DataFrame, k: int | None = None) -> DataFrame:
 
 def outliers(edges: DataFrame, threshold: float = 0.37037, t: float = 1.0, metric: Metric | None = None) -> DataFrame:
     """(id, avg_distance, score, is_outlier_issue) by the mean distance to all stored neighbours."""
-    avg = mean_distances(edges)
+    avg = once(mean_distances(once(edges)))
     q1, q2, q3 = avg.agg(F.percentile("avg_distance", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0] or (0.0, 0.0, 0.0)
     limit = q3 + (1 / threshold - 1) * (q3 - q1)
     return avg.withColumn("score", distance_scores(F.col("avg_distance"), max(q2, TINY), t, metric)).withColumn("is_outlier_issue", F.col("avg_distance") > F.lit(limit))
@@ -288,7 +391,7 @@ class OutlierDetector:
             shared_folder(df.sparkSession)
             table = df.select("id", "features").checkpoint()
             self.metric = self.metric or default_metric(table.agg(F.max(F.size("features"))).first()[0] or 0)
-            avg = mean_distances(knn_edges(table, self.k, self.metric))
+            avg = once(mean_distances(knn_edges(table, self.k, self.metric)))
             self.scale, self.table, self.kind = distance_scale(avg), table, "features"
             return avg.select("id", distance_scores(F.col("avg_distance"), self.scale, self.t, self.metric).alias("score"))
         self.limits, self.kind = (confident.thresholds(df) if self.adjust else None), "pred_probs"
@@ -306,6 +409,7 @@ class OutlierDetector:
 
 def near_duplicates(edges: DataFrame, threshold: float = 0.13) -> DataFrame:
     """(id, nn_distance, score, is_near_duplicate_issue); sets are symmetric."""
+    edges = once(edges)
     close, median = _close(edges, threshold)
     nn = edges.where("rank = 1").select(F.col("i").alias("id"), F.col("d").alias("nn_distance"))
     members = close.select(F.col("i").alias("id")).unionByName(close.select(F.col("j").alias("id"))).distinct().withColumn("hit", F.lit(True))
@@ -323,7 +427,7 @@ def near_duplicate_sets(edges: DataFrame, threshold: float = 0.13) -> DataFrame:
 
     A set holds at most the neighbours of the row and the rows that have it as theirs.
     """
-    close, _ = _close(edges, threshold)
+    close, _ = _close(once(edges), threshold)
     both = close.unionByName(close.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
     return both.groupBy(F.col("i").alias("id")).agg(F.sort_array(F.collect_list("j")).alias("near_duplicate_set"))
 
@@ -468,5 +572,5 @@ def label_issue_probs(edges: DataFrame, labels: DataFrame, n_classes: int) -> Da
 
 def ood_scores(edges: DataFrame, k: int = 10, t: float = 1.0) -> DataFrame:
     """(id, score) by the mean distance to the first k neighbours, scaled by its median."""
-    avg = mean_distances(edges, k)
+    avg = once(mean_distances(edges, k))
     return avg.select("id", distance_scores(F.col("avg_distance"), distance_scale(avg), t).alias("score"))

@@ -496,7 +496,7 @@ def _(s, d):
 @_query("non_iid_test")
 def _(s, d):
     v = _vectors(s, d)
-    ks, p = neighbors.order_test(neighbors.knn_edges(v).persist(), v.count())
+    ks, p = neighbors.order_test(neighbors.knn_edges(v), v.count())
     return s.createDataFrame([(round(ks, 6), round(p, 6))], "ks double, p_value double")
 
 
@@ -508,7 +508,7 @@ lab as (select v, min(u) u from reach group by v) select vec_id as id, coalesce(
 )
 def _(s, d):
     v = _vectors(s, d)
-    return neighbors.density_clusters(neighbors.knn_edges(v).persist(), v, 0.7, 3)
+    return neighbors.density_clusters(neighbors.knn_edges(v), v, 0.7, 3)
 
 
 @_query(
@@ -592,7 +592,7 @@ def _(s, d):
 )
 def _(s, d):
     v = _vectors(s, d)
-    return confident.find_label_issues(neighbors.label_issue_probs(neighbors.knn_edges(v).persist(), v, int(v.agg(F.max("label")).first()[0]) + 1))
+    return confident.find_label_issues(neighbors.label_issue_probs(neighbors.knn_edges(v), v, int(v.agg(F.max("label")).first()[0]) + 1))
 
 
 def queries() -> dict[str, Query]:
