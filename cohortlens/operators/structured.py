@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 (as pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.session import once
+from ..functions.session import once, ship_package
 from . import confident as C
 from .contracts import aggregation_weights
 
@@ -484,6 +486,7 @@ def images_by_issues(issues: DataFrame, top: int | None = None) -> DataFrame:
 # Boxes: labels (image_id, box_id, x1, y1, x2, y2, label), predictions with p
 
 ALPHA, HIGH, LOW, OVERLAP, TEMPERATURE = 0.9, 0.95, 0.5, 0.95, 0.1
+IOU_STEPS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
 
 def iou(a: str, b: str) -> Column:
@@ -532,12 +535,6 @@ def swapped_boxes(pairs: DataFrame, labels: DataFrame, least: float) -> DataFram
     return j.select("image_id", "box_id", F.when(F.col("clash"), F.lit(least)).when(F.col("s").isNull(), 1.0).otherwise(F.greatest(F.lit(least), 1 - F.col("s"))).alias("score"))
 
 
-def pooled(scores: DataFrame, images: DataFrame) -> DataFrame:
-    """(image_id, score): soft minimum of an image's box scores, 1 without any."""
-    s = scores.where("score is not null").groupBy("image_id").agg(A.softmin(F.sort_array(F.collect_list("score")), TEMPERATURE).alias("s"))
-    return images.join(s, "image_id", "left").select("image_id", F.coalesce("s", F.lit(1.0)).alias("score"))
-
-
 WEIGHTS = {"overlooked": 1 / 3, "badloc": 1 / 3, "swap": 1 / 3}
 
 
@@ -545,13 +542,8 @@ def box_image_scores(labels: DataFrame, predictions: DataFrame, weights: dict[st
     """(image_id, overlooked, badloc, swap, label_quality): weighted geometric mean of the three, by default with equal weights."""
     weights = weights or WEIGHTS
     aggregation_weights(**weights)
-    labels, predictions = once(labels), once(predictions)
-    pairs = once(box_pairs(labels, predictions))
-    least = min_similarity(pairs)
-    images = labels.select("image_id").union(predictions.select("image_id")).distinct()
-    out = images
-    for name, s in (("overlooked", overlooked_boxes(pairs, predictions, least)), ("badloc", badly_located_boxes(pairs, labels)), ("swap", swapped_boxes(pairs, labels, least))):
-        out = out.join(pooled(s, images).withColumnRenamed("score", name), "image_id")
+    found = _scored(once(images_with_boxes(labels, predictions).select("image_id", *SCORED)))
+    out = found.select("image_id", *[F.when(F.size(c) == 0, 1.0).otherwise(A.softmin(F.sort_array(c), TEMPERATURE)).alias(c) for c in ("overlooked", "badloc", "swap")])
     mean = sum((F.lit(float(w)) * F.ln(F.col(c) + 1e-100) for c, w in weights.items()), F.lit(0.0))
     return out.withColumn("label_quality", F.exp(mean))
 
@@ -605,25 +597,151 @@ def box_class_share(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.round(F.count(F.lit(1)) / F.lit(n + 1e-6), 2).alias("share"))
 
 
-IOU_STEPS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
+SCORED = ("least", "label", "badloc", "swap", "free_label", "free", "free_p")
+HITS = ("hit_label", "hit_id", "hit_p", "hit")
+
 
+def images_with_boxes(labels: DataFrame, predictions: DataFrame, thresholds=IOU_STEPS) -> DataFrame:
+    """One row an image, from one shuffle of both tables by image; pairs of boxes are formed 2^18 at a time and not kept.
 
-def box_hits(labels: DataFrame, predictions: DataFrame, thresholds=IOU_STEPS) -> DataFrame:
-    """(t, image_id, pred_id, box_id) of true positives: a prediction goes for the label of its class
-    that it overlaps most, and of the predictions that go for one label the most confident gets it."""
-    pairs = box_pairs(labels, predictions).where("label = pred_label")
-    best = pairs.groupBy("image_id", "pred_id").agg(F.max_by(F.struct("iou", "p", "box_id"), F.struct("iou", -F.col("box_id"))).alias("b")).select("image_id", "pred_id", "b.*")
-    at = best.select("*", F.explode(F.array(*[F.lit(x) for x in thresholds])).alias("t")).where(F.col("iou") >= F.col("t"))
-    return at.groupBy("t", "image_id", "box_id").agg(F.max_by("pred_id", F.struct("p", -F.col("pred_id"))).alias("pred_id"))
+    least: the least similarity above 0 of a pair (null without one).  By label box: label, badloc,
+    and swap before the floor: 1 less the best similarity to a confident prediction of another class
+    (1 without any, -1 if it lies on a label of another class).  By confident prediction that touches no label:
+    free_label, free (the best similarity to a label of its class, null without one), free_p.  By prediction:
+    hit_label, hit_id, hit_p and the bits of the thresholds at which it is a true positive: it goes for the label
+    of its class that it overlaps most, and of those that go for one label the most confident gets it.
+    Ids tell the boxes of an image apart; boxes without all coordinates overlap nothing.
+    """
+    ship_package(labels.sparkSession)
+    image = dict(labels.dtypes)["image_id"]
+    side = lambda t, tag, p: t.select("image_id", F.lit(tag).alias("tag"), F.col("box_id").cast("bigint").alias("box_id"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], F.col("label").cast("int").alias("label"), p.cast("double").alias("p"))
+    rows = side(labels, 0, F.lit(None)).unionByName(side(predictions, 1, F.col("p"))).repartition("image_id").sortWithinPartitions("image_id", "tag")
+    steps = tuple(float(t) for t in thresholds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            start = pa.compute.index(b.column(0), b.column(0)[b.num_rows - 1]).as_py() if b.column(0)[b.num_rows - 1].is_valid else pa.compute.sum(pa.compute.is_valid(b.column(0))).as_py()
+            if start:
+                held[-1] = b.slice(0, start)
+                yield _image_rows(held, steps)
+                held = [b.slice(start)]
+        if held:
+            yield _image_rows(held, steps)
+
+    kinds = "least double, label array<int>, badloc array<double>, swap array<double>, free_label array<int>, free array<double>, free_p array<double>, hit_label array<int>, hit_id array<bigint>, hit_p array<double>, hit array<bigint>"
+    return rows.mapInArrow(run, f"image_id {image}, {kinds}").where("image_id is not null")
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    w = np.maximum(np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0]), 0)
+    h = np.maximum(np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1]), 0)
+    area = lambda z: (z[:, 2] - z[:, 0]) * (z[:, 3] - z[:, 1])
+    return w * h / np.maximum(area(a) + area(b) - w * h, 1e-6)
+
+
+def _image_rows(held: list[pa.RecordBatch], steps: tuple[float, ...]) -> pa.RecordBatch:
+    """The rows of images_with_boxes for whole images."""
+    t = pa.Table.from_batches(held).combine_chunks()
+    images = t.column(0).combine_chunks()
+    code = images.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+    names = images.dictionary_encode("encode").dictionary
+    tag, ids, cls, p = t["tag"].to_numpy(), t["box_id"].to_numpy(), t["label"].to_numpy(), t["p"].to_numpy()
+    known = np.asarray(t["label"].is_valid())
+    cls = np.where(known, np.nan_to_num(cls), -1).astype(np.int64)
+    box = np.stack([t[c].to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)
+    n = len(names)
+    is_label = tag == 0
+    own, guess = np.flatnonzero(is_label), np.flatnonzero(~is_label)
+    first, count = np.searchsorted(code[guess], np.arange(n)), np.bincount(code[guess], minlength=n)
+    first_own, count_own = np.searchsorted(code[own], np.arange(n)), np.bincount(code[own], minlength=n)
+    mid = np.stack([(box[:, 0] + box[:, 2]) / 2, (box[:, 1] + box[:, 3]) / 2], axis=1)
+    least = np.full(n, np.inf)
+    badloc, best, clash = np.full(len(own), -np.inf), np.full(len(own), -np.inf), np.zeros(len(own), bool)
+    seen, same = np.zeros(len(guess)), np.full(len(guess), -np.inf)
+    some = []
+
+    def pairs(others: np.ndarray, start: np.ndarray, size: np.ndarray):
+        """Places in own and in the others, for all pairs inside an image, a bounded number at a time."""
+        c = size[code[own]]
+        at, ends = 0, np.cumsum(c)
+        while at < len(own):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 18), "right")))
+            i = np.repeat(np.arange(at, to), c[at:to])
+            before = np.repeat(ends[at:to] - c[at:to], c[at:to])
+            j = np.arange(ends[at - 1] if at else 0, ends[to - 1]) - before + start[code[own[i]]]
+            yield i, j
+            at = to
+
+    for i, j in pairs(guess, first, count):
+        a, b = own[i], guess[j]
+        iou = _overlap(box[a], box[b])
+        sim = ALPHA * iou + (1 - ALPHA) * np.exp(-0.1 * np.sqrt(((mid[a] - mid[b]) ** 2).sum(axis=1)))
+        both = known[a] & known[b]
+        alike, other = both & (cls[a] == cls[b]), both & (cls[a] != cls[b])
+        up = sim > 0
+        np.fmin.at(least, code[a[up]], sim[up])
+        np.fmax.at(seen, j, iou)
+        np.fmax.at(same, j[alike], sim[alike])
+        z = alike & (p[b] > LOW) & (iou > 0)
+        np.fmax.at(badloc, i[z], sim[z])
+        z = other & (p[b] > HIGH)
+        np.fmax.at(best, i[z], sim[z])
+        z = alike & (iou >= min(steps))
+        some.append((i[z], j[z], iou[z]))
+    for i, j in pairs(own, first_own, count_own):
+        a, b = own[i], own[j]
+        z = known[a] & known[b] & (cls[a] != cls[b])
+        i, a, b = i[z], a[z], b[z]
+        clash[i[_overlap(box[a], box[b]) >= OVERLAP]] = True
+    hit = np.zeros(len(guess), np.int64)
+    if some:
+        i, j, iou = (np.concatenate(x) for x in zip(*some, strict=True))
+        order = np.lexsort((ids[own[i]], -iou, j))
+        order = order[np.unique(j[order], return_index=True)[1]]
+        i, j, iou = i[order], j[order], iou[order]
+        order = np.lexsort((ids[guess[j]], -np.nan_to_num(p[guess[j]], nan=-np.inf), i))
+        i, j, iou = i[order], j[order], iou[order]
+        for bit, step in enumerate(steps):
+            z = np.flatnonzero(iou >= step)
+            hit[j[z[np.unique(i[z], return_index=True)[1]]]] |= 1 << bit
+    null = lambda x: pa.array(x, mask=~np.isfinite(x))
+    listed = lambda at, x: pa.ListArray.from_arrays(pa.array(np.searchsorted(code[at], np.arange(n + 1)).astype(np.int32)), x)
+    label_of = lambda at: pa.array(cls[at].astype(np.int32), mask=~known[at])
+    free = np.flatnonzero((p[guess] >= HIGH) & (seen == 0))
+    swap = np.where(clash, -1.0, np.where(np.isfinite(best), 1 - best, 1.0))
+    columns = {
+        "image_id": names, "least": null(least), "label": listed(own, label_of(own)), "badloc": listed(own, pa.array(np.where(np.isfinite(badloc), badloc, 1.0))), "swap": listed(own, pa.array(swap)),
+        "free_label": listed(guess[free], label_of(guess[free])), "free": listed(guess[free], null(same[free])), "free_p": listed(guess[free], pa.array(p[guess[free]])),
+        "hit_label": listed(guess, label_of(guess)), "hit_id": listed(guess, pa.array(ids[guess])), "hit_p": listed(guess, null(p[guess])), "hit": listed(guess, pa.array(hit)),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _scored(found: DataFrame) -> DataFrame:
+    """images_with_boxes with the scores of its boxes: overlooked (by free prediction), badloc and swap (by label)."""
+    least = F.lit(float(found.agg(F.min("least")).first()[0] or 1.0))
+    floor = F.transform("swap", lambda s: F.when(s < 0, least).when(s == 1, 1.0).otherwise(F.greatest(least, s)))
+    free = F.zip_with("free", "free_p", lambda s, p: F.coalesce(s, least * (1 - p)))
+    return found.withColumn("swap", floor).withColumn("overlooked", free)
+
+
+def hit_rows(found: DataFrame) -> DataFrame:
+    """(image_id, pred_id, label, p, hit): a row for each prediction of images_with_boxes."""
+    x = found.select("image_id", F.explode(F.arrays_zip(*HITS)).alias("x"))
+    return x.select("image_id", F.col("x.hit_id").alias("pred_id"), F.col("x.hit_label").alias("label"), F.col("x.hit_p").alias("p"), F.col("x.hit").alias("hit"))
 
 
 def box_confusion(labels: DataFrame, predictions: DataFrame, thresholds=IOU_STEPS) -> DataFrame:
     """(label, tp, fp, fn) of each class, summed over the thresholds, over thresholds x classes."""
     k = len(thresholds)
     n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    m = predictions.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    hit = box_hits(labels, predictions, thresholds).join(labels.select("image_id", "box_id", "label"), ["image_id", "box_id"]).groupBy("label").agg(F.count(F.lit(1)).alias("tp"))
-    j = n.join(m, "label", "full").join(hit, "label", "left").fillna(0, ["n", "m", "tp"])
+    own = images_with_boxes(labels, predictions, thresholds).select(F.explode(F.arrays_zip("hit_label", "hit")).alias("x"))
+    m = own.groupBy(F.col("x.hit_label").alias("label")).agg(F.count(F.lit(1)).alias("m"), F.sum(F.bit_count("x.hit")).alias("tp"))
+    j = n.join(m, "label", "full").fillna(0, ["n", "m", "tp"])
     size = F.lit(float(k)) * F.count(F.lit(1)).over(W.partitionBy())
     return j.select("label", (F.col("tp") / size).alias("tp"), ((F.col("m") * k - F.col("tp")) / size).alias("fp"), ((F.col("n") * k - F.col("tp")) / size).alias("fn"))
 
@@ -636,37 +754,75 @@ def box_class_metrics(labels: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def box_image_issues(labels: DataFrame, predictions: DataFrame, factor: float = 0.8, scale: float = 0.25) -> DataFrame:
     """(image_id, is_label_issue): some box scores at most factor x scale x the mean average precision of its class."""
-    labels, predictions = once(labels), once(predictions)
-    limits = average_precisions(labels, predictions).groupBy("label").agg((F.lit(factor * scale) * F.avg("ap")).alias("bound"))
-    pairs = once(box_pairs(labels, predictions))
-    least = min_similarity(pairs)
-    own, guessed = labels.select("image_id", "box_id", "label"), predictions.select("image_id", F.col("box_id").alias("pred_id"), "label")
-    bad = None
-    for scores, of, key in (
-        (overlooked_boxes(pairs, predictions, least), guessed, "pred_id"),
-        (badly_located_boxes(pairs, labels), own, "box_id"),
-        (swapped_boxes(pairs, labels, least), own, "box_id"),
-    ):
-        x = scores.join(of, ["image_id", key]).join(limits, "label", "left").where(F.col("score") <= F.coalesce("bound", F.lit(0.0))).select("image_id")
-        bad = x if bad is None else bad.unionByName(x)
-    images = labels.select("image_id").union(predictions.select("image_id")).distinct()
-    return images.join(bad.distinct().withColumn("hit", F.lit(True)), "image_id", "left").select("image_id", F.coalesce("hit", F.lit(False)).alias("is_label_issue"))
-
-
-def average_precisions(labels: DataFrame, predictions: DataFrame, thresholds=IOU_STEPS, buckets: int = 1000) -> DataFrame:
+    found = once(images_with_boxes(labels, predictions))
+    bounds = {r["label"]: factor * scale * r["ap"] for r in _precisions(hit_rows(found), labels, IOU_STEPS).groupBy("label").agg(F.avg("ap").alias("ap")).collect()}
+    low = lambda scores, of: F.exists(F.arrays_zip(F.col(scores).alias("s"), F.col(of).alias("c")), lambda x: x["s"] <= F.coalesce(_at(bounds, x["c"]), F.lit(0.0)))
+    scored = _scored(found)
+    return scored.select("image_id", (low("overlooked", "free_label") | low("badloc", "label") | low("swap", "label")).alias("is_label_issue"))
+
+
+def _at(values: dict[int | None, float], key: Column) -> Column:
+    """The value of a key, null where there is none."""
+    pairs = [F.lit(x) for k, v in values.items() if k is not None for x in (k, v)]
+    return F.try_element_at(F.create_map(*pairs), key) if pairs else F.lit(None).cast("double")
+
+
+def average_precisions(labels: DataFrame, predictions: DataFrame, thresholds=IOU_STEPS) -> DataFrame:
     """(t, label, ap): area under the precision envelope of each labelled class at each overlap threshold.
 
-    Ranks and running maxima are taken inside buckets of the confidence and joined up by the
-    buckets' totals, so a class with a large share of the boxes is no single task.
+    Predictions are sorted over all tasks by class and confidence; ranks and running maxima are taken inside
+    a task's run of rows and shifted by the totals of the runs, of which the driver gets a row each, so
+    a class with a large share of the boxes is no single task.
     """
-    b = F.least(F.greatest(F.floor((1 - F.col("p")) * buckets), F.lit(0)), F.lit(buckets)).cast("int")
-    ranked = C.numbered(predictions.select("image_id", F.col("box_id").alias("pred_id"), "label", "p", b.alias("b")), ["label"], [F.desc("p"), F.asc("image_id"), F.asc("pred_id")], "k")
-    hits = box_hits(labels, predictions, thresholds).select("t", "image_id", "pred_id").join(ranked.select("image_id", "pred_id", "label", "b", "k"), ["image_id", "pred_id"])
-    hits = C.numbered(hits, ["t", "label"], [F.asc("k")], "c").select("t", "label", "b", "k", (F.col("c") / F.col("k")).alias("prec"))
-    after = W.partitionBy("t", "label").orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1)
-    later = hits.groupBy("t", "label", "b").agg(F.max("prec").alias("top")).select("t", "label", "b", F.max("top").over(after).alias("later"))
-    here = F.max("prec").over(W.partitionBy("t", "label", "b").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0))
-    area = hits.join(later, ["t", "label", "b"]).withColumn("env", F.greatest(here, "later")).groupBy("t", "label").agg(F.sum("env").alias("s"))
+    return _precisions(hit_rows(images_with_boxes(labels, predictions, thresholds)), labels, thresholds)
+
+
+def _precisions(hits: DataFrame, labels: DataFrame, thresholds) -> DataFrame:
+    spark = labels.sparkSession
+    order = [F.col("label"), F.desc_nulls_last("p"), F.col("image_id"), F.col("pred_id")]
+    runs = once(hits).where("label is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    runs = once(runs.select(F.spark_partition_id().alias("part"), "label", "hit"))
+    steps = len(thresholds)
+    bits = [F.getbit("hit", F.lit(b)).cast("bigint") for b in range(steps)]
+    totals = runs.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"h{b}") for b, x in enumerate(bits)]).collect()
+    starts, at = {}, {}
+    for r in sorted(totals, key=lambda r: (r["label"], r["part"])):
+        before = at.setdefault(r["label"], np.zeros(steps + 1))
+        starts[r["label"], r["part"]] = before.copy()
+        before += np.array([r["n"], *[r[f"h{b}"] for b in range(steps)]], float)
+    ship_package(spark)
+
+    def each(batches: Iterator[pa.RecordBatch], later: dict | None) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
+        if not got:
+            return
+        part, label, hit = (np.concatenate(x) for x in zip(*got, strict=True))
+        edges = np.flatnonzero((np.diff(part) != 0) | (np.diff(label) != 0)) + 1
+        out = []
+        for lo, hi in zip([0, *edges], [*edges, len(part)], strict=True):
+            key = int(label[lo]), int(part[lo])
+            for b in range(steps):
+                k = np.flatnonzero(hit[lo:hi] >> b & 1)
+                if len(k):
+                    precision = (starts[key][b + 1] + np.arange(1, len(k) + 1)) / (starts[key][0] + k + 1)
+                    if later is None:
+                        out.append((*key, b, float(precision.max())))
+                    else:
+                        envelope = np.maximum.accumulate(precision[::-1])
+                        out.append((*key, b, float(np.maximum(envelope, later.get((*key, b), 0.0)).sum())))
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["label", "part", "b", "x"])
+
+    def over(later: dict | None) -> DataFrame:
+        return runs.mapInArrow(lambda batches: each(batches, later), "label int, part int, b int, x double")
+
+    later, top = {}, {}
+    for r in sorted(over(None).collect(), key=lambda r: -r["part"]):
+        key = r["label"], r["b"]
+        later[r["label"], r["part"], r["b"]] = top.get(key, 0.0)
+        top[key] = max(top.get(key, 0.0), r["x"])
+    step = F.element_at(F.array(*[F.lit(x) for x in thresholds]), F.col("b") + 1)
+    area = over(later).groupBy("label", "b").agg(F.sum("x").alias("s")).select("label", step.alias("t"), "s")
     n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", "n", F.explode(F.array(*[F.lit(x) for x in thresholds])).alias("t"))
     return n.join(area, ["t", "label"], "left").select("t", "label", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("ap"))
 
