@@ -132,19 +132,8 @@ def crowd_weights(votes: DataFrame, probs: DataFrame, consensus: DataFrame) -> t
 
     A weight is one less the error over that of always answering the most likely class.
     """
-    multi = votes.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("task_id")
-    per_task = agreement_with_consensus(votes, consensus).join(multi, "task_id").join(consensus, "task_id").join(probs, "task_id", "left")
-    top = per_task.groupBy("consensus").count().orderBy(F.desc("count"), "consensus").first()
-    likely = F.lit(top["consensus"] if top else 0)
-    r = per_task.agg(
-        F.avg((F.col("consensus") != likely).cast("double")),
-        F.avg((A.argmax(F.col("pred_probs")) != F.col("consensus")).cast("double")),
-        F.avg("agreement"),
-    ).first()
-    base = max(r[0] or 1.0, 1e-6)
-    mean_n = votes.groupBy("task_id").count().agg(F.avg("count")).first()[0] or 1.0
-    w = annotator_agreement(votes).select("annotator_id", F.greatest(1 - (1 - F.col("agreement")) / F.lit(base), F.lit(1e-6)).alias("w"))
-    return w, max(1 - (r[1] or 0.0) / base, 1e-6) * float(np.sqrt(mean_n)), r[2] if r[2] is not None else 1.0
+    w, models, agree = ensemble_weights(votes, probs, ["pred_probs"], consensus)
+    return w, models[0], agree
 
 
 def crowd_posterior(votes: DataFrame, probs: DataFrame, n_classes: int, weights=None, majority: DataFrame | None = None) -> DataFrame:
@@ -180,8 +169,22 @@ def mean_probs(columns: list[str]):
 
 def ensemble_weights(votes: DataFrame, probs: DataFrame, columns: list[str], consensus: DataFrame) -> tuple[DataFrame, list[float], float]:
     """As crowd_weights, with one weight a model."""
-    each = [crowd_weights(votes, probs.select("task_id", F.col(c).alias("pred_probs")), consensus) for c in columns]
-    return each[0][0], [x[1] for x in each], each[0][2]
+    hit = F.avg((F.col("label") == F.col("consensus")).cast("double")).alias("agreement")
+    tasks = votes.join(consensus, "task_id", "left").groupBy("task_id").agg(hit, F.count(F.lit(1)).alias("n_annotations"), F.max("consensus").alias("consensus")).join(probs.select("task_id", *[A.argmax(F.col(c)).alias(f"__m{i}") for i, c in enumerate(columns)]), "task_id", "left")
+    # One pass: by consensus the tasks of several labels, their agreement, and the models that miss it.
+    several = (F.col("n_annotations") > 1) & F.col("consensus").isNotNull()
+    miss = [(F.col(f"__m{i}") != F.col("consensus")).cast("double") for i in range(len(columns))]
+    by = tasks.groupBy("consensus").agg(
+        F.count(F.lit(1)).alias("tasks"), F.sum("n_annotations").alias("votes"), F.count_if(several).alias("n"), F.sum(F.when(several, F.col("agreement"))).alias("agreement"),
+        *[x for i, m in enumerate(miss) for x in (F.sum(F.when(several, m)).alias(f"s{i}"), F.count(F.when(several, m)).alias(f"c{i}"))],
+    ).collect()
+    n = sum(r["n"] for r in by)
+    top = min((r for r in by if r["n"] and r["consensus"] is not None), key=lambda r: (-r["n"], r["consensus"]), default=None)
+    base = max(((n - top["n"]) / n if top else 0.0) or 1.0, 1e-6)
+    mean_n = sum(r["votes"] for r in by) / max(sum(r["tasks"] for r in by), 1) or 1.0
+    error = [sum(r[f"s{i}"] or 0.0 for r in by) / max(sum(r[f"c{i}"] for r in by), 1) for i in range(len(columns))]
+    w = once(annotator_agreement(votes).select("annotator_id", F.greatest(1 - (1 - F.col("agreement")) / F.lit(base), F.lit(1e-6)).alias("w")))
+    return w, [max(1 - x / base, 1e-6) * float(np.sqrt(mean_n)) for x in error], sum(r["agreement"] or 0.0 for r in by) / n if n else 1.0
 
 
 def blended(columns: list[str], weights: list[float]):
