@@ -20,6 +20,8 @@ from ..functions.session import once, shared_folder, ship_package
 from . import confident
 
 BLOCK = 1024
+#: Asking rows that are compared with a block at once: the similarities stay in the processor's cache.
+TILE = 512
 #: Groups that the rows of an exact search are dealt to, and the rows of one at most.
 GROUPS, GROUP_ROWS = 32, 65_536
 #: Rows that the splits of approximate_edges are fitted on.
@@ -151,11 +153,14 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def _unit_rows(x: np.ndarray) -> np.ndarray:
-    """Rows of length 1 (zero rows stay), also where squares would leave the range of a double."""
+def _unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of length 1 (zero rows stay), also where squares would leave the range of a double; and the two numbers each was divided by."""
     x = x.astype(np.float64)
-    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0), 5e-324)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    most = np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0), 5e-324)
+    x /= most
+    length = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    x /= length
+    return x, most, length
 
 
 class _Search:
@@ -163,6 +168,8 @@ class _Search:
 
     Cosine distances are first taken in single precision, with room for its error; those that may be
     among the k are taken again in double precision, row by row, so equal rows get equal distances.
+    The first are taken TILE rows at a time into one piece of memory: the square of the rows is paid in a matrix
+    product and a comparison.
     """
 
     def __init__(self, asks: list[tuple[np.ndarray, np.ndarray]], k: int, metric: Metric, alone: bool):
@@ -170,17 +177,28 @@ class _Search:
         self.k, self.metric, self.alone = k, metric, alone
         self.cosine = isinstance(metric, str) and metric == "cosine"
         self.room = (self.x.shape[1] + 8) * 1.2e-7 if self.cosine else 0.0
-        self.unit = _unit_rows(self.x).astype(np.float32) if self.cosine else None
+        if self.cosine:
+            unit, self.most, self.length = _unit_rows(self.x)
+            self.unit = unit.astype(np.float32)
+        self.near = np.empty(0, np.float32)
         self.d = np.full((len(self.ids), k), np.inf)
         self.j = np.full((len(self.ids), k), np.iinfo(np.int64).max)
 
     def see(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         ids, x = np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts])
-        unit = _unit_rows(x).astype(np.float32).T if self.cosine else None
+        if self.cosine:
+            whole = _unit_rows(x)[0]
+            unit = whole.astype(np.float32).T
+            if self.near.size < TILE * len(ids):
+                self.near = np.empty(TILE * len(ids), np.float32)
         order = np.argsort(ids, kind="stable")
-        for at in range(0, len(self.ids), BLOCK):
-            z = slice(at, at + BLOCK)
-            near = self.unit[z] @ unit if self.cosine else -_distances(self.x[z].astype(np.float64), x.astype(np.float64), self.metric)
+        for at in range(0, len(self.ids), TILE):
+            z = slice(at, at + TILE)
+            if self.cosine:
+                near = self.near[: len(self.ids[z]) * len(ids)].reshape(-1, len(ids))
+                np.matmul(self.unit[z], unit, out=near)
+            else:
+                near = -_distances(self.x[z].astype(np.float64), x.astype(np.float64), self.metric)
             if self.alone:
                 low, high = np.searchsorted(ids[order], self.ids[z], "left"), np.searchsorted(ids[order], self.ids[z], "right")
                 for r in np.flatnonzero(high > low):
@@ -191,18 +209,24 @@ class _Search:
             new = np.flatnonzero(np.isinf(worst))
             if len(new) and self.k < near.shape[1]:
                 limit[new] = np.partition(near[new], -self.k, axis=1)[:, -self.k] - 2 * self.room
-            i, c = np.nonzero(near >= limit[:, None].astype(near.dtype))
-            for start in range(0, len(i), 1 << 16):
-                part = slice(start, start + (1 << 16))
-                self._take(at + i[part], ids[c[part]], self._exact(at + i[part], x, c[part], at, near))
-
-    def _exact(self, i: np.ndarray, x: np.ndarray, c: np.ndarray, at: int, near: np.ndarray) -> np.ndarray:
-        a, b = self.x[i], x[c]
-        d = 1 - (_unit_rows(a) * _unit_rows(b)).sum(axis=1) if self.cosine else -near[i - at, c]
-        d[np.isneginf(near[i - at, c])] = np.inf
-        close = np.flatnonzero(d <= 1e-9)
-        d[close[(a[close] == b[close]).all(axis=1)]] = 0
-        return d
+            hits = np.flatnonzero(near >= limit[:, None].astype(near.dtype))  # many times as fast as the places in two dimensions
+            for start in range(0, len(hits), 1 << 16):
+                part = hits[start : start + (1 << 16)]
+                i, c = np.divmod(part, len(ids))
+                rough = near.ravel()[part]
+                d = self._cosine(at + i, whole, c) if self.cosine else -rough
+                d[np.isneginf(rough)] = np.inf
+                close = np.flatnonzero(d <= 1e-9)
+                d[close[(self.x[at + i[close]] == x[c[close]]).all(axis=1)]] = 0
+                self._take(at + i, ids[c], d)
+
+    def _cosine(self, i: np.ndarray, whole: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Distances of pairs in double precision; the asking rows are brought to length 1 as in _unit_rows, which keeps them narrow until then."""
+        a = self.x[i].astype(np.float64)
+        a /= self.most[i]
+        a /= self.length[i]
+        a *= whole[c]
+        return 1 - a.sum(axis=1)
 
     def _take(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
         fine = np.isfinite(d)

@@ -655,3 +655,36 @@ def test_weights_of_models_take_one_pass(spark):
     miss = sum((0 if t % 4 else 1) != t % 2 for t in several) / len(several)
     want = [max(1 - m / base, 1e-6) * np.sqrt(2.0) for m in (miss, 1 - miss, miss)]
     assert np.allclose(models, want) and agree == 1.0
+
+
+def test_search_holds_one_tile_of_similarities():
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((6000, 16)).astype(np.float32)
+    x[4000:4020], x[5000] = x[:20], 0
+    ids = rng.permutation(6000).astype(np.int64) * 3
+    order = np.argsort(ids)
+    search = neighbors._Search([(ids[:700], x[:700]), (ids[4000:5300], x[4000:5300])], 5, "cosine", True)
+    tracemalloc.start()
+    for n, at in enumerate(range(0, 6000, 1500)):
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        search.see([(ids[order[at : at + 1500]], x[order[at : at + 1500]])])
+        peak = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert n == 3 and peak < 4 * 1024 * 1500  # all that a later block needs is less than its similarities to 1,024 rows
+    got = {}
+    for b in search.found():
+        for i, j, d in zip(*(b.column(c).to_pylist() for c in ("i", "j", "d")), strict=True):
+            got.setdefault(i, []).append((j, d))
+    u = x.astype(np.float64) / np.maximum(np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True), 1e-300)
+    own = np.r_[:700, 4000:5300]
+    d = 1 - u[own] @ u.T
+    d[(x[own][:, None, :2] == x[None, :, :2]).all(axis=2)] = 0
+    d[np.arange(len(own)), own] = np.inf
+    d = np.round(d, 12)
+    for r, at in enumerate(own):
+        want = sorted(zip(d[r].tolist(), ids.tolist()))[:5]
+        assert [j for j, _ in got[ids[at]]] == [j for _, j in want]
+        assert np.allclose([v for _, v in got[ids[at]]], [v for v, _ in want], atol=1e-9)
