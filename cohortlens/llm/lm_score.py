@@ -62,6 +62,8 @@ _TASK_ROOT, _LEAST_TASKS = 350, 12
 ROUNDS = 2
 RATE = 0.15
 BATCH = 1 << 14
+#: Occurrences in a batch beyond which a row's gradients are summed by themselves.
+LONG = 24
 _CHUNK = 256
 #: Words that a task counts before it sends them on.
 _COUNTED = 300_000
@@ -239,21 +241,45 @@ class MaxEnt:
         visits["cb"] += len(ids)
         for name, rows, grad in (("c1", one, z), ("c2", two, z), ("cp", pair, z), ("w1", a, y), ("w2", b, y), ("wb", k, y), ("t1", ta, q), ("t2", tb, q), ("tb", node, q)):
             if len(rows):
-                narrow = rows.astype(np.uint16) if self.shapes[name][0] <= 1 << 16 else rows
-                order = np.argsort(narrow, kind="stable" if narrow is not rows else None)
-                sorted_rows = rows[order]
-                first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-                which, sizes = sorted_rows[first], np.diff(np.r_[first, len(rows)])
-                # most hashed rows occur once in a batch: only the others are summed
-                once = sizes == 1
-                sums = np.empty((len(first), grad.shape[1]), np.float32)
-                sums[once] = grad.take(order[first[once]], axis=0)
-                if not once.all():
-                    several = sizes[~once]
-                    sums[~once] = np.add.reduceat(grad.take(order[np.repeat(~once, sizes)], axis=0), np.cumsum(several) - several, axis=0)
-                squares[name][which] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+                which, sizes, sums = _row_sums(rows, grad, self.shapes[name][0])
+                square = squares[name].take(which)
+                square += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+                squares[name][which] = square
                 visits[name][which] += sizes
-                self.t[name][which] -= RATE * sums / np.sqrt(squares[name][which] + 1e-2)[:, None]
+                sums *= (RATE / np.sqrt(square + 1e-2))[:, None]
+                moved = self.t[name].take(which, axis=0)
+                moved -= sums
+                whole = np.dtype((np.void, moved.itemsize * moved.shape[1]))  # a row is written back as one piece
+                self.t[name].view(whole)[:, 0][which] = moved.view(whole)[:, 0]
+
+
+def _row_sums(rows: np.ndarray, grad: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows (numbers below n) that occur, how often, and the sum of grad over each.
+
+    Most hashed rows occur once or a few times in a batch: they are summed occurrence by occurrence,
+    all rows at once.  Only rows that occur more than LONG times are summed one after the other.
+    """
+    narrow = rows.astype(np.uint16) if n <= 1 << 16 else rows
+    order = np.argsort(narrow, kind="stable" if narrow is not rows else None)
+    sorted_rows = rows[order]
+    first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+    sizes = np.diff(np.r_[first, len(rows)])
+    capped = np.minimum(sizes, LONG + 1)
+    by = np.argsort((LONG + 1 - capped).astype(np.uint8), kind="stable")  # the most frequent first
+    first, sizes = first[by], sizes[by]
+    above = len(sizes) - np.cumsum(np.bincount(capped, minlength=LONG + 2))  # how many rows occur more than so many times
+    long = above[LONG]
+    sums = grad.take(order[first], axis=0)
+    for r in range(1, LONG):
+        if above[r] == long:
+            break
+        sums[long : above[r]] += grad.take(order[first[long : above[r]] + r], axis=0)
+    if long:
+        many = sizes[:long]
+        starts = np.cumsum(many) - many
+        of_long = np.arange(many.sum()) + np.repeat(first[:long] - starts, many)
+        sums[:long] = np.add.reduceat(grad.take(order[of_long], axis=0), starts, axis=0)
+    return sorted_rows[first], sizes, sums
 
 
 def _arrays(vocabulary: Vocabulary, column: pa.Array):
@@ -261,13 +287,13 @@ def _arrays(vocabulary: Vocabulary, column: pa.Array):
     words, sizes = word_lists(column)
     starts = np.r_[0, np.cumsum(sizes + 1)]
     found = vocabulary.ids(words)
-    tail = words.filter(pa.array(found < 0)).to_pylist()
+    tail = words.filter(pa.array(found < 0))
     ids = np.full(starts[-1], -1 if not vocabulary.words else 0, dtype=np.int32)  # the end token is the first word
     at = np.ones(len(ids), bool)
     at[starts[1:] - 1] = False
     ids[at] = found
     hashes = np.zeros(len(ids), np.int64)
-    hashes[at] = vocabulary.hash(found, tail)
+    hashes[at] = vocabulary.hash(found, tail.to_pylist())
     return tail, at & (ids < 0), ids, hashes, starts[:-1]
 
 
@@ -324,6 +350,14 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> MaxEnt:
     return model
 
 
+def _pairs(of: np.ndarray, words: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The different pairs of a document's place and a word, as places, words and how often each occurs."""
+    coded = words.dictionary_encode()
+    n = max(len(coded.dictionary), 1)
+    pairs, tf = np.unique(of * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return pairs // n, coded.dictionary.take(pa.array(pairs % n)), tf
+
+
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: MaxEnt) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score; a row for each row of docs."""
     spark = docs.sparkSession
@@ -337,25 +371,24 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Max
         share_of = np.log10(voc.shares)
         other_of = np.log10(voc.counts + 1.0)
         for b in grouped(batches):
-            doc = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             rare, is_rare, ids, hashes, starts = _arrays(voc, b.column(2))
             logp = net.log_probs(*net.examples(ids, hashes, starts))
             head = ids >= 0
             rest = ~head | (ids >= MODELLED)
             logp[rest] -= share_of[hashes[rest] % len(share_of)]
             at = np.maximum(ids, 0)
-            total = lambda x: np.add.reduceat(x, starts).tolist()  # noqa: E731, B023
-            sizes = np.diff(np.r_[starts, len(ids)])
+            total = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
+            sizes, n = np.diff(np.r_[starts, len(ids)]), b.num_rows
             base = total(np.where(head, base_of[at], 0.0) if len(base_of) else np.zeros(len(ids)))
             own = total(logp + np.where(head & rest, other_of[at], 0.0) if len(base_of) else logp)
-            rows = [(*d, f" {d[0]}:{d[1]}:{i}", n, k, x, y) for i, (d, n, k, x, y) in enumerate(zip(doc, sizes.tolist(), total(head.astype(np.int64)), base, own, strict=True))]
-            if voc.words:
-                of = np.repeat(np.arange(len(doc)), sizes)[is_rare].tolist()
-                tail = Counter(zip(of, rare, strict=True))
-            else:  # nothing learned: the end tokens are as unknown as all words
-                tail = Counter(zip(np.repeat(np.arange(len(doc)), sizes - 1).tolist(), rare, strict=True)) + Counter({(i, END): 1 for i in range(len(doc))})
-            rows += [(*doc[i], w, n, 0, 0.0, 0.0) for (i, w), n in tail.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            keys = [f" {d}:{h}:{i}" for i, (d, h) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))]
+            of, word, tf = _pairs(np.repeat(np.arange(n), sizes)[is_rare], rare)
+            if not voc.words:  # nothing learned: the end tokens are as unknown as all words
+                of, word, tf = np.r_[of, np.arange(n)], pa.concat_arrays([word, pa.array([END] * n, pa.string())]), np.r_[tf, np.ones(n, np.int64)]
+            which, none = pa.array(np.r_[np.arange(n), of]), np.zeros(len(of), np.int64)
+            columns = [b.column(0).take(which), b.column(1).take(which), pa.concat_arrays([pa.array(keys, pa.string()), word])]
+            columns += [pa.array(np.r_[x, y]).cast(f.type) for x, y, f in zip((sizes, total(head.astype(np.int64)), base, own), (tf, none, none, none), list(schema)[3:], strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     ddl = "doc_id bigint, h bigint, word string, tf bigint, known bigint, base double, score double"
     src = kept_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")

@@ -456,6 +456,27 @@ def test_rare_words_join(spark, monkeypatch):
         assert got[r["doc_id"]]["n_known"] == 8
 
 
+def test_gradients_are_summed_by_row():
+    rng = np.random.default_rng(5)
+    for n in (70, 1 << 17):
+        rows = np.r_[np.repeat([3, 9], [lm_score.LONG, lm_score.LONG + 1]), np.full(500, 60), rng.integers(0, n, 300), [n - 1]]
+        rows = rng.permutation(rows)
+        grad = rng.standard_normal((len(rows), 17)).astype(np.float32)
+        want = np.zeros((n, 17))
+        np.add.at(want, rows, grad)
+        which, sizes, sums = lm_score._row_sums(rows, grad, n)
+        assert sums.dtype == np.float32 and sorted(which) == np.unique(rows).tolist()
+        assert (sizes == np.bincount(rows, minlength=n)[which]).all() and np.allclose(sums, want[which], atol=1e-4)
+    which, sizes, sums = lm_score._row_sums(np.full(40, 2), np.ones((40, 3), np.float32), 5)
+    assert which.tolist() == [2] and sizes.tolist() == [40] and sums.tolist() == [[40.0] * 3]
+
+
+def test_words_are_counted_by_document():
+    of, words, tf = lm_score._pairs(np.array([0, 0, 0, 2, 2]), pa.array(["b", "a", "b", "b", "c"]))
+    assert sorted(zip(of.tolist(), words.to_pylist(), tf.tolist(), strict=True)) == [(0, "a", 1), (0, "b", 2), (2, "b", 1), (2, "c", 1)]
+    assert [len(x) for x in lm_score._pairs(np.array([], np.int64), pa.array([], pa.string()))] == [0, 0, 0]
+
+
 def test_rare_words_are_told_apart(spark):
     r = random.Random(6)
     docs = []
